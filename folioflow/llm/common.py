@@ -30,7 +30,7 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import binary_ids, packing
+from . import binary_ids, language_id, mixing, packing, quality, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_robust_outliers": quality.op2_robust_outliers,
+    "op4_hierarchical_mix": mixing.op4_hierarchical_mix,
     "op7_token_files": binary_ids.op7_token_files,
+    "op8_language_id": language_id.op8_language_id,
     "op9_packing": packing.op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_hierarchical_mix": mixing.OP4_SQL,
+}

@@ -21,6 +21,12 @@ _RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u20
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: The printable stand-ins of bytes in byte-level vocabularies (a fixed rule: printable Latin-1 bytes stand for themselves, others from 256 on).
+_SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = iter(range(256, 512))
+_BYTE_SIGNS = [chr(b if b in _SELF else next(_OTHERS)) for b in range(256)]
+
+
 class _Memo(dict):
     def __init__(self, encode):
         super().__init__()
@@ -48,14 +54,37 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         # A byte-level pre-tokenizer hangs a space on the word after it; one that lower-cases and splits drops white space.
         self.keeps_space = self.tokenizer.normalizer is None
-        self.firsts = _Memo(self._encode)
-        self.rest = _Memo(self._after_space if self.keeps_space else self._encode)
+        self.model = self.tokenizer.model
+        self.firsts = _Memo(self._first)
+        self.rest = _Memo(self._after_space if self.keeps_space else self._lower)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """One word of Latin letters, a space before it allowed: the splitter would leave it whole, so the library's merging model takes it at once."""
+        signs = word if word.isascii() and word.isalpha() else "".join([_BYTE_SIGNS[b] for b in word.encode()])
+        return np.array([t.id for t in self.model.tokenize(signs)], dtype=self.dtype).tobytes()
+
+    def _first(self, piece: str) -> bytes:
+        return self._word(piece) if piece.isalpha() and max(piece) <= "\xff" else self._encode(piece)
+
     def _after_space(self, piece: str) -> bytes:
-        return self._encode(piece if piece[:1] == "\n" else " " + piece)
+        if piece[:1] == "\n":
+            return self.firsts["\n"] + self.firsts[piece[1:]] if piece[1:].isalnum() else self._encode(piece)
+        head = piece[:-1]
+        if piece[-1:] in (".", ",") and head.isalpha():
+            return self.rest[head] + self.firsts[piece[-1]]
+        return self._word(" " + piece) if piece.isalpha() and max(piece) <= "\xff" else self._encode(" " + piece)
+
+    def _lower(self, piece: str) -> bytes:
+        if not piece.isalpha():
+            head = piece[:-1]
+            return self.rest[head] + self.rest[piece[-1]] if piece[-1:] in (".", ",") and head.isalpha() else self._encode(piece)
+        if max(piece) > "\xff":
+            return self._encode(piece)
+        low = piece.lower()
+        return self._word(low) if low == piece else self.rest[low]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
