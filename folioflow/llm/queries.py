@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import binary_ids, language_id, mixing, packing, quality, toxicity
+from . import binary_ids, jaccard, language_id, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op10_rtree_join": jaccard.op10_rtree_join,
     "op2_robust_outliers": quality.op2_robust_outliers,
     "op4_hierarchical_mix": mixing.op4_hierarchical_mix,
     "op7_token_files": binary_ids.op7_token_files,
