@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import binary_ids, jaccard, language_id, mixing, packing, quality, toxicity
+from . import binary_ids, images, jaccard, language_id, mixing, packing, quality, toolcalls, toxicity, wordpiece
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op10_rtree_join": jaccard.op10_rtree_join,
     "op2_robust_outliers": quality.op2_robust_outliers,
+    "op3_wordpiece_counts": wordpiece.op3_wordpiece_counts,
+    "op5_tool_calls": toolcalls.op5_tool_calls,
+    "op6_image_copies": images.op6_image_copies,
     "op4_hierarchical_mix": mixing.op4_hierarchical_mix,
     "op7_token_files": binary_ids.op7_token_files,
     "op8_language_id": language_id.op8_language_id,
@@ -15,5 +18,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_wordpiece_counts": wordpiece.op3_wordpiece_counts,
+    "op5_tool_calls": toolcalls.op5_tool_calls,
+    "op6_image_copies": images.op6_image_copies,
     "op4_hierarchical_mix": mixing.OP4_SQL,
 }
