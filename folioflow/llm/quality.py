@@ -55,7 +55,8 @@ def with_stats(docs: DataFrame, text: str, into: str) -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(f"{into}_l").cast("long").alias("n_lines"),
     )
-    return out.withColumn(into, stats).drop(w, f"{into}_l", h, s, p)
+    # A generator of one row: filters on the statistics are not pushed below it, where they would evaluate all steps in one expression.
+    return out.withColumn(into, F.explode(F.array(stats))).drop(w, f"{into}_l", h, s, p)
 
 
 def base_failed(s: Column) -> Column:
