@@ -8,7 +8,7 @@ minima with the node's upper corner: what can't reach the threshold is cut off.
 Documents meet in buckets: two sets of a similarity of ``T`` or more share a hash among the first n - ceil(T n) + 1 of each, in any common order. The order
 puts hashes that are frequent in a bounded sample last, so that common passages make no buckets; the sample affects cost only. Equal sets are one
 class from the start; buckets with the same classes are one bucket. Each bucket is joined through an R-tree over its points, twice: first every class
-is paired with its best candidate among its neighbours in the tree, which links groups of copies with as many pairs as members; then, for buckets that
+is paired with its best candidate in two of its buckets, which links groups of copies with as many pairs as members; then, for buckets that
 still hold several components, all pairs of classes of different components that the bounds admit. Nodes whose classes all are in one component are
 skipped against it. So no pair that could join two components is lost, and no group of copies is expanded to all its pairs. Buckets over
 ``CHUNK`` classes are dealt to cells, so that each pair of chunks meets in one.
@@ -76,9 +76,9 @@ def class_of(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of ``s`` per group; as many groups as keep counts near four, a power of two."""
+    """Counts of ``s`` per group, of at least as many groups as hashes, a power of two: what two sets don't share then seldom falls together."""
     d = 16
-    while d * 4 < len(s):
+    while d < len(s):
         d *= 2
     while (c := np.bincount((s & np.uint64(d - 1)).astype(np.int64), minlength=d)).max(initial=0) > 255:
         d *= 2
@@ -114,22 +114,34 @@ class RTree:
                 break
             bounds = np.append(bounds[:-1][::LEAF], len(points))
 
-    def _reach(self, u, v, least, most_u, most_v):
-        """Whether sets of at least ``least`` shingles in all can overlap enough, and their sizes are near enough."""
+    def _reach(self, u, v, least):
+        """Whether sets of at least ``least`` shingles in all can overlap enough, and the bound on their overlap."""
         bound = np.minimum(u, v).sum(-1, dtype=np.int64)
         return bound * (T[0] + T[1]) >= T[0] * least, bound
 
     def neighbours(self) -> list[tuple[int, int]]:
-        """For every row, its best candidate among the rows before it in its own leaf and in the one before, and in the first."""
+        """For every row, its best candidate by the bound on similarity, out of the leaves that can hold one, and those two of the rows that are best for
+        most others, as far as the bound admits them."""
+        a, b, upper, low, high, _, _ = self.levels[0]
         out = []
-        for i in range(1, len(self.points)):
-            a = max(0, i - 2 * LEAF)
-            rows = np.arange(a, i) if a == 0 else np.append(np.arange(a, i), 0)
-            ok, bound = self._reach(self.points[rows], self.points[i], self.sizes[rows] + self.sizes[i], None, None)
-            if ok.any():
-                rows, bound = rows[ok], bound[ok]
-                out.append((i, int(rows[np.argmax(bound / (self.sizes[rows] + self.sizes[i] - bound))])))
-        return [(int(self.order[i]), int(self.order[j])) for i, j in out]
+        for i in range(len(a)):
+            # Leaves in the order of sizes: those near enough lie together.
+            near = np.flatnonzero((high * T[1] >= T[0] * low[i]) & (high[i] * T[1] >= T[0] * low))
+            near = near[self._reach(upper[near], upper[i], low[near] + low[i])[0]]
+            rows = np.concatenate([np.arange(a[j], b[j]) for j in near])
+            best, at = np.zeros(b[i] - a[i]), np.full(b[i] - a[i], -1)
+            for r in np.array_split(rows, -(-len(rows) // 512)):
+                own = np.arange(a[i], b[i])
+                ok, bound = self._reach(self.points[own][:, None], self.points[r][None], self.sizes[own][:, None] + self.sizes[r][None])
+                score = np.where(ok & (own[:, None] != r[None]), bound / (self.sizes[own][:, None] + self.sizes[r][None] - bound), 0)
+                top = score.argmax(1)
+                value = score[np.arange(len(own)), top]
+                at, best = np.where(value > best, r[top], at), np.maximum(best, value)
+            out += [(int(a[i]) + x, int(y)) for x, y in enumerate(at) if y >= 0]
+        for hub in np.argsort(-np.bincount([y for _, y in out], minlength=1), kind="stable")[:2].tolist() if len(a) > 1 else []:
+            ok, _ = self._reach(self.points, self.points[hub], self.sizes + self.sizes[hub])
+            out += [(int(x), hub) for x in np.flatnonzero(ok) if x != hub]
+        return [(int(self.order[x]), int(self.order[y])) for x, y in set(out)]
 
     def cross(self) -> list[tuple[int, int]]:
         """All pairs of rows of different components that the bounds admit."""
@@ -142,7 +154,7 @@ class RTree:
                 continue
             if high[i] * T[1] < T[0] * low[j] or high[j] * T[1] < T[0] * low[i]:
                 continue
-            if not self._reach(upper[i], upper[j], low[i] + low[j], None, None)[0]:
+            if not self._reach(upper[i], upper[j], low[i] + low[j])[0]:
                 continue
             if level:
                 ca, cb = self.levels[level - 1][:2]
@@ -150,7 +162,7 @@ class RTree:
                 todo += [(level - 1, x, y) for x in below(i) for y in below(j) if i != j or x <= y]
                 continue
             p, q = np.arange(a[i], b[i]), np.arange(a[j], b[j])
-            ok, _ = self._reach(self.points[p][:, None], self.points[q][None], self.sizes[p][:, None] + self.sizes[q][None], None, None)
+            ok, _ = self._reach(self.points[p][:, None], self.points[q][None], self.sizes[p][:, None] + self.sizes[q][None])
             ok &= self.component[p][:, None] != self.component[q][None]
             if i == j:
                 ok &= p[:, None] < q[None]
@@ -292,20 +304,25 @@ def _in_cells(members: DataFrame, everything: bool) -> DataFrame:
     return dealt.mapInArrow(_joiner(everything), "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose exact sets are similar enough. Sets are made again from the texts, for classes that a filter of fixed size lets through."""
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame) -> DataFrame:
+    """The pairs whose exact sets are similar enough. Sets are made again from the texts of ``holders`` (class, doc_id), one document a class; a filter
+    of fixed size over their ids keeps the others from being read into sets, and a join drops what it lets through."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    mask = (1 << BLOOM_BITS) - 1
 
     def bits(batches):
         field = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
         for b in batches:
-            at = b.column(0).to_numpy().view(np.uint64) & np.uint64(mask)
-            np.bitwise_or.at(field, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+            at = _slots(b.column(0).to_numpy())
+            np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
         at = np.flatnonzero(field)
-        yield pa.record_batch([pa.array((at >> 10).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(field[at].astype(np.int32))], names=["page", "at", "bits"])
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(field[at].astype(np.int32))], names=["at", "bits"])
 
-    rows = needed.mapInArrow(bits, "page int, at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^23 bytes of a fixed field
+    ids = needed.join(holders, "class").where("doc_id is not null").select("doc_id")
+    rows = ids.mapInArrow(bits, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^23 bytes of a fixed field
     field = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
     field[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -313,22 +330,19 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def sets(batches):
         seen: set[int] = set()
         for b in batches:
+            at = _slots(b.column(0).fill_null(0).to_numpy())
+            maybe = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) | b.column(0).is_null().to_numpy(zero_copy_only=False)
             out = []
-            for text in b.column(0).to_pylist():
+            for text in b.column(1).filter(pa.array(maybe)).to_pylist():
                 s = shingles(text)
-                if not len(s):
-                    continue
-                c = class_of(s)
-                at = (c & (1 << 64) - 1) & mask
-                if c in seen or not shared.value[at >> 3] >> (at & 7) & 1:
+                if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) < _MEMO:
                     seen.add(c)
                 out.append((c, s.view(np.int64)))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["class", "set"])
 
-    found = docs.select("text").mapInArrow(sets, "class long, set array<long>").join(needed, "class", "left_semi")
-    found = common.written(found.groupBy("class").agg(F.first("set").alias("set")), "sets")
+    found = docs.mapInArrow(sets, "class long, set array<long>").join(needed, "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
     left = pairs.join(found.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return left.where(both * (T[0] + T[1]) >= T[0] * (F.size("sa") + F.size("sb"))).select("a", "b")
@@ -360,17 +374,22 @@ def join(docs: DataFrame) -> DataFrame:
     keys = scan.where("part is not null").select("part", "packed").repartition(parts, "part").sortWithinPartitions("part")
     shared = keys.mapInArrow(_shared_keys, "bucket long, class long")
     shared = shared.unionByName(rows.select(F.explode("hot").alias("bucket"), "class")).distinct()
-    points = rows.where("point is not null").groupBy("class").agg(F.first("point").alias("point"), F.first("n").alias("n"))
+    points = rows.where("class is not null").groupBy("class").agg(F.first("point", True).alias("point"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = common.written(shared.join(sizes, "bucket").join(points, "class"), "members")
-    tested = common.written(_in_cells(members.withColumn("component", F.col("class")), False), "pairs")
-    links = common.written(_verified(docs, tested), "links")
+    holders = members.select("class", "doc_id").distinct()
+    # First pass: a class looks for a neighbour in two of its buckets, the largest and one by its name.
+    both = F.array(F.max(F.struct("size", "bucket"))["bucket"], F.min("bucket"))
+    two = members.groupBy("class").agg(both.alias("b")).select("class", F.explode(F.array_distinct("b")).alias("bucket"))
+    first = members.join(two, ["class", "bucket"], "left_semi").withColumn("component", F.col("class"))
+    tested = common.written(_in_cells(first, False), "pairs")
+    links = common.written(_verified(docs, tested, holders), "links")
     labels = components(links)
-    # What is left: buckets of three classes or more that hold several components.
-    rest = members.where("size > 2").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    # What is left: buckets that hold several components.
+    rest = members.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     more = common.written(_in_cells(rest.join(open_, "bucket", "left_semi"), True).join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = common.written(_verified(docs, more), "links")
+    found = common.written(_verified(docs, more, holders), "links")
     if found.limit(1).count():
         labels = components(links.unionByName(found))
     ids = rows.groupBy("class").agg(F.min("doc_id").alias("least")).where("class is not null")

@@ -14,6 +14,7 @@ identifiers link with nothing; repeated calls of an identifier each get its resu
 from __future__ import annotations
 
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,8 @@ def _object(pairs):
 
 
 def _finite(x):
+    if math.isfinite(v := float(x)):
+        return v
     raise ValueError(x)
 
 
@@ -79,7 +82,7 @@ def canonical(value) -> str:
 def checked(arguments: str | None, schema: dict | None) -> tuple[str | None, str | None]:
     """Canonical form and the first violation, either of which may be None."""
     try:
-        value = json.loads(arguments or "", object_pairs_hook=_object, parse_constant=_finite)
+        value = json.loads(arguments or "", object_pairs_hook=_object, parse_float=_finite, parse_constant=_finite)
     except (ValueError, RecursionError):
         return None, "$: no JSON"
     if not isinstance(value, dict):
