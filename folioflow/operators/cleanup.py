@@ -26,7 +26,7 @@ def dehyphenate(notes: DataFrame) -> DataFrame:
 def dewrap(notes: DataFrame) -> DataFrame:
     """The lines of each paragraph become one, joined by single spaces."""
     k = L.kinds(notes)
-    inner = (F.col("kind") == "paragraph") & (F.lead("block_no").over(L.BY_DOC) == F.col("block_no"))
+    inner = (F.col("kind") == "paragraph") & (F.lead("block_no").over(L.by_doc()) == F.col("block_no"))
     return L.rebuilt(k.withColumn("sep", F.when(inner, " ").otherwise(F.col("sep"))), "line", "sep")
 
 
@@ -48,7 +48,7 @@ def tidy_whitespace(notes: DataFrame) -> DataFrame:
     tidy = F.concat(lead, F.regexp_replace(F.regexp_replace(F.substring("line", F.length(lead) + 1, F.length("line")), "  +", " "), r"[ \t]+\z", ""))
     # A line that is white space only is blank, so its lead never reaches the end.
     tidy = F.when(_free() & ~blank & (F.col("kind") != "tableRow"), tidy).otherwise(F.col("line"))
-    k = k.withColumn("line", tidy).withColumn("run", F.sum((~blank).cast("int")).over(L.SO_FAR))
+    k = k.withColumn("line", tidy).withColumn("run", F.sum((~blank).cast("int")).over(L.so_far()))
     run = Window.partitionBy("doc_id", "run")
     place = F.sum(blank.cast("int")).over(run.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     k = k.withColumn("place", place).withColumn("size", F.sum(blank.cast("int")).over(run))
@@ -68,7 +68,7 @@ def normalize_ordered(notes: DataFrame) -> DataFrame:
     """
     k = L.kinds(notes)
     item = (F.col("kind") == "listItem") & F.col("line").rlike(js.ORDERED)
-    k = k.withColumn("segment", F.sum((~F.col("kind").isin("blank", "listItem")).cast("int")).over(L.SO_FAR))
+    k = k.withColumn("segment", F.sum((~F.col("kind").isin("blank", "listItem")).cast("int")).over(L.so_far()))
     part = lambda i: F.regexp_extract("line", js.ORDERED, i)
     items = k.where(item).groupBy("doc_id", "segment").agg(F.array_sort(F.collect_list(F.struct("line_no", F.length(part(1)).alias("indent")))).alias("items"))
 
@@ -88,15 +88,15 @@ def headings(notes: DataFrame) -> DataFrame:
     """doc_id, ord (from 1), line_no, off, level, title of every heading line; code is not excepted."""
     h = L.lines(notes).where(F.col("line").rlike(js.HEADING)).withColumn("level", F.length(F.regexp_extract("line", js.HEADING, 1)).cast("long"))
     title = F.regexp_replace(F.substring("line", F.col("level").cast("int") + 1, F.length("line")), f"^{js.WS}+|{js.WS}+\\z", "")
-    return h.select("doc_id", F.row_number().over(L.BY_DOC).cast("long").alias("ord"), "line_no", "off", "level", title.alias("title"))
+    return h.select("doc_id", F.row_number().over(L.by_doc()).cast("long").alias("ord"), "line_no", "off", "level", title.alias("title"))
 
 
 def normalize_headings(notes: DataFrame) -> DataFrame:
     """No heading is more than one level below the heading before it: its level is its place plus the least (level - place) so far."""
     rows = L.lines(notes)
     is_heading = F.col("line").rlike(js.HEADING)
-    rows = rows.withColumn("level", F.when(is_heading, F.length(F.regexp_extract("line", js.HEADING, 1)))).withColumn("ord", F.sum(is_heading.cast("int")).over(L.SO_FAR))
-    rows = rows.withColumn("to", (F.col("ord") + F.min(F.col("level") - F.col("ord")).over(L.SO_FAR)).cast("int"))
+    rows = rows.withColumn("level", F.when(is_heading, F.length(F.regexp_extract("line", js.HEADING, 1)))).withColumn("ord", F.sum(is_heading.cast("int")).over(L.so_far()))
+    rows = rows.withColumn("to", (F.col("ord") + F.min(F.col("level") - F.col("ord")).over(L.so_far())).cast("int"))
     line = F.when(is_heading, F.concat(F.repeat(F.lit("#"), F.col("to")), F.substring("line", F.col("level") + 1, F.length("line")))).otherwise(F.col("line"))
     each = F.array_sort(F.collect_list(F.struct("line_no", line.alias("line"))))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["line"]), "\n").alias("text"))

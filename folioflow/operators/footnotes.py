@@ -18,7 +18,7 @@ CITATION = r"(?<!\^)\[0*([0-9]+)\](?!\()"
 def definitions(notes: DataFrame) -> DataFrame:
     """doc_id, line_no, id, alpha, snippet, title, url of every definition; a link alone on the next line belongs to it."""
     rows = L.lines(notes)
-    link = F.lead("line").over(L.BY_DOC)
+    link = F.lead("line").over(L.by_doc())
     two = F.coalesce(link.rlike(LINK_LINE), F.lit(False))
     part = lambda i: F.when(F.col("two"), F.regexp_extract("next", LINK_LINE, i))
     rows = rows.withColumn("next", link).withColumn("two", two).where(F.col("line").rlike(DEF))
@@ -45,7 +45,7 @@ def from_citations(text: Column) -> Column:
 
 def existing_refs(notes: DataFrame) -> DataFrame:
     """doc_id, line_no, id, url of numeric definitions; the url of a link that opens the next line, else empty."""
-    rows = L.lines(notes).withColumn("next", F.coalesce(F.lead("line").over(L.BY_DOC), F.lit("")))
+    rows = L.lines(notes).withColumn("next", F.coalesce(F.lead("line").over(L.by_doc()), F.lit("")))
     rows = rows.where(F.col("line").rlike(r"^\[\^[0-9]+\]:"))
     return rows.select("doc_id", "line_no", F.regexp_extract("line", r"^\[\^([0-9]+)\]:", 1).cast("long").alias("id"), F.regexp_extract("next", r"^\[[^\]]*\]\(([^)]+)\)", 1).alias("url"))
 

@@ -6,13 +6,19 @@ fences, is folded over the few candidate lines of a note before its lines are ma
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import functions as js
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("line_no")
-SO_FAR = BY_DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def by_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def so_far() -> WindowSpec:
+    return by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _texts(notes: DataFrame) -> DataFrame:
@@ -22,7 +28,7 @@ def _texts(notes: DataFrame) -> DataFrame:
 def lines(notes: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), off (of its first character, code points), line; null text is one empty line."""
     rows = _texts(notes).select("doc_id", F.posexplode("ls").alias("line_no", "line"))
-    before = F.coalesce(F.sum(F.length("line") + 1).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.length("line") + 1).over(by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), before.cast("long").alias("off"), "line")
 
 
@@ -64,23 +70,23 @@ def kinds(notes: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "line_no", "line", F.when(no < F.col("n") - 1, "\n").otherwise("").alias("sep"), raw.alias("raw"))
     toggle = F.col("raw") == "toggle"
     value = F.when(toggle, None).when(F.col("raw") == "paragraph", 1).otherwise(0)
-    flips = F.sum(toggle.cast("int")).over(SO_FAR)
+    flips = F.sum(toggle.cast("int")).over(so_far())
     rows = rows.withColumn("value", value).withColumn("flips", flips)
-    at = F.coalesce(F.last(F.when(F.col("value").isNotNull(), F.col("flips")), ignorenulls=True).over(SO_FAR), F.lit(0))
-    state = F.pmod(F.coalesce(F.last("value", ignorenulls=True).over(SO_FAR), F.lit(0)) + F.col("flips") - at, F.lit(2))
+    at = F.coalesce(F.last(F.when(F.col("value").isNotNull(), F.col("flips")), ignorenulls=True).over(so_far()), F.lit(0))
+    state = F.pmod(F.coalesce(F.last("value", ignorenulls=True).over(so_far()), F.lit(0)) + F.col("flips") - at, F.lit(2))
     rows = rows.withColumn("state", state)
-    before = F.coalesce(F.lag("state").over(BY_DOC), F.lit(0))
+    before = F.coalesce(F.lag("state").over(by_doc()), F.lit(0))
     under = F.col("raw").isin("toggle", "rule")
     rows = rows.withColumn("under", under & (before == 1))
-    kind = F.when(F.col("under"), "setextHeading").when((F.col("state") == 1) & F.coalesce(F.lead("under").over(BY_DOC), F.lit(False)), "setextHeading").when(toggle, "paragraph").when(F.col("raw") == "rule", "thematicBreak").otherwise(F.col("raw"))
+    kind = F.when(F.col("under"), "setextHeading").when((F.col("state") == 1) & F.coalesce(F.lead("under").over(by_doc()), F.lit(False)), "setextHeading").when(toggle, "paragraph").when(F.col("raw") == "rule", "thematicBreak").otherwise(F.col("raw"))
     rows = rows.withColumn("kind", kind)
-    new = (F.lag("kind").over(BY_DOC).isNull() | (F.col("kind") == "blank") | (F.lag("kind").over(BY_DOC) != F.col("kind"))).cast("int")
-    return rows.withColumn("new", new).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", "sep", "kind", F.sum("new").over(SO_FAR).alias("block_no"))
+    new = (F.lag("kind").over(by_doc()).isNull() | (F.col("kind") == "blank") | (F.lag("kind").over(by_doc()) != F.col("kind"))).cast("int")
+    return rows.withColumn("new", new).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", "sep", "kind", F.sum("new").over(so_far()).alias("block_no"))
 
 
 def blocks(notes: DataFrame) -> DataFrame:
     """doc_id, block_no (from 1), kind, start_line, end_line, start_off, end_off (past the line feed, within the text)."""
-    rows = kinds(notes).withColumn("end", F.sum(F.length("line") + F.length("sep")).over(SO_FAR))
+    rows = kinds(notes).withColumn("end", F.sum(F.length("line") + F.length("sep")).over(so_far()))
     out = rows.groupBy("doc_id", "block_no", "kind").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.min(F.col("end") - F.length("line") - F.length("sep")).cast("long").alias("start_off"), F.max("end").cast("long").alias("end_off"))
     return out.select("doc_id", "block_no", "kind", "start_line", "end_line", "start_off", "end_off")
 
