@@ -120,14 +120,17 @@ def copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     left = described(queries).select(F.col("image_id").alias("query_id"), "key", F.col("corner").alias("qc"), *[F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "turn", "b0", "b1")])
     both = left.join(described(single), "key")
     both = both.where(F.bit_count(F.col("b0").bitwiseXOR(F.col("q_b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("q_b1"))) <= NEAR)
-    both = both.dropDuplicates(["query_id", "image_id", "qc", "corner"])
     # Each match says how the query lies in the image; bins overlap by half, so that agreeing matches share one.
     turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(2 * np.pi))
     scale = F.col("q_scale") / F.col("scale")
     dx = F.col("x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     dy = F.col("y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
     wide = lambda v, step: F.array(F.floor(v / step), F.floor(v / step + 0.5) + 1_000_000)
-    votes = both.select("query_id", "image_id", "qc", F.explode(F.array(F.pmod(F.floor(turn / (np.pi / 6)), F.lit(12)), F.pmod(F.floor(turn / (np.pi / 6) + 0.5), F.lit(12)) + 100)).alias("t"), F.round(F.log2(scale) / 0.6).alias("s"), dx.alias("dx"), dy.alias("dy"))
+    match = F.struct("qc", "corner", turn.alias("turn"), F.round(F.log2(scale) / 0.6).alias("s"), dx.alias("dx"), dy.alias("dy"))
+    # At most the product of two images' corners in a list; pairs with too few corners go before they vote, and votes need no further exchange.
+    pairs = both.select("query_id", "image_id", match.alias("m")).groupBy("query_id", "image_id").agg(F.collect_set("m").alias("ms"))
+    pairs = pairs.where(F.size(F.array_distinct(F.transform("ms", lambda m: m["qc"]))) >= AGREE)
+    votes = pairs.select("query_id", "image_id", F.explode("ms").alias("m")).select("query_id", "image_id", "m.qc", "m.s", "m.dx", "m.dy", F.explode(F.array(*[F.pmod(F.floor(F.col("m.turn") / (np.pi / 6) + h), F.lit(12)) + 100 * k for k, h in ((0, 0.0), (1, 0.5))])).alias("t"))
     votes = votes.withColumn("bx", F.explode(wide(F.col("dx"), 16.0))).withColumn("by", F.explode(wide(F.col("dy"), 16.0)))
     best = votes.groupBy("query_id", "image_id", "t", "s", "bx", "by").agg(F.count_distinct("qc").alias("votes")).groupBy("query_id", "image_id").agg(F.max("votes").alias("votes")).where(F.col("votes") >= AGREE)
     # A match of a class is one of all its images.
