@@ -3,14 +3,17 @@
 Corners are taken at several scales (structure-tensor response, largest in their neighbourhood); each has the direction of its patch's centre of
 brightness, and a string of comparisons between pairs of points, turned by that direction. Strings are entered in tables under several fixed choices of
 their bits, and images meet where such a choice is equal. Matches within a Hamming distance vote for a turn, a scale and a shift; an image is a copy when
-enough different corners agree. Equal images are one class from the start, so a picture that is very common is described once.
+enough different corners agree. Only keys that some query has are entered, by a field of bits of fixed size. Equal pictures are one class: a task
+describes a class once, and results name classes by their least ids, with each row's class beside them.
 
-Defined results: a null, undecodable or flat image has no corners and matches nothing; equal ids are separate rows of their own class; an empty table gives
-no rows. Images are gray, row-major bytes with a width.
+Defined results: a null, undecodable or flat image has no corners and matches nothing; null pictures of one width are one class; repeated rows are members
+of one class; null ids are members, and name no class that has another id; an empty table gives no rows. Images are gray, row-major bytes with a width.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,10 @@ TABLES, TABLE_BITS, NEAR, AGREE = 6, 20, 28, 5
 _rng = np.random.default_rng(7)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 4)), -RADIUS, RADIUS)
 _CHOICES = np.stack([_rng.permutation(BITS)[:TABLE_BITS] for _ in range(TABLES)])
+#: Bits of each table in the two words of a string, and the number of keys that all tables have.
+_MASKS = [tuple(int(w) for w in np.packbits(np.isin(np.arange(BITS), c)).view(">i8")) for c in _CHOICES]
+KEYS = 1 << (TABLES - 1).bit_length() + TABLE_BITS
+_MEMO = 400_000
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_X**2 + _Y**2 <= RADIUS**2).astype(np.float32)
 
@@ -84,58 +91,119 @@ def table_keys(strings: np.ndarray) -> np.ndarray:
     return np.stack([(bits[:, c] << np.arange(TABLE_BITS, dtype=np.int64)).sum(1) + (t << TABLE_BITS) for t, c in enumerate(_CHOICES)], 1)
 
 
-def described(images: DataFrame) -> DataFrame:
-    """A row for each corner and table of ``images`` (image_id, width, pixels): image_id, key, corner, x, y, scale, turn, b0, b1."""
+def described(images: DataFrame, wanted=None) -> DataFrame:
+    """Of ``images`` (image_id, width, pixels) a row (image_id, class) for each, and a row (class, key, corner, x, y, scale, turn, b0, b1) for each corner
+    and table of a picture, once a task for equal pictures. The class is a hash of width and pixels. ``wanted`` is a broadcast field of bits, one for each
+    possible key (a fixed size); keys that it lacks are left out."""
+    names = ["image_id", "class", "key", "corner", "x", "y", "scale", "turn", "b0", "b1"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 4, pa.int64(), pa.int64()]
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            out = []
+            ids, named, out = [], [], []
             for ident, width, pixels in zip(*(c.to_pylist() for c in b.columns)):
-                if not pixels or not width or len(pixels) % width:
+                c = int.from_bytes(hashlib.blake2b(pixels or b"", digest_size=8, salt=(width or 0).to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+                ids.append(ident)
+                named.append(c)
+                if c in seen or not pixels or not width or width < 0 or len(pixels) % width:
                     continue
+                if len(seen) < _MEMO:
+                    seen.add(c)
                 frames, strings = describe(np.frombuffer(pixels, np.uint8).reshape(-1, width))
                 if not len(frames):
                     continue
-                n = len(frames)
-                words = strings.view(">i8")
-                each = lambda v: np.repeat(v, TABLES)
-                out.append((np.full(n * TABLES, ident), table_keys(strings).reshape(-1), each(np.arange(n)), *(each(frames[:, i]) for i in range(4)), each(words[:, 0]), each(words[:, 1])))
-            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 9
-            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 4, pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)], names=["image_id", "key", "corner", "x", "y", "scale", "turn", "b0", "b1"])
-
-    return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), "pixels").mapInArrow(run, "image_id long, key long, corner int, x double, y double, scale double, turn double, b0 long, b1 long")
+                keys = table_keys(strings).reshape(-1)
+                at = np.arange(len(keys)) if wanted is None else np.flatnonzero(wanted.value[keys >> 3] >> (keys & 7).astype(np.uint8) & 1)
+                corner = at // TABLES
+                words = strings.view(">i8")[corner]
+                out.append((np.full(len(at), c), keys[at], corner, *frames[corner].T, words[:, 0], words[:, 1]))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(named, pa.int64()), *[pa.nulls(len(ids), k) for k in kinds[2:]]], names=names)
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out)]
+                yield pa.record_batch([pa.nulls(len(columns[0]), pa.int64()), *[pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds[1:])]], names=names)
 
+    return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), "pixels").mapInArrow(run, "image_id long, class long, key long, corner int, x double, y double, scale double, turn double, b0 long, b1 long")
 
-def classes(images: DataFrame) -> DataFrame:
-    """image_id, class (the digest of width and pixels) of ``images``."""
-    return images.select("image_id", F.sha2(F.concat(F.col("width").cast("string").cast("binary"), "pixels"), 256).alias("class"))
 
+def key_field(rows: DataFrame) -> np.ndarray:
+    """A bit for each key of ``rows`` (key); of a fixed size, whatever the number of rows."""
 
-def copies(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """Pairs (query_id, image_id, votes) of ``queries`` and ``images`` (image_id, width, pixels) where the image shows the query or a part of it."""
-    named = common.written(classes(images), "classes")
-    least = named.groupBy("class").agg(F.min("image_id").alias("least"))
-    single = images.join(least.select(F.col("least").alias("image_id")), "image_id", "left_semi")
-    left = described(queries).select(F.col("image_id").alias("query_id"), "key", F.col("corner").alias("qc"), *[F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "turn", "b0", "b1")])
-    both = left.join(described(single), "key")
-    both = both.where(F.bit_count(F.col("b0").bitwiseXOR(F.col("q_b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("q_b1"))) <= NEAR)
-    # Each match says how the query lies in the image; bins overlap by half, so that agreeing matches share one.
+    def bits(batches):
+        field = np.zeros(KEYS // 8, np.uint8)
+        for b in batches:
+            k = b.column(0).to_numpy()
+            np.bitwise_or.at(field, k >> 3, (1 << (k & 7)).astype(np.uint8))
+        at = np.flatnonzero(field)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(field[at].astype(np.int32))], names=["at", "bits"])
+
+    found = rows.select("key").mapInArrow(bits, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # KEYS / 8 rows at most
+    field = np.zeros(KEYS // 8, np.uint8)
+    field[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
+    return field
+
+
+def poll(pair: np.ndarray, match: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` pairs the most corners that agree on a turn, scale and shift. Bins overlap by half, so that agreeing matches share one."""
+    corner, t, s, x, y = match & 255, match >> 8 & 31, match >> 13 & 15, match >> 17 & 65535, match >> 33 & 65535
+    bins = [(((((pair << 5 | i * 12 + (t + i) // 2 % 12) << 4 | s) << 17 | j << 16 | x + j >> 1) << 17) | k << 16 | y + k >> 1) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+    kinds, of = np.unique(np.concatenate(bins), return_inverse=True)
+    agreed = np.bincount(np.unique(of.astype(np.int64) << 8 | np.tile(corner, 8)) >> 8, minlength=len(kinds))
+    best = np.zeros(n, np.int64)
+    np.maximum.at(best, kinds >> 43, agreed)
+    return best
+
+
+def _votes(batches):
+    for b in batches:
+        ends = b.column(2).offsets.to_numpy()
+        match = b.column(2).values.to_numpy()
+        votes, at = [], 0
+        while at < b.num_rows:  # as many pairs at once as have some 200,000 matches
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + 200_000)) - 1)
+            to = min(to, b.num_rows)
+            votes.append(poll(np.repeat(np.arange(to - at), np.diff(ends[at : to + 1])), match[ends[at] : ends[to]], to - at))
+            at = to
+        votes = np.concatenate(votes) if votes else np.zeros(0, np.int64)
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(votes)], names=["query_class", "image_class", "votes"]).filter(pa.array(votes >= AGREE))
+
+
+def matched(left: DataFrame, right: DataFrame) -> DataFrame:
+    """query_class, image_class, votes of the pairs of described pictures that agree."""
+    left = left.where("key is not null").select(F.col("class").alias("query_class"), "key", F.col("corner").alias("qc"), *[F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "turn", "b0", "b1")])
+    right = right.where("key is not null").withColumnRenamed("class", "image_class")
+    x0, x1 = F.col("b0").bitwiseXOR(F.col("q_b0")), F.col("b1").bitwiseXOR(F.col("q_b1"))
+    # Two corners that meet in several tables match in the first of them.
+    first = F
+    for t, (m0, m1) in enumerate(_MASKS):
+        first = first.when((x0.bitwiseAND(F.lit(m0)) == 0) & (x1.bitwiseAND(F.lit(m1)) == 0), F.lit(t))
+    both = left.join(right, "key").where((F.bit_count(x0) + F.bit_count(x1) <= NEAR) & (first == F.shiftright("key", TABLE_BITS)))
+    # Each match says how the query lies in the image: turn, scale and shift in half steps of the bins, and the query's corner, in one number.
     turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(2 * np.pi))
     scale = F.col("q_scale") / F.col("scale")
     dx = F.col("x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     dy = F.col("y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    wide = lambda v, step: F.array(F.floor(v / step), F.floor(v / step + 0.5) + 1_000_000)
-    match = F.struct("qc", "corner", turn.alias("turn"), F.round(F.log2(scale) / 0.6).alias("s"), dx.alias("dx"), dy.alias("dy"))
-    # At most the product of two images' corners in a list; pairs with too few corners go before they vote, and votes need no further exchange.
-    pairs = both.select("query_id", "image_id", match.alias("m")).groupBy("query_id", "image_id").agg(F.collect_set("m").alias("ms"))
-    pairs = pairs.where(F.size(F.array_distinct(F.transform("ms", lambda m: m["qc"]))) >= AGREE)
-    votes = pairs.select("query_id", "image_id", F.explode("ms").alias("m")).select("query_id", "image_id", "m.qc", "m.s", "m.dx", "m.dy", F.explode(F.array(*[F.pmod(F.floor(F.col("m.turn") / (np.pi / 6) + h), F.lit(12)) + 100 * k for k, h in ((0, 0.0), (1, 0.5))])).alias("t"))
-    votes = votes.withColumn("bx", F.explode(wide(F.col("dx"), 16.0))).withColumn("by", F.explode(wide(F.col("dy"), 16.0)))
-    best = votes.groupBy("query_id", "image_id", "t", "s", "bx", "by").agg(F.count_distinct("qc").alias("votes")).groupBy("query_id", "image_id").agg(F.max("votes").alias("votes")).where(F.col("votes") >= AGREE)
-    # A match of a class is one of all its images.
-    best = best.join(named.join(least, "class").select("image_id", F.col("least")).withColumnRenamed("image_id", "member"), best.image_id == F.col("least"))
-    return best.select("query_id", F.col("member").alias("image_id"), "votes")
+    part = lambda v, low, n, at: F.shiftleft(F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v).cast("int") + low)).cast("long"), at)
+    match = F.col("qc").cast("long") + part(turn / (np.pi / 12), 0, 24, 8) + part(F.log2(scale) / 0.6 + 0.5, 8, 16, 13) + part(dx / 8, 32767, 65535, 17) + part(dy / 8, 32767, 65535, 33)
+    pairs = both.select("query_class", "image_class", match.alias("m")).groupBy("query_class", "image_class").agg(F.collect_set("m").alias("ms"))
+    return pairs.where(F.size("ms") >= AGREE).mapInArrow(_votes, "query_class long, image_class long, votes long")
+
+
+def copies(queries: DataFrame, images: DataFrame) -> DataFrame:
+    """Where an image of ``images`` shows a picture of ``queries`` or a part of it (both image_id, width, pixels): rows of three kinds. ``copy``: query_id,
+    image_id, votes, of the least ids of two classes of equal pictures; ``query`` and ``image``: each row's id and the least id of its class (class_id)."""
+    spark = images.sparkSession
+    left = common.written(described(queries), "queries")
+    wanted = spark.sparkContext.broadcast(key_field(left.where("key is not null")))
+    right = common.written(described(images, wanted), "images")
+    member = lambda d: d.where("key is null").select("image_id", "class")
+    least = lambda d: member(d).groupBy("class").agg(F.min("image_id").alias("least"))
+    found = matched(left, right).join(least(left).select(F.col("class").alias("query_class"), F.col("least").alias("query_id")), "query_class").join(least(right).select(F.col("class").alias("image_class"), F.col("least").alias("image_id")), "image_class")
+    none = F.lit(None).cast("long")
+    out = found.select(F.lit("copy").alias("kind"), "query_id", "image_id", "votes", none.alias("class_id"))
+    own = lambda d: member(d).join(least(d), "class")
+    out = out.union(own(left).select(F.lit("query"), "image_id", none, none, "least"))
+    return out.union(own(right).select(F.lit("image"), none, "image_id", none, "least"))
 
 
 SIDE = 64

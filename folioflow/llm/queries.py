@@ -17,9 +17,4 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
 }
 
-ORACLES: dict[str, str] = {
-    "op3_wordpiece_counts": wordpiece.op3_wordpiece_counts,
-    "op5_tool_calls": toolcalls.op5_tool_calls,
-    "op6_image_copies": images.op6_image_copies,
-    "op4_hierarchical_mix": mixing.OP4_SQL,
-}
+ORACLES: dict[str, str] = {"op4_hierarchical_mix": mixing.OP4_SQL}

@@ -286,10 +286,36 @@ def test_tool_calls(spark):
 def test_images(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 0.3, 64).tolist()) for i in range(30)] + [(100, None), (101, [0.0] * 64)]
+    rows += [(200 + i, rows[5][1]) for i in range(6)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = images.copies(images.pictures(vectors.where("vec_id % 5 = 0"), True), images.pictures(vectors, False)).collect()
-    pairs = {(r.query_id, r.image_id) for r in found}
+    pairs = {(r.query_id, r.image_id) for r in found if r.kind == "copy"}
     assert len({(i, i) for i in range(0, 30, 5)} & pairs) >= 5 and len(pairs) <= 8
+    assert {r.image_id: r.class_id for r in found if r.kind == "image"} == {i: 5 if i >= 200 else i for i, v in rows if v}
+    assert {r.query_id: r.class_id for r in found if r.kind == "query"} == {i: 5 if i >= 200 else i for i, v in rows if v and i % 5 == 0}
+    odd = spark.createDataFrame([(1, 4, None), (2, None, b"x"), (3, 7, b"abc"), (None, 2, b"abcd"), (5, 64, bytes(4096))], "image_id long, width int, pixels binary")
+    assert {r.kind for r in images.copies(odd, odd).collect()} == {"query", "image"} and images.copies(odd.limit(0), odd.limit(0)).count() == 0
+
+
+def test_votes_by_definition():
+    rng = np.random.default_rng(4)
+    pair = np.sort(rng.integers(0, 3, 60))
+    corner, t, s, x, y = rng.integers(0, 12, 60), rng.integers(0, 24, 60), rng.integers(7, 9, 60), rng.integers(32760, 32766, 60), rng.integers(32760, 32766, 60)
+    got = images.poll(pair, corner | t << 8 | s << 13 | x << 17 | y << 33, 3)
+    for p in range(3):
+        groups = {}
+        for i in np.flatnonzero(pair == p):
+            for a in (0, 1):
+                for b in (0, 1):
+                    for c in (0, 1):
+                        groups.setdefault((a, (t[i] + a) // 2 % 12, s[i], b, (x[i] + b) // 2, c, (y[i] + c) // 2), set()).add(corner[i])
+        assert got[p] == max(map(len, groups.values()))
+
+
+def test_oracles_are_sql():
+    from folioflow.llm import queries
+
+    assert queries.ORACLES.keys() <= queries.QUERIES.keys() and all(isinstance(v, str) for v in queries.ORACLES.values())
 
 
 def test_shared_folder_is_the_sessions(spark):
