@@ -12,6 +12,7 @@ of one class; null ids are members, and name no class that has another id; an em
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -25,8 +26,9 @@ SCALES, CORNERS, RADIUS, BITS = (1.0, 0.75, 0.55), 32, 7, 128
 #: Tables and the bits that each takes; the largest Hamming distance of a match; corners that must agree.
 TABLES, TABLE_BITS, NEAR, AGREE = 6, 20, 28, 5
 _rng = np.random.default_rng(7)
-_TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 4)), -RADIUS, RADIUS)
-_CHOICES = np.stack([_rng.permutation(BITS)[:TABLE_BITS] for _ in range(TABLES)])
+#: Pairs of points of which the tests are chosen, and the tables' bits (no bit in two tables).
+_CANDIDATES = np.clip(_rng.normal(0, RADIUS / 2.2, (1000, 4)), -RADIUS, RADIUS)
+_CHOICES = _rng.permutation(BITS)[: TABLES * TABLE_BITS].reshape(TABLES, TABLE_BITS)
 #: Bits of each table in the two words of a string, and the number of keys that all tables have.
 _MASKS = [tuple(int(w) for w in np.packbits(np.isin(np.arange(BITS), c)).view(">i8")) for c in _CHOICES]
 KEYS = 1 << (TABLES - 1).bit_length() + TABLE_BITS
@@ -53,9 +55,8 @@ def resized(a: np.ndarray, scale: float) -> np.ndarray:
     return a[i][:, j] * (1 - u) * (1 - v) + a[i1][:, j] * u * (1 - v) + a[i][:, j1] * (1 - u) * v + a[i1][:, j1] * u * v
 
 
-def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corners (x, y in the image, scale, direction) and their strings as packed bytes."""
-    frames, strings = [], []
+def _corners(image: np.ndarray):
+    """For each scale: the scale, the smoothed picture, its best corners' x and y and the direction of each."""
     base = np.asarray(image, np.float32)
     for scale in SCALES:
         a = _smooth(base if scale == 1 else resized(_smooth(base), scale))
@@ -74,11 +75,45 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         y, x = y[best] + m, x[best] + m
         patch = a[y[:, None, None] + _Y, x[:, None, None] + _X] * _DISC
-        turn = np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2)))
-        c, s = np.cos(turn)[:, None], np.sin(turn)[:, None]
-        px, py, qx, qy = _TESTS.T
-        at = lambda u, v: a[np.clip(np.rint(y[:, None] + s * u + c * v), 0, h - 1).astype(int), np.clip(np.rint(x[:, None] + c * u - s * v), 0, w - 1).astype(int)]
-        strings.append(np.packbits(at(px, py) < at(qx, qy), axis=1))
+        yield scale, a, x, y, np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2)))
+
+
+def _compared(a: np.ndarray, x: np.ndarray, y: np.ndarray, turn: np.ndarray, tests: np.ndarray) -> np.ndarray:
+    """(corner, test): whether the first point, turned with the corner, is darker than the second."""
+    h, w = a.shape
+    c, s = np.cos(turn)[:, None], np.sin(turn)[:, None]
+    px, py, qx, qy = tests.T
+    at = lambda u, v: a[np.clip(np.rint(y[:, None] + s * u + c * v), 0, h - 1).astype(int), np.clip(np.rint(x[:, None] + c * u - s * v), 0, w - 1).astype(int)]
+    return at(px, py) < at(qx, qy)
+
+
+@functools.lru_cache(1)
+def chosen_tests() -> np.ndarray:
+    """The tests: those candidates that come out even most often and agree least with each other, on textures drawn from a fixed seed."""
+    rng = np.random.default_rng(11)
+    bits = []
+    for k in range(40):
+        side = (8, 12, 16, 24)[k % 4]
+        a = resized(rng.normal(0, 1, (side, side)).astype(np.float32), 96 / side) * 40 + resized(rng.normal(0, 1, (4, 4)).astype(np.float32), 24.0) * 50 + 128
+        bits += [_compared(p, x, y, turn, _CANDIDATES) for _, p, x, y, turn in _corners(a)]
+    b = np.concatenate(bits).astype(np.float32)
+    alike = np.abs(np.nan_to_num(np.corrcoef(b.T), nan=1.0))
+    order = np.argsort(np.abs(b.mean(0) - 0.5), kind="stable")
+    for most in np.arange(0.2, 1.05, 0.05):
+        taken: list[int] = []
+        for i in order:
+            if len(taken) < BITS and (not taken or alike[i, taken].max() < most):
+                taken.append(int(i))
+        if len(taken) == BITS:
+            break
+    return _CANDIDATES[taken]
+
+
+def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners (x, y in the image, scale, direction) and their strings as packed bytes."""
+    frames, strings = [], []
+    for scale, a, x, y, turn in _corners(image):
+        strings.append(np.packbits(_compared(a, x, y, turn, chosen_tests()), axis=1))
         frames.append(np.stack([x / scale, y / scale, np.full(len(x), scale), turn], 1))
     if not frames:
         return np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8)
@@ -144,13 +179,27 @@ def key_field(rows: DataFrame) -> np.ndarray:
 
 
 def poll(pair: np.ndarray, match: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` pairs the most corners that agree on a turn, scale and shift. Bins overlap by half, so that agreeing matches share one."""
-    corner, t, s, x, y = match & 255, match >> 8 & 31, match >> 13 & 15, match >> 17 & 65535, match >> 33 & 65535
-    bins = [(((((pair << 5 | i * 12 + (t + i) // 2 % 12) << 4 | s) << 17 | j << 16 | x + j >> 1) << 17) | k << 16 | y + k >> 1) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
-    kinds, of = np.unique(np.concatenate(bins), return_inverse=True)
-    agreed = np.bincount(np.unique(of.astype(np.int64) << 8 | np.tile(corner, 8)) >> 8, minlength=len(kinds))
+    """For each of ``n`` pairs the most corners that agree on a turn, scale and shift, 0 if under ``AGREE``. Bins overlap by half, so that agreeing
+    matches share one. What finds too few others for its turn and scale, or for its shift along one side, goes before the next is looked at."""
     best = np.zeros(n, np.int64)
-    np.maximum.at(best, kinds >> 43, agreed)
+
+    def agreed(of):
+        kinds, of = np.unique(of, return_inverse=True)
+        count = np.bincount(np.unique(of.astype(np.int64) << 8 | match[at] & 255) >> 8, minlength=len(kinds))
+        return count[of]
+
+    for i in (0, 1):
+        for j in (0, 1):
+            for k in (0, 1):
+                at = np.arange(len(match))
+                of = (pair << 5 | ((match >> 8 & 31) + i) // 2 % 12) << 4 | match >> 13 & 15
+                for shift in ((match >> 17 & 65535) + j >> 1, (match >> 33 & 65535) + k >> 1, None):
+                    count = agreed(of)
+                    keep = count >= AGREE
+                    at, of, count = at[keep], of[keep], count[keep]
+                    if shift is not None:
+                        of = of << 17 | shift[at]
+                np.maximum.at(best, pair[at], count)
     return best
 
 

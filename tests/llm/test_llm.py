@@ -298,9 +298,9 @@ def test_images(spark):
 
 
 def test_votes_by_definition():
-    rng = np.random.default_rng(4)
-    pair = np.sort(rng.integers(0, 3, 60))
-    corner, t, s, x, y = rng.integers(0, 12, 60), rng.integers(0, 24, 60), rng.integers(7, 9, 60), rng.integers(32760, 32766, 60), rng.integers(32760, 32766, 60)
+    rng, n = np.random.default_rng(4), 600
+    pair = np.sort(rng.integers(0, 3, n))
+    corner, t, s, x, y = rng.integers(0, 12, n), rng.integers(0, 24, n), rng.integers(7, 9, n), rng.integers(32760, 32766, n), rng.integers(32760, 32766, n)
     got = images.poll(pair, corner | t << 8 | s << 13 | x << 17 | y << 33, 3)
     for p in range(3):
         groups = {}
@@ -309,7 +309,8 @@ def test_votes_by_definition():
                 for b in (0, 1):
                     for c in (0, 1):
                         groups.setdefault((a, (t[i] + a) // 2 % 12, s[i], b, (x[i] + b) // 2, c, (y[i] + c) // 2), set()).add(corner[i])
-        assert got[p] == max(map(len, groups.values()))
+        most = max(map(len, groups.values()))
+        assert got[p] == (most if most >= images.AGREE else 0)
 
 
 def test_oracles_are_sql():
