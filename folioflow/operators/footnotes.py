@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as js
@@ -69,7 +69,78 @@ def id_map(notes: DataFrame, norm) -> DataFrame:
     defs = definitions(notes).where(~F.col("alpha")).select("doc_id", big("id").alias("old_id"), F.struct(F.lit(1).alias("k"), "line_no", F.lit(0).cast("long").alias("ord")).alias("at"), norm(F.col("url")).alias("url"), F.col("line_no").alias("d"))
     ids = refs.unionByName(defs).groupBy("doc_id", "old_id").agg(F.min("at").alias("at"), F.min_by(F.struct("url"), "d").alias("u"))
     key = F.coalesce(F.concat(F.lit("u:"), F.col("u.url")), F.concat(F.lit("i:"), F.col("old_id").cast("string")))
-    from pyspark.sql import Window
-
     ids = ids.withColumn("first", F.min("at").over(Window.partitionBy("doc_id", key)))
     return ids.select("doc_id", F.col("old_id").cast("long").alias("old_id"), F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")).cast("long").alias("new_id"))
+
+
+def _parts(notes: DataFrame) -> DataFrame:
+    """Lines (doc_id, line_no, off, line, sep) with what they are to numeric definitions: ``def`` (the number), ``title`` and ``url`` of the link line that
+    belongs to it, and ``owner``, the line_no of the definition that a line is of."""
+    rows = L.lines(notes).withColumn("next", F.lead("line").over(L.by_doc()))
+    name = F.regexp_extract("line", DEF, 1)
+    number = F.when(F.col("line").rlike(DEF) & name.rlike(r"^[0-9]+\z"), name.cast("decimal(38,0)"))
+    two = F.col("line").rlike(DEF) & F.coalesce(F.col("next").rlike(LINK_LINE), F.lit(False))
+    part = lambda i: F.when(F.col("two"), F.regexp_extract("next", LINK_LINE, i))
+    rows = rows.withColumn("sep", F.when(F.col("next").isNull(), "").otherwise("\n")).withColumn("def", number).withColumn("two", two).withColumn("title", part(1)).withColumn("url", part(2))
+    own = F.when(F.col("def").isNotNull(), F.col("line_no")).when(F.lag(F.col("two") & F.col("def").isNotNull()).over(L.by_doc()), F.col("line_no") - 1)
+    return rows.withColumn("owner", own).drop("next")
+
+
+def _renamed(line: Column, ids: Column) -> Column:
+    """Numeric references of ``line`` named by the map ``ids``. A reference ends a piece that a closing bracket ends and begins at the piece's first mark."""
+    pieces = F.split(line, r"(?<=\])", -1)
+
+    def rename(p: Column, i: Column) -> Column:
+        at = F.locate("[^", p)
+        name = F.substr(p, at + 2, F.length(p) - at - 2)
+        is_ref = (at > 0) & p.endswith("]") & name.rlike(r"^[0-9]+\z") & ~F.coalesce(F.get(pieces, i + 1), F.lit("")).startswith(":")
+        to = F.try_element_at(ids, name.try_cast("decimal(38,0)"))
+        return F.when(is_ref & to.isNotNull(), F.concat(F.substr(p, F.lit(1), at + 1), to.cast("string"), F.lit("]"))).otherwise(p)
+
+    return F.array_join(F.transform(pieces, rename), "")
+
+
+def identity(notes: DataFrame, norm) -> DataFrame:
+    """Numeric footnotes of notes get the numbers of ``id_map``; of the definitions that share one the first stays."""
+    ids = id_map(notes, norm).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("old_id").cast("decimal(38,0)"), "new_id"))).alias("ids"))
+    rows = _parts(notes).join(ids, "doc_id", "left").withColumn("new", F.try_element_at("ids", "def"))
+    first = F.min(F.when(F.col("new").isNotNull(), F.col("line_no"))).over(Window.partitionBy("doc_id", "new"))
+    rows = rows.withColumn("dropped", F.col("new").isNotNull() & (first != F.col("line_no")))
+    gone = F.col("dropped") | ((F.col("owner") < F.col("line_no")) & F.lag("dropped").over(L.by_doc()))
+    rows = rows.withColumn("gone", F.coalesce(gone, F.lit(False))).where("not gone")
+    line = F.when(F.col("new").isNotNull(), F.concat(F.lit("[^"), F.col("new").cast("string"), F.substr(F.col("line"), F.locate("]:", F.col("line")), F.length("line"))))
+    line = line.when(F.col("line").rlike(DEF_LINE) | F.col("ids").isNull(), F.col("line")).otherwise(_renamed(F.col("line"), F.col("ids")))
+    left = L.rebuilt(rows.withColumn("line", line), "line", "sep")
+    # A note of which every line went is an empty note.
+    return notes.select("doc_id").join(left, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def move(notes: DataFrame, name: str = "Resources", heading: str | None = None) -> DataFrame:
+    """Numeric definitions outside the section ``name`` go to its end, or into a new one at the note's end; others stay."""
+    rows = _parts(notes).join(resources_section(notes, name), "doc_id", "left")
+    starts = F.max(F.when(F.col("owner") == F.col("line_no"), F.col("off"))).over(Window.partitionBy("doc_id", "owner"))
+    outside = F.col("owner").isNotNull() & (F.col("start_off").isNull() | (starts < F.col("start_off")) | (starts >= F.col("end_off")))
+    rows = rows.withColumn("moves", outside)
+    text = F.concat(F.lit("[^"), F.regexp_extract("line", DEF, 1), F.lit("]: "), F.regexp_extract("line", DEF, 2), F.when(F.col("two"), F.concat(F.lit("\n["), "title", F.lit("]("), "url", F.lit(")"))).otherwise(""))
+    size = F.max(F.col("line_no")) + 1
+    each = F.transform(F.array_sort(F.collect_list(F.when(F.col("moves") & F.col("def").isNotNull(), F.struct("line_no", text.alias("t"))))), lambda x: x["t"])
+    # Where the section ends: before the line at its end, or behind the last.
+    at = F.coalesce(F.min(F.when((F.col("off") == F.col("end_off")) & F.col("line").rlike(js.HEADING), F.col("line_no"))), size)
+    moved = rows.groupBy("doc_id").agg(each.alias("defs"), at.alias("at"), F.max("start_off").alias("start")).where(F.size("defs") > 0)
+    apart = F.when(F.exists("defs", lambda d: d.contains("\n")), "\n\n").otherwise("\n")
+    body = F.array_join(F.transform(F.slice("defs", F.lit(2), F.size("defs")), lambda d: F.concat(apart, d)), "")
+    body = F.concat(F.get("defs", F.lit(0)), body)
+    new = F.concat(F.lit(f"\n{heading or '## ' + name}\n\n"), body)
+    put = moved.select("doc_id", (F.col("at") * 2).alias("key"), F.when(F.col("start").isNull(), new).otherwise(F.concat(F.lit("\n"), body, F.lit("\n"))).alias("piece"))
+    kept = rows.where("not moves").select("doc_id", (F.col("line_no") * 2 + 1).alias("key"), F.concat("line", "sep").alias("piece"))
+    return L.rebuilt(kept.unionByName(put), "piece", key="key")
+
+
+def tidy(notes: DataFrame, norm, name: str = "Resources", citations_first: bool = True, number: bool = True, to_section: bool = True) -> DataFrame:
+    """Bare citations become references, footnotes are numbered, definitions go to their section; each step can be left out."""
+    out = notes.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if citations_first:
+        out = out.select("doc_id", from_citations(F.col("text")).alias("text"))
+    if number:
+        out = identity(out, norm)
+    return move(out, name) if to_section else out

@@ -6,11 +6,12 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 
-from ..operators import cleanup
+from ..operators import cleanup, footnotes, tables, urls
 
 
 @dataclass(frozen=True)
 class Recipe:
+    box_table: bool = True
     dehyphenate: bool = True
     dewrap: bool = True
     tidy_whitespace: bool = True
@@ -24,5 +25,10 @@ def apply_cleanup(notes: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     """Notes after the steps that ``recipe`` turns on, in its order; each step sees the text the one before it left."""
     for f in fields(recipe):
         if getattr(recipe, f.name):
-            notes = getattr(cleanup, f.name)(notes)
+            notes = (tables if f.name == "box_table" else cleanup).__dict__[f.name](notes)
     return notes.select("doc_id", "text")
+
+
+def format_notes(notes: DataFrame, recipe: Recipe = Recipe(), section: str = "Resources") -> DataFrame:
+    """Whole notes after the clean-up and the tidying of their footnotes."""
+    return footnotes.tidy(apply_cleanup(notes, recipe), urls.normalize_url, section)

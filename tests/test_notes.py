@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import cleanup, edits, footnotes, lines, registry, urls
+from folioflow.operators import cleanup, edits, footnotes, lines, registry, tables, urls
 
 
 def run(spark, op, *texts):
@@ -122,3 +122,21 @@ def test_queries_match_sql(spark):
         at = [[c[0] for c in found.description].index(c) for c in df.columns]
         want = sorted((tuple(r[i] for i in at) for r in found.fetchall()), key=key)
         assert sorted(map(tuple, df.collect()), key=key) == want, name
+
+
+def test_drawn_tables(spark):
+    box = "cap\n┌───┬───┐\n│ a │ b|c │\n├───┼───┤\n│ x │ y │\n│ z │   │\n└───┴───┘\nend"
+    ragged = "+--+--+\n| a | b |\n+--+--+\n| c |\n+--+--+"
+    ascii_ = "    +---+\n    | h |\n    +===+\n    | v |\n    +---+\n"
+    want = ["cap\n\n| a | b\\|c |\n| --- | --- |\n| x z | y |\n\nend", ragged, "| h |\n| --- |\n| v |\n", "```\n" + ascii_ + "```", "| a | b |\n|---|---|", ""]
+    assert run(spark, tables.box_table, box, ragged, ascii_, "```\n" + ascii_ + "```", "| a | b |\n|---|---|", None) == want
+
+
+def test_footnotes_are_numbered_and_moved(spark):
+    number = lambda df: footnotes.identity(df, urls.normalize_url)
+    note = "b[^5] a[^2][^9]: x[^y]\n[^2]: two\n[t](https://ex.com/a)\n[^5]: five\n[^7]: dup\n[u](https://EX.com/a/)\n[^5]: again"
+    assert run(spark, number, note, "[^1] [^1]: x", "no", None, "[^3]: only") == ["b[^1] a[^2][^9]: x[^y]\n[^2]: two\n[t](https://ex.com/a)\n[^1]: five\n", "[^1] [^1]: x", "no", "", "[^1]: only"]
+    notes = ["a\n[^1]: one\nb\n## Resources\n[^2]: in\n# Next\n[^3]: three\n[t](u)\nz", "x\n[^1]: one\n[^q]: alpha", "none", None]
+    assert run(spark, footnotes.move, *notes) == ["a\nb\n## Resources\n[^2]: in\n\n[^1]: one\n\n[^3]: three\n[t](u)\n# Next\nz", "x\n[^q]: alpha\n## Resources\n\n[^1]: one", "none", ""]
+    tidy = lambda df: footnotes.tidy(df, urls.normalize_url)
+    assert run(spark, tidy, "p [4]\n[^4]: four\n") == ["p [^1]\n\n## Resources\n\n[^1]: four"]
