@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as js
+from ..sources import scratch
 from . import lines as L
 from .cleanup import headings
 
@@ -137,10 +138,12 @@ def move(notes: DataFrame, name: str = "Resources", heading: str | None = None)
 
 
 def tidy(notes: DataFrame, norm, name: str = "Resources", citations_first: bool = True, number: bool = True, to_section: bool = True) -> DataFrame:
-    """Bare citations become references, footnotes are numbered, definitions go to their section; each step can be left out."""
+    """Bare citations become references, footnotes are numbered, definitions go to their section; each step can be left out.
+
+    Numbering and moving read their notes several times, so each gets them as a written table instead of a plan that would be run as often."""
     out = notes.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if citations_first:
         out = out.select("doc_id", from_citations(F.col("text")).alias("text"))
     if number:
-        out = identity(out, norm)
-    return move(out, name) if to_section else out
+        out = identity(scratch.written(out), norm)
+    return move(scratch.written(out), name) if to_section else out

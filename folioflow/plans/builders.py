@@ -55,3 +55,7 @@ SCRIPTS = """SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1
  CASE WHEN p_partkey % 13 <> 0 THEN (p_partkey + p_size % 2) % 3 END AS local_version, CASE WHEN p_partkey % 13 <> 0 THEN 'c' || CAST((p_size % 4 + CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END) AS VARCHAR(9)) END AS local_checksum,
  p_size % 2 = 0 AS in_catalog, CASE WHEN p_size % 2 = 0 THEN p_partkey % 4 END AS catalog_version, p_size % 3 <> 0 AS online,
  CAST(p_size % 3 AS VARCHAR(9)) || CASE WHEN p_size % 19 = 0 THEN '' ELSE '.' END || CAST(p_partkey % 5 AS VARCHAR(9)) AS available, CAST(p_partkey % 3 AS VARCHAR(9)) || '.' || CAST(p_size % 4 AS VARCHAR(9)) AS required, p_name AS name FROM part"""
+
+#: Captioned frames of two logical rows, the second of two lines; every fifth is ragged, every third has text behind it.
+FRAMES = f"""SELECT c_custkey AS doc_id, {_s('cap', chr(10), '┌──┬──┐', chr(10), '│ ')} || c_name || ' │ ' || c_mktsegment || {_s(' │', chr(10), '├──┼──┤', chr(10), '│ k')} || CAST(c_nationkey AS VARCHAR(9)) || ' │ x|y │' || CASE WHEN c_custkey % 5 = 0 THEN ' z │' ELSE '' END
+ || {_s(chr(10), '│  │ m')} || CAST(c_custkey % 7 AS VARCHAR(9)) || {_s(' │', chr(10), '└──┴──┘')} || CASE WHEN c_custkey % 3 = 0 THEN {_s(chr(10), 'end', chr(10))} ELSE '' END AS text FROM customer"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleanup, edits, footnotes, lines, registry, surfaces, urls
+from ..operators import cleanup, edits, footnotes, lines, registry, surfaces, tables, urls
 from . import builders, format
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,16 +213,58 @@ def _norm_sql(url: str) -> str:
     return f"CASE {url} WHEN 'https://ex.com/a/?b=1&a=2' THEN 'A' WHEN 'HTTPS://EX.com:443/a?a=2&b=1#f' THEN 'A' ELSE {url} END"
 
 
-@_query("fn2_id_map", _FN, f"""WITH {_DEFS}, {_REFS},
+_IDS = f"""{_DEFS}, {_REFS},
  a AS (SELECT doc_id, id::HUGEINT AS id, 0 AS k, i, j FROM rf WHERE regexp_matches(id, '^[0-9]+$') UNION ALL SELECT doc_id, id::HUGEINT, 1, line_no, 0 FROM df WHERE regexp_matches(id, '^[0-9]+$')),
  o AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY min((k, i, j))) AS o FROM a GROUP BY doc_id, id),
  fd AS (SELECT doc_id, id::HUGEINT AS id, CASE WHEN two THEN regexp_extract(nl, '^\\[([^\\]]*)\\]\\(([^)]+)\\)$', 2) END AS url FROM df WHERE regexp_matches(id, '^[0-9]+$') QUALIFY row_number() OVER (PARTITION BY doc_id, id::HUGEINT ORDER BY line_no) = 1),
- g AS (SELECT o.*, min(o) OVER (PARTITION BY o.doc_id, CASE WHEN url IS NULL THEN 'i' || o.id ELSE 'u' || {_norm_sql('url')} END) AS m FROM o LEFT JOIN fd ON fd.doc_id = o.doc_id AND fd.id = o.id)
- SELECT doc_id, id::BIGINT AS old_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY m) AS new_id FROM g""")
+ g AS (SELECT o.*, min(o) OVER (PARTITION BY o.doc_id, CASE WHEN url IS NULL THEN 'i' || o.id ELSE 'u' || {_norm_sql('url')} END) AS m FROM o LEFT JOIN fd ON fd.doc_id = o.doc_id AND fd.id = o.id),
+ im AS (SELECT doc_id, id, dense_rank() OVER (PARTITION BY doc_id ORDER BY m) AS nid FROM g)"""
+
+
+@_query("fn2_id_map", _FN, f"WITH {_IDS} SELECT doc_id, id::BIGINT AS old_id, nid AS new_id FROM im")
 def _id_map(notes):
     return footnotes.id_map(notes, urls.normalize_url)
 
 
+@_query("fn2_identity", _FN, f"""WITH {_IDS},
+ tj AS (SELECT *, lead(t) OVER (PARTITION BY doc_id, i ORDER BY j) AS nt, regexp_matches(t, '^\\[\\^[0-9]+\\]$') AS num FROM tr),
+ rn AS (SELECT tj.doc_id, tj.i, string_agg(CASE WHEN nid IS NOT NULL AND coalesce(nt, '') NOT LIKE ':%' THEN '[^' || nid || ']' ELSE t END, '' ORDER BY j) AS line FROM tj LEFT JOIN im ON im.doc_id = tj.doc_id AND im.id = CASE WHEN num THEN t[3:-2]::HUGEINT END GROUP BY tj.doc_id, tj.i),
+ dn AS (SELECT nd.*, nid, row_number() OVER (PARTITION BY nd.doc_id, nid ORDER BY line_no) AS q FROM (SELECT doc_id, line_no, two, id::HUGEINT AS id FROM df WHERE NOT regexp_matches(id, '[^0-9]')) nd JOIN im ON im.doc_id = nd.doc_id AND im.id = nd.id)
+ SELECT l.doc_id, coalesce(string_agg(CASE WHEN dn.q = 1 THEN '[^' || dn.nid || substr(l.line, instr(l.line, ']:')) ELSE coalesce(rn.line, l.line) END || CASE WHEN l.i < l.n - 1 THEN chr(10) ELSE '' END, '' ORDER BY l.i) FILTER (coalesce(dn.q, 1) = 1 AND NOT (coalesce(pd.q, 1) > 1 AND coalesce(pd.two, false))), '') AS text
+ FROM l LEFT JOIN dn ON dn.doc_id = l.doc_id AND dn.line_no = l.i LEFT JOIN dn pd ON pd.doc_id = l.doc_id AND pd.line_no = l.i - 1 LEFT JOIN rn ON rn.doc_id = l.doc_id AND rn.i = l.i GROUP BY l.doc_id""")
+def _identity(notes):
+    return footnotes.identity(notes, urls.normalize_url)
+
+
+@_query("fn3_move", _FN, f"""WITH {_DEFS}, o AS (SELECT *, coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM l),
+ h AS (SELECT doc_id, i, len(regexp_extract(line, '^#+')) AS level, trim(substr(line, len(regexp_extract(line, '^#+')) + 1)) AS title FROM l WHERE regexp_matches(line, '^#{{1,6}}{_W}')),
+ f AS (SELECT * FROM h WHERE title = 'Resources' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1),
+ sc AS (SELECT f.doc_id, f.i AS a, (SELECT min(i) FROM h WHERE h.doc_id = f.doc_id AND h.i > f.i AND h.level <= f.level) AS z FROM f),
+ mv AS (SELECT df.*, sc.a, sc.z FROM df LEFT JOIN sc ON sc.doc_id = df.doc_id WHERE NOT regexp_matches(id, '[^0-9]') AND (sc.a IS NULL OR line_no < sc.a OR line_no >= sc.z)),
+ ct AS (SELECT doc_id, any_value(a) AS a, any_value(z) AS z, CASE WHEN bool_or(two) THEN string_agg('[^' || id || ']: ' || snippet || CASE WHEN two THEN chr(10) || nl ELSE '' END, chr(10) || chr(10) ORDER BY line_no) ELSE string_agg('[^' || id || ']: ' || snippet || CASE WHEN two THEN chr(10) || nl ELSE '' END, chr(10) ORDER BY line_no) END AS body FROM mv GROUP BY doc_id),
+ ps AS (SELECT l.doc_id, l.i * 2 + 1 AS k, line || CASE WHEN l.i < l.n - 1 THEN chr(10) ELSE '' END AS piece FROM l LEFT JOIN mv ON mv.doc_id = l.doc_id AND (mv.line_no = l.i OR (mv.line_no = l.i - 1 AND mv.two)) WHERE mv.doc_id IS NULL
+  UNION ALL SELECT doc_id, CASE WHEN a IS NULL OR z IS NULL THEN 1000000000 ELSE z * 2 END, CASE WHEN a IS NULL THEN chr(10) || '## Resources' || chr(10) || chr(10) || body ELSE chr(10) || body || chr(10) END FROM ct)
+ SELECT doc_id, string_agg(piece, '' ORDER BY k) AS text FROM ps GROUP BY doc_id""")
+def _move(notes):
+    return footnotes.move(notes)
+
+
+@_query("fn4_tidy", _FN)
+def _tidy_notes(notes):
+    return footnotes.tidy(notes, urls.normalize_url)
+
+
+@_query("pi3_format_notes", _FN)
+def _format_notes(notes):
+    return format.format_notes(notes)
+
+
+@_query("cl6_box_table", builders.FRAMES, f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE 'cap' || chr(10) || chr(10) || '| ' || split_part(split_part(text, chr(10), 3), ' ', 2) || ' | ' || split_part(split_part(text, '│', 3), ' ', 2) || ' |' || chr(10) || '| --- | --- |' || chr(10)
+ || '| ' || regexp_extract(text, '│ (k[0-9]+) │', 1) || ' | x\\|y ' || regexp_extract(text, '│  │ (m[0-9]) │', 1) || ' |' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'end' || chr(10) ELSE '' END END AS text FROM ({builders.FRAMES})""")
+def _box_table(notes):
+    return tables.box_table(notes)
+
+
 @_query("io6_diff_apply", _N, f"""WITH m AS (SELECT doc_id, text AS a, replace(text, chr(10), ' ') AS b FROM ({_N})),
  q AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS p FROM m),
  s AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) - p + 1), lambda i: a[len(a) + 1 - i] <> b[len(b) + 1 - i])) - 1, least(len(a), len(b)) - p) AS z FROM q)

@@ -140,3 +140,15 @@ def test_footnotes_are_numbered_and_moved(spark):
     assert run(spark, footnotes.move, *notes) == ["a\nb\n## Resources\n[^2]: in\n\n[^1]: one\n\n[^3]: three\n[t](u)\n# Next\nz", "x\n[^q]: alpha\n## Resources\n\n[^1]: one", "none", ""]
     tidy = lambda df: footnotes.tidy(df, urls.normalize_url)
     assert run(spark, tidy, "p [4]\n[^4]: four\n") == ["p [^1]\n\n## Resources\n\n[^1]: four"]
+
+
+def test_notes_from_files(spark, tmp_path):
+    from folioflow.sources import notes
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.md").write_text("one\ntwo\n")
+    (tmp_path / "y.txt").write_text("no")
+    assert [(r.doc_id[-6:], r.text) for r in notes.folder(spark, str(tmp_path)).collect()] == [("a/x.md", "one\ntwo\n")]
+    df = spark.createDataFrame([(1, "hello", 4, 1), (2, "hello", None, 1)], "doc_id long, text string, anchor int, head int")
+    assert [(r.sel_from, r.sel_to, r.cursor, r.input) for r in notes.selection(df).orderBy("doc_id").collect()][0] == (1, 4, 1, "ell")
+    assert notes.selection(df).where("doc_id = 2").first().input is None
