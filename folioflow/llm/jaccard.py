@@ -6,8 +6,10 @@ of two sets is at most the sum of the coordinate minima of their points, and tha
 minima with the node's upper corner: what can't reach the threshold is cut off. Pairs that remain are verified on the exact sets.
 
 Documents meet in buckets: two sets of a similarity of ``T`` or more share a hash among the first n - ceil(T n) + 1 of each, in any common order. The order
-puts hashes that are frequent in a bounded sample last, so that common passages make no buckets; the sample affects cost only. Equal sets are one
-class from the start; buckets with the same classes are one bucket. Each bucket is joined through an R-tree over its points, twice: first every class
+puts hashes that are frequent in a bounded sample last, so that common passages make no buckets; the sample affects cost only. A bucket is split by
+size: sets whose sizes differ by more than ``T`` can't be similar, so each lies in a band of sizes and meets its own and the next. The first hash that two
+similar sets share lies in an even shorter prefix of the smaller one, so buckets of which no set has the hash there go. Equal sets are one class from
+the start; buckets with the same classes are one bucket. Each bucket is joined through an R-tree over its points, twice: first every class
 is paired with its best candidate in two of its buckets, which links groups of copies with as many pairs as members; then, for buckets that
 still hold several components, all pairs of classes of different components that the bounds admit. Nodes whose classes all are in one component are
 skipped against it. So no pair that could join two components is lost, and no group of copies is expanded to all its pairs. Buckets over
@@ -21,6 +23,7 @@ rows; other columns are not read. Hashes of 64 bits stand for shingles and class
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +80,10 @@ def class_of(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of ``s`` per group, of at least as many groups as hashes, a power of two: what two sets don't share then seldom falls together."""
+    """Counts of ``s`` per group, a power of two of groups: as many as hashes at least, so that what two sets don't share seldom falls together, and of long
+    sets a quarter as many, as the sums of their minima hardly vary."""
     d = 16
-    while d < len(s):
+    while d < (len(s) if len(s) <= 1024 else max(1024, len(s) // 4)):
         d *= 2
     while (c := np.bincount((s & np.uint64(d - 1)).astype(np.int64), minlength=d)).max(initial=0) > 255:
         d *= 2
@@ -98,6 +102,16 @@ def unpacked(b: bytes) -> bytes:
     return _unpack.decompress(b)
 
 
+def band(n: int) -> int:
+    """Sets of a similarity of ``T`` or more are of one band or of neighbouring ones."""
+    return int(math.log(max(n, 1)) / (math.log(T[1] / T[0]) + 1e-9))
+
+
+def n_early(n: int) -> int:
+    """How many hashes of a set of ``n`` can be the first one shared with a similar set that is no smaller: the overlap is at least 2 T n / (1 + T)."""
+    return n - -(-2 * T[0] * n // (T[0] + T[1])) + 1 if n else 0
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The first n - ceil(T n) + 1 of ``s``: rare hashes before those in ``frequent`` (sorted), else by value."""
     n = len(s)
@@ -209,7 +223,8 @@ def _frequent(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
-    """Rows of documents (doc_id, n, class, point, hot keys) and rows of keys (part, keys and classes packed)."""
+    """Rows of documents (doc_id, n, class, point, hot keys) and rows of keys (part; keys, classes and marks packed). The mark of a key is twice the
+    set's band, and one more if the key is early in the set."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
     names = ["doc_id", "n", "class", "point", "hot", "part", "packed"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
@@ -221,7 +236,7 @@ def _scan(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, parts: int) ->
         frequent, hot = shared.value
         seen: set[int] = set()
         for b in batches:
-            rows, keys, classes = [], [], []
+            rows, keys, classes, marks = [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(text)
                 if not len(s):
@@ -236,37 +251,53 @@ def _scan(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, parts: int) ->
                 k = prefix(s, frequent)
                 known = np.isin(k, hot)
                 rows.append((doc_id, len(s), c, packed(point(s)), k[known].view(np.int64).tolist(), None, None))
-                k = k[~known]
-                keys.append(k)
-                classes.append(np.full(len(k), c, np.int64))
+                keys.append(k[~known])
+                classes.append(np.full(len(keys[-1]), c, np.int64))
+                marks.append((2 * band(len(s)) + (np.arange(len(k)) < n_early(len(s)))).astype(np.uint8)[~known])
             yield batch(rows)
             if keys:
-                k, c = np.concatenate(keys), np.concatenate(classes)
+                k, c, m = np.concatenate(keys), np.concatenate(classes), np.concatenate(marks)
                 part = ((k >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
-                yield batch([(None, None, None, None, None, p, k[o].tobytes() + c[o].tobytes()) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])])
+                yield batch([(None, None, None, None, None, p, k[o].tobytes() + c[o].tobytes() + m[o].tobytes()) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, class long, point binary, hot array<long>, part int, packed binary")
 
 
 def _shared_keys(batches):
-    """Of packed keys, one part after the other: (bucket, class) of the keys of several classes; the bucket is named by its classes."""
+    """Of packed keys, one part after the other: (bucket, class) of the keys and bands of several classes; the bucket is named by its classes."""
 
-    def close(blobs):
-        a = [np.frombuffer(x, np.int64).reshape(2, -1) for x in blobs]
-        k, c = np.concatenate([x[0] for x in a]), np.concatenate([x[1] for x in a])
-        order = np.lexsort((c, k))
-        k, c = k[order], c[order]
-        new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
-        k, c = k[new], c[new]
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    def groups(k, *more):
+        """Starts of the runs of equal rows of sorted columns, and each row's run size."""
+        new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (k, *more)])) if len(k) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(k)))
+        return starts, np.repeat(sizes, sizes)
+
+    def close(blobs):
+        n = [len(x) // 17 for x in blobs]
+        k = np.concatenate([np.frombuffer(x, np.int64, i) for x, i in zip(blobs, n)])
+        c = np.concatenate([np.frombuffer(x, np.int64, i, 8 * i) for x, i in zip(blobs, n)])
+        m = np.concatenate([np.frombuffer(x, np.uint8, i, 16 * i) for x, i in zip(blobs, n)])
+        order = np.argsort(k, kind="stable")
+        order = order[groups(k[order])[1] > 1]  # most keys are one class's
+        k, c, m = (np.concatenate([x[order], x[order]]) for x in (k, c, m))
+        cell = m // 2
+        cell[len(order) :] += 1
+        order = np.lexsort((c, cell, k))
+        k, c, m, cell = k[order], c[order], m[order], cell[order]
+        once = groups(k, cell, c)[0]  # a class that several tasks sent
+        k, c, m, cell = k[once], c[once], m[once], cell[once]
+        starts, sizes = groups(k, cell)
+        if not len(starts):
+            return pa.record_batch([pa.array([], pa.int64())] * 2, names=["bucket", "class"])
+        runs = np.diff(np.append(starts, len(k)))
         mixed = c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(31)
-        name = np.add.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), starts) if len(starts) else mixed
-        keep = np.repeat(sizes > 1, sizes)
-        both = np.unique(np.stack([np.repeat(name.view(np.int64), sizes)[keep], c[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
+        name = np.repeat(np.add.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), starts).view(np.int64), runs)
+        keep = (sizes > 1) & np.repeat(np.maximum.reduceat(m & 1, starts) > 0, runs)
+        both = np.unique(np.stack([name[keep], c[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
         return pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["bucket", "class"])
 
     now, blobs = None, []
@@ -304,15 +335,16 @@ def _joiner(everything: bool):
     return run
 
 
-def _in_cells(members: DataFrame, everything: bool) -> DataFrame:
-    """``members`` (bucket, size, class, component, n, point) dealt to cells of at most two chunks of their bucket, joined by R-trees: (a, b)."""
+def _in_cells(members: DataFrame, points: DataFrame, everything: bool) -> DataFrame:
+    """``members`` (bucket, size, class, component, n), with their ``points`` (class, point), dealt to cells of at most two chunks of their bucket, joined by R-trees: (a, b)."""
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("class"), chunks)
     if everything:  # each pair of chunks meets in one cell
         cell = F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(own, j.cast("long")), F.greatest(own, j.cast("long")))))
     else:
         cell = F.struct(own, own)
-    dealt = members.withColumn("cell", cell).select(F.xxhash64("bucket", "cell").alias("key"), "class", "point", "n", "component")
+    dealt = members.withColumn("cell", cell).select(F.xxhash64("bucket", "cell").alias("key"), "class", "n", "component")
+    dealt = dealt.join(points.select("class", "point"), "class").select("key", "class", "point", "n", "component")
     dealt = dealt.repartition(common.n_shuffle(members.sparkSession), "key").sortWithinPartitions("key", "class")
     return dealt.mapInArrow(_joiner(everything), "a long, b long").distinct()
 
@@ -386,22 +418,24 @@ def join(docs: DataFrame) -> DataFrame:
     rows = scan.where("part is null").select("doc_id", "n", "class", "point", "hot")
     keys = scan.where("part is not null").select("part", "packed").repartition(parts, "part").sortWithinPartitions("part")
     shared = keys.mapInArrow(_shared_keys, "bucket long, class long")
-    shared = shared.unionByName(rows.select(F.explode("hot").alias("bucket"), "class")).distinct()
+    own = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(math.log(T[1] / T[0]) + 1e-9))
+    often = rows.select(F.explode("hot").alias("key"), F.explode(F.array(own, own + 1)).alias("cell"), "class")
+    shared = shared.unionByName(often.select(F.xxhash64("key", "cell").alias("bucket"), "class")).distinct()
     points = rows.where("class is not null").groupBy("class").agg(F.first("point", True).alias("point"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = common.written(shared.join(sizes, "bucket").join(points, "class"), "members")
-    holders = members.select("class", "doc_id").distinct()
+    members = common.written(shared.join(sizes, "bucket").join(points.drop("point", "doc_id"), "class"), "members")
+    holders = points.select("class", "doc_id")
     # First pass: a class looks for a neighbour in two of its buckets, the largest and one by its name.
     both = F.array(F.max(F.struct("size", "bucket"))["bucket"], F.min("bucket"))
     two = members.groupBy("class").agg(both.alias("b")).select("class", F.explode(F.array_distinct("b")).alias("bucket"))
     first = members.join(two, ["class", "bucket"], "left_semi").withColumn("component", F.col("class"))
-    tested = common.written(_in_cells(first, False), "pairs")
+    tested = common.written(_in_cells(first, points, False), "pairs")
     links = common.written(_verified(docs, tested, holders), "links")
     labels = components(links)
     # What is left: buckets that hold several components.
     rest = members.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    more = common.written(_in_cells(rest.join(open_, "bucket", "left_semi"), True).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = common.written(_in_cells(rest.join(open_, "bucket", "left_semi"), points, True).join(tested, ["a", "b"], "left_anti"), "pairs")
     found = common.written(_verified(docs, more, holders), "links")
     if found.limit(1).count():
         labels = components(links.unionByName(found))

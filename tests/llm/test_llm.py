@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,32 @@ def test_jaccard_components(spark, monkeypatch, leaf, chunk):
     assert jaccard.keep_one(df).columns == df.columns and jaccard.join(df.limit(0)).count() == 0
 
 
+def test_buckets_hold_every_similar_pair():
+    rng = np.random.default_rng(3)
+    sets = {}
+    for _ in range(40):
+        base = rng.integers(0, 2**63, int(rng.integers(1, 400))).astype(np.uint64)
+        for _ in range(6):
+            kept = base[rng.random(len(base)) < rng.choice([1, 0.97, 0.93, 0.88, 0.8])]
+            s = np.unique(np.concatenate([kept, rng.integers(0, 2**63, int(len(kept) * rng.choice([0, 0.02, 0.08, 0.15]))).astype(np.uint64)]))
+            if len(s):
+                sets[jaccard.class_of(s)] = s
+    blobs = [[], []]
+    for i, (c, s) in enumerate(sets.items()):
+        k = jaccard.prefix(s, np.zeros(0, np.uint64))
+        blobs[i % 2].append((k.view(np.int64), np.full(len(k), c, np.int64), (2 * jaccard.band(len(s)) + (np.arange(len(k)) < jaccard.n_early(len(s)))).astype(np.uint8)))
+    rows = [(0, b"".join(np.concatenate(x).tobytes() for x in zip(*b))) for b in blobs]
+    buckets = {}
+    for out in jaccard._shared_keys([pa.record_batch([pa.array(x) for x in zip(*rows)], names=["part", "packed"])]):
+        for bucket, c in zip(*(x.to_pylist() for x in out.columns)):
+            buckets.setdefault(bucket, set()).add(c)
+    met = {(a, b) for g in buckets.values() for a in g for b in g}
+    for a, s in sets.items():
+        for b, t in sets.items():
+            both = len(np.intersect1d(s, t))
+            assert a == b or (a, b) in met or 100 * both < 75 * (len(s) + len(t) - both)
+
+
 def test_mixing(spark, corpus):
     df = docs(spark, corpus * 3)
     out = mixing.mix(df, F.lit(None).cast("string"), "m").select("lang", "source", "m.*").collect()
