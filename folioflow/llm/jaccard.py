@@ -41,12 +41,13 @@ T = (75, 100)
 ORDER_SAMPLE, FREQUENT, HOT, MOST_FREQUENT = 3000, 3, 12, 200_000
 LEAF, CHUNK = 16, 4096
 BLOOM_BITS = 26
-_MEMO = 400_000
+#: Words and classes that a task remembers, texts and keys that it works on at once.
+_WORDS, _MEMO, _ROWS, _KEYS = 150_000, 400_000, 1000, 500_000
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
+        if len(self) >= _WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -80,10 +81,10 @@ def class_of(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of ``s`` per group, a power of two of groups: as many as hashes at least, so that what two sets don't share seldom falls together, and of long
-    sets a quarter as many, as the sums of their minima hardly vary."""
+    """Counts of ``s`` per group, a power of two of groups: four times as many as hashes at least, so that what two sets don't share seldom falls together,
+    but 2,048 and a quarter of the hashes are enough for long sets, as the sums of their minima hardly vary."""
     d = 16
-    while d < (len(s) if len(s) <= 1024 else max(1024, len(s) // 4)):
+    while d < max(min(4 * len(s), 2048), len(s) // 4):
         d *= 2
     while (c := np.bincount((s & np.uint64(d - 1)).astype(np.int64), minlength=d)).max(initial=0) > 255:
         d *= 2
@@ -102,6 +103,11 @@ def unpacked(b: bytes) -> bytes:
     return _unpack.decompress(b)
 
 
+def _slices(batches):
+    for b in batches:
+        yield from (b.slice(i, _ROWS) for i in range(0, b.num_rows, _ROWS))
+
+
 def band(n: int) -> int:
     """Sets of a similarity of ``T`` or more are of one band or of neighbouring ones."""
     return int(math.log(max(n, 1)) / (math.log(T[1] / T[0]) + 1e-9))
@@ -123,12 +129,20 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[:size]
 
 
+def coded(points: np.ndarray) -> np.ndarray:
+    """Rows of bits: whether each count is 1 or more, 2 or more, and so on. The minimum of two counts is the number of ones that both have, so that a sum of
+    minima is a count of bits, and an upper corner is the bits that any row has."""
+    levels = [np.packbits(points >= t, axis=1) for t in range(1, int(points.max(initial=1)) + 1)]
+    bits = np.concatenate(levels, axis=1)
+    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
+
+
 class RTree:
-    """Over points of one resolution, bulk-loaded in the order of their sizes and coordinates."""
+    """Over points of one resolution, bulk-loaded in the order of their sizes and coordinates. Points and corners are kept as rows of bits."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray):
         self.order = np.lexsort((*points[:, :8].T, sizes))
-        self.points, self.sizes, self.component = points[self.order], sizes[self.order], component[self.order]
+        self.points, self.sizes, self.component = coded(points[self.order]), sizes[self.order], component[self.order]
         # Levels from the leaves up: (first row, end row, upper corner, least and largest size, component or mixed)
         bounds = np.append(np.arange(0, len(points), LEAF), len(points))
         self.levels = []
@@ -136,14 +150,14 @@ class RTree:
             a, b = bounds[:-1], bounds[1:]
             first = np.array([self.component[i] for i in a])
             same = np.array([bool((self.component[i:j] == c).all()) for i, j, c in zip(a, b, first)])
-            self.levels.append((a, b, np.maximum.reduceat(self.points, a, axis=0), np.minimum.reduceat(self.sizes, a), np.maximum.reduceat(self.sizes, a), first, same))
+            self.levels.append((a, b, np.bitwise_or.reduceat(self.points, a, axis=0), np.minimum.reduceat(self.sizes, a), np.maximum.reduceat(self.sizes, a), first, same))
             if len(a) == 1:
                 break
             bounds = np.append(bounds[:-1][::LEAF], len(points))
 
     def _reach(self, u, v, least):
         """Whether sets of at least ``least`` shingles in all can overlap enough, and the bound on their overlap."""
-        bound = np.minimum(u, v).sum(-1, dtype=np.int64)
+        bound = np.bitwise_count(u & v).sum(-1, dtype=np.int64)
         return bound * (T[0] + T[1]) >= T[0] * least, bound
 
     def neighbours(self) -> list[tuple[int, int]]:
@@ -235,8 +249,19 @@ def _scan(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, parts: int) ->
     def run(batches):
         frequent, hot = shared.value
         seen: set[int] = set()
-        for b in batches:
-            rows, keys, classes, marks = [], [], [], []
+        keys, classes, marks = [], [], []
+
+        def sent():
+            k, c, m = np.concatenate(keys), np.concatenate(classes), np.concatenate(marks)
+            for x in (keys, classes, marks):
+                x.clear()
+            part = ((k >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            return batch([(None, None, None, None, None, p, k[o].tobytes() + c[o].tobytes() + m[o].tobytes()) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])])
+
+        for b in _slices(batches):
+            rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(text)
                 if not len(s):
@@ -255,12 +280,10 @@ def _scan(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, parts: int) ->
                 classes.append(np.full(len(keys[-1]), c, np.int64))
                 marks.append((2 * band(len(s)) + (np.arange(len(k)) < n_early(len(s)))).astype(np.uint8)[~known])
             yield batch(rows)
-            if keys:
-                k, c, m = np.concatenate(keys), np.concatenate(classes), np.concatenate(marks)
-                part = ((k >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
-                yield batch([(None, None, None, None, None, p, k[o].tobytes() + c[o].tobytes() + m[o].tobytes()) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])])
+            if sum(map(len, keys)) >= _KEYS:
+                yield sent()
+        if keys:
+            yield sent()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, class long, point binary, hot array<long>, part int, packed binary")
 
@@ -374,7 +397,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame) -> DataFram
 
     def sets(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             at = _slots(b.column(0).fill_null(0).to_numpy())
             maybe = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) | b.column(0).is_null().to_numpy(zero_copy_only=False)
             out = []
