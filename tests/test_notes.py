@@ -152,3 +152,56 @@ def test_notes_from_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "hello", 4, 1), (2, "hello", None, 1)], "doc_id long, text string, anchor int, head int")
     assert [(r.sel_from, r.sel_to, r.cursor, r.input) for r in notes.selection(df).orderBy("doc_id").collect()][0] == (1, 4, 1, "ell")
     assert notes.selection(df).where("doc_id = 2").first().input is None
+
+
+def test_reflow(spark):
+    from folioflow.operators.reflow import reflow
+
+    wide = "This line is as wide as the others are in this note,"
+    cases = {
+        f"{wide}\nand it goes on here until its end comes at last.\nA new paragraph begins behind the end of a sentence.": f"{wide} and it goes on here until its end comes at last.\n\nA new paragraph begins behind the end of a sentence.",
+        f"Title\n{wide}\nmore": f"Title\n\n{wide} more",
+        "Intro text\n• one\ntwo\n‣ three on-\nfour\n1) five": "Intro text\n\n- one two\n- three on-four\n1) five",
+        f"{wide[:-1]} com-\nplex\n\n```\na\nb\n```\nx": f"{wide[:-1]} com-plex\n\n```\na\nb\n```\nx",
+        "single\n": "single\n",
+        "* a\n* b\n": "- a\n- b\n",
+        "": "",
+    }
+    assert run(spark, reflow, *cases) == list(cases.values())
+    assert run(spark, reflow, None) == [""]
+
+
+def test_pasted_answers(spark):
+    from folioflow.operators import pastes
+
+    df = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    app = "## Question\nq\n## Answer\nfact [1][2]\nSources\n[1] First https://a.org/x\nlost\n[9] Second  http://b.org \n## Question\nmore\n## Answer\nyes [01] no [x]\nQuellen\n[1] Third https://c.org"
+    r = pastes.parse_app(df(app, "no answer [1]", None)).orderBy("doc_id").collect()
+    assert r[0].body == "## Question\nq\n## Answer\nfact [1][2]\n## Question\nmore\n\n## Answer\nyes [3] no [x]"
+    assert [(m.marker, m.n) for m in r[0].inline] == [("[1]", 1), ("[2]", 2), ("[3]", 3)]
+    assert [(s.id, s.title, s.url) for s in r[0].sources] == [(1, "First", "https://a.org/x"), (2, "Second", "http://b.org"), (3, "Third", "https://c.org")]
+    assert [(x.body, x.inline, x.sources) for x in r[1:]] == [("", [], [])] * 2
+    web = pastes.parse_web(df("see [a](http://x) and ![i](p.png) [a](http://x)[b](u)"))
+    r = web.select("body", "inline", "sources", pastes.replace_markers(F.col("body"), F.col("inline")).alias("marked")).first()
+    assert r.marked == "see [^1] and ![i](p.png) [^2][^3]" and [s.url for s in r.sources] == ["http://x", "http://x", "u"]
+    down = '<img src="l.png"/>\n# T\n\n\n\nfact[^1_1][^1_2][^7_7]<span style="display:none">[^1_3]</span>\n<div align="center">⁂</div>\n\n[^1_1]: https://WWW.a.org:443/p\n[^1_2]: plain\n'
+    r = pastes.parse_download(df(down)).select("*", pastes.cited(F.col("sources"), F.col("inline")).alias("cited")).first()
+    assert r.body == "\n# T\n\nfact[^1_1][^1_2][^7_7]\n" and [(m.marker, m.n) for m in r.inline] == [("[^1_1]", 1), ("[^1_2]", 2)]
+    assert [(s.id, s.title, s.url) for s in r.sources] == [(1, "www.a.org", "https://WWW.a.org:443/p"), (2, "plain", "plain")] and len(r.cited) == 2
+    incoming = spark.createDataFrame([(1, 1, "http://a/"), (1, 2, "http://new"), (1, 3, "http://A"), (1, 4, "http://new/"), (1, 5, "http://z"), (2, 1, "u")], "doc_id long, id long, url string")
+    existing = spark.createDataFrame([(1, 0, 4, "http://a"), (1, 1, 7, "http://a"), (1, 2, 2, "")], "doc_id long, line_no long, id long, url string")
+    got = pastes.resolve(incoming, existing, urls.normalize_url).orderBy("doc_id", "incoming_id").collect()
+    assert [(x.incoming_id, x.id, x.is_new) for x in got] == [(1, 7, False), (2, 8, True), (3, 7, False), (4, 8, False), (5, 9, True), (1, 1, True)]
+
+
+def test_code_tokens(spark):
+    from folioflow.operators.code_tokens import quote_code
+
+    cases = {
+        "in render.py:102-110 and up:: [[MOC]], a.b: [] or [[X]] as foo.bar_x too": "in `render.py:102-110` and `up:: [[MOC]]`, `a.b: []` or `[[X]]` as `foo.bar_x` too",
+        "`foo.bar` [foo.bar](u.v) ```\nfoo.bar\n``` call.it(x) end.": "`foo.bar` [foo.bar](u.v) ```\nfoo.bar\n``` call.it(x) end.",
+        "": "",
+        None: None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert [r[0] for r in df.orderBy("doc_id").select(quote_code(F.col("text"))).collect()] == list(cases.values())
