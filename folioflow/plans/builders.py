@@ -45,6 +45,14 @@ PASTES = f"""SELECT conv_id * 1000 + turn AS doc_id, CASE (conv_id + turn) % 5
  WHEN 3 THEN {_s('Sources: none', chr(10))} || {_put('text', [(' the ', _s(' [the](https://ex.com/t) '))])}
  ELSE text END AS text FROM conversations"""
 
+#: Pasted answers of two blocks with sources each; every fifth without an answer.
+ANSWERS = f"""SELECT conv_id * 1000 + turn AS doc_id, {_s('pre', chr(10))} || CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE {_s('## Answer', chr(10))} || {_put('text', [(' the ', _s(' [1] ')), (' an', _s(' [02][x] an'))])}
+ || {_s(chr(10), 'Sources', chr(10), '[1] A title https://ex.com/ ', chr(10), 'lost', chr(10), '[7] B  https://b.org', chr(10), '## Answer two', chr(10), 'again [1] [03]', chr(10), 'Quellen ', chr(10), '[1] C https://c.org/x', chr(10), '## Tail', chr(10), 'end')} END AS text FROM conversations"""
+
+#: Downloaded answers with tags, marks and definitions.
+DOWNLOADS = f"""SELECT conv_id * 1000 + turn AS doc_id, {_s('<IMG src="x"/>')} || {_put('text', [(' the ', _s(' [^1_1] ')), (' an', _s('<span style="a">[^1_2]', chr(10), '</span> an[^9_9]'))])}
+ || {_s(chr(10), '<div>⁂</div>', chr(10), chr(10), '  [^1_1]: https://WWW.Ex.com:443/a', chr(10), '[^1_2]: plain', chr(10), chr(10))} AS text FROM conversations"""
+
 #: URLs of pages in several spellings.
 URLS = """SELECT page_id AS doc_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN upper(substr(url, 1, 12)) || substr(url, 13) WHEN 2 THEN ' ' || url || '?z=1&b=2&a&b=1'
  WHEN 3 THEN replace(url, 'example', 'me:pw@example') || '/#top' WHEN 4 THEN 'mailto:' || upper(url) ELSE url || ':80/' END AS url FROM pages"""

@@ -6,12 +6,13 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 
-from ..operators import cleanup, footnotes, tables, urls
+from ..operators import cleanup, footnotes, reflow, tables, urls
 
 
 @dataclass(frozen=True)
 class Recipe:
     box_table: bool = True
+    reflow: bool = False
     dehyphenate: bool = True
     dewrap: bool = True
     tidy_whitespace: bool = True
@@ -25,7 +26,7 @@ def apply_cleanup(notes: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     """Notes after the steps that ``recipe`` turns on, in its order; each step sees the text the one before it left."""
     for f in fields(recipe):
         if getattr(recipe, f.name):
-            notes = (tables if f.name == "box_table" else cleanup).__dict__[f.name](notes)
+            notes = getattr({"box_table": tables, "reflow": reflow}.get(f.name, cleanup), f.name)(notes)
     return notes.select("doc_id", "text")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleanup, edits, footnotes, lines, registry, surfaces, tables, urls
+from ..operators import cleanup, edits, footnotes, lines, pastes, reflow, registry, surfaces, tables, urls
 from . import builders, format
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,6 +303,49 @@ def _web_sources(pastes):
     return surfaces.web_sources(pastes)
 
 
+_TRIM = f"regexp_replace(regexp_replace({{0}}, '^{_W}+', ''), '{_W}+$', '')"
+
+
+@_query("cp2_app_parse", builders.ANSWERS, f"""WITH t AS (SELECT doc_id, text, split_part(text, chr(10) || 'Sources' || chr(10), 1) AS a FROM ({builders.ANSWERS}))
+ SELECT doc_id, CASE WHEN text = 'pre' || chr(10) THEN '' ELSE a || chr(10) || chr(10) || '## Answer two' || chr(10) || 'again [3] [5]' || chr(10) || '## Tail' || chr(10) || 'end' END AS body,
+  CASE WHEN text = 'pre' || chr(10) THEN '' ELSE array_to_string(list_concat(list_transform(regexp_extract_all(a, '\\[[0-9]+\\]'), lambda x: CASE WHEN x = '[02]' THEN '[2]' ELSE x END), ['[3]', '[5]']), '') END AS marks,
+  CASE WHEN text = 'pre' || chr(10) THEN '' ELSE '1 A title https://ex.com/;2 B https://b.org;3 C https://c.org/x' END AS sources FROM t""")
+def _app(notes):
+    p = pastes.parse_app(notes)
+    return p.select("doc_id", "body", F.array_join("inline.marker", "").alias("marks"), F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["id"], s["title"], s["url"])), ";").alias("sources"))
+
+
+@_query("cp4_download_parse", builders.DOWNLOADS, f"""WITH t AS (SELECT doc_id, regexp_replace(substr(text, 15), '<span style="a">\\[\\^1_2\\]\\n</span>', '', 'g') AS x FROM ({builders.DOWNLOADS})), u AS (SELECT doc_id, split_part(x, chr(10) || '<div>', 1) AS x FROM t)
+ SELECT doc_id, regexp_replace(x, '{_W}+$', '') || chr(10) AS body, len(regexp_extract_all(x, '\\[\\^1_1\\]'))::BIGINT AS n_marks, '1 www.ex.com https://WWW.Ex.com:443/a;2 plain plain' AS sources, regexp_replace(regexp_replace(x, '{_W}+$', ''), '\\[\\^1_1\\]', '[^1]', 'g') || chr(10) AS marked FROM u""")
+def _download(notes):
+    p = pastes.parse_download(notes)
+    return p.select("doc_id", "body", F.size("inline").cast("long").alias("n_marks"), F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["id"], s["title"], s["url"])), ";").alias("sources"), pastes.replace_markers(F.col("body"), F.col("inline")).alias("marked"))
+
+
+@_query("sc4_code_tokens", _N)
+def _code(notes):
+    from ..operators.code_tokens import quote_code
+
+    return notes.select("doc_id", quote_code(F.col("text")).alias("text"))
+
+
+_FLOW = "kind IN ('paragraph', 'listItem')"
+
+
+@_query("cl5_reflow", _N, _KINDS + f""",
+ f0 AS (SELECT *, {_FLOW} AS fl, sum(CASE WHEN {_FLOW} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run, regexp_replace(line, '{_W}+$', '') AS solid, {_TRIM.format('line')} AS bare,
+  CASE WHEN regexp_matches(line, '^{_W}*[-*+•·‣▪◦–—]{_W}+') THEN '- ' WHEN regexp_matches(line, '^{_W}*[0-9]+[.)]{_W}+') THEN regexp_extract(line, '[0-9]+[.)]') || ' ' END AS mark,
+  {_TRIM.format(f"regexp_replace(line, '^{_W}*([-*+•·‣▪◦–—]|[0-9]+[.)]){_W}+', '')")} AS item FROM k),
+ f1 AS (SELECT *, bool_or(mark IS NOT NULL) OVER r AS listed, max(len(solid)) OVER r AS width, count(*) OVER r AS size, lag(solid) OVER w AS prev, lead(i) OVER w IS NULL AS z FROM f0 WINDOW r AS (PARTITION BY doc_id, run, fl), w AS (PARTITION BY doc_id, run, fl ORDER BY i)),
+ f2 AS (SELECT *, CASE WHEN prev IS NULL THEN true WHEN listed THEN mark IS NOT NULL ELSE NOT regexp_matches(prev, '[A-Za-z]-$') AND (regexp_matches(prev, '[.!?:][)"''’”\\]]*$') OR len(prev) + 1 + len(regexp_extract(bare, '^[^ \\t\\n\\f\\r\\x0b]*')) <= width * 0.66::DOUBLE) END AS begins FROM f1),
+ f3 AS (SELECT *, CASE WHEN begins AND mark IS NOT NULL THEN item ELSE bare END AS piece FROM f2),
+ f4 AS (SELECT *, lag(piece) OVER w AS above, coalesce(bool_or(mark IS NOT NULL) OVER (PARTITION BY doc_id, run, fl ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS tight FROM f3 WINDOW w AS (PARTITION BY doc_id, run, fl ORDER BY i)),
+ f5 AS (SELECT doc_id, i, CASE WHEN NOT fl OR size = 1 THEN line || sep ELSE CASE WHEN prev IS NULL THEN '' WHEN NOT begins THEN CASE WHEN above = '' OR regexp_matches(above, '[A-Za-z]-$') THEN '' ELSE ' ' END WHEN tight THEN chr(10) ELSE chr(10) || chr(10) END
+  || CASE WHEN begins THEN coalesce(mark, '') ELSE '' END || piece || CASE WHEN z THEN sep ELSE '' END END AS p FROM f4) """ + _JOINED.format("p", "f5"))
+def _reflow(notes):
+    return reflow.reflow(notes)
+
+
 @_query("rg1_lifecycle_state", builders.SCRIPTS, f"""SELECT id, CASE WHEN provenance IS NULL AND in_catalog THEN 'Available' WHEN provenance IS NULL THEN 'Absent' WHEN NOT enabled THEN 'Disabled' WHEN okayed_version IS NULL AND provenance = 'curated' THEN 'Available' WHEN okayed_version IS NULL THEN 'Absent'
  WHEN local_version IS NULL AND online THEN 'Materializing' WHEN local_version IS NULL THEN 'Blocked:offline' WHEN local_version <> okayed_version THEN 'Materializing' WHEN local_checksum <> okayed_checksum THEN 'Blocked:drift' WHEN provenance = 'curated' AND catalog_version > okayed_version THEN 'UpdateAvailable' ELSE 'Active' END AS state FROM ({builders.SCRIPTS})""")
 def _state(s):

@@ -116,7 +116,7 @@ def test_queries_match_sql(spark):
     for t in os.listdir(d):
         db.execute(f"create view {t.split('.')[0]} as from '{d}/{t}'")
     key = lambda x: tuple((v is None, str(v)) for v in x)
-    for name in ("st2_blocks", "cl4_tidy_whitespace", "li2_normalize_ordered", "he2_cascade", "fn2_id_map", "di2_dispatch"):
+    for name in ("st2_blocks", "cl5_reflow", "cp2_app_parse", "cp4_download_parse", "cl4_tidy_whitespace", "li2_normalize_ordered", "he2_cascade", "fn2_id_map", "di2_dispatch"):
         df = queries.QUERIES[name](spark, d)
         found = db.execute(queries.ORACLES[name])
         at = [[c[0] for c in found.description].index(c) for c in df.columns]
