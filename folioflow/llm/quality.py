@@ -7,7 +7,7 @@ over cells with weights, whose sums are exact integers: results do not depend on
 
 For each (language, source) the estimate starts at the coordinatewise median and repeats concentration steps: mean and covariance of the cells within
 the ``COVERED`` nearest share of weight, then new distances. Groups with less weight than ``LEAST_GROUP`` use their language's estimate, and then
-that of all documents. Covariances get a floor per coordinate, as most texts have no symbol or repetition at all and would make them singular. A
+that of all documents. Covariances get a floor, as most texts have no symbol or repetition at all and would make them singular. A
 document is rejected when its squared Mahalanobis distance exceeds ``CUTOFF``.
 
 Defined results: null text has no words and fails the base rules; null lang or source is a value of its own; null and repeated doc_ids are judged row by
@@ -16,6 +16,8 @@ row; an empty table gives no rows; columns of the input may have any names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,16 @@ BASE_WORDS, BASE_REPEAT = 50, 50
 COVERED, STEPS, LEAST_GROUP = 0.75, 3, 200
 #: The 0.9999 quantile of chi-squared with four degrees of freedom, and the consistency factor for a covered share of 0.75.
 CUTOFF, CONSISTENCY = 23.5127, 1.486
-#: Steps of the grid in each coordinate, and the least standard deviation in steps.
-GRID, FLOOR = (100, 50, 50, 50), (6.0, 7.5, 10.0, 7.5)
+#: Steps of the grid in each coordinate, and the least standard deviation in steps. Where a group has no spread of its own and lies at 0, a text goes by
+#: symbols alone from 0.1 a word, and by repeated lines or repeated words alone from a share of 0.4.
+GRID, FLOOR = (100, 50, 50, 50), (6.0, 3.25, 7.5, 7.5)
+#: The correlation of repeated lines with repeated words in the floor: a repeated line also repeats its words, and counts less than both apart.
+TOGETHER = 0.5
 P = len(GRID)
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+_FLOORED = {(i, i): f**2 for i, f in enumerate(FLOOR)} | {(3, 2): TOGETHER * FLOOR[3] * FLOOR[2]}
+#: The Cholesky factor of the floor.
+_START = {(i, i): f for i, f in enumerate(FLOOR)} | {(3, 2): TOGETHER * FLOOR[3], (3, 3): FLOOR[3] * math.sqrt(1 - TOGETHER**2)}
 
 
 def with_stats(docs: DataFrame, text: str, into: str) -> DataFrame:
@@ -86,7 +94,7 @@ def _factor(sums: DataFrame, scale: float) -> DataFrame:
     w = F.col("w").cast("double")
     out = sums.select("level", "lang", "source", "w", *[(F.col(f"s{i}") / w).alias(f"m{i}") for i in range(P)], *[(F.col(f"q{i}{j}") / w).alias(f"q{i}{j}") for i, j in _PAIRS])
     for i, j in _PAIRS:
-        c = (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + F.lit(FLOOR[i] ** 2 if i == j else 0.0)
+        c = (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + F.lit(_FLOORED.get((i, j), 0.0))
         for k in range(j):
             c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}{j}"))
@@ -123,7 +131,7 @@ def estimates(docs: DataFrame, stats: str, lang: str = "lang", source: str = "so
     cells = common.written(cells.select(levels, *at, "c").groupBy("g.level", "g.lang", "g.source", *at).agg(F.sum("c").alias("c")), "cells")
     # Exact weighted medians: the grid bounds the distinct values of a coordinate.
     start = cells.groupBy(*_GROUP).agg(F.sum("c").alias("w"), *[F.percentile(a, 0.5, F.col("c")).alias(f"m{i}") for i, a in enumerate(at)])
-    model = start.select("*", *[F.lit(FLOOR[i] if i == j else 0.0).alias(f"l{i}{j}") for i, j in _PAIRS])
+    model = start.select("*", *[F.lit(_START.get((i, j), 0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
     for step in range(STEPS + 1):
         model = common.written(model, "model")
         # Distances in steps of an eighth of an octave; the nearest steps that reach the covered share make the subset.

@@ -154,6 +154,22 @@ def test_quality_rules(spark):
     assert quality.keep_good(df).columns == df.columns and quality.judge(df.limit(0)).count() == 0
 
 
+def test_quality_rules_in_the_middle_band(spark):
+    rng = random.Random(14)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(n)]
+    good = [" ".join(words(rng.randint(60, 150))) for _ in range(250)]
+    # One of three lines comes twice and repeats a quarter of the words: alike in both coordinates, and no junk.
+    twice = [" ".join(words(60)) + "\n" + "\n".join([" ".join(words(10))] * 2) for _ in range(5)]
+    # Pieces of tables with 0.3 to 0.5 symbols a word.
+    piped = [" ".join(w + "|" * (i < share) for i, w in enumerate(words(100))) for share in (30, 35, 40, 45, 50)]
+    # 9 of 20 and 18 of 30 lines are repeated, hardly any words.
+    lines = ["\n".join(" ".join(words(8)) + tail for _ in range(10)) for tail in ("\nmenu", "\nmenu\ntop")]
+    texts = good + twice + piped + lines
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(i, t, "en", "s", 1, "x", 2) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [rows[i].n_symbols for i in range(255, 260)] == [30, 35, 40, 45, 50] and not any(r.base_failed for r in rows.values())
+    assert [i for i in range(len(texts)) if not rows[i].kept] == list(range(255, 262))
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = [prose(rng, 30) for _ in range(200)]
