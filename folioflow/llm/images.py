@@ -2,7 +2,7 @@
 
 Corners are taken at several scales (structure-tensor response, largest in their neighbourhood); each has the direction of its patch's centre of
 brightness, and a string of comparisons between pairs of points, turned by that direction. Strings are entered in tables under several fixed choices of
-their bits, and images meet where such a choice is equal. Matches within a Hamming distance vote for a turn, a scale and a shift; an image is a copy when
+their bits, and images meet where such a choice is equal or differs in one bit. Matches within a Hamming distance vote for a turn, a scale and a shift; an image is a copy when
 enough different corners agree. Only keys that some query has are entered, by a field of bits of fixed size. Equal pictures are one class: a task
 describes a class once, and results name classes by their least ids, with each row's class beside them.
 
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SCALES, CORNERS, RADIUS, BITS = (1.0, 0.75, 0.55), 32, 7, 128
-#: Tables and the bits that each takes; the largest Hamming distance of a match; corners that must agree. Of the strings of one corner in a picture and
-#: its edited copy 92 % are within 12, of strings of different pictures 7 in 100,000 (within 28: 99 % and 4,700, which made votes of chance).
-TABLES, TABLE_BITS, NEAR, AGREE = 6, 20, 12, 5
+#: Tables and the bits that each takes; the largest Hamming distance of a match; corners that must agree. A query is entered under the keys that differ in
+#: one bit, too: with equal keys only, or within 12, few copies that are turned or resized are found; within 24, pictures match by chance (README).
+TABLES, TABLE_BITS, NEAR, AGREE = 6, 20, 20, 5
 _rng = np.random.default_rng(7)
 #: Pairs of points of which the tests are chosen, and the tables' bits (no bit in two tables).
 _CANDIDATES = np.clip(_rng.normal(0, RADIUS / 2.2, (1000, 4)), -RADIUS, RADIUS)
@@ -186,6 +186,12 @@ def key_field(rows: DataFrame) -> np.ndarray:
     return field
 
 
+def near_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` under their key and the keys of its table that differ from it in one bit."""
+    flips = F.explode(F.array(*[F.lit(f).cast("long") for f in (0, *(1 << b for b in range(TABLE_BITS)))]))
+    return rows.withColumn("flip", flips).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+
+
 def poll(pair: np.ndarray, match: np.ndarray, n: int) -> np.ndarray:
     """For each of ``n`` pairs the most corners that agree on a turn, scale and shift, 0 if under ``AGREE``. Bins overlap by half, so that agreeing
     matches share one. What finds too few others for its turn and scale, or for its shift along one side, goes before the next is looked at."""
@@ -227,13 +233,13 @@ def _votes(batches):
 
 def matched(left: DataFrame, right: DataFrame) -> DataFrame:
     """query_class, image_class, votes of the pairs of described pictures that agree."""
-    left = left.where("key is not null").select(F.col("class").alias("query_class"), "key", F.col("corner").alias("qc"), *[F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "turn", "b0", "b1")])
+    left = near_keys(left.where("key is not null")).select(F.col("class").alias("query_class"), "key", F.col("corner").alias("qc"), *[F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "turn", "b0", "b1")])
     right = right.where("key is not null").withColumnRenamed("class", "image_class")
     x0, x1 = F.col("b0").bitwiseXOR(F.col("q_b0")), F.col("b1").bitwiseXOR(F.col("q_b1"))
     # Two corners that meet in several tables match in the first of them.
     first = F
     for t, (m0, m1) in enumerate(_MASKS):
-        first = first.when((x0.bitwiseAND(F.lit(m0)) == 0) & (x1.bitwiseAND(F.lit(m1)) == 0), F.lit(t))
+        first = first.when(F.bit_count(x0.bitwiseAND(F.lit(m0))) + F.bit_count(x1.bitwiseAND(F.lit(m1))) <= 1, F.lit(t))
     both = left.join(right, "key").where((F.bit_count(x0) + F.bit_count(x1) <= NEAR) & (first == F.shiftright("key", TABLE_BITS)))
     # Each match says how the query lies in the image: turn, scale and shift in half steps of the bins, and the query's corner, in one number.
     turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(2 * np.pi))
@@ -251,7 +257,7 @@ def copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     image_id, votes, of the least ids of two classes of equal pictures; ``query`` and ``image``: each row's id and the least id of its class (class_id)."""
     spark = images.sparkSession
     left = common.written(described(queries), "queries")
-    wanted = spark.sparkContext.broadcast(key_field(left.where("key is not null")))
+    wanted = spark.sparkContext.broadcast(key_field(near_keys(left.where("key is not null"))))
     right = common.written(described(images, wanted), "images")
     member = lambda d: d.where("key is null").select("image_id", "class")
     least = lambda d: member(d).groupBy("class").agg(F.min("image_id").alias("least"))

@@ -340,6 +340,28 @@ def test_images(spark):
     assert {r.kind for r in images.copies(odd, odd).collect()} == {"query", "image"} and images.copies(odd.limit(0), odd.limit(0)).count() == 0
 
 
+def test_turned_copies(spark):
+    rng = np.random.default_rng(12)
+    pictures = [images.rendered(rng.normal(0, 0.3, 64)) for _ in range(12)]
+
+    def turned(a, degrees, scale):
+        n, t = int(48 * scale), np.deg2rad(degrees)
+        y, x = (np.mgrid[:n, :n] - n / 2) / scale
+        u, v = np.cos(t) * x - np.sin(t) * y + 32, np.sin(t) * x + np.cos(t) * y + 32
+        u, v = np.clip(u, 0, 62.9), np.clip(v, 0, 62.9)
+        i, j = v.astype(int), u.astype(int)
+        p, q, a = v - i, u - j, a.astype(float)
+        b = a[i, j] * (1 - p) * (1 - q) + a[i + 1, j] * p * (1 - q) + a[i, j + 1] * (1 - p) * q + a[i + 1, j + 1] * p * q
+        return np.clip(b * 0.9 + 20, 0, 255).astype(np.uint8)
+
+    table = lambda rows: spark.createDataFrame([(i, a.shape[1], a.tobytes()) for i, a in rows], "image_id long, width int, pixels binary")
+    kinds = [(15, 1), (45, 1)]
+    queries = table([(100 * k + i, turned(a, *kind)) for k, kind in enumerate(kinds) for i, a in enumerate(pictures)])
+    found = {(r.query_id, r.image_id) for r in images.copies(queries, table(enumerate(pictures))).where("kind = 'copy'").collect()}
+    assert all(q % 100 == i for q, i in found)
+    assert all(sum(q // 100 == k for q, _ in found) >= 10 for k in range(len(kinds)))
+
+
 def test_votes_by_definition():
     rng, n = np.random.default_rng(4), 600
     pair = np.sort(rng.integers(0, 3, n))
