@@ -14,9 +14,12 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a new temporary one in local mode (tests), and an error
+    on a cluster, whose executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,8 +51,13 @@ def doc_crc(doc_id: Column) -> Column:
 
 
 def free_name(df: DataFrame, want: str) -> str:
-    """``want``, with underscores put after it until no column of ``df`` has that name (case aside)."""
-    taken = {c.lower() for c in df.columns}
-    while want.lower() in taken:
+    """``want``, with underscores put after it until no column of ``df`` has a name that begins with it (case aside): it may be used with any ending."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(want.lower()) for c in taken):
         want += "_"
     return want
+
+
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever signs are in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]

@@ -1,23 +1,30 @@
 """Chat formatting: tool calls linked to their results.
 
 Calls and results are joined by conversation and identifier, whatever their turns. Calls are put in an order in which each comes after the calls it
-depends on: by turn, and a call that depends on a later one right after it. The order is a pair of numbers for each call (``after``, the place of the
-latest call it waits for, and ``wait``, how many calls it follows there), found by rounds over those calls only that wait for a later one, so no
-conversation is gathered in a task. Arguments are validated against the JSON schema of their tool and serialised as canonical JSON: sorted keys, no blanks.
-
-Defined results: a call without a result has status ``pending``, a result without a call ``orphan``; the first of several results (by turn) counts; calls in a
-cycle of dependencies, or waiting for one, have status ``cyclic`` and no order; dependencies on calls that don't exist are ignored; arguments that are no
-JSON object, have a key twice or a number that isn't finite are invalid, with null canonical form; calls of tools without a schema are invalid; null
-identifiers link with nothing; repeated calls of an identifier each get its result; empty tables give no rows.
+depends on: by turn, and a call that depends on a later one right after it. The order is a pair of numbers for each call: ``after``, the place of the
+latest call it waits for (its own turn, if it waits for none), and ``wait``, the length of the longest chain of calls that it follows there. Only calls that
+wait are looked at in rounds: first the places that they wait for spread along dependencies, from those calls only that moved in the round before; then
+calls without an open dependency are peeled off until none is left, or only cycles and what hangs on them. There are as many rounds as the longest
+waiting chain or cycle has calls, and no conversation is gathered in a task. Arguments are validated against the JSON schema of their tool and serialised as
+canonical JSON: sorted keys, no blanks, lone surrogates as escapes.
+
+Defined results: a call without a result has status ``pending``, a result without a call ``orphan``; of several results the first by turn counts (those
+without a turn last, then the least content, null first); calls in a cycle of dependencies, or depending on one in any number of steps, have status ``cyclic``
+and no order; dependencies on calls that don't exist are ignored; a call without a turn comes before all others and its ``after`` is null, unless it waits;
+arguments that are no JSON object, have a key twice, a number that isn't finite or too deep a nesting are invalid, with null canonical form; calls of tools
+without a schema are invalid; calls and results with a null identifier link with nothing, each a row of its own; repeated calls of an identifier each get
+its result, and count as one call in the order, at their least turn; schemas with keywords or types that are not known raise ValueError before
+anything runs; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -26,18 +33,56 @@ _KINDS = {
     "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool),
     "null": lambda v: v is None, "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer(), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
 }
+#: Keywords of schemas that are checked, and those that say nothing about a value.
+_CHECKED = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minLength", "maxLength", "minItems", "maxItems", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "anyOf", "allOf", "not"}
+_NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "deprecated", "readOnly", "writeOnly"}
+_LONE = re.compile("[\ud800-\udfff]")
+_KEYS = ["conv_id", "call_id"]
+#: The place of calls without a turn.
+_FIRST = -(1 << 63)
+
+
+def check_schema(schema, at: str = "$") -> None:
+    """Raises ValueError where ``schema`` has keywords or types that ``violations`` does not know."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: not a schema")
+    if unknown := schema.keys() - _CHECKED - _NOTES:
+        raise ValueError(f"{at}: unknown keywords {sorted(unknown)}")
+    kinds = schema.get("type", [])
+    if unknown := {kinds} - _KINDS.keys() if isinstance(kinds, str) else set(kinds) - _KINDS.keys():
+        raise ValueError(f"{at}: unknown types {sorted(unknown)}")
+    inner = [*schema.get("properties", {}).items(), *((k, schema[k]) for k in ("additionalProperties", "items", "not") if k in schema)]
+    for k, s in [*inner, *((k, s) for k in ("anyOf", "allOf") for s in schema.get(k, []))]:
+        check_schema(s, f"{at}.{k}")
+
 
+def same(a, b) -> bool:
+    """Equality of JSON values: numbers by value, booleans are no numbers."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, (int, float)) and isinstance(b, (int, float)):
+        return a == b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+    return type(a) is type(b) and a == b
 
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What in ``value`` breaks ``schema`` (type, enum, const, required, properties, additionalProperties, items and the usual bounds)."""
+
+def violations(value, schema, at: str = "$") -> list[str]:
+    """What in ``value`` breaks ``schema`` (of the keywords that ``check_schema`` lets pass)."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_KINDS[k](value) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and not same(value, schema["const"]):
         out.append(f"{at}: not the constant")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -50,15 +95,22 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
                 out.append(f"{at}.{k}: unexpected")
             elif isinstance(extra, dict):
                 out += violations(v, extra, f"{at}.{k}")
-    if isinstance(value, list):
-        if "items" in schema:
-            out += [x for i, v in enumerate(value) for x in violations(v, schema["items"], f"{at}[{i}]")]
+    if isinstance(value, list) and "items" in schema:
+        out += [x for i, v in enumerate(value) for x in violations(v, schema["items"], f"{at}[{i}]")]
     size = len(value) if isinstance(value, (str, list)) else None
     kind = "Length" if isinstance(value, str) else "Items"
     if size is not None and not schema.get(f"min{kind}", 0) <= size <= schema.get(f"max{kind}", size):
         out.append(f"{at}: size {size}")
-    if isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-        out.append(f"{at}: out of range")
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        inside = schema.get("minimum", value) <= value <= schema.get("maximum", value)
+        if not inside or value <= schema.get("exclusiveMinimum", -math.inf) or value >= schema.get("exclusiveMaximum", math.inf):
+            out.append(f"{at}: out of range")
+    for s in schema.get("allOf", []):
+        out += violations(value, s, at)
+    if "anyOf" in schema and all(violations(value, s, at) for s in schema["anyOf"]):
+        out.append(f"{at}: fits none of anyOf")
+    if "not" in schema and not violations(value, schema["not"], at):
+        out.append(f"{at}: fits what it must not")
     return out
 
 
@@ -75,75 +127,119 @@ def _finite(x):
     raise ValueError(x)
 
 
+def _sound(text: str) -> str:
+    """``text`` with lone surrogates, which no UTF-8 can hold, as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _sound(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def checked(arguments: str | None, schema: dict | None) -> tuple[str | None, str | None]:
     """Canonical form and the first violation, either of which may be None."""
     try:
         value = json.loads(arguments or "", object_pairs_hook=_object, parse_float=_finite, parse_constant=_finite)
-    except (ValueError, RecursionError):
+        if not isinstance(value, dict):
+            return None, "$: not object"
+        found = ["$: no schema"] if schema is None else violations(value, schema)
+        return canonical(value), _sound(found[0]) if found else None
+    except RecursionError:
+        return None, "$: nested too deeply"
+    except ValueError:
         return None, "$: no JSON"
-    if not isinstance(value, dict):
-        return None, "$: not object"
-    if schema is None:
-        return canonical(value), "$: no schema"
-    found = violations(value, schema)
-    return canonical(value), found[0] if found else None
+
+
+def _empty(df: DataFrame) -> bool:
+    return not df.limit(1).count()
+
+
+def _as_on(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` by the identifier that others depend on."""
+    return df.select("conv_id", F.col("call_id").alias("on"), *columns)
+
+
+def _waiting(edges: DataFrame) -> DataFrame:
+    """conv_id, call_id, after of the calls that wait for a call at their own place or later, directly or through calls that wait."""
+    waiting = common.written(edges.where("on_turn >= t").groupBy(_KEYS).agg(F.max("on_turn").alias("after")), "waiting")
+    moved = waiting
+    while not _empty(moved):
+        reached = edges.join(_as_on(moved, F.col("after").alias("a")), ["conv_id", "on"]).where("a >= t").groupBy(_KEYS).agg(F.max("a").alias("after"))
+        new = reached.join(waiting.withColumnRenamed("after", "had"), _KEYS, "left").where("had is null or after > had").select(*_KEYS, "after")
+        moved = common.written(new, "moved")
+        waiting = common.written(waiting.unionByName(moved).groupBy(_KEYS).agg(F.max("after").alias("after")), "waiting")
+    return waiting
+
+
+def _peeled(edges: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, call_id, after, wait) of waiting calls that can be ordered, and (conv_id, call_id) of those that can't."""
+    own = edges.join(waiting, _KEYS).join(_as_on(waiting, F.col("after").alias("on_after")), ["conv_id", "on"], "left")
+    own = common.written(own.select(*_KEYS, "on", "after", "on_turn", "on_after"), "links")
+    base = own.where("on_after is null").groupBy(_KEYS).agg(F.max((F.col("on_turn") == F.col("after")).cast("long")).alias("base"))
+    left = common.written(waiting.join(base, _KEYS, "left").select(*_KEYS, "after", F.coalesce("base", F.lit(0)).cast("long").alias("wait")), "open")
+    links = common.written(own.where("on_after is not null").select(*_KEYS, "on", (F.col("after") == F.col("on_after")).alias("here")), "links")
+    done = None
+    while True:
+        ready = common.written(left.join(links.select(_KEYS).distinct(), _KEYS, "left_anti"), "ready")
+        if _empty(ready):
+            return (left.limit(0) if done is None else done), left.select(_KEYS)
+        done = ready if done is None else done.unionByName(ready)
+        behind = links.join(_as_on(ready, F.col("wait").alias("w")), ["conv_id", "on"]).groupBy(_KEYS).agg(F.max(F.when(F.col("here"), F.col("w") + 1).otherwise(0)).alias("w"))
+        left = left.join(ready.select(_KEYS), _KEYS, "left_anti").join(behind, _KEYS, "left")
+        left = common.written(left.select(*_KEYS, "after", F.greatest("wait", F.coalesce("w", F.lit(0))).alias("wait")), "open")
+        links = common.written(links.join(_as_on(ready), ["conv_id", "on"], "left_anti").select(*_KEYS, "on", "here"), "links")
 
 
 def ordered(calls: DataFrame) -> DataFrame:
-    """``calls`` (conv_id, call_id, turn, depends array<string>) with after, wait and cyclic."""
-    place = F.col("turn").cast("long")
-    nodes = common.written(calls.select("conv_id", "call_id", place.alias("turn"), "depends").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.flatten(F.collect_set("depends")).alias("depends")), "calls")
-    edges = nodes.select("conv_id", F.explode("depends").alias("on"), F.col("call_id").alias("call_id"), F.col("turn").alias("t"))
-    target = nodes.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn"))
-    edges = common.written(edges.join(target, ["conv_id", "on"]).select("conv_id", "on", "call_id", "t", "on_turn"), "edges")
-    state = nodes.select("conv_id", "call_id", F.col("turn").alias("after"), F.lit(0).cast("long").alias("wait"))
-    # A call waits if one that it depends on comes later or at the same place, or waits itself.
-    late = edges.where("on_turn >= t")
-    if late.limit(1).count():
-        limit = nodes.groupBy("conv_id").agg(F.count("*").alias("calls"))
-        state = common.written(state, "order")
-        while True:
-            now = edges.join(state.select("conv_id", F.col("call_id").alias("on"), F.struct("after", "wait").alias("s")), ["conv_id", "on"]).groupBy("conv_id", "call_id").agg(F.max("s").alias("s"))
-            new = state.join(now, ["conv_id", "call_id"], "left").join(limit, "conv_id")
-            best = F.when(F.col("s.after") >= F.col("after"), F.struct(F.col("s.after").alias("after"), (F.col("s.wait") + 1).alias("wait"))).otherwise(F.struct("after", "wait"))
-            # More waits than the conversation has calls: a cycle.
-            best = F.when(F.col("wait") > F.col("calls"), F.struct("after", "wait")).otherwise(F.greatest(best, F.struct("after", "wait")))
-            new = common.written(new.select("conv_id", "call_id", best.alias("b"), ((best["after"] != F.col("after")) | (best["wait"] != F.col("wait"))).alias("moved")), "order")
-            state = new.select("conv_id", "call_id", "b.after", "b.wait")
-            if not new.where("moved").limit(1).count():
-                break
-        state = state.join(limit, "conv_id").select("conv_id", "call_id", "after", "wait", (F.col("wait") > F.col("calls")).alias("cyclic"))
-    else:
-        state = state.withColumn("cyclic", F.lit(False))
-    return calls.join(state, ["conv_id", "call_id"], "left")
+    """``calls`` (conv_id, call_id, turn, depends array<string>), whose identifiers are not null, with after, wait and cyclic."""
+    place = F.coalesce(F.min(F.col("turn").cast("long")), F.lit(_FIRST))
+    nodes = common.written(calls.groupBy(_KEYS).agg(place.alias("t")), "calls")
+    edges = calls.select(*_KEYS, F.explode("depends").alias("on")).distinct().join(nodes, _KEYS).join(_as_on(nodes, F.col("t").alias("on_turn")), ["conv_id", "on"])
+    edges = common.written(edges.select(*_KEYS, "on", "t", "on_turn"), "edges")
+    waiting = _waiting(edges)
+    done, cyclic = _peeled(edges, waiting)
+    cyclic = near = common.written(cyclic, "cyclic")
+    while not _empty(near):
+        near = common.written(edges.join(_as_on(near), ["conv_id", "on"]).select(_KEYS).distinct().join(cyclic, _KEYS, "left_anti"), "cyclic")
+        cyclic = cyclic.unionByName(near)
+    state = nodes.join(done, _KEYS, "left").join(cyclic.withColumn("cyclic", F.lit(True)), _KEYS, "left")
+    after = F.nullif(F.coalesce("after", "t"), F.lit(_FIRST))
+    state = common.written(state.select(*_KEYS, after.alias("after"), F.coalesce("wait", F.lit(0)).cast("long").alias("wait"), F.coalesce("cyclic", F.lit(False)).alias("cyclic")), "order")
+    return calls.join(state, _KEYS, "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """``calls`` (conv_id, call_id, turn, name, arguments, depends) and ``results`` (conv_id, call_id, turn, content): a row for each call and each orphan."""
-    first = results.groupBy("conv_id", "call_id").agg(F.min_by(F.struct("turn", "content"), F.struct("turn", "content")).alias("r"))
-    left = ordered(calls.where("conv_id is not null and call_id is not null")).unionByName(calls.where("conv_id is null or call_id is null"), allowMissingColumns=True)
-    both = left.join(first, ["conv_id", "call_id"], "full_outer")
+    for schema in schemas.values():
+        check_schema(schema)
+    named, content = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), F.struct("content")
+    by_turn = F.struct(F.col("turn").isNull(), "turn", "content")
+    first = results.where(named).groupBy(_KEYS).agg(F.min_by(content, by_turn).alias("result"))
+    left = ordered(calls.where(named).select(*_KEYS, "turn", "name", "arguments", "depends")).join(first, _KEYS, "left")
+    loose = calls.where(~named).select(*_KEYS, "name", "arguments", F.col("turn").cast("long").alias("after"), F.lit(0).cast("long").alias("wait"), F.lit(False).alias("cyclic"))
+    rows = left.unionByName(loose, allowMissingColumns=True).withColumn("is_call", F.lit(True))
+    lost = first.join(calls.where(named).select(_KEYS).distinct(), _KEYS, "left_anti").unionByName(results.where(~named).select(*_KEYS, content.alias("result")))
+    rows = rows.unionByName(lost.withColumn("is_call", F.lit(False)), allowMissingColumns=True)
 
     def serialise(batches):
         for b in batches:
             out = []
             for r in b.to_pylist():
-                if r["name"] is None and r["turn"] is None:
-                    form, wrong, status = None, None, "orphan"
-                else:
+                form = wrong = after = wait = None
+                status = "orphan"
+                if r["is_call"]:
                     form, wrong = checked(r["arguments"], schemas.get(r["name"]))
-                    status = "cyclic" if r["cyclic"] else "linked" if r["result_turn"] is not None else "pending"
-                whole = canonical({"after": None if r["cyclic"] else r["after"], "arguments": form and json.loads(form), "conv": r["conv_id"], "id": r["call_id"], "name": r["name"], "result": r["content"], "status": status, "valid": wrong is None and status != "orphan", "wait": None if r["cyclic"] else r["wait"]})
-                out.append((r["conv_id"], r["call_id"], None if r["cyclic"] else r["after"], None if r["cyclic"] else r["wait"], status, wrong is None and status != "orphan", wrong, whole))
+                    status = "cyclic" if r["cyclic"] else "linked" if r["has_result"] else "pending"
+                    after, wait = (None, None) if r["cyclic"] else (r["after"], r["wait"])
+                valid = wrong is None and status != "orphan"
+                before = canonical({"after": after})[:-1]
+                behind = canonical({"conv": r["conv_id"], "id": r["call_id"], "name": r["name"], "result": r["content"], "status": status, "valid": valid, "wait": wait})[1:]
+                out.append((r["conv_id"], r["call_id"], after, wait, status, valid, wrong, f'{before},"arguments":{form or "null"},{behind}'))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string()]
             names = ["conv_id", "call_id", "after", "wait", "status", "valid", "violation", "json"]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 8, kinds)], names=names)
 
-    flat = both.select(F.col("conv_id").cast("long").alias("conv_id"), "call_id", "turn", "name", "arguments", "after", "wait", "cyclic", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"))
+    flat = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "call_id", "name", "arguments", "after", "wait", "cyclic", "is_call", F.col("result").isNotNull().alias("has_result"), F.col("result.content").alias("content"))
     return flat.mapInArrow(serialise, "conv_id long, call_id string, after long, wait long, status string, valid boolean, violation string, json string")
 
 
@@ -155,16 +251,20 @@ SCHEMAS = {
 
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results in place of the plain turns of ``conversations``: an assistant's turn is a call with the whole text as its argument, any
-    other turn but the first is the result of the call before it; calls depend on the call two turns before."""
-    t = turns.where("conv_id is not null and turn is not null")
+    """Calls and results in place of the plain turns of ``conversations``: an assistant's turn is a call with the whole text as its argument, a turn of any
+    other role (or none) is the result of the call before it, but for the first turn. Calls depend on the call two turns before; two of five depend on the call
+    two turns after instead, which then does not depend on them, but in every fiftieth conversation, where they make cycles. Rows without a conversation or a
+    turn have null identifiers."""
+    turn = F.col("turn")
     ident = lambda k: F.concat(F.lit("call-"), k.cast("string"))
-    odd = F.col("turn") % 4 == 1
-    limit = F.when((F.col("turn") + F.col("conv_id")) % 7 == 0, F.lit("0")).otherwise((F.col("turn") + 1).cast("string"))
+    odd = turn % 4 == 1
+    limit = F.when((turn + F.col("conv_id")) % 7 == 0, F.lit("0")).otherwise((turn + 1).cast("string"))
     value = F.expr("substring(to_json(named_struct('t', coalesce(text, ''))), 6, length(to_json(named_struct('t', coalesce(text, '')))) - 6)")
     arguments = F.when(odd, F.concat(F.lit('{"query": '), value, F.lit(', "limit": '), limit, F.lit("}"))).otherwise(F.concat(F.lit('{"text": '), value, F.lit(', "tags": []}')))
-    calls = t.where("role = 'assistant'").select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", F.when(odd, "search").otherwise("note").alias("name"), arguments.alias("arguments"), F.array(ident(F.col("turn") - 2)).alias("depends"))
-    results = t.where("role <> 'assistant' and turn > 0").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    waits = lambda k: F.pmod(F.col("conv_id") + k, F.lit(5)).isin(0, 2)
+    depends = F.array(F.when(~waits(turn - 2) | (F.col("conv_id") % 50 == 0), ident(turn - 2)), F.when(waits(turn), ident(turn + 2)))
+    calls = turns.where("role = 'assistant'").select("conv_id", ident(turn).alias("call_id"), "turn", F.when(odd, "search").otherwise("note").alias("name"), arguments.alias("arguments"), F.array_compact(depends).alias("depends"))
+    results = turns.where("not coalesce(role = 'assistant', false) and coalesce(turn > 0, true)").select("conv_id", ident(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

@@ -326,6 +326,85 @@ def test_tool_calls(spark):
     assert {out[2, k].status for k in "pq"} == {"cyclic"} and out[2, "p"].violation == "$: no schema" and not out[3, None].valid
 
 
+CALLS, RESULTS = "conv_id long, call_id string, turn long, name string, arguments string, depends array<string>", "conv_id long, call_id string, turn long, content string"
+
+
+def test_tool_calls_of_odd_rows(spark):
+    note = lambda text: '{"text": "%s"}' % text
+    calls = [(1, "a", 1, "note", note("\\ud800x"), []), (1, "b", None, "note", note("y"), ["a"]), (1, "c", None, None, None, None), (None, "a", 1, "note", note("z"), []), (1, "d", 2, "note", "[" * 5000, []), (1, "e", 3, "note", '{"a": ' * 900 + "1" + "}" * 900, [None])]
+    calls += [(2, "r", 4, "note", note(i), ["r2"]) for i in range(3)] + [(2, "r2", 2, "note", note("k\\ud800"), []), (2, "n", None, "note", '{"text": "1", "\\udfff": 1}', ["r"])]
+    results = [(1, "a", None, "late"), (1, "a", 7, None), (None, None, 1, "x"), (None, None, 1, "y"), (2, "r", None, "only"), (2, "s", 1, None)]
+    extra = spark.createDataFrame(calls, CALLS).withColumn("after", F.lit("mine")).withColumn("t", F.lit(1))
+    rows = toolcalls.link(extra, spark.createDataFrame(results, RESULTS).withColumn("status", F.lit("x")), toolcalls.SCHEMAS).collect()
+    out = {(r.conv_id, r.call_id, r.status): r for r in rows}
+    assert out[1, "a", "linked"].json == '{"after":1,"arguments":{"text":"\\ud800x"},"conv":1,"id":"a","name":"note","result":null,"status":"linked","valid":true,"wait":0}'
+    assert (out[1, "b", "pending"].after, out[1, "b", "pending"].wait) == (1, 1) and out[1, "c", "pending"].after is None and not out[1, "c", "pending"].valid
+    assert out[None, "a", "pending"].after == 1 and sum(r.status == "orphan" for r in rows) == 3 and len(rows) == len(calls) + 3
+    assert out[1, "d", "pending"].violation in ("$: nested too deeply", "$: no JSON") and out[1, "e", "pending"].violation
+    assert {(r.after, r.wait) for r in rows if r.call_id == "r"} == {(4, 0)} and out[2, "n", "pending"].violation == "$.\\udfff: unexpected"
+    none = toolcalls.link(extra.limit(0), spark.createDataFrame([], RESULTS), {})
+    assert none.count() == 0 and none.columns[-1] == "json"
+
+
+def test_schemas():
+    v = toolcalls.violations
+    assert v(True, {"enum": [1]}) and not v(1.0, {"enum": [1]}) and v([True], {"const": [1]}) and not v({"a": [1]}, {"const": {"a": [1.0]}})
+    assert v(2, {"exclusiveMaximum": 2}) and not v(2, {"anyOf": [{"type": "string"}, {"minimum": 2}]}) and v("x", {"not": {"type": "string"}}) and v(1, False) and v("ab", {"allOf": [{"maxLength": 1}, {}]})
+    for bad in ({"pattern": "x"}, {"type": "text"}, {"properties": {"a": {"$ref": "#"}}}, {"items": {"anyOf": [{"type": ["string", "int"]}]}}, 3):
+        with pytest.raises(ValueError):
+            toolcalls.check_schema(bad)
+
+
+def brute_order(turns, depends):
+    """Keys of calls by the definition: a call comes at its turn, or behind what it depends on; None for cycles and what hangs on them."""
+    keys, state = {}, {}
+
+    def visit(c):
+        if c not in state:
+            state[c] = "open"
+            found = [visit(d) for d in depends[c] if d in turns]
+            keys[c] = None if None in found else max([(turns[c], 0), *((a, w + 1) for a, w in found if a >= turns[c])])
+            state[c] = "done"
+        return keys[c] if state[c] == "done" else None
+
+    def reaches(c, goal, seen):
+        return any(d == goal or d not in seen and not seen.add(d) and reaches(d, goal, seen) for d in depends[c] if d in turns)
+
+    bad = {c for c in turns if reaches(c, c, set())}
+    bad |= {c for c in turns if any(reaches(c, b, set()) for b in bad)}
+    for b in bad:
+        keys[b], state[b] = None, "done"
+    return {c: visit(c) for c in turns}
+
+
+def test_order_by_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for conv in range(60):
+        turns = {f"c{i}": rng.randint(0, 8) for i in range(rng.randint(1, 9))}
+        depends = {c: rng.choices([*turns, "gone"], k=rng.choice([0, 0, 1, 1, 2])) for c in turns}
+        rows += [(conv, c, t, depends[c]) for c, t in turns.items()]
+        want |= {(conv, c): k for c, k in brute_order(turns, depends).items()}
+    got = toolcalls.ordered(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, depends array<string>")).collect()
+    assert {(r.conv_id, r.call_id): None if r.cyclic else (r.after, r.wait) for r in got} == want
+    assert None in want.values() and max(k[1] for k in want.values() if k) > 1
+    # Rounds go with the longest chain that waits, not with the size of a conversation.
+    written = []
+    monkeypatch.setattr(common, "written", lambda df, kind="table", f=common.written: written.append(kind) or f(df, kind))
+    long = [(1, f"c{i}", i, [f"c{i - 1}"]) for i in range(300)] + [(1, "x", 5, ["y"]), (1, "y", 400, [])]
+    toolcalls.ordered(spark.createDataFrame(long, "conv_id long, call_id string, turn long, depends array<string>"))
+    assert len(written) < 20
+
+
+def test_conversations_as_calls(spark):
+    rows = [(50, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(10)] + [(3, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(12)] + [(None, 1, "assistant", "x"), (4, None, "user", None), (4, 2, None, "y")]
+    rows = toolcalls.link(*toolcalls.from_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), toolcalls.SCHEMAS).collect()
+    of = lambda c: {r.call_id: (r.status, r.after, r.wait) for r in rows if r.conv_id == c}
+    # In 3, calls 7 and 9 wait for 9 and 11; in 50, calls 5 and 7 wait, in cycles with those that depend on them.
+    assert of(3)["call-7"] == ("linked", 11, 2) and of(3)["call-9"] == ("linked", 11, 1) and of(3)["call-11"] == ("pending", 11, 0) and of(3)["call-1"][1:] == (1, 0)
+    assert "cyclic" in {s for s, _, _ in of(50).values()} and {s for s, _, _ in of(4).values()} == {"orphan"} and {s for s, _, _ in of(None).values()} == {"pending"}
+
+
 def test_images(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 0.3, 64).tolist()) for i in range(30)] + [(100, None), (101, [0.0] * 64)]
