@@ -136,23 +136,24 @@ def write_token_files(docs: DataFrame, path: str, end: int = 0) -> TokenFiles:
     spark = docs.sparkSession
     vocab = max(tokens.Encoder(path).vocab_size, end + 1)
     wide = vocab > 1 << 16
+    counted = pa.map_(pa.int32(), pa.int64())
 
     def tokenise(batches):
-        for doc_ids, out in tokens.encoded_batches(batches, path, end):
-            yield pa.record_batch([doc_ids.cast(pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    encoded = common.written(docs.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary"), "ids")
-
-    def count(batches):
+        """Rows of documents, and one row a task of how often each id occurs."""
         total = np.zeros(vocab, np.int64)
-        for b in batches:
-            ids = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4" if wide else "<u2")
+        for doc_ids, ids, limits in tokens.encoded_batches(batches, path, end):
             total += np.bincount(ids, minlength=vocab)
+            n, width = len(doc_ids), ids.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((limits * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+            yield pa.record_batch([doc_ids.cast(pa.int64()), blobs, pa.nulls(n, counted)], names=["doc_id", "ids", "counts"])
         seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
+        counts = pa.MapArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pa.array(seen.astype(np.int32)), pa.array(total[seen]))
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), counts.cast(counted)], names=["doc_id", "ids", "counts"])
 
+    both = common.written(docs.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary, counts map<int,long>"), "ids")
+    encoded = both.where("ids is not null").select("doc_id", "ids")
     # At most one row for each id of the vocabulary comes to the driver.
-    counts = encoded.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = both.where("counts is not null").select(F.explode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).collect()
     weight = np.zeros(vocab, np.int64)
     for r in counts:
         weight[r.id] = r.n

@@ -158,11 +158,10 @@ def pack_documents(docs: DataFrame, path: str, end: int = 2, window: int = 4096,
     def pack(batches):
         from pyspark import TaskContext
 
-        dtype = tokens.encoder(path).dtype
         packer, rows = Packer(window, open_windows, max_padding), _Rows(TaskContext.get().partitionId() << 32)
-        for doc_ids, out in tokens.encoded_batches(batches, path, end):
-            for doc_id, ids in zip(doc_ids.to_pylist(), out):
-                for w in packer.add(doc_id, np.frombuffer(ids, dtype)):
+        for doc_ids, ids, limits in tokens.encoded_batches(batches, path, end):
+            for i, doc_id in enumerate(doc_ids.to_pylist()):
+                for w in packer.add(doc_id, ids[limits[i] : limits[i + 1]]):
                     rows.window(w)
             yield rows.batch()
         full, left = packer.finish()

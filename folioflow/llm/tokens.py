@@ -3,21 +3,29 @@
 Both tokenizers split a text into words before they merge, and no merge crosses a word. A text is therefore cut at places that are
 word limits for the tokenizer whatever stands around them, each piece is encoded once by the ``tokenizers`` library, and its ids are
 kept in a bounded memo of the worker. The ids of a text are the joined ids of its pieces, equal to those of one call on the whole text.
+Texts are cut and equal pieces found by Arrow, some megabytes of texts at once; only different pieces are looked up, and numpy gathers the ids.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker remembers before it starts anew (about 250 bytes each), and the longest piece it remembers.
-MEMO_PIECES, MEMO_LENGTH = 600_000, 48
+MEMO_PIECES, MEMO_LENGTH = 700_000, 48
 
 #: White space other than the space and the line feed.
 _RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Texts whose white space is more than single spaces and line feeds between words (for Arrow).
+_UNEVEN = r"^[ \n]|[ \n]$|  |\n\n| \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes of text that are encoded at once, one text at least.
+SLICE_BYTES = 8 << 20
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -28,6 +36,8 @@ _BYTE_SIGNS = [chr(b if b in _SELF else next(_OTHERS)) for b in range(256)]
 
 
 class _Memo(dict):
+    """Ids by piece."""
+
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
@@ -41,50 +51,61 @@ class _Memo(dict):
         return ids
 
 
+def _plain(piece: str) -> bool:
+    """Whether ``piece`` is of letters of Latin-1 only, about which no two versions of Unicode differ and which lower-casing and composing leave single."""
+    return piece.isalpha() and (piece.isascii() or max(piece) <= "\xff")
+
+
 class Encoder:
-    """Encodes texts to little-endian ids of ``width`` bytes. Null texts count as empty; strings of special tokens are ordinary text."""
+    """Encodes texts to little-endian ids of ``width`` bytes, as the library does by default: strings of special tokens in a text are those tokens. Null
+    texts count as empty."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.width = 2 if self.vocab_size <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         # A byte-level pre-tokenizer hangs a space on the word after it; one that lower-cases and splits drops white space.
         self.keeps_space = self.tokenizer.normalizer is None
         self.model = self.tokenizer.model
+        self.packers = [struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(64)]
         self.firsts = _Memo(self._first)
         self.rest = _Memo(self._after_space if self.keeps_space else self._lower)
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return self.packers[len(ids)](*ids) if len(ids) < 64 else np.array(ids, self.dtype).tobytes()
+
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str) -> bytes:
-        """One word of Latin letters, a space before it allowed: the splitter would leave it whole, so the library's merging model takes it at once."""
-        signs = word if word.isascii() and word.isalpha() else "".join([_BYTE_SIGNS[b] for b in word.encode()])
-        return np.array([t.id for t in self.model.tokenize(signs)], dtype=self.dtype).tobytes()
+    def _word(self, word: str, space: str = "") -> bytes:
+        """One word of Latin letters, behind a space or not: the splitter would leave it whole, so the library's merging model takes it at once."""
+        signs = word if word.isascii() else "".join([_BYTE_SIGNS[b] for b in word.encode()])
+        return self._packed([t.id for t in self.model.tokenize(space + signs)])
 
     def _first(self, piece: str) -> bytes:
-        return self._word(piece) if piece.isalpha() and max(piece) <= "\xff" else self._encode(piece)
+        return self._word(piece) if _plain(piece) else self._encode(piece)
 
     def _after_space(self, piece: str) -> bytes:
+        if _plain(piece):
+            return self._word(piece, _BYTE_SIGNS[32])
         if piece[:1] == "\n":
-            return self.firsts["\n"] + self.firsts[piece[1:]] if piece[1:].isalnum() else self._encode(piece)
+            # A line feed is a token of its own before anything but white space.
+            return self.firsts["\n"] + self.firsts[piece[1:]] if _plain(piece[1:]) else self._encode(piece)
         head = piece[:-1]
-        if piece[-1:] in (".", ",") and head.isalpha():
+        if piece[-1:] in (".", ",") and _plain(head):
             return self.rest[head] + self.firsts[piece[-1]]
-        return self._word(" " + piece) if piece.isalpha() and max(piece) <= "\xff" else self._encode(" " + piece)
+        return self._encode(" " + piece)
 
     def _lower(self, piece: str) -> bytes:
-        if not piece.isalpha():
-            head = piece[:-1]
-            return self.rest[head] + self.rest[piece[-1]] if piece[-1:] in (".", ",") and head.isalpha() else self._encode(piece)
-        if max(piece) > "\xff":
-            return self._encode(piece)
-        low = piece.lower()
-        return self._word(low) if low == piece else self.rest[low]
+        if _plain(piece):
+            low = piece.lower()
+            return self._word(low) if low == piece else self.rest[low]
+        head = piece[:-1]
+        # Other letters may become several signs in lower case, of which the last joins the mark behind it.
+        return self.rest[head] + self.rest[piece[-1]] if piece[-1:] in (".", ",") and _plain(head) else self._encode(piece)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -99,6 +120,42 @@ class Encoder:
             first, *rest = text.replace("\n", " \n").split(" ")
         return self.firsts[first] + b"".join(map(self.rest.__getitem__, rest))
 
+    def encode_column(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` (strings, null as empty), each followed by ``end``, and where each text's ids begin and end: n + 1 places."""
+        n = len(texts)
+        texts = pc.fill_null(texts, "")
+        uneven = np.zeros(0, np.int64)
+        if self.keeps_space:
+            odd = pc.match_substring_regex(texts, _UNEVEN)
+            uneven = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            words = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        else:
+            words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+        flat = words.flatten()
+        found = flat.dictionary_encode()
+        at = found.indices.to_numpy().astype(np.int32)
+        pieces = list(map(self.rest.__getitem__, found.dictionary.to_pylist()))
+        if self.keeps_space and n:
+            firsts = np.append(0, ends[:-1])
+            at[firsts] = np.arange(len(pieces), len(pieces) + n)
+            heads = list(map(self.firsts.__getitem__, flat.take(pa.array(firsts)).to_pylist()))
+            for i in uneven.tolist():
+                heads[i] = self.encode(texts[i].as_py())
+            pieces += heads
+        if end is not None:
+            at = np.insert(at, ends, len(pieces))
+            ends = ends + np.arange(1, n + 1)
+            pieces.append(self._packed([end]))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        ids = np.frombuffer(b"".join(pieces), self.dtype)
+        counts = sizes[at]
+        after = np.cumsum(counts)
+        total = int(after[-1]) if len(after) else 0
+        place = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        moved = ((np.cumsum(sizes) - sizes)[at] - (after - counts)).astype(place)
+        return ids[np.repeat(moved, counts) + np.arange(total, dtype=place)], np.append(0, np.append(0, after)[ends])
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -123,8 +180,13 @@ def public_path(name: str) -> str:
 
 
 def encoded_batches(batches: Iterable, path: str, end: int):
-    """Of record batches (doc_id, text): lists of (doc_id, ids with the end id as bytes)."""
+    """Of record batches (doc_id, text), in slices: doc_ids, the ids of all texts with the end id behind each, and their n + 1 limits."""
     enc = encoder(path)
-    tail = np.array([end], enc.dtype).tobytes()
     for b in batches:
-        yield b.column(0), [enc.encode(t) + tail for t in b.column(1).to_pylist()]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            part = b.slice(at, to - at)
+            yield part.column(0), *enc.encode_column(part.column(1), end)
+            at = to
