@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,42 @@ def free_name(df: DataFrame, want: str) -> str:
 def own(df: DataFrame) -> list[Column]:
     """The columns of ``df``, whatever signs are in their names."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """``df.mapInArrow`` for functions that leave the columns as they are, whatever signs are in their names."""
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return flat.mapInArrow(run, flat.schema).toDF(*df.columns)
+
+
+#: The largest number of bits of an ``IdField``: 32 MB.
+FIELD_BITS = 28
+
+
+class IdField:
+    """A field of bits that says of 64-bit keys whether they may be among those it was made of. It has 16 bits a key up to ``FIELD_BITS`` in all, so it can be
+    broadcast whatever the number of keys; with more, it lets more other keys pass."""
+
+    def __init__(self, keys: DataFrame):
+        """Of ``keys`` (one column of longs without nulls), a written table."""
+        self.bits = min(FIELD_BITS, max(16, (16 * keys.count()).bit_length()))
+
+        def run(batches):
+            field = np.zeros(1 << self.bits - 6, np.uint64)
+            for b in batches:
+                at = self._slots(b.column(0).to_numpy())
+                np.bitwise_or.at(field, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            at = np.flatnonzero(field)
+            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(field[at].view(np.int64))], names=["at", "word"])
+
+        # At most one row of 12 bytes for each word of the field.
+        rows = keys.mapInArrow(run, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        self.field = np.zeros(1 << self.bits - 6, np.uint64)
+        self.field[rows["at"].to_numpy()] = rows["word"].to_numpy().view(np.uint64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slots(keys)
+        return (self.field[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

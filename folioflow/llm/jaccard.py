@@ -6,14 +6,18 @@ of two sets is at most the sum of the coordinate minima of their points, and tha
 minima with the node's upper corner: what can't reach the threshold is cut off. Pairs that remain are verified on the exact sets.
 
 Documents meet in buckets: two sets of a similarity of ``T`` or more share a hash among the first n - ceil(T n) + 1 of each, in any common order. The order
-puts hashes that are frequent in a bounded sample last, so that common passages make no buckets; the sample affects cost only. A bucket is split by
-size: sets whose sizes differ by more than ``T`` can't be similar, so each lies in a band of sizes and meets its own and the next. The first hash that two
-similar sets share lies in an even shorter prefix of the smaller one, so buckets of which no set has the hash there go. Equal sets are one class from
+puts hashes that are frequent in a sample of documents last, by how often they occur, so that common passages make no buckets; the sample grows with the
+table, so that buckets don't, and affects cost only. Behind the first hash that
+two sets share, each must have enough hashes left for the overlap that their sizes ask for: in buckets of up to ``SMALL`` sets, sets without a partner by
+this test go. Larger buckets are split by size: sets whose sizes differ by more than ``T`` can't be similar, so each lies in a band of sizes and meets its own
+and the next, and buckets go in which no set has the hash so early as the smaller of two similar sets must. Equal sets are one class from
 the start; buckets with the same classes are one bucket. Each bucket is joined through an R-tree over its points, twice: first every class
 is paired with its best candidate in two of its buckets, which links groups of copies with as many pairs as members; then, for buckets that
 still hold several components, all pairs of classes of different components that the bounds admit. Nodes whose classes all are in one component are
 skipped against it. So no pair that could join two components is lost, and no group of copies is expanded to all its pairs. Buckets over
-``CHUNK`` classes are dealt to cells, so that each pair of chunks meets in one.
+``CHUNK`` classes are dealt to cells, so that each pair of chunks meets in one; chunks of a component that fills several never meet each other.
+
+Texts are read into sets once to make points and keys, which go to their buckets in one exchange, and those of candidate pairs once more in each pass.
 
 Defined results: null or empty text has an empty set and links with nothing; fewer than ``K`` words make one shingle; null doc_ids take part but are never
 the name of a component that has another (a component of null ids alone has a null name); repeated rows are linked to each other; an empty table gives no
@@ -37,12 +41,14 @@ from . import common
 K = 5
 #: Similarity threshold as a fraction.
 T = (75, 100)
-#: Documents in the sample for the order of hashes (as expected by a hash of ids), sample documents that make a hash frequent, and those that make it hot.
-ORDER_SAMPLE, FREQUENT, HOT, MOST_FREQUENT = 3000, 3, 12, 200_000
-LEAF, CHUNK = 16, 4096
-BLOOM_BITS = 26
-#: Words and classes that a task remembers, texts and keys that it works on at once.
-_WORDS, _MEMO, _ROWS, _KEYS = 150_000, 400_000, 1000, 500_000
+#: The sample for the order of hashes: one of so many documents, or so many documents in small tables (as expected by a hash of ids); documents of it that make
+#: a hash frequent, and those that make it hot; the most hashes that are told to all tasks, the most frequent ones.
+ORDER_SHARE, ORDER_LEAST, FREQUENT, HOT, MOST_FREQUENT = 20, 3000, 3, 12, 500_000
+LEAF, CHUNK, SMALL = 16, 4096, 48
+#: Words and classes that a task remembers, texts, keys and pairs that it works on at once, and bytes of text whose keys meet in one place.
+_WORDS, _MEMO, _ROWS, _KEYS, _PAIRS, _PART = 150_000, 400_000, 1000, 500_000, 200_000, 96 << 20
+#: Steps of an octave in the sizes that travel with keys, and the steps of a band: a little over log2(1 / T).
+_STEPS, _BAND = 2048, 852
 
 
 class _Hashes(dict):
@@ -108,25 +114,33 @@ def _slices(batches):
         yield from (b.slice(i, _ROWS) for i in range(0, b.num_rows, _ROWS))
 
 
+def steps(n: int) -> int:
+    """The size of a set on the scale that travels with keys, rounded down."""
+    return int(math.log2(max(n, 1)) * _STEPS)
+
+
 def band(n: int) -> int:
     """Sets of a similarity of ``T`` or more are of one band or of neighbouring ones."""
-    return int(math.log(max(n, 1)) / (math.log(T[1] / T[0]) + 1e-9))
+    return steps(n) // _BAND
 
 
-def n_early(n: int) -> int:
-    """How many hashes of a set of ``n`` can be the first one shared with a similar set that is no smaller: the overlap is at least 2 T n / (1 + T)."""
-    return n - -(-2 * T[0] * n // (T[0] + T[1])) + 1 if n else 0
+def left_over(n: int, size: int) -> np.ndarray:
+    """For the first ``size`` places of a set of ``n``: the share of the set from there on, in 255 steps from T to 1, rounded up."""
+    share = (n - np.arange(size)) / max(n, 1)
+    return np.clip(np.ceil((share - T[0] / T[1]) * (255 * T[1] / (T[1] - T[0])) - 1e-9), 0, 255).astype(np.uint8)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first n - ceil(T n) + 1 of ``s``: rare hashes before those in ``frequent`` (sorted), else by value."""
+def prefix(s: np.ndarray, frequent: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(T n) + 1 of ``s``, and how often each is in the sample: rare hashes, by value, before those in ``frequent`` (sorted), by how often
+    they are in the sample (``often``) and by value."""
     n = len(s)
     size = n - -(-T[0] * n // T[1]) + 1 if n else 0
     if not len(frequent):
-        return s[:size]
+        return s[:size], np.zeros(size, np.int64)
     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    late = frequent[at] == s
-    return np.concatenate([s[~late], s[late]])[:size]
+    count = np.where(frequent[at] == s, often[at], 0)
+    order = np.argsort(count, kind="stable")[:size]
+    return s[order], count[order]
 
 
 def coded(points: np.ndarray) -> np.ndarray:
@@ -184,9 +198,8 @@ class RTree:
             out += [(int(x), hub) for x in np.flatnonzero(ok) if x != hub]
         return [(int(self.order[x]), int(self.order[y])) for x, y in set(out)]
 
-    def cross(self) -> list[tuple[int, int]]:
-        """All pairs of rows of different components that the bounds admit."""
-        out = []
+    def cross(self):
+        """All pairs of rows of different components that the bounds admit, in arrays."""
         todo = [(len(self.levels) - 1, 0, 0)]
         while todo:
             level, i, j = todo.pop()
@@ -207,25 +220,28 @@ class RTree:
             ok &= self.component[p][:, None] != self.component[q][None]
             if i == j:
                 ok &= p[:, None] < q[None]
-            out += [(int(self.order[p[x]]), int(self.order[q[y]])) for x, y in zip(*np.nonzero(ok))]
-        return out
+            x, y = np.nonzero(ok)
+            if len(x):
+                yield self.order[p[x]], self.order[q[y]]
 
 
-def bucket_pairs(classes: list[int], points: list[bytes], sizes: list[int], components: list[int], everything: bool) -> list[tuple[int, int]]:
-    """Pairs of classes (smaller first) of one bucket that may be similar enough."""
+def bucket_pairs(classes: list[int], points: list[bytes], sizes: list[int], components: list[int], everything: bool):
+    """Pairs of classes (smaller first) of one bucket that may be similar enough, in arrays."""
     d = min(map(len, points))
     folded = np.stack([np.frombuffer(p, np.uint8).astype(np.uint16).reshape(-1, d).sum(0, dtype=np.uint16) for p in points])
     tree = RTree(folded, np.array(sizes, np.int64), np.array(components, np.int64))
-    return [(min(classes[i], classes[j]), max(classes[i], classes[j])) for i, j in (tree.cross() if everything else tree.neighbours())]
+    c = np.array(classes, np.int64)
+    for i, j in tree.cross() if everything else [np.array(tree.neighbours() or np.zeros((0, 2)), np.int64).T]:
+        yield np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
 
 
 def _frequent(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes that are frequent in the sample, and those that are hot."""
-    share = min(1.0, ORDER_SAMPLE / max(n_docs, 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    """Sorted hashes that are frequent in the sample, and how many of its documents have each."""
+    share = min(1.0, max(1 / ORDER_SHARE, ORDER_LEAST / max(n_docs, 1)))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
 
     def count(batches):
-        for b in batches:
+        for b in _slices(batches):
             s = [shingles(t) for t in b.column(0).to_pylist()]
             h, n = np.unique(np.concatenate(s) if s else np.zeros(0, np.uint64), return_counts=True)
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -233,173 +249,237 @@ def _frequent(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     counts = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     rows = counts.orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).toArrow()  # bounded by its limit
     h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    return np.sort(h), np.sort(h[n >= HOT])
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def _scan(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
-    """Rows of documents (doc_id, n, class, point, hot keys) and rows of keys (part; keys, classes and marks packed). The mark of a key is twice the
-    set's band, and one more if the key is early in the set."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
-    names = ["doc_id", "n", "class", "point", "hot", "part", "packed"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+_SCAN = "doc_id long, text_hash long, n long, class long, band int, point binary, hot array<long>, home int, packed binary"
+
+
+def _scan(docs: DataFrame, frequent: np.ndarray, often: np.ndarray, parts: int) -> DataFrame:
+    """Rows of three kinds from ``docs`` (doc_id, text, text_hash), each with the place where it is to go (home): documents (doc_id, text_hash, n, class);
+    points (class, n, band, point, hot keys), once a task for equal sets; and packed keys, of one part: 32 bits of the hash, the class, its size in steps
+    and what it has left behind the key."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, often))
+    names = [c.split()[0] for c in _SCAN.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def batch(rows):
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds)], names=names)
 
     def run(batches):
-        frequent, hot = shared.value
+        frequent, often = shared.value
         seen: set[int] = set()
-        keys, classes, marks = [], [], []
+        keys, classes, sizes, lefts = [], [], [], []
+        turn = 0
 
         def sent():
-            k, c, m = np.concatenate(keys), np.concatenate(classes), np.concatenate(marks)
-            for x in (keys, classes, marks):
+            k, c, q, v = (np.concatenate(x) for x in (keys, classes, sizes, lefts))
+            for x in (keys, classes, sizes, lefts):
                 x.clear()
             part = ((k >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            return batch([(None, None, None, None, None, p, k[o].tobytes() + c[o].tobytes() + m[o].tobytes()) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])])
+            at = np.flatnonzero(np.append(True, np.diff(part[order]) > 0)) if len(part) else np.zeros(0, int)
+            ends = np.append(at, len(part))
+            short = k.astype(np.uint32)
+            return batch([(None, None, None, None, None, None, None, int(part[o[0]]), short[o].tobytes() + c[o].tobytes() + q[o].tobytes() + v[o].tobytes()) for i in range(len(at)) for o in [order[ends[i] : ends[i + 1]]]])
 
         for b in _slices(batches):
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, text, th in zip(*(c.to_pylist() for c in b.columns)):
                 s = shingles(text)
+                turn += 1
                 if not len(s):
-                    rows.append((doc_id, 0, None, None, None, None, None))
+                    rows.append((doc_id, th, 0, None, None, None, None, turn, None))
                     continue
-                c = class_of(s)
+                c, n = class_of(s), len(s)
+                rows.append((doc_id, th, n, c, None, None, None, turn, None))
                 if c in seen:  # a class that this task has sent already
-                    rows.append((doc_id, len(s), c, None, None, None, None))
                     continue
                 if len(seen) < _MEMO:
                     seen.add(c)
-                k = prefix(s, frequent)
-                known = np.isin(k, hot)
-                rows.append((doc_id, len(s), c, packed(point(s)), k[known].view(np.int64).tolist(), None, None))
+                k, count = prefix(s, frequent, often)
+                known = count >= HOT
+                rows.append((None, None, n, c, band(n), packed(point(s)), k[known].view(np.int64).tolist(), c & 0x7FFFFFFF, None))
                 keys.append(k[~known])
                 classes.append(np.full(len(keys[-1]), c, np.int64))
-                marks.append((2 * band(len(s)) + (np.arange(len(k)) < n_early(len(s)))).astype(np.uint8)[~known])
+                sizes.append(np.full(len(keys[-1]), steps(n), np.uint16))
+                lefts.append(left_over(n, len(k))[~known])
             yield batch(rows)
             if sum(map(len, keys)) >= _KEYS:
                 yield sent()
         if keys:
             yield sent()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, class long, point binary, hot array<long>, part int, packed binary")
-
-
-def _shared_keys(batches):
-    """Of packed keys, one part after the other: (bucket, class) of the keys and bands of several classes; the bucket is named by its classes."""
-
-    def groups(k, *more):
-        """Starts of the runs of equal rows of sorted columns, and each row's run size."""
-        new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (k, *more)])) if len(k) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(k)))
-        return starts, np.repeat(sizes, sizes)
-
-    def close(blobs):
-        n = [len(x) // 17 for x in blobs]
-        k = np.concatenate([np.frombuffer(x, np.int64, i) for x, i in zip(blobs, n)])
-        c = np.concatenate([np.frombuffer(x, np.int64, i, 8 * i) for x, i in zip(blobs, n)])
-        m = np.concatenate([np.frombuffer(x, np.uint8, i, 16 * i) for x, i in zip(blobs, n)])
-        order = np.argsort(k, kind="stable")
-        order = order[groups(k[order])[1] > 1]  # most keys are one class's
-        k, c, m = (np.concatenate([x[order], x[order]]) for x in (k, c, m))
-        cell = m // 2
-        cell[len(order) :] += 1
-        order = np.lexsort((c, cell, k))
-        k, c, m, cell = k[order], c[order], m[order], cell[order]
-        once = groups(k, cell, c)[0]  # a class that several tasks sent
-        k, c, m, cell = k[once], c[once], m[once], cell[once]
-        starts, sizes = groups(k, cell)
-        if not len(starts):
-            return pa.record_batch([pa.array([], pa.int64())] * 2, names=["bucket", "class"])
-        runs = np.diff(np.append(starts, len(k)))
-        mixed = c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
-        name = np.repeat(np.add.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), starts).view(np.int64), runs)
-        keep = (sizes > 1) & np.repeat(np.maximum.reduceat(m & 1, starts) > 0, runs)
-        both = np.unique(np.stack([name[keep], c[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
-        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["bucket", "class"])
-
-    now, blobs = None, []
+    return docs.mapInArrow(run, _SCAN)
+
+
+def _runs(*sorted_columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows that are sorted by columns: the starts of runs of equal rows, each row's run and its size."""
+    if not len(sorted_columns[0]):
+        return (np.zeros(0, np.int64),) * 3
+    new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_columns]))
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(new)))
+    run = np.cumsum(new) - 1
+    return starts, run, sizes[run]
+
+
+def _partnered(run: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of the sets of small buckets, sorted by bucket (``run``): whether any other of the bucket may be similar by sizes and what both have left."""
+    low = np.exp2(q / _STEPS) * (1 - 1e-9)
+    left = (T[0] / T[1] + v * ((T[1] - T[0]) / (255 * T[1]))) * np.exp2((q + 1.0) / _STEPS) * (1 + 1e-9)
+    out = np.zeros(len(run), bool)
+    for d in range(1, SMALL):
+        i = np.flatnonzero(run[d:] == run[:-d])
+        if not len(i):
+            break
+        j = i + d
+        ok = np.minimum(left[i], left[j]) * (T[0] + T[1]) >= T[0] * (low[i] + low[j])
+        out[i[ok]] = out[j[ok]] = True
+    return out
+
+
+def shared_keys(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the packed keys of one part: bucket, class and bucket size, for keys of several classes; the bucket is named by its classes."""
+    n = [len(x) // 15 for x in blobs]
+    k, c, q, v = (np.concatenate([np.frombuffer(x, t, i, a * i) for x, i in zip(blobs, n)]) for t, a in ((np.uint32, 0), (np.int64, 4), (np.uint16, 12), (np.uint8, 14)))
+    order = np.argsort(k, kind="stable")
+    order = order[_runs(k[order])[2] > 1]  # most keys are one class's
+    order = order[np.lexsort((c[order], k[order]))]
+    order = order[_runs(k[order], c[order])[0]]  # a class that several tasks sent
+    k, c, q, v = k[order], c[order], q[order].astype(np.int64), v[order]
+    _, run, size = _runs(k)
+    small = (size > 1) & (size <= SMALL)
+    some = np.flatnonzero(small)
+    some = some[_partnered(run[some], q[some], v[some])]
+    many = np.flatnonzero(size > SMALL)
+    # Large buckets by band: every set in its own and the next.
+    k, c, cell = (np.concatenate(x) for x in ((k[some], k[many], k[many]), (c[some], c[many], c[many]), (np.full(len(some), -1), q[many] // _BAND, q[many] // _BAND + 1)))
+    early = np.concatenate([np.ones(len(some), bool), v[many] >= 109, v[many] >= 109])  # 109 steps of 255 are under 2 T / (1 + T)
+    order = np.lexsort((c, cell, k))
+    k, c, cell, early = k[order], c[order], cell[order], early[order]
+    starts, run, size = _runs(k, cell)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3
+    mixed = c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    name = np.add.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), starts).view(np.int64)[run]
+    keep = (size > 1) & np.logical_or.reduceat(early, starts)[run]
+    name, c, size = name[keep], c[keep], size[keep]
+    order = np.lexsort((c, name))
+    order = order[_runs(name[order], c[order])[0]]
+    return name[order], c[order], size[order]
+
+
+_MET = "doc_id long, text_hash long, n long, class long, band int, point binary, hot array<long>, bucket long, size long"
+
+
+def _met(batches):
+    """Of the rows of ``_SCAN``, which come sorted by home and class: documents, each point once, and buckets (bucket, class, size)."""
+    names = [c.split()[0] for c in _MET.split(", ")]
+    now, blobs, last = None, [], None
+
+    def buckets():
+        found = shared_keys(blobs)
+        none = [pa.nulls(len(found[0]), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))]
+        return pa.record_batch([*none[:3], pa.array(found[1]), *none[3:], pa.array(found[0]), pa.array(found[2])], names=names)
+
     for b in batches:
-        for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if part != now and blobs:
-                yield close(blobs)
+        for home, blob in ((h, x) for h, x in zip(b.column("home").to_pylist(), b.column("packed").to_pylist()) if x is not None):
+            if home != now and blobs:
+                yield buckets()
                 blobs = []
-            now = part
+            now = home
             blobs.append(blob)
+        band, c = b.column("band").to_pylist(), b.column("class").to_pylist()
+        keep = []
+        for i, blob in enumerate(b.column("packed").is_valid().to_pylist()):
+            fresh = band[i] is None or c[i] != last
+            keep.append(not blob and fresh)
+            if band[i] is not None:
+                last = c[i]
+        rows = b.filter(pa.array(keep, pa.bool_()))
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.record_batch([*(rows.column(x) for x in names[:7]), none, none], names=names)
     if blobs:
-        yield close(blobs)
+        yield buckets()
 
 
 def _joiner(everything: bool):
     def run(batches):
-        def close(rows):
-            found = bucket_pairs([r[0] for r in rows], [unpacked(r[1]) for r in rows], [r[2] for r in rows], [r[3] for r in rows], everything) if len(rows) > 1 else []
-            return found
-
-        now, rows, found = None, [], set()
-        for b in batches:
-            for key, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if key != now:
-                    found.update(close(rows))
-                    now, rows = key, []
-                    if len(found) > 50_000:
-                        yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-                        found = set()
-                rows.append(row)
-        found.update(close(rows))
-        if found:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        found, held = [], 0
+
+        def batch():
+            both = np.unique(np.concatenate([np.stack(x) for x in found], axis=1), axis=1)
+            return pa.record_batch([pa.array(x) for x in both], names=["a", "b"])
+
+        def buckets():
+            now, rows = None, []
+            for b in batches:
+                for key, *row in zip(*(c.to_pylist() for c in b.columns)):
+                    if key != now and rows:
+                        yield rows
+                        rows = []
+                    now = key
+                    rows.append(row)
+            if rows:
+                yield rows
+
+        for rows in buckets():
+            if len(rows) > 1:
+                for pairs in bucket_pairs([r[0] for r in rows], [unpacked(r[1]) for r in rows], [r[2] for r in rows], [r[3] for r in rows], everything):
+                    found.append(pairs)
+                    held += len(pairs[0])
+                    if held > _PAIRS:
+                        yield batch()
+                        found, held = [], 0
+        if held:
+            yield batch()
 
     return run
 
 
+def _cells(members: DataFrame, everything: bool) -> DataFrame:
+    """``members`` (bucket, size, class, component) as (key, class, component), where rows of one key are to be joined with each other. Buckets over ``CHUNK``
+    classes are cut into chunks; if everything is to be joined, each pair of chunks meets in a key, but for chunks of one component: those with more
+    than ``CHUNK`` classes have chunks of their own."""
+    of = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
+    if not everything:
+        return members.select(F.xxhash64("bucket", F.pmod(F.xxhash64("class"), of(F.col("size")))).alias("key"), "class", "component")
+    large = members.where(F.col("size") > CHUNK)
+    counts = large.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    lone = F.col("c") > CHUNK
+    # At most size / CHUNK components of a bucket fill chunks of their own.
+    plan = counts.groupBy("bucket").agg(F.collect_list(F.when(lone, F.struct("component", of(F.col("c")).alias("k")))).alias("lone"), of(F.coalesce(F.sum(F.when(~lone, F.col("c"))), F.lit(0))).alias("m"))
+    rows = large.join(plan, "bucket").withColumn("k", F.get(F.filter("lone", lambda x: x["component"] == F.col("component")), F.lit(0))["k"])
+    chunk = lambda component, j: F.struct(component.cast("long").alias("component"), j.cast("long").alias("j"))
+    upto = lambda n: F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), F.lit(1), n)
+    own = F.when(F.col("k").isNotNull(), chunk(F.col("component"), F.pmod(F.xxhash64("class"), "k"))).otherwise(chunk(F.lit(None), F.pmod(F.xxhash64("class"), "m")))
+    others = F.concat(F.flatten(F.transform("lone", lambda x: F.transform(upto(x["k"]), lambda j: chunk(x["component"], j)))), F.transform(upto(F.col("m")), lambda j: chunk(F.lit(None), j)))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.filter(others, lambda x: F.col("k").isNull() | ~x["component"].eqNullSafe(F.col("component")))))
+    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    small = members.where(F.col("size") <= CHUNK).select(F.col("bucket").alias("key"), "class", "component")
+    return small.unionByName(rows.select(cell.alias("key"), "class", "component"))
+
+
 def _in_cells(members: DataFrame, points: DataFrame, everything: bool) -> DataFrame:
-    """``members`` (bucket, size, class, component, n), with their ``points`` (class, point), dealt to cells of at most two chunks of their bucket, joined by R-trees: (a, b)."""
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("class"), chunks)
-    if everything:  # each pair of chunks meets in one cell
-        cell = F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(own, j.cast("long")), F.greatest(own, j.cast("long")))))
-    else:
-        cell = F.struct(own, own)
-    dealt = members.withColumn("cell", cell).select(F.xxhash64("bucket", "cell").alias("key"), "class", "n", "component")
-    dealt = dealt.join(points.select("class", "point"), "class").select("key", "class", "point", "n", "component")
+    """``members``, with their ``points`` (class, point, n), joined by R-trees: (a, b)."""
+    dealt = _cells(members, everything).join(points.select("class", "point", "n"), "class").select("key", "class", "point", "n", "component")
     dealt = dealt.repartition(common.n_shuffle(members.sparkSession), "key").sortWithinPartitions("key", "class")
     return dealt.mapInArrow(_joiner(everything), "a long, b long").distinct()
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame) -> DataFrame:
-    """The pairs whose exact sets are similar enough. Sets are made again from the texts of ``holders`` (class, doc_id), one document a class; a filter
-    of fixed size over their ids keeps the others from being read into sets, and a join drops what it lets through."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-
-    def bits(batches):
-        field = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
-        for b in batches:
-            at = _slots(b.column(0).to_numpy())
-            np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        at = np.flatnonzero(field)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(field[at].astype(np.int32))], names=["at", "bits"])
-
-    ids = needed.join(holders, "class").where("doc_id is not null").select("doc_id")
-    rows = ids.mapInArrow(bits, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^23 bytes of a fixed field
-    field = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
-    field[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    """The pairs whose exact sets are similar enough. Sets are made again from the texts of ``holders`` (class, doc_id), one document a class; a field of
+    bits over their ids keeps most others from being read into sets, and a join drops what it lets through."""
+    needed = common.written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(holders, "class"), "needed")
+    shared = docs.sparkSession.sparkContext.broadcast(common.IdField(needed.where("doc_id is not null").select("doc_id")))
 
     def sets(batches):
         seen: set[int] = set()
         for b in _slices(batches):
-            at = _slots(b.column(0).fill_null(0).to_numpy())
-            maybe = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) | b.column(0).is_null().to_numpy(zero_copy_only=False)
+            maybe = shared.value.maybe(b.column(0).fill_null(0).to_numpy()) | b.column(0).is_null().to_numpy(zero_copy_only=False)
             out = []
             for text in b.column(1).filter(pa.array(maybe)).to_pylist():
                 s = shingles(text)
@@ -410,7 +490,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame) -> DataFram
                 out.append((c, s.view(np.int64)))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["class", "set"])
 
-    found = docs.mapInArrow(sets, "class long, set array<long>").join(needed, "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
+    found = docs.mapInArrow(sets, "class long, set array<long>").join(needed.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
     left = pairs.join(found.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return left.where(both * (T[0] + T[1]) >= T[0] * (F.size("sa") + F.size("sb"))).select("a", "b")
@@ -431,23 +511,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class and component_id of every row of ``docs`` (doc_id, text)."""
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class and ``least`` of every row of ``docs`` (doc_id, text): the least document of its component, a struct of no_id,
+    doc_id, text_hash, in this order; null for an empty set."""
     spark = docs.sparkSession
-    parts = common.n_shuffle(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    frequent, hot = _frequent(docs, docs.count())
-    scan = common.written(_scan(docs, frequent, hot, parts), "scan")
-    rows = scan.where("part is null").select("doc_id", "n", "class", "point", "hot")
-    keys = scan.where("part is not null").select("part", "packed").repartition(parts, "part").sortWithinPartitions("part")
-    shared = keys.mapInArrow(_shared_keys, "bucket long, class long")
-    own = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(math.log(T[1] / T[0]) + 1e-9))
-    often = rows.select(F.explode("hot").alias("key"), F.explode(F.array(own, own + 1)).alias("cell"), "class")
-    shared = shared.unionByName(often.select(F.xxhash64("key", "cell").alias("bucket"), "class")).distinct()
-    points = rows.where("class is not null").groupBy("class").agg(F.first("point", True).alias("point"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = common.written(shared.join(sizes, "bucket").join(points.drop("point", "doc_id"), "class"), "members")
-    holders = points.select("class", "doc_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()  # two numbers
+    frequent, often = _frequent(docs, size.rows)
+    parts = max(common.n_shuffle(spark), -(-size.bytes // _PART))
+    scan = _scan(docs.withColumn("text_hash", F.xxhash64("text")), frequent, often, parts)
+    met = common.written(scan.repartition(common.n_shuffle(spark), "home").sortWithinPartitions("home", "class").mapInArrow(_met, _MET), "met")
+    points = met.where("band is not null").select("class", "n", "band", "point", "hot")
+    rows = met.where("band is null and bucket is null").select("doc_id", "text_hash", "n", "class")
+    often = points.select(F.explode("hot").alias("key"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("cell"), "class").select(F.xxhash64("key", "cell").alias("bucket"), "class").distinct()
+    sizes = often.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = common.written(met.where("bucket is not null").select("bucket", "class", "size").distinct().unionByName(often.join(sizes, "bucket").select("bucket", "class", "size")), "members")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = common.written(rows.where("class is not null").groupBy("class").agg(F.min(own).alias("least")), "least")
+    holders = least.select("class", "least.doc_id")
     # First pass: a class looks for a neighbour in two of its buckets, the largest and one by its name.
     both = F.array(F.max(F.struct("size", "bucket"))["bucket"], F.min("bucket"))
     two = members.groupBy("class").agg(both.alias("b")).select("class", F.explode(F.array_distinct("b")).alias("bucket"))
@@ -462,20 +543,41 @@ def join(docs: DataFrame) -> DataFrame:
     found = common.written(_verified(docs, more, holders), "links")
     if found.limit(1).count():
         labels = components(links.unionByName(found))
-    ids = rows.groupBy("class").agg(F.min("doc_id").alias("least")).where("class is not null")
-    named = ids.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("class", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = least.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    best = named.groupBy("component").agg(F.min("least").alias("best"))
+    named = named.join(best, "component").select("class", F.col("best").alias("least"))
+    return rows.withColumnRenamed("n", "n_shingles").join(named, "class", "left").select("doc_id", "text_hash", "n_shingles", "class", "least")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class and component_id of every row of ``docs`` (doc_id, text)."""
+    return linked(docs).select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component of ``docs`` the rows with its least doc_id, equal rows once; rows without a doc_id stay, equal texts once. All columns stay."""
-    least: Column = F.col("doc_id") == F.col("component_id")
-    ids = common.written(join(docs).where(least).select("doc_id").distinct(), "kept")
-    kept = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """Of each component of ``docs`` one document: that with the least doc_id (rows without one last), of several the least by a hash of the text; of rows
+    equal in doc_id and text one. Rows without words are copies of nothing and stay. All columns stay as they were.
+
+    Which documents go, and which come twice, is found on rows without texts. A field of bits over them parts the rows of ``docs``: most pass as they
+    are, and only those that it may name are exchanged."""
+    at = common.free_name(docs, "folio_copy")
+    key = lambda c: [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(f"{at}_d"), F.col("doc_id").isNull().alias(f"{at}_z"), c.alias(f"{at}_t")]
+    keys = [f"{at}_{x}" for x in "dzt"]
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    rows = linked(docs).select(*key(F.col("text_hash")), (F.col("least") != own).alias("copy")).groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.max("copy"), F.lit(False)).alias("copy"))
+    named = common.written(rows.where("copy or n > 1").select(*keys, "copy", F.xxhash64(*keys).alias("h")), "copies")
+    shared = docs.sparkSession.sparkContext.broadcast(common.IdField(named.select("h")))
+    keyed = docs.select(*common.own(docs), *key(F.xxhash64("text"))).select("*", F.xxhash64(*keys).alias(f"{at}_h"))
+
+    def part(wanted: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(shared.value.maybe(b.column(b.num_columns - 1).to_numpy()) == wanted))
+
+        return common.map_rows(keyed, run)
+
+    some = part(True).dropDuplicates(keys).join(named.where("copy").select(*keys), keys, "left_anti")
+    return part(False).select(*common.own(docs)).unionByName(some.select(*common.own(docs)))
 
 
 def op10_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
