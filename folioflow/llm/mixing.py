@@ -7,10 +7,10 @@ upwards first, one pass down settles all of this, with exact integers.
 
 A leaf gets its whole epochs, and of one more epoch the longest prefix within the rest, in the order of a seeded hash that is different for each
 epoch. The prefix is found without sorting the leaf: hashes fall into about ``rows / BUCKET_ROWS`` equal ranges, whose token sums are added up; only the
-range in which the budget ends is ordered.
+distinct hashes of the range in which the budget ends are ordered. Equal rows have equal hashes; as many of them are taken as the budget has room for.
 
 Defined results: null text has no tokens; a null domain, language or source is a value of its own; rows with null or repeated doc_ids are taken or
-left one by one (the hash takes in the text); an empty table gives no rows; a leaf of weight 0 gets nothing.
+left one by one (the hash takes in the text); of rows equal in doc_id and text, any as many as fit; an empty table gives no rows; a leaf of weight 0 gets nothing.
 """
 
 from __future__ import annotations
@@ -66,51 +66,78 @@ def plan(leaves: DataFrame, budget: Column, weights=WEIGHTS, max_epochs: int = M
     return out
 
 
-def mix(docs: DataFrame, domain: Column, into: str, seed: int = SEED, max_epochs: int = MAX_EPOCHS, budget: tuple[int, int] = BUDGET, weights=WEIGHTS) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source) with a struct ``into``: domain, n_tokens and copies, how often the row is taken. The budget is a
-    fraction of all tokens."""
-    key = f"{into}_key"
-    out = docs.withColumn(into, F.struct(domain.alias("domain"), n_tokens(F.col("text")).alias("n_tokens")))
-    leaves = out.select(F.col(f"{into}.domain").alias("domain"), "lang", "source", F.col(f"{into}.n_tokens").alias("n")).groupBy(*LEVELS).agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+def _copies_of_equal_rows(edge: DataFrame, names: list[str], into: str) -> DataFrame:
+    """Of rows that are equal in key and doc_id, of which a leaf takes ``quota``: those in the first places of the written table. Whole partitions of that
+    table are counted first, and rows are numbered only in the one in which the quota ends."""
+    part = F.shiftright(f"{into}_row", 33)
+    edge = edge.withColumn(f"{into}_part", part)
+    sums = edge.groupBy(*names, f"{into}_part").agg(F.count("*").alias("n"), F.first(f"{into}_quota").alias("quota"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*names).orderBy(f"{into}_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("before", before).where("before < quota").select(*[F.col(n).alias(f"{n}_") for n in names], F.col(f"{into}_part").alias(f"{into}_part_"), "before")
+    on = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names] + [F.col(f"{into}_part") == F.col(f"{into}_part_")]
+    near = edge.join(sums.withColumnRenamed("before", f"{into}_before"), on)
+    place = F.row_number().over(Window.partitionBy(*names, f"{into}_part").orderBy(f"{into}_row"))
+    return near.withColumn(f"{into}_place", F.col(f"{into}_before") + place).where(F.col(f"{into}_place") <= F.col(f"{into}_quota")).select(f"{into}_row")
+
+
+def mix(docs: DataFrame, domain: Column, into: str, seed: int = SEED, max_epochs: int = MAX_EPOCHS, budget: tuple[int, int] = BUDGET, weights=WEIGHTS, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if not given) of ``docs`` (doc_id, text, lang, source) with a struct ``into``: domain, n_tokens and copies, how often the row
+    is taken. No other column of ``docs`` may have a name that begins with ``into``. The budget is a fraction of all tokens.
+
+    Texts are cut into words once, when the rows are written with their counts and text hashes; the passes that find where prefixes end read short columns."""
+    names = [f"{into}_{k}" for k in LEVELS]
+    n, row, key, at = (f"{into}_{x}" for x in ("n", "row", "key", "range"))
+    own = common.own(docs.select(*keep) if keep is not None else docs)
+    short = [domain.cast("string").alias(names[0]), F.col("lang").alias(names[1]), F.col("source").alias(names[2]), n_tokens(F.col("text")).alias(n), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias(f"{into}_hash"), F.col("doc_id").alias(f"{into}_id")]
+    rows = common.written(docs.select(*own, *short, F.monotonically_increasing_id().alias(row)), "tokens")
+    leaves = rows.groupBy(*[F.col(x).alias(k) for x, k in zip(names, LEVELS)]).agg(F.count("*").alias("rows"), F.sum(n).alias("tokens"))
     leaves = common.written(leaves, "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first().t  # one number
     given = plan(leaves, F.lit(total * budget[0] // budget[1]), weights, max_epochs)
     epochs = F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(0)
     ranges = F.least(F.lit(1 << 20), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("rows") / BUCKET_ROWS, F.lit(1)))))).cast("long")
     given = given.withColumn("epochs", epochs).withColumn("rest", F.col("given") - F.col("epochs") * F.col("tokens")).withColumn("size", F.lit(1 << HASH_BITS).cast("long") / ranges)
-    given = common.written(given.select(*[F.col(k).alias(f"{into}_{k}") for k in LEVELS], F.struct("epochs", "rest", F.col("size").cast("long").alias("size")).alias(f"{into}_leaf")), "plan")
-    on = [x.eqNullSafe(F.col(f"{into}_{k}")) for k, x in zip(LEVELS, (F.col(f"{into}.domain"), F.col("lang"), F.col("source")))]
+    given = common.written(given.select(*[F.col(k).alias(f"{into}_{k}_") for k in LEVELS], F.struct("epochs", "rest", F.col("size").cast("long").alias("size")).alias(f"{into}_leaf")), "plan")
+    same = [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in names]
     leaf = F.col(f"{into}_leaf")
-    text = F.concat_ws("|", F.lit(str(seed)), leaf["epochs"].cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    out = out.join(given, on).withColumn(key, F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long"))
-    out = out.withColumn(f"{into}_range", F.expr(f"{key} div {into}_leaf.size"))
+    text = F.concat_ws("|", F.lit(str(seed)), leaf["epochs"].cast("string"), F.coalesce(F.col(f"{into}_id").cast("string"), F.lit("")), F.col(f"{into}_hash"))
+    keyed = rows.join(given, same).drop(*[f"{x}_" for x in names]).withColumn(key, F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long"))
+    keyed = keyed.withColumn(at, F.expr(f"{key} div {into}_leaf.size"))
     # Token sums of ranges, partly summed before the shuffle; then the range in which each leaf's prefix ends.
-    names = [f"{into}_{k}" for k in LEVELS]
-    sums = out.groupBy(*names, f"{into}_range").agg(F.sum(f"{into}.n_tokens").alias("n"), F.first(leaf["rest"]).alias("rest"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*names).orderBy(f"{into}_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = sums.withColumn("before", before).where("before <= rest").groupBy(*names).agg(F.max_by(F.struct(F.col(f"{into}_range").alias("range"), "before"), f"{into}_range").alias("end"))
-    ends = common.written(ends.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("end").alias(f"{into}_end")), "ends")
-    out = out.join(ends, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names], "left").drop(*[f"{n}_" for n in names])
-    end, at = F.col(f"{into}_end"), F.col(f"{into}_range")
-    inner = Window.partitionBy(*names).orderBy(key, F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    sure = out.where(~F.coalesce(at == end["range"], F.lit(False))).withColumn(f"{into}_more", F.coalesce(at < end["range"], F.lit(False)))
-    edge = out.where(at == end["range"]).withColumn(f"{into}_more", end["before"] + F.sum(f"{into}.n_tokens").over(inner) <= leaf["rest"])
-    both = sure.unionByName(edge)
-    copies = (leaf["epochs"] + F.col(f"{into}_more").cast("long")).alias("copies")
-    return both.withColumn(into, F.struct(F.col(f"{into}.domain"), F.col(f"{into}.n_tokens"), copies)).select(*docs.columns, into)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*names).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = keyed.groupBy(*names, at).agg(F.sum(n).alias("n"), F.first(leaf["rest"]).alias("rest")).withColumn("before", before).where("before <= rest")
+    ends = sums.groupBy(*names).agg(F.max_by(F.struct(F.col(at).alias("range"), "before"), at).alias("end"))
+    ends = common.written(ends.select(*[F.col(x).alias(f"{x}_") for x in names], F.col("end").alias(f"{into}_end")), "ends")
+    # In that range, sums of equal rows (in key and doc_id), and the first of these that isn't taken whole: how many of them are.
+    end, slot = F.col(f"{into}_end"), F.struct(key, F.col(f"{into}_id").isNotNull().alias("has"), f"{into}_id")
+    inside = keyed.join(ends, same).where(F.col(at) == end["range"])
+    order = Window.partitionBy(*names).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = inside.groupBy(*names, slot.alias("slot")).agg(F.count("*").alias("m"), F.max(n).alias("n"), F.first(end["before"]).alias("start"), F.first(leaf["rest"]).alias("rest"))
+    slots = slots.withColumn("before", F.col("start") + F.coalesce(F.sum(F.col("m") * F.col("n")).over(order), F.lit(0))).where("before + m * n > rest")
+    limits = slots.groupBy(*names).agg(F.min_by(F.struct("slot", F.when(F.col("n") > 0, F.floor(F.greatest(F.col("rest") - F.col("before"), F.lit(0)) / F.greatest(F.col("n"), F.lit(1)))).otherwise(F.col("m")).alias("quota")), "slot").alias("l"))
+    ends = ends.join(limits.select(*[F.col(x).alias(f"{x}__") for x in names], "l"), [F.col(f"{x}_").eqNullSafe(F.col(f"{x}__")) for x in names], "left")
+    ends = common.written(ends.select(*[f"{x}_" for x in names], f"{into}_end", F.col("l.slot").alias(f"{into}_slot"), F.col("l.quota").alias(f"{into}_quota")), "ends")
+    marked = keyed.join(ends, same, "left").drop(*[f"{x}_" for x in names])
+    limit = F.col(f"{into}_slot")
+    ready = marked.select(*names, row, f"{into}_quota").where((F.col(at) == end["range"]) & (slot == limit) & (F.col(f"{into}_quota") > 0))
+    some = common.written(_copies_of_equal_rows(ready, names, into).withColumnRenamed(row, f"{row}_"), "some")
+    more = F.coalesce((F.col(at) < end["range"]) | (F.col(at) == end["range"]) & (limit.isNull() | (slot < limit)), F.lit(False)) | F.col(f"{row}_").isNotNull()
+    out = marked.join(some, F.col(row) == F.col(f"{row}_"), "left")
+    copies = (leaf["epochs"] + more.cast("long")).alias("copies")
+    return out.select(*own, F.struct(F.col(names[0]).alias("domain"), F.col(n).alias("n_tokens"), copies).alias(into))
 
 
 def resample(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as they are taken, all columns as they were."""
     into = common.free_name(docs, "folio_mix")
     out = mix(docs, domain_of(F.col("source")), into)
-    n = common.free_name(docs, "folio_n")
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(f"{into}.copies").cast("int"))).alias(n)).drop(n)
+    return out.withColumn(f"{into}_each", F.explode(F.array_repeat(F.lit(1), F.col(f"{into}.copies").cast("int")))).select(*common.own(docs))
 
 
 def op4_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs, domain_of(F.col("source")), "m").select("doc_id", F.col("m.domain").alias("domain"), "lang", "source", F.col("m.n_tokens").alias("n_tokens"), F.col("m.copies").alias("copies"))
+    out = mix(docs, domain_of(F.col("source")), "m", keep=["doc_id", "lang", "source"])
+    return out.select("doc_id", F.col("m.domain").alias("domain"), "lang", "source", F.col("m.n_tokens").alias("n_tokens"), F.col("m.copies").alias("copies"))
 
 
 def _level_sql(depth: int) -> str:
