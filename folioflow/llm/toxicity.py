@@ -4,17 +4,21 @@ Features of a text are its distinct words and their prefixes of four and five le
 loss is the logistic loss over a bounded sample of labelled documents, an L2 term, and a counterfactual term: each sentence of the sample that mentions an
 identity term is copied with every other term of its group in its place, and with the neutral placeholder, and the squared change of the
 margin is penalised. All pairs of terms of a group are penalised as well, so that terms the sample lacks behave alike. A group mention by itself
-then moves no score, whatever company it keeps in the labels.
+then moves no score, whatever company it keeps in the labels. What a swap changes depends on the two terms alone and on whether the sentence has the other one
+already, so all swaps of the sample are counted by these, and no sentence is left out.
+
+Words that speak for either label get weights: those that documents of the label have more often than by chance.
 
 Defined results: null and empty texts get the score of the bias alone; rows with null or repeated doc_ids are scored row by row; repeated labels of a
-doc_id count as the largest; null labels and ids teach nothing; with labels of fewer than two classes the score is the share of label 1 (0 without any);
-an empty table gives no rows; other columns are not read.
+doc_id count as the largest; of several texts of one doc_id that with the least hash is learned from; null labels and ids teach nothing; with labels of fewer
+than two classes the score is the share of label 1 (0 without any); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,9 +30,10 @@ from . import common
 
 #: Labelled documents of each class that are learned from, at most: those with the least hash of doc_id.
 SAMPLE_ROWS = {1: 4000, 0: 8000}
-#: Features with weights; how many toxic documents of the sample must have one, and by how many standard deviations more than by chance.
-MAX_FEATURES, LEAST_TOXIC, SURPLUS = 6000, 3, 4.0
-L2, COUNTERFACTUAL = 1e-3, 10.0
+#: Features with weights that speak for each label, at most; how many documents of that label in the sample must have one, and by how many standard
+#: deviations more than by chance.
+MAX_FEATURES, LEAST, SURPLUS = {1: 6000, 0: 300}, 3, 4.0
+L2, COUNTERFACTUAL = 1e-4, 10.0
 #: Groups of interchangeable identity terms.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
@@ -38,7 +43,10 @@ IDENTITY = (
     ("gay", "lesbian", "bisexual", "straight", "transgender"),
     ("black", "white", "asian", "african", "european", "american", "mexican"),
     ("immigrants", "refugees", "foreigners", "locals"),
-    ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
+    ("disabled", "blind", "deaf"),
+    ("frauen", "männer"), ("muslime", "christen", "juden"), ("ausländer", "flüchtlinge", "einheimische"), ("schwule", "lesben"),
+    ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("immigrés", "réfugiés", "étrangers"),
+    ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"), ("inmigrantes", "refugiados", "extranjeros"),
 )
 PLACEHOLDER = "people"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -71,62 +79,68 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, m))))
 
 
-def swaps(text: str, groups=IDENTITY) -> list[tuple[list[str], list[str]]]:
-    """For each sentence of ``text`` and each identity term in it: its distinct words as they are and with another term put in."""
-    out = []
+def swaps(text: str, groups=IDENTITY) -> Counter:
+    """How often a sentence of ``text`` loses an identity term and gains another word: (term, other), where other is empty if the sentence has it already."""
+    out: Counter = Counter()
     for s in _SENTENCE.findall(text.lower()):
         have = words(s)
         for group in groups:
             for term in have.intersection(group):
-                out += [(sorted(have), sorted(have - {term} | {other})) for other in (*group, PLACEHOLDER) if other != term]
+                out.update((term, "" if other in have else other) for other in (*group, PLACEHOLDER) if other != term)
     return out
 
 
-def fit(rows: list[tuple[list[str], int]], pairs: list[tuple[list[str], list[str]]], groups=IDENTITY, l2: float = L2, counterfactual: float = COUNTERFACTUAL, rounds: int = 400) -> Model:
-    """Fit on (features of a document, label) and (words of a sentence, words after a swap)."""
+class Objective:
+    """The loss over (features of a document, label), with swaps (term, other, weight) of which the weights add up to 1."""
+
+    def __init__(self, rows: list[tuple[list[str], int]], pairs: list[tuple[str, str, float]], groups=IDENTITY, l2: float = L2, counterfactual: float = COUNTERFACTUAL):
+        self.l2, self.counterfactual = l2, counterfactual
+        self.y = np.array([r[1] for r in rows], float)
+        terms = {f for group in groups for t in (*group, PLACEHOLDER) for f in features(t)}
+        self.names = sorted({f for r in rows for f in r[0]} | terms)
+        at = {f: i for i, f in enumerate(self.names)}
+        self.row = np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows])
+        self.column = np.array([at[f] for x in rows for f in x[0]], int)
+        template = [(a, b) for group in groups for a in group for b in (*group, PLACEHOLDER) if a < b]
+        deltas, weights = [], []
+        for a, b, weight in [*pairs, *((a, b, 1 / len(template)) for a, b in template)]:
+            d: Counter = Counter({at[f]: 1 for f in features(a)})
+            d.subtract([at[f] for f in features(b)] if b else [])
+            deltas.append({k: v for k, v in d.items() if v})
+            weights.append(weight)
+        self.pair = np.repeat(np.arange(len(deltas)), [len(d) for d in deltas])
+        self.place = np.array([k for d in deltas for k in d], int)
+        self.sign = np.array([v for d in deltas for v in d.values()], float)
+        self.weight = np.array(weights, float)
+
+    def __call__(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        """The loss and its gradients by the weights and the bias."""
+        n = len(self.y)
+        margin = bias + np.bincount(self.row, weights=w[self.column], minlength=n)
+        e = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - self.y) / n
+        change = np.bincount(self.pair, weights=self.sign * w[self.place], minlength=len(self.weight))
+        loss = float((np.logaddexp(0, margin) - self.y * margin).mean() + self.l2 / 2 * w @ w + self.counterfactual / 2 * self.weight @ change**2)
+        g = np.bincount(self.column, weights=e[self.row], minlength=len(w)) + self.l2 * w
+        g += self.counterfactual * np.bincount(self.place, weights=self.sign * (change * self.weight)[self.pair], minlength=len(w))
+        return loss, g, float(e.sum())
+
+
+def fit(rows: list[tuple[list[str], int]], pairs: list[tuple[str, str, float]], groups=IDENTITY, l2: float = L2, counterfactual: float = COUNTERFACTUAL, rounds: int = 400) -> Model:
+    """Fit on (features of a document, label) and swaps (term, other, weight)."""
     y = np.array([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return Model(math.log(share / (1 - share)), {})
-    terms = sorted({f for group in groups for t in (*group, PLACEHOLDER) for f in features(t)})
-    names = sorted({f for r in rows for f in r[0]} | set(terms))
-    at = {f: i for i, f in enumerate(names)}
-
-    def matrix(lists):
-        n = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        return n, np.array([at[f] for x in lists for f in x], int)
-
-    r, c = matrix([x[0] for x in rows])
-    # Each swap changes a few features of a sentence; differences weigh the same in sum however many swaps there are.
-    deltas: list[tuple[dict[int, float], float]] = []
-    template = [([a], [b]) for group in groups for a in group for b in (*group, PLACEHOLDER) if a < b]
-    for part in (pairs, template):
-        for before, after in part:
-            d: dict[int, float] = {}
-            for side, sign in ((before, 1.0), (after, -1.0)):
-                for w in side:
-                    for f in features(w):
-                        if f in at:
-                            d[at[f]] = d.get(at[f], 0.0) + sign
-            deltas.append(({k: v for k, v in d.items() if v}, 1 / max(len(part), 1)))
-    dr = np.repeat(np.arange(len(deltas)), [len(d) for d, _ in deltas])
-    dc = np.array([k for d, _ in deltas for k in d], int)
-    dv = np.array([v for d, _ in deltas for v in d.values()], float)
-    dw = np.array([s for _, s in deltas])
-    w, bias, n = np.zeros(len(names)), math.log(y.mean() / (1 - y.mean())), len(y)
+    loss = Objective(rows, pairs, groups, l2, counterfactual)
+    w, bias = np.zeros(len(loss.names)), math.log(y.mean() / (1 - y.mean()))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on all rows
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(r, weights=w[c], minlength=n), -50, 50)))
-        e = (p - y) / n
-        g = np.bincount(c, weights=e[r], minlength=len(w)) + l2 * w / 10
-        change = np.bincount(dr, weights=dv * w[dc], minlength=len(deltas)) * dw
-        g += counterfactual * np.bincount(dc, weights=dv * change[dr], minlength=len(w))
-        gb = e.sum()
+        _, g, gb = loss(w, bias)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.1 / (1 - 0.9**t) * math.sqrt(1 - 0.999**t)
         w -= rate * m / (np.sqrt(v) + 1e-9)
         bias -= rate * mb / (math.sqrt(vb) + 1e-9)
-    return Model(float(bias), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-6})
+    return Model(float(bias), {f: float(x) for f, x in zip(loss.names, w) if abs(x) > 1e-6})
 
 
 def train(docs: DataFrame, labels: DataFrame, groups=IDENTITY, counterfactual: float = COUNTERFACTUAL) -> Model:
@@ -138,24 +152,28 @@ def train(docs: DataFrame, labels: DataFrame, groups=IDENTITY, counterfactual: f
         picked = rows if picked is None else picked.unionByName(rows)
     picked = common.written(picked, "picked")
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")  # at most sum(SAMPLE_ROWS) ids
+    sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
 
     def unpack(batches):
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                mentions = [x for pair in swaps(text, groups) for x in ("\t".join(pair[0]), "\t".join(pair[1]))]
-                yield pa.record_batch([pa.array([label], pa.int32()), pa.array([sorted({f for w in words(text) for f in features(w)})], pa.list_(pa.string())), pa.array([mentions], pa.list_(pa.string()))], names=["toxic", "features", "mentions"])
+                found = [("\t".join(k), n) for k, n in swaps(text, groups).items()]
+                yield pa.record_batch([pa.array([label], pa.int32()), pa.array([sorted({f for w in words(text) for f in features(w)})], pa.list_(pa.string())), pa.array([found], pa.map_(pa.string(), pa.int64()))], names=["toxic", "features", "swaps"])
 
-    sample = common.written(sample.select(F.col("toxic").cast("int"), "text").mapInArrow(unpack, "toxic int, features array<string>, mentions array<string>"), "sample")
+    sample = common.written(sample.select(F.col("toxic").cast("int"), "text").mapInArrow(unpack, "toxic int, features array<string>, swaps map<string,long>"), "sample")
     seen = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     size = sample.agg(F.avg("toxic").alias("share"), F.count("*").alias("n")).first()
     share = min(max(size.share or 0.0, 1e-6), 1 - 1e-6)
     surplus = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    best = [r.f for r in seen.where((F.col("bad") >= LEAST_TOXIC) & (surplus >= SURPLUS)).orderBy(surplus.desc(), "f").limit(MAX_FEATURES).select("f").collect()]
+    speaks = {1: ("bad", surplus), 0: ("good", -surplus)}
+    seen = common.written(seen.withColumn("good", F.col("n") - F.col("bad")), "features")
+    best = [r.f for label, most in MAX_FEATURES.items() for has, s in [speaks[label]] for r in seen.where((F.col(has) >= LEAST) & (s >= SURPLUS)).orderBy(s.desc(), "f").limit(most).select("f").collect()]
     keep = F.array() if not best else F.array_intersect("features", F.lit(best))
     rows = [(list(r.f), r.toxic) for r in sample.select("toxic", keep.cast("array<string>").alias("f")).collect()]
-    mentions = sample.where(F.size("mentions") > 0).select("mentions").limit(2000).collect()
-    pairs = [(m[0].split("\t"), m[1].split("\t")) for r in mentions for m in zip(r.mentions[::2], r.mentions[1::2])]
-    return fit(rows, pairs, groups, counterfactual=counterfactual)
+    # At most twice as many rows as there are pairs of terms of a group.
+    counts = sample.select(F.explode("swaps").alias("swap", "n")).groupBy("swap").agg(F.sum("n").alias("n")).orderBy("swap").collect()
+    total = sum(r.n for r in counts)
+    return fit(rows, [(*r.swap.split("\t"), r.n / total) for r in counts], groups, counterfactual=counterfactual)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,7 +198,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([shared.value.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, run)
 
 
 def learnable(labels: DataFrame) -> DataFrame:

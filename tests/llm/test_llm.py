@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from folioflow.llm import binary_ids, common, images, jaccard, language_id, mixing, packing, quality, tokens, toolcalls, toxicity, wordpiece
 
@@ -34,8 +35,15 @@ def corpus():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(corpus, name):
     e = tokens.Encoder(tokens.public_path(name))
-    for t in corpus:
-        assert np.frombuffer(e.encode(t), e.dtype).tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    plain = Tokenizer.from_file(tokens.public_path(name))
+    rng = random.Random(1)
+    parts = ["İ", "ß", "ª", "½", "Σ", "é", "e\u0301", "中", "\u0301", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "’", "The", "river", "Éa", "12", ".", ",", "..", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\x85", "\u200b", "ÿ.", "İ.", "K", "\U0001e900"]
+    texts = corpus + ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(1500)] + [" ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(5)) for _ in range(1500)]
+    ids, limits = e.encode_column(pa.array(texts, pa.string()), 5)
+    for i, t in enumerate(texts):
+        want = plain.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(t), e.dtype).tolist() == want and ids[limits[i] : limits[i + 1]].tolist() == [*want, 5], t
+    assert e.encode_column(pa.array([], pa.string()), 5)[1].tolist() == [0]
 
 
 def test_variable_length_code():
@@ -170,6 +178,66 @@ def test_quality_rules_in_the_middle_band(spark):
     assert [i for i in range(len(texts)) if not rows[i].kept] == list(range(255, 262))
 
 
+def least_determinant(x, rng, rounds=300):
+    """FAST-MCD by random starts on the vectors ``x``, with the operator's floor: mean, covariance and log-determinant."""
+    h = int(np.ceil(len(x) * quality.COVERED))
+
+    def floored(s):
+        lack = np.sqrt(np.maximum(np.array(quality.FLOOR) ** 2 - np.diag(s), 0))
+        f = np.diag(lack**2)
+        f[2, 3] = f[3, 2] = quality.TOGETHER * lack[2] * lack[3]
+        return s + f
+
+    best = None
+    for _ in range(rounds):
+        some = x[rng.choice(len(x), 5, replace=False)]
+        m, s, last = some.mean(0), floored(np.cov(some.T, bias=True)), np.inf
+        while True:
+            d = x - m
+            near = np.argsort((d @ np.linalg.inv(s) * d).sum(1), kind="stable")[:h]
+            m, raw = x[near].mean(0), np.cov(x[near].T, bias=True) * quality.CONSISTENCY
+            s = floored(raw)
+            det = np.linalg.slogdet(s)[1]
+            if det > last - 1e-9:
+                break
+            last = det
+        if best is None or det < best[2] - 1e-9:
+            best = m, raw, det
+    return best, floored
+
+
+def test_least_determinants_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows, groups = [], {}
+    for k, (n, bad) in enumerate([(400, 0.2), (150, 0.1), (60, 0.0), (40, 0.2)]):
+        a = rng.normal(0, 1, (4, 4)) * (12 if k % 2 else 5)
+        x = np.rint(rng.normal(0, 1, (n, 4)) @ a + 100)
+        out = rng.random(n) < bad
+        x[out] = np.rint(x[out] + rng.normal(90, 10, 4) * (1, 1, -1, 1))
+        groups[f"g{k}"] = x.astype(int)
+        rows += [(0, f"g{k}", None, *map(int, v), 1) for v in x]
+    cells = spark.createDataFrame(rows, "level int, lang string, source string, x0 int, x1 int, x2 int, x3 int, c long").groupBy("level", "lang", "source", "x0", "x1", "x2", "x3").agg(F.sum("c").alias("c"))
+    found = {r.lang: r for r in quality.minimum(common.written(cells)).collect()}
+    for k, x in groups.items():
+        (m, s, det), floored = least_determinant(x.astype(float), rng)
+        r = found[k]
+        own = np.array([[r[f"s{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+        # 300 random starts find a little less where a small group has no outliers and so many subsets are nearly as tight.
+        assert r.logdet <= det + (0.05 if len(x) > 100 else 0.35), (k, r.logdet, det)
+        far = lambda m, s: ((x - m) @ np.linalg.inv(floored(s)) * (x - m)).sum(1) > quality.CUTOFF
+        assert (far(np.array([r[f"m{i}"] for i in range(4)]), own) != far(m, s)).mean() <= 0.02
+
+
+def test_quality_rules_with_clashing_names(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(60)) for _ in range(30)] + ["spam " * 99, "", None]
+    names = ["folio_stats_w", "FOLIO_KEPT_m0", "folio_kept", "x0", "c", "level", "stats", "n_words", "w.x", "m"]
+    df = spark.createDataFrame([(i, t, None if i % 3 else "en", "s", *range(len(names))) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    rows = quality.keep_good(df)
+    assert rows.columns == df.columns and sorted(r.doc_id for r in rows.collect()) == list(range(30)) and {tuple(r)[4:] for r in rows.collect()} == {tuple(range(len(names)))}
+    assert quality.judge(df).count() == 33 and quality.keep_good(df.limit(0)).count() == 0 and quality.judge(df.where("doc_id > 29")).where("kept").count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = [prose(rng, 30) for _ in range(200)]
@@ -186,10 +254,47 @@ def test_toxicity(spark):
     loose = toxicity.train(df, labels, counterfactual=0.0)
     assert abs(loose.word("muslims") - loose.word("jews")) > 3 * abs(model.word("muslims") - model.word("jews"))
     assert toxicity.keep_clean(df, model).columns == df.columns
+    # Words may speak for clean texts, too.
+    calm = spark.createDataFrame([(i, t + " harbour" * (i % 2)) for i, t in enumerate(plain)] + [(i + 200, t) for i, t in enumerate(toxic)], "doc_id long, text string")
+    assert toxicity.train(calm, labels).word("harbour") < 0
     empty = toxicity.train(df.limit(0), labels.limit(0))
     assert toxicity.predict(df.limit(3), empty).where("predicted = 0").count() == 3
 
 
+def test_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    rows = [(sorted(rng.choice(["a", "b", "gay", "vile", "muslims", "musl-"], 3, replace=False).tolist()), int(i % 3 == 0)) for i in range(40)]
+    loss = toxicity.Objective(rows, [("muslims", "jews", 0.7), ("gay", "", 0.3)])
+    w, bias = rng.normal(0, 1, len(loss.names)), 0.3
+    value, g, gb = loss(w, bias)
+    brute = 0.0
+    for have, y in rows:
+        m = bias + sum(w[loss.names.index(f)] for f in have)
+        brute += np.log1p(np.exp(-m if y else m)) / len(rows)
+    word = lambda t: sum(w[loss.names.index(f)] for f in toxicity.features(t)) if t else 0.0
+    template = [(a, b) for group in toxicity.IDENTITY for a in group for b in (*group, toxicity.PLACEHOLDER) if a < b]
+    changes = [(0.7, "muslims", "jews"), (0.3, "gay", ""), *((1 / len(template), a, b) for a, b in template)]
+    brute += toxicity.L2 / 2 * (w**2).sum() + toxicity.COUNTERFACTUAL / 2 * sum(s * (word(a) - word(b)) ** 2 for s, a, b in changes)
+    assert abs(value - brute) < 1e-9
+    for i in range(len(w)):
+        d = np.zeros(len(w))
+        d[i] = 1e-6
+        assert abs((loss(w + d, bias)[0] - loss(w - d, bias)[0]) / 2e-6 - g[i]) < 1e-5
+    assert abs((loss(w, bias + 1e-6)[0] - loss(w, bias - 1e-6)[0]) / 2e-6 - gb) < 1e-6
+
+
+def test_swaps_are_counted():
+    assert toxicity.swaps("Gay men and women sing. The men sleep!\nNo one.", (("men", "women"), ("gay", "lesbian"))) == {("men", ""): 1, ("women", ""): 1, ("men", "people"): 2, ("women", "people"): 1, ("men", "women"): 1, ("gay", "lesbian"): 1, ("gay", "people"): 1}
+
+
+def test_toxicity_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, "vile", 1), (1, "kind", 2), (2, "kind words", 3), (None, "vile", 4), (3, None, 5), (3, "", 6)], "doc_id long, text string, `c.1` int")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, 0), (9, 1)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    assert toxicity.predict(df, model).count() == 6 and toxicity.keep_clean(df, model).columns == df.columns
+    assert toxicity.train(df, labels.where("toxic = 0")).score("vile") < 1e-6
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     alphabets = {"aa": "abcde ", "bb": "abxyz ", "cc": "éüßoi "}
@@ -268,11 +373,49 @@ def test_jaccard_components(spark, monkeypatch, leaf, chunk):
     got = {r.doc_id: r for r in rows}
     assert [got[i].n_shingles for i in range(len(texts))] == n
     assert [got[i].component_id for i in range(len(texts))] == want
-    df = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
-    assert jaccard.keep_one(df).columns == df.columns and jaccard.join(df.limit(0)).count() == 0
-
-
-def test_buckets_hold_every_similar_pair():
+    assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_buckets_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
+    rows = [(b, n, c, comp) for b, of in enumerate([[1] * 9 + [2] * 4 + [3, 4, 5, 6], [1] * 8, [1, 2], list(range(7))]) for n in [len(of)] for c, comp in enumerate(of)]
+    cells = {}
+    for r in jaccard._cells(spark.createDataFrame(rows, "bucket long, size long, class long, component long"), True).collect():
+        cells.setdefault(r.key, []).append((r["class"], r.component))
+    for b in {r[0] for r in rows}:
+        for i, x in enumerate(of := [r[2:] for r in rows if r[0] == b]):
+            for y in of[:i]:
+                assert x[1] == y[1] or any(x in g and y in g for g in cells.values())
+    # Chunks of a component that fills several do not meet each other.
+    assert not any(len({c for c, k in g if k == 1}) > 6 for g in cells.values())
+
+
+def test_one_document_of_each_group_stays(spark):
+    rng = random.Random(13)
+    base = [prose(rng, 60) for _ in range(6)]
+    near = lambda t, i: " ".join(w if k != 30 else f"edit{i}" for k, w in enumerate(t.split()))
+    texts = [*ODD, *base, *base[:3], *(near(t, i) for i, t in enumerate(base)), base[5].upper(), base[4]]
+    rows = [(rng.choice([None, i, i, 7, 1000 - i]), t, f"c{i}", i) for i, t in enumerate(texts)] + [(5, "a b", "x", 1), (5, "a b", "y", 2), (None, "", "p", 3), (None, "", "q", 4), (None, "alone " * 9, "r", 5), (None, "alone " * 9, "s", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `folio_copy.d` string, folio_copy_t int")
+    _, group = brute_components([r[1] for r in rows])
+    words = lambda t: bool(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    kept = [tuple(r) for r in jaccard.keep_one(df).collect()]
+    assert jaccard.keep_one(df).columns == df.columns and set(kept) <= set(rows)
+    for g in set(group):
+        members = [r for r, x in zip(rows, group) if x == g]
+        stay = [r for r in kept if r in members]
+        if words(members[0][1]):
+            ids = [r[0] for r in members if r[0] is not None]
+            assert len(stay) == 1 and stay[0][0] == (min(ids) if ids else None)
+    # Rows without words link with nothing: one of each doc_id and text.
+    bare = [r[:2] for r in rows if not words(r[1])]
+    assert sorted(map(str, (r[:2] for r in kept if not words(r[1])))) == sorted(map(str, set(bare)))
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [16, 3])
+def test_buckets_hold_every_similar_pair(monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
     rng = np.random.default_rng(3)
     sets = {}
     for _ in range(40):
@@ -282,15 +425,16 @@ def test_buckets_hold_every_similar_pair():
             s = np.unique(np.concatenate([kept, rng.integers(0, 2**63, int(len(kept) * rng.choice([0, 0.02, 0.08, 0.15]))).astype(np.uint64)]))
             if len(s):
                 sets[jaccard.class_of(s)] = s
+    seen, often = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    seen, often = seen[::3], often[::3]  # any counts make an order
     blobs = [[], []]
-    for i, (c, s) in enumerate(sets.items()):
-        k = jaccard.prefix(s, np.zeros(0, np.uint64))
-        blobs[i % 2].append((k.view(np.int64), np.full(len(k), c, np.int64), (2 * jaccard.band(len(s)) + (np.arange(len(k)) < jaccard.n_early(len(s)))).astype(np.uint8)))
-    rows = [(0, b"".join(np.concatenate(x).tobytes() for x in zip(*b))) for b in blobs]
+    for i, (c, x) in enumerate(sets.items()):
+        k, _ = jaccard.prefix(x, seen, often)
+        blobs[i % 2].append((k.astype(np.uint32), np.full(len(k), c, np.int64), np.full(len(k), jaccard.steps(len(x)), np.uint16), jaccard.left_over(len(x), len(k))))
     buckets = {}
-    for out in jaccard._shared_keys([pa.record_batch([pa.array(x) for x in zip(*rows)], names=["part", "packed"])]):
-        for bucket, c in zip(*(x.to_pylist() for x in out.columns)):
-            buckets.setdefault(bucket, set()).add(c)
+    for bucket, c, size in zip(*(x.tolist() for x in jaccard.shared_keys([b"".join(np.concatenate(x).tobytes() for x in zip(*b)) for b in blobs]))):
+        buckets.setdefault((bucket, size), set()).add(c)
+    assert all(len(g) == size for (_, size), g in buckets.items())
     met = {(a, b) for g in buckets.values() for a in g for b in g}
     for a, s in sets.items():
         for b, t in sets.items():
@@ -298,14 +442,62 @@ def test_buckets_hold_every_similar_pair():
             assert a == b or (a, b) in met or 100 * both < 75 * (len(s) + len(t) - both)
 
 
+def brute_mix(rows, leaf_of):
+    """Copies by the definition: leaves' budgets by trying capacities from the top, prefixes of the sorted leaf."""
+    import hashlib
+
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    leaves = {}
+    for r in rows:
+        leaves.setdefault(leaf_of(r), []).append(r)
+    tokens_of = {k: sum(words(r[1]) for r in v) for k, v in leaves.items()}
+    given = {}
+
+    def share(prefix, amount):
+        children = sorted({k[: len(prefix) + 1] for k in leaves if k[: len(prefix)] == prefix}, key=str)
+        cap = {c: sum(mixing.MAX_EPOCHS * n for k, n in tokens_of.items() if k[: len(c)] == c) for c in children}
+        weight = {c: mixing.WEIGHTS[len(prefix)].get(c[-1], 1) for c in children}
+        left, open_ = amount, set(children)
+        while full := [c for c in open_ if cap[c] * sum(weight[x] for x in open_) <= weight[c] * left]:
+            c = min(full, key=lambda c: (cap[c] / weight[c], str(c)))
+            open_.remove(c)
+            left -= cap[c]
+            settle(c, cap[c])
+        total = sum(weight[x] for x in open_)
+        for c in open_:
+            settle(c, left * weight[c] // total)
+
+    def settle(node, amount):
+        if len(node) == 3:
+            given[node] = amount
+        else:
+            share(node, amount)
+
+    share((), sum(tokens_of.values()) * mixing.BUDGET[0] // mixing.BUDGET[1])
+    out = []
+    for k, members in leaves.items():
+        epochs, rest = divmod(given[k], tokens_of[k]) if tokens_of[k] else (0, 0)
+        name = lambda r: "|".join([str(mixing.SEED), str(epochs), "" if r[0] is None else str(r[0]), hashlib.md5((r[1] or "").encode()).hexdigest()])
+        for r in sorted(members, key=lambda r: (int(hashlib.md5(name(r).encode()).hexdigest()[:15], 16), r[0] is not None, r[0] or 0)):
+            rest -= words(r[1])
+            out.append((r[0], r[1], epochs + (rest >= 0)))
+    return out
+
+
 def test_mixing(spark, corpus):
-    df = docs(spark, corpus * 3)
-    out = mixing.mix(df, F.lit(None).cast("string"), "m").select("lang", "source", "m.*").collect()
-    assert len(out) == len(corpus) * 3
-    total = sum(r.n_tokens for r in out)
-    taken = sum(r.n_tokens * r.copies for r in out)
-    assert taken <= total * 9 // 10 and all(0 <= r.copies <= mixing.MAX_EPOCHS for r in out)
-    assert mixing.resample(df).columns == df.columns and mixing.resample(df.limit(0)).count() == 0
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs(spark, corpus * 3).collect()] + [(None, "same words again", "en", "s0")] * 40 + [(9, "x " * 30, "en", "s0")] * 20 + [(None, None, "en", "s0")] * 3
+    names = ["m_key", "folio_mix_lang", "folio_mix_key", "FOLIO_MIX", "domain", "n", "rest", "copies", "a.b"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names)).repartition(3)
+    into = common.free_name(df, "folio_mix")
+    out = mixing.mix(df, F.lit(None).cast("string"), into).collect()
+    want = brute_mix(rows, lambda r: (None, r[2], r[3]))
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.doc_id, r.text, r[into].copies) for r in out), key=key) == sorted(want, key=key)
+    assert {tuple(r)[4:-1] for r in out} == {tuple(range(len(names)))}
+    again = mixing.resample(df)
+    assert again.columns == df.columns and {tuple(r)[4:] for r in again.collect()} == {tuple(range(len(names)))} and mixing.resample(df.limit(0)).count() == 0
+    want = brute_mix(rows, lambda r: ("web" if not (r[3] or "s0")[-1:].isdigit() or int((r[3] or "s0")[-1]) % 3 == 0 else "books", r[2], r[3]))
+    assert again.count() == sum(c for _, _, c in want)
 
 
 def test_budgets_go_to_siblings_first(spark):
