@@ -64,24 +64,29 @@ def normalize_bullets(notes: DataFrame) -> DataFrame:
 def normalize_ordered(notes: DataFrame) -> DataFrame:
     """Ordered items are counted from 1 at each indentation; anything but list items and blank lines starts anew.
 
-    The number of an item is how many items of its indentation lie behind the last one with a smaller indentation, within its segment.
-    """
+    The number of an item is how many items of its indentation lie behind the last one with a smaller indentation, within its segment. Each indentation of
+    a segment is a window of its own, in which items of smaller ones cut it into runs; an item is repeated for its own and the larger indentations, of
+    which a note has few (a new one takes as many characters)."""
     k = L.kinds(notes)
-    item = (F.col("kind") == "listItem") & F.col("line").rlike(js.ORDERED)
-    k = k.withColumn("segment", F.sum((~F.col("kind").isin("blank", "listItem")).cast("int")).over(L.so_far()))
     part = lambda i: F.regexp_extract("line", js.ORDERED, i)
-    items = k.where(item).groupBy("doc_id", "segment").agg(F.array_sort(F.collect_list(F.struct("line_no", F.length(part(1)).alias("indent")))).alias("items"))
-
-    def number(x: Column, i: Column) -> Column:
-        upto = F.slice(F.col("items"), F.lit(1), i + 1)
-        floor = F.coalesce(F.array_max(F.transform(F.filter(upto, lambda y: y["indent"] < x["indent"]), lambda y: y["line_no"])), F.lit(-1))
-        return F.struct(x["line_no"].alias("line_no"), F.size(F.filter(upto, lambda y: (y["indent"] == x["indent"]) & (y["line_no"] > floor))).alias("number"))
-
-    numbers = items.select("doc_id", F.explode(F.transform("items", number)).alias("x")).select("doc_id", "x.line_no", "x.number")
-    k = k.join(numbers, ["doc_id", "line_no"], "left")
+    item = (F.col("kind") == "listItem") & F.col("line").rlike(js.ORDERED)
+    k = k.withColumn("segment", F.sum((~F.col("kind").isin("blank", "listItem")).cast("int")).over(L.so_far())).withColumn("indent", F.when(item, F.length(part(1))))
+    levels = F.collect_set("indent").over(Window.partitionBy("doc_id", "segment"))
+    k = k.withColumn("levels", F.when(F.col("indent").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.filter(levels, lambda v: v >= F.col("indent"))))
+    k = k.withColumn("level", F.explode("levels"))
+    upto = lambda *more: Window.partitionBy("doc_id", "segment", "level", *more).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    k = k.withColumn("run", F.sum((F.col("indent") < F.col("level")).cast("int")).over(upto()))
+    k = k.withColumn("number", F.sum((F.col("indent") == F.col("level")).cast("int")).over(upto("run"))).where("indent is null or indent = level")
     plain = F.regexp_replace(part(2), "^0+(?=[0-9])", "")
     renumbered = F.concat(part(1), F.col("number").cast("string"), F.substring("line", F.length(part(1)) + F.length(part(2)) + 1, F.length("line")))
-    return L.rebuilt(k.withColumn("line", F.when(F.col("number").isNotNull() & (plain != F.col("number").cast("string")), renumbered).otherwise(F.col("line"))), "line", "sep")
+    return L.rebuilt(k.withColumn("line", F.when(F.col("indent").isNotNull() & (plain != F.col("number").cast("string")), renumbered).otherwise(F.col("line"))), "line", "sep")
+
+
+def mask_inline_code(text: Column, sign: str = "\0") -> Column:
+    """``text`` with the inside of each pair of backticks, over lines too, put out of sight: as many times ``sign``."""
+    parts = F.regexp_extract_all(text, F.lit("`[^`]*`|[^`]+|`"), F.lit(0))
+    hidden = lambda x: F.concat(F.lit("`"), F.repeat(F.lit(sign), F.length(x) - 2), F.lit("`"))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^`[^`]*`\z"), hidden(x)).otherwise(x)), "")
 
 
 def headings(notes: DataFrame) -> DataFrame:
@@ -110,3 +115,38 @@ def shift_headings(text: Column, by: Column) -> Column:
     # The mark of the last line must have white space behind it, which for the others may be their line feed.
     last = F.size(parts) - 1
     return F.array_join(F.transform(parts, lambda x, i: F.when((mark(x) != "") & ((i < last) | x.rlike(js.HEADING)), moved(x)).otherwise(x)), "\n")
+
+
+def _levels(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(js.HEADING)), lambda x: F.length(F.regexp_extract(x, js.HEADING, 1)))
+
+
+def context_level(text: Column, cursor: Column) -> Column:
+    """The level of the last heading before ``cursor``, null without one."""
+    return F.try_element_at(_levels(F.substr(text, F.lit(1), cursor.cast("int"))), F.lit(-1))
+
+
+def cascaded(text: Column, cursor: Column, fragment: Column) -> Column:
+    """``fragment`` with its headings moved, so that the highest is one below the last heading before ``cursor``; null if either has no heading."""
+    shift = context_level(text, cursor) + 1 - F.array_min(_levels(fragment))
+    return F.when(shift.isNotNull(), shift_headings(fragment, shift))
+
+
+def _edit(start: Column, end: Column, insert: Column) -> Column:
+    return F.struct(start.cast("int").alias("from"), end.cast("int").alias("to"), insert.alias("insert"))
+
+
+_PLAN = "array<struct<from:int,to:int,insert:string>>"
+
+
+def cascade(text: Column, cursor: Column, fragment: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """The plan that puts the cascaded fragment at ``cursor``, or in the place of ``start`` to ``end`` where these are given; empty if nothing cascades."""
+    moved = cascaded(text, cursor, fragment)
+    at, to = (cursor, cursor) if start is None else (F.coalesce(start, cursor), F.coalesce(end, cursor))
+    return F.when(moved.isNull(), F.array().cast(_PLAN)).otherwise(F.array(_edit(at, to, moved)))
+
+
+def cascade_or_insert(text: Column, cursor: Column, fragment: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """As ``cascade``, but a fragment that doesn't cascade is put in as it is; an empty or null one gives an empty plan."""
+    at, to = (cursor, cursor) if start is None else (F.coalesce(start, cursor), F.coalesce(end, cursor))
+    return F.when(F.coalesce(F.length(fragment), F.lit(0)) == 0, F.array().cast(_PLAN)).otherwise(F.array(_edit(at, to, F.coalesce(cascaded(text, cursor, fragment), fragment))))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as js
 from ..sources import scratch
 from . import lines as L
-from .cleanup import headings
 
+ATX = rf"^(#{{1,6}})[ \t]+({js.DOT}+?)[ \t]*\z"
 DEF = rf"^\[\^([^\]]+)\]: ({js.DOT}*)\z"
 DEF_LINE = r"^\[\^[^\]]+\]:"
 LINK_LINE = r"^\[([^\]]*)\]\(([^)]+)\)\z"
@@ -51,14 +53,83 @@ def existing_refs(notes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.regexp_extract("line", r"^\[\^([0-9]+)\]:", 1).cast("long").alias("id"), F.regexp_extract("next", r"^\[[^\]]*\]\(([^)]+)\)", 1).alias("url"))
 
 
+def atx(line: Column) -> Column:
+    """The level and the text of a heading line (blanks or tabs behind its marks, and a text), null for others."""
+    return F.when(line.rlike(ATX), F.struct(F.length(F.regexp_extract(line, ATX, 1)).cast("long").alias("level"), F.regexp_extract(line, ATX, 2).alias("text")))
+
+
+def section_name(setting: str) -> str:
+    """The name of the section for definitions that ``setting`` asks for, which may have heading marks before it."""
+    return re.sub(r"^#{1,6}[ \t]*", "", setting.strip()).strip() or "Resources"
+
+
+def section_heading(setting: str) -> str:
+    """The heading of that section where a note has none yet: ``setting`` itself if it is a heading, else one of the second level."""
+    found = re.match(r"(#{1,6})[ \t]+(.+?)[ \t]*$", setting.strip())
+    return f"{found[1]} {found[2]}" if found else f"## {section_name(setting)}"
+
+
+def with_section(rows: DataFrame, name: str = "Resources") -> DataFrame:
+    """Lines (doc_id, line_no, off, line) of notes with start_line, section_level, start_off and end_off of the note's first section with the heading ``name``: up to
+    the next heading of its level or above, or the end; null in notes without one. Running values over the notes' lines, no join."""
+    note = Window.partitionBy("doc_id")
+    rows = rows.withColumn("atx", atx(F.col("line")))
+    first = F.col("line_no") == F.col("start_line")
+    rows = rows.withColumn("start_line", F.min(F.when(F.col("atx.text") == name, F.col("line_no"))).over(note))
+    rows = rows.withColumn("start_off", F.max(F.when(first, F.col("off"))).over(note)).withColumn("section_level", F.max(F.when(first, F.col("atx.level"))).over(note))
+    ends = (F.col("line_no") > F.col("start_line")) & (F.col("atx.level") <= F.col("section_level"))
+    end = F.coalesce(F.min(F.when(ends, F.col("off"))).over(note), F.max(F.col("off") + F.length("line")).over(note))
+    return rows.withColumn("end_off", F.when(F.col("start_line").isNotNull(), end)).drop("atx")
+
+
 def resources_section(notes: DataFrame, name: str = "Resources") -> DataFrame:
-    """doc_id, level, start_off, end_off of the first section with the heading ``name``, up to the next heading of its level or above, or the end."""
-    h = headings(notes)
-    first = h.where(F.col("title") == name).groupBy("doc_id").agg(F.min(F.struct("line_no", "off", "level")).alias("s")).select("doc_id", "s.line_no", F.col("s.off").alias("start_off"), F.col("s.level").alias("level"))
-    after = h.select("doc_id", F.col("line_no").alias("l"), "off", F.col("level").alias("v"))
-    end = first.join(after, "doc_id").where((F.col("l") > F.col("line_no")) & (F.col("v") <= F.col("level"))).groupBy("doc_id").agg(F.min("off").alias("end"))
-    size = notes.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    return first.join(size, "doc_id").join(end, "doc_id", "left").select("doc_id", "level", "start_off", F.coalesce("end", "size").alias("end_off"))
+    """doc_id, level, start_off, end_off of the first section with the heading ``name`` of every note that has one."""
+    return with_section(L.lines(notes), name).where(F.col("line_no") == F.col("start_line")).select("doc_id", F.col("section_level").alias("level"), "start_off", "end_off")
+
+
+def note_footnotes(notes: DataFrame) -> DataFrame:
+    """Everything about footnotes in notes, as rows (doc_id, what, line_no, ord, id, title, url): definitions, references, citations and the section."""
+    none, at = F.lit(None).cast("string"), F.lit(1).cast("long")
+    out = definitions(notes).select("doc_id", F.lit("definition").alias("what"), "line_no", at.alias("ord"), "id", "title", "url")
+    out = out.unionByName(references(notes).select("doc_id", F.lit("reference").alias("what"), "line_no", "ord", "id", none.alias("title"), none.alias("url")))
+    out = out.unionByName(citations(notes).select("doc_id", F.lit("citation").alias("what"), "line_no", "ord", F.col("number").alias("id"), none.alias("title"), none.alias("url")))
+    section = with_section(L.lines(notes)).where(F.col("line_no") == F.col("start_line"))
+    return out.unionByName(section.select("doc_id", F.lit("section").alias("what"), "line_no", at.alias("ord"), none.alias("id"), F.lit("Resources").alias("title"), none.alias("url")))
+
+
+def count_definitions(plan: Column) -> Column:
+    """How many different numbers the definitions have that a plan of edits inserts."""
+    ids = F.flatten(F.transform(plan, lambda e: F.regexp_extract_all(e["insert"], F.lit(r"(?<![^\n\r\u2028\u2029])\[\^([0-9]+)\]:"), F.lit(1))))
+    return F.size(F.array_distinct(ids)).cast("long")
+
+
+def two_line(number: Column, snippet: Column, title: Column, url: Column) -> Column:
+    return F.concat(F.lit("[^"), number.cast("string"), F.lit("]: "), snippet, F.lit("\n["), title, F.lit("]("), url, F.lit(")"))
+
+
+def compact(number: Column, title: Column, url: Column) -> Column:
+    return F.concat(F.lit("[^"), number.cast("string"), F.lit("]: ["), title, F.lit("]("), url, F.lit(")"))
+
+
+def renamed(body: Column, ids: Column) -> Column:
+    """``body`` with its numeric references named by the map ``ids`` (bigint to bigint); others stay."""
+    number = lambda p: F.regexp_extract(p, r"\[\^([0-9]+)\]\z", 1)
+    to = lambda p: F.try_element_at(ids, number(p).try_cast("bigint"))
+    new = lambda p: F.concat(F.substr(p, F.lit(1), F.length(p) - F.length(number(p)) - 3), F.lit("[^"), to(p).cast("string"), F.lit("]"))
+    return F.array_join(F.transform(F.split(body, r"(?<=\])", -1), lambda p: F.when((number(p) != "") & to(p).isNotNull(), new(p)).otherwise(p)), "")
+
+
+def move_to_resources(rows: DataFrame, name: str = "Resources", heading: str | None = None) -> DataFrame:
+    """``rows`` (doc_id, text, defs: array of definitions that are text already) as (doc_id, plan): the edit that puts the definitions at the end of the note's
+    section ``name``, or into a new one at its end; empty without definitions."""
+    text = F.coalesce("text", F.lit(""))
+    section = resources_section(rows.select("doc_id", "text"), name)
+    out = rows.select("doc_id", text.alias("text"), F.coalesce("defs", F.array().cast("array<string>")).alias("defs")).join(section, "doc_id", "left")
+    body = F.when(F.exists("defs", lambda d: d.contains("\n")), F.array_join("defs", "\n\n")).otherwise(F.array_join("defs", "\n"))
+    at = F.coalesce("end_off", F.length("text")).cast("int")
+    insert = F.when(F.col("end_off").isNull(), F.concat(F.lit(f"\n{heading or '## ' + name}\n\n"), body)).otherwise(F.concat(F.lit("\n"), body, F.lit("\n")))
+    plan = F.when(F.size("defs") > 0, F.array(F.struct(at.alias("from"), at.alias("to"), insert.alias("insert")))).otherwise(F.array())
+    return out.select("doc_id", plan.cast("array<struct<from:int,to:int,insert:string>>").alias("plan"))
 
 
 def id_map(notes: DataFrame, norm) -> DataFrame:
@@ -118,7 +189,7 @@ def identity(notes: DataFrame, norm) -> DataFrame:
 
 def move(notes: DataFrame, name: str = "Resources", heading: str | None = None) -> DataFrame:
     """Numeric definitions outside the section ``name`` go to its end, or into a new one at the note's end; others stay."""
-    rows = _parts(notes).join(resources_section(notes, name), "doc_id", "left")
+    rows = with_section(_parts(notes), name)
     starts = F.max(F.when(F.col("owner") == F.col("line_no"), F.col("off"))).over(Window.partitionBy("doc_id", "owner"))
     outside = F.col("owner").isNotNull() & (F.col("start_off").isNull() | (starts < F.col("start_off")) | (starts >= F.col("end_off")))
     rows = rows.withColumn("moves", outside)
@@ -126,7 +197,7 @@ def move(notes: DataFrame, name: str = "Resources", heading: str | None = None)
     size = F.max(F.col("line_no")) + 1
     each = F.transform(F.array_sort(F.collect_list(F.when(F.col("moves") & F.col("def").isNotNull(), F.struct("line_no", text.alias("t"))))), lambda x: x["t"])
     # Where the section ends: before the line at its end, or behind the last.
-    at = F.coalesce(F.min(F.when((F.col("off") == F.col("end_off")) & F.col("line").rlike(js.HEADING), F.col("line_no"))), size)
+    at = F.coalesce(F.min(F.when((F.col("off") == F.col("end_off")) & F.col("line").rlike(ATX), F.col("line_no"))), size)
     moved = rows.groupBy("doc_id").agg(each.alias("defs"), at.alias("at"), F.max("start_off").alias("start")).where(F.size("defs") > 0)
     apart = F.when(F.exists("defs", lambda d: d.contains("\n")), "\n\n").otherwise("\n")
     body = F.array_join(F.transform(F.slice("defs", F.lit(2), F.size("defs")), lambda d: F.concat(apart, d)), "")

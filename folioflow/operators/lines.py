@@ -48,6 +48,14 @@ def _fences(ls: Column, after: Column) -> Column:
     return F.aggregate(marks, start, step, rest)
 
 
+def _inside(spans: Column, n: Column) -> Column:
+    """For each of ``n`` lines whether a span covers it: gaps and spans as runs of equal flags, one after the other."""
+    last = lambda s: F.least(s["b"], n - 1)
+    run = lambda s, i: F.concat(F.array_repeat(F.lit(False), s["a"] - F.coalesce(F.get(spans, i - 1)["b"], F.lit(-1)) - 1), F.array_repeat(F.lit(True), last(s) - s["a"] + 1))
+    rest = n - 1 - F.coalesce(last(F.get(spans, F.size(spans) - 1)), F.lit(-1))
+    return F.concat(F.flatten(F.transform(spans, run)), F.array_repeat(F.lit(False), rest))
+
+
 def kinds(notes: DataFrame) -> DataFrame:
     """doc_id, line_no, line, sep (what follows the line in the text), kind, block_no.
 
@@ -58,12 +66,12 @@ def kinds(notes: DataFrame) -> DataFrame:
     closing = F.array_position(F.slice(ls, 2, F.size(ls)), F.lit("---")).cast("int")
     front = F.when(F.get(ls, F.lit(0)) == "---", F.when(closing > 0, closing).otherwise(F.size(ls) - 1)).otherwise(-1)
     rows = _texts(notes).withColumn("front", front)
-    rows = rows.withColumn("fences", _fences(ls, F.col("front"))).withColumn("n", F.size(ls))
-    rows = rows.select("doc_id", "front", "fences", "n", F.posexplode("ls").alias("line_no", "line"))
+    rows = rows.withColumn("fences", _fences(ls, F.col("front"))).withColumn("n", F.size(ls)).withColumn("fenced", _inside(F.col("fences"), F.col("n")))
+    rows = rows.select("doc_id", "front", "n", F.posexplode(F.arrays_zip(ls.alias("line"), F.col("fenced").alias("fenced"))).alias("line_no", "x")).select("doc_id", "front", "n", "line_no", "x.line", "x.fenced")
     line, no = F.col("line"), F.col("line_no")
     fits = lambda pattern: line.rlike(pattern)
     raw = (
-        F.when(no <= F.col("front"), "frontmatter").when(F.exists("fences", lambda s: no.between(s["a"], s["b"])), "fencedCode")
+        F.when(no <= F.col("front"), "frontmatter").when(F.col("fenced"), "fencedCode")
         .when(fits(js.ATX), "atxHeading").when(fits(js.BLANK), "blank").when(fits(js.QUOTE), "blockquote").when(fits(js.LIST_ITEM), "listItem").when(fits(js.TABLE_ROW), "tableRow")
         .when(fits(js.UNDERLINE), F.when(fits(js.THEMATIC), "rule").otherwise("toggle")).when(fits(js.THEMATIC), "thematicBreak").when(fits(js.INDENTED), "indentedCode").otherwise("paragraph")
     )
@@ -92,9 +100,13 @@ def blocks(notes: DataFrame) -> DataFrame:
 
 
 def rebuilt(rows: DataFrame, *pieces: str, key: str = "line_no") -> DataFrame:
-    """Notes again from rows of (doc_id, ``key``) and the string columns ``pieces``, joined in order."""
+    """Notes again from rows of (doc_id, ``key``) and the string columns ``pieces``, joined in order. Notes whose doc_id another note has, too (null ids as well),
+    would come out mixed: that is an error; ``sources.notes.numbered`` gives every note an id of its own."""
     each = F.array_sort(F.collect_list(F.struct(key, F.concat(*pieces).alias("piece"))))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["piece"]), "").alias("text"))
+    out = rows.groupBy("doc_id").agg(each.alias("each"))
+    twice = F.size(F.array_distinct(F.transform("each", lambda x: x[key]))) < F.size("each")
+    text = F.array_join(F.transform("each", lambda x: x["piece"]), "")
+    return out.select("doc_id", F.when(twice, F.raise_error(F.concat(F.lit("several notes with doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("string")).otherwise(text).alias("text"))
 
 
 def block_texts(notes: DataFrame) -> DataFrame:

@@ -101,8 +101,28 @@ def cited(sources: Column, inline: Column) -> Column:
     return F.filter(sources, lambda s: F.exists(inline, lambda m: m["n"] == s["id"]))
 
 
+#: What a mark is at the place where its bracket opens, in the three grammars.
+APP_FORM, WEB_FORM, DOWNLOAD_FORM = r"^(\[[0-9]+\])(?!\()", r"^(\[[^\[\]]*\]\([^\[)]*\))", r"^(\[\^[A-Za-z0-9_]+\])"
+
+
+def placed(parsed: DataFrame, form: str) -> DataFrame:
+    """Of ``parsed`` (doc_id, body, inline): doc_id and the body as text, in which the k-th place of a mark is a reference with the number of the mark's k-th
+    entry in ``inline``; further places stay. Bodies are cut once before each opening bracket; places and entries meet by mark and k.
+
+    Marks with a bracket inside would be cut; bodies with such a mark are searched for each mark instead."""
+    odd = F.exists("inline", lambda m: F.locate("[", m["marker"], 2) > 0)
+    rows = parsed.select("doc_id", "body", "inline", odd.alias("odd"))
+    pieces = rows.where("not odd").select("doc_id", F.posexplode(F.split("body", r"(?=\[)", -1)).alias("at", "piece")).withColumn("marker", F.nullif(F.regexp_extract("piece", form, 1), F.lit("")))
+    k = lambda order: F.row_number().over(Window.partitionBy("doc_id", "marker").orderBy(order))
+    pieces = pieces.withColumn("k", F.when(F.col("marker").isNotNull(), k("at")))
+    entries = rows.where("not odd").select("doc_id", F.posexplode("inline").alias("i", "m")).select("doc_id", "i", "m.marker", "m.n").withColumn("k", k("i")).drop("i")
+    new = F.concat(F.lit("[^"), F.col("n").cast("string"), F.lit("]"), F.substr("piece", F.length("marker") + 1, F.length("piece")))
+    both = pieces.join(entries, ["doc_id", "marker", "k"], "left").withColumn("piece", F.when(F.col("n").isNotNull(), new).otherwise(F.col("piece")))
+    return L.rebuilt(both, "piece", key="at").unionByName(rows.where("odd").select("doc_id", replace_markers(F.col("body"), F.col("inline")).alias("text")))
+
+
 def replace_markers(body: Column, inline: Column) -> Column:
-    """The body with its marks as references: the k-th place of a mark's text gets the number of its k-th entry."""
+    """The body with its marks as references: the k-th place of a mark's text gets the number of its k-th entry. Every mark searches the body; ``placed`` does not."""
     kth = F.transform(inline, lambda m, i: F.struct(m["marker"].alias("marker"), m["n"].alias("n"), F.size(F.filter(F.slice(inline, F.lit(1), i + 1), lambda x: x["marker"] == m["marker"])).alias("k")))
     placed = F.transform(kth, lambda m: F.struct(F.length(F.call_function("substring_index", body, m["marker"], m["k"])).alias("from"), m["marker"].alias("marker"), m["n"].alias("n")))
     plan = F.transform(F.filter(placed, lambda p: p["from"] < F.length(body)), lambda p: F.struct(p["from"].alias("from"), (p["from"] + F.length(p["marker"])).alias("to"), F.concat(F.lit("[^"), p["n"].cast("string"), F.lit("]")).alias("insert")))

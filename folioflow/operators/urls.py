@@ -7,20 +7,49 @@ from pyspark.sql import functions as F
 
 from .. import functions as js
 
-_URL = r"^(?i:(https?))://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?\z"
+_URL = r"^(?i:(https?)):[/\\]*([^/\\?#]*)([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?\z"
+#: Hosts that are names or addresses in brackets, with a port or not.
+_HOST = r"^(\[[0-9a-f:.]+\]|[^\x00-\x20\x7F#%/:<>?@\[\\\]^|]+)(?::([0-9]*))?\z"
+#: What paths have escaped, beside what isn't ASCII: fixed values.
+_ESCAPED = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "`": "%60", "{": "%7B", "}": "%7D", "^": "%5E"}
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without dot segments: two dots take the segment before them away."""
+    parts = F.split(path, "/", -1)
+    is_dot, is_up = (lambda x, p=p: x.rlike(rf"^(?i:{p})\z") for p in (r"\.|%2e", r"(\.|%2e)(\.|%2e)"))
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), lambda x, i: F.struct(x.alias("x"), (i == F.size(parts) - 2).alias("last")))
+    less = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    end = lambda a, last: F.when(last, F.array_append(a, F.lit(""))).otherwise(a)
+    kept = F.aggregate(rest, F.array().cast("array<string>"), lambda a, s: F.when(is_up(s["x"]), end(less(a), s["last"])).when(is_dot(s["x"]), end(a, s["last"])).otherwise(F.array_append(a, s["x"])))
+    return F.when(path.rlike(r"(?i:/(\.|%2e){1,2}(/|\z))"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def _escaped(path: Column) -> Column:
+    for sign, code in _ESCAPED.items():
+        path = F.replace(path, F.lit(sign), F.lit(code))
+    runs = F.regexp_extract_all(path, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]+"), F.lit(0))
+    return F.when(path.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^[^\x00-\x7F]"), F.url_encode(r)).otherwise(r)), "")).otherwise(path)
 
 
 def normalize_url(url: Column) -> Column:
-    """Host in lower case without user and default port, path without one slash at its end, parameters sorted by name, no fragment; anything but http(s) is
-    trimmed and put in lower case. For URLs whose path and query need no re-encoding (no dot segments, no characters to escape)."""
-    text = F.regexp_replace(url, f"^{js.WS}+|{js.WS}+\\z", "")
+    """Scheme and host in lower case without user and default port, path without dot segments and without one slash at its end, parameters sorted by
+    name and encoded as forms are, no fragment. Anything but a URL of http(s) is trimmed and put in lower case. Host names are taken as they are, but for case:
+    those with escapes count as no URL, and international or numeric spellings are not unified."""
+    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
     part = lambda i: F.regexp_extract(text, _URL, i)
     scheme = F.lower(part(1))
-    host = F.lower(F.regexp_replace(part(2), "^.*@", ""))
-    host = F.when(scheme == "http", F.regexp_replace(host, r":(80)?\z", "")).otherwise(F.regexp_replace(host, r":(443)?\z", ""))
-    path = F.regexp_replace(part(3), r"/\z", "")
-    named = lambda x, i: F.struct(F.substring_index(x, "=", 1).alias("name"), i.alias("i"), F.when(F.contains(x, F.lit("=")), x).otherwise(F.concat(x, F.lit("="))).alias("pair"))
-    pairs = F.transform(F.array_sort(F.transform(F.filter(F.split(part(4), "&", -1), lambda x: x != ""), named)), lambda x: x["pair"])
-    query = F.array_join(pairs, "&")
-    whole = F.concat(scheme, F.lit("://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(text.rlike(_URL), whole).otherwise(F.lower(text))
+    whole = F.lower(F.regexp_replace(part(2), "^.*@", ""))
+    number = F.regexp_replace(F.regexp_extract(whole, _HOST, 2), "^0+(?=[0-9])", "")
+    own = F.when(scheme == "http", "80").otherwise("443")
+    host = F.concat(F.regexp_extract(whole, _HOST, 1), F.when((number == "") | (number == own), "").otherwise(F.concat(F.lit(":"), number)))
+    path = F.regexp_replace(_escaped(_without_dots(F.replace(part(3), F.lit("\\"), F.lit("/")))), r"/\z", "")
+    # An escape without two digits is a percent sign.
+    decoded = lambda x: F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+    value = lambda x: F.when(F.contains(x, F.lit("=")), F.substr(x, F.locate("=", x) + 1, F.length(x))).otherwise("")
+    named = lambda x, i: F.struct(decoded(F.substring_index(x, "=", 1)).alias("name"), i.alias("i"), decoded(value(x)).alias("value"))
+    pairs = F.array_sort(F.transform(F.filter(F.split(part(4), "&", -1), lambda x: x != ""), named))
+    query = F.array_join(F.transform(pairs, lambda x: F.concat(F.url_encode(x["name"]), F.lit("="), F.url_encode(x["value"]))), "&")
+    out = F.concat(scheme, F.lit("://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    is_url = text.rlike(_URL) & whole.rlike(_HOST) & F.coalesce(F.nullif(number, F.lit("")).try_cast("long") <= 65535, number == "", F.lit(False))
+    return F.when(is_url, out).otherwise(F.lower(F.regexp_replace(url, f"^{js.WS}+|{js.WS}+\\z", "")))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import cleanup, footnotes, reflow, tables, urls
+from ..operators import cleanup, edits, footnotes, reflow, tables, urls
+from ..sources import scratch
+
+#: The steps of the clean-up, in their order.
+STEPS = {
+    "box_table": tables.box_table, "reflow": reflow.reflow, "dehyphenate": cleanup.dehyphenate, "dewrap": cleanup.dewrap, "tidy_whitespace": cleanup.tidy_whitespace,
+    "decompose_ligatures": cleanup.decompose_ligatures, "normalize_bullets": cleanup.normalize_bullets, "normalize_ordered": cleanup.normalize_ordered, "normalize_headings": cleanup.normalize_headings,
+}
 
 
 @dataclass(frozen=True)
@@ -20,16 +28,45 @@ class Recipe:
     normalize_bullets: bool = True
     normalize_ordered: bool = True
     normalize_headings: bool = True
+    cascade: bool = True
+    from_citations: bool = True
+    identity: bool = True
+    move: bool = True
 
 
 def apply_cleanup(notes: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
-    """Notes after the steps that ``recipe`` turns on, in its order; each step sees the text the one before it left."""
-    for f in fields(recipe):
-        if getattr(recipe, f.name):
-            notes = getattr({"box_table": tables, "reflow": reflow}.get(f.name, cleanup), f.name)(notes)
+    """Notes after the steps of the clean-up that ``recipe`` turns on, in their order; each step sees the text the one before it left."""
+    for name, step in STEPS.items():
+        if getattr(recipe, name):
+            notes = step(notes)
     return notes.select("doc_id", "text")
 
 
+def _tidied(notes: DataFrame, recipe: Recipe, section: str) -> DataFrame:
+    return footnotes.tidy(notes, urls.normalize_url, section, recipe.from_citations, recipe.identity, recipe.move)
+
+
 def format_notes(notes: DataFrame, recipe: Recipe = Recipe(), section: str = "Resources") -> DataFrame:
     """Whole notes after the clean-up and the tidying of their footnotes."""
-    return footnotes.tidy(apply_cleanup(notes, recipe), urls.normalize_url, section)
+    return _tidied(apply_cleanup(notes, recipe), recipe, section)
+
+
+def format_selection(notes: DataFrame, recipe: Recipe = Recipe(), section: str = "Resources") -> DataFrame:
+    """``notes`` (doc_id, text, cursor, sel_from, sel_to, input) cleaned up, with the selected text cascaded under its heading and footnotes tidied: doc_id, plan (none
+    or one edit of the original) and text. The selection keeps its original offsets and text; notes without one have null ends."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = scratch.written(notes.select("doc_id", text("text").alias("original"), "cursor", "sel_from", "sel_to", "input"))
+    clean = rows.join(apply_cleanup(rows.select("doc_id", F.col("original").alias("text")), recipe), "doc_id")
+    if recipe.cascade:
+        moved = F.when(F.col("sel_from").isNotNull() & F.col("sel_to").isNotNull(), cleanup.cascaded(F.col("text"), F.col("cursor"), text("input")))
+        put = F.concat(F.substr("text", F.lit(1), F.col("sel_from").cast("int")), moved, F.substr("text", F.col("sel_to").cast("int") + 1, F.length("text")))
+        clean = clean.withColumn("text", F.coalesce(put, "text"))
+    done = _tidied(clean.select("doc_id", "text"), recipe, section)
+    both = edits.diff_plan(rows.select("doc_id", "original").join(done, "doc_id"), "original", "text")
+    return both.select("doc_id", "plan", "text")
+
+
+def paste_and_format(pastes: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
+    """Pasted texts (doc_id, text) after the clean-up. A line feed before them keeps a first line of three hyphens from opening front matter, and goes again."""
+    out = apply_cleanup(pastes.select("doc_id", F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")), recipe)
+    return out.select("doc_id", F.regexp_replace("text", "^\n", "").alias("text"))
