@@ -37,21 +37,35 @@ _MARKS = [
 #: Notes with citations, references, definitions and sections.
 FOOTNOTES = f"SELECT doc_id, {_put('text', _MARKS)} AS text FROM documents"
 
-#: Pasted answers in the three grammars, and plain texts.
-PASTES = f"""SELECT conv_id * 1000 + turn AS doc_id, CASE (conv_id + turn) % 5
+_PASTE = f"""CASE (conv_id + turn) % 5
  WHEN 0 THEN text || {_s(chr(10), 'Sources', chr(10), '[1] A title https://ex.com/', chr(10))}
  WHEN 1 THEN {_put('text', [(' the ', _s(' [the](https://ex.com/t) ')), (' an', _s(' ![an](img.png) [host](http://h.org)'))])}
  WHEN 2 THEN text || {_s(chr(10), '  [^1_2]: https://ex.org/x  ')}
  WHEN 3 THEN {_s('Sources: none', chr(10))} || {_put('text', [(' the ', _s(' [the](https://ex.com/t) '))])}
- ELSE text END AS text FROM conversations"""
+ ELSE text END"""
+#: Pasted answers in the three grammars, and plain texts.
+PASTES = f"SELECT conv_id * 1000 + turn AS doc_id, {_PASTE} AS text FROM conversations"
 
-#: Pasted answers of two blocks with sources each; every fifth without an answer.
-ANSWERS = f"""SELECT conv_id * 1000 + turn AS doc_id, {_s('pre', chr(10))} || CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE {_s('## Answer', chr(10))} || {_put('text', [(' the ', _s(' [1] ')), (' an', _s(' [02][x] an'))])}
- || {_s(chr(10), 'Sources', chr(10), '[1] A title https://ex.com/ ', chr(10), 'lost', chr(10), '[7] B  https://b.org', chr(10), '## Answer two', chr(10), 'again [1] [03]', chr(10), 'Quellen ', chr(10), '[1] C https://c.org/x', chr(10), '## Tail', chr(10), 'end')} END AS text FROM conversations"""
+_ANSWER = f"""{_s('pre', chr(10))} || CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE {_s('pre [1] [^2]', chr(10), '## Answer', chr(10))} || {_put('text', [(' the ', _s(' [1] ')), (' an', _s(' [02][x] an')), (' of ', _s(chr(10), '### Part', chr(10))), (' in ', _s(' [7](u) '))])}
+ || {_s(chr(10), 'Sources', chr(10), '[1] A title https://ex.com/ ', chr(10), 'lost', chr(10), '[7] B  https://b.org', chr(10))} || CASE turn % 3 WHEN 0 THEN '' ELSE {_s('## Answer two', chr(10), 'again [1] [03]', chr(10), 'Quellen ', chr(10), '[1] C https://c.org/x', chr(10), '[2] D HTTPS://EX.com:443', chr(10), '## Tail', chr(10), 'end')} END END"""
+#: Pasted answers of one or two blocks with sources each; every fifth without an answer.
+ANSWERS = f"SELECT conv_id * 1000 + turn AS doc_id, {_ANSWER} AS text FROM conversations"
 
+_DOWNLOAD = f"""{_s('<IMG src="x"/>')} || {_put('text', [(' the ', _s(' [^1_1] ')), (' an', _s('<span style="a">[^1_2]', chr(10), '</span> an[^9_9]')), (' of ', _s(chr(10), chr(10), chr(10), chr(10), '## Of', chr(10)))])} || CASE turn % 3 WHEN 0 THEN ' [^1_2] [^1_1]:' ELSE '' END
+ || {_s(chr(10), '<div>⁂</div>', chr(10), chr(10), '  [^1_1]: https://WWW.Ex.com:443/a', chr(10))} || CASE turn % 4 WHEN 0 THEN {_s('[^1_2]: plain', chr(10), chr(10))} WHEN 1 THEN {_s('[^1_2]: http://h.org/?q=1', chr(10), '[^1_3]: http://x.y', chr(10))} ELSE {_s('tail ', chr(10))} END"""
 #: Downloaded answers with tags, marks and definitions.
-DOWNLOADS = f"""SELECT conv_id * 1000 + turn AS doc_id, {_s('<IMG src="x"/>')} || {_put('text', [(' the ', _s(' [^1_1] ')), (' an', _s('<span style="a">[^1_2]', chr(10), '</span> an[^9_9]'))])}
- || {_s(chr(10), '<div>⁂</div>', chr(10), chr(10), '  [^1_1]: https://WWW.Ex.com:443/a', chr(10), '[^1_2]: plain', chr(10), chr(10))} AS text FROM conversations"""
+DOWNLOADS = f"SELECT conv_id * 1000 + turn AS doc_id, {_DOWNLOAD} AS text FROM conversations"
+
+_NOTE = f"""CASE conv_id % 7 WHEN 0 THEN {_s('plain', chr(10))} ELSE {_s('# Top', chr(10), 'see [^3]', chr(10))} || CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN {_s('## Resources', chr(10), '[^3]: old', chr(10), '[t](https://b.org/)', chr(10))}
+ ELSE {_s('### Deep', chr(10), '[^4]: x', chr(10), '[u](https://ex.com/)', chr(10), '[^9]: none', chr(10), '## Resources', chr(10), chr(10), '# Next', chr(10))} END END"""
+
+
+def _into_notes(paste: str) -> str:
+    return f"SELECT conv_id * 1000 + turn AS doc_id, {_NOTE} AS text, CASE WHEN conv_id % 7 = 0 THEN 0 ELSE 15 END AS cursor, {paste} AS input FROM conversations"
+
+
+#: Notes with a cursor into which answers of each grammar are pasted: with headings or without, with definitions and a section for them or without.
+INTO_NOTES = {"app": _into_notes(_ANSWER), "web": _into_notes(_PASTE), "web-download": _into_notes(_DOWNLOAD)}
 
 #: URLs of pages in several spellings.
 URLS = """SELECT page_id AS doc_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN upper(substr(url, 1, 12)) || substr(url, 13) WHEN 2 THEN ' ' || url || '?z=1&b=2&a&b=1'
@@ -64,6 +78,7 @@ SCRIPTS = """SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1
  p_size % 2 = 0 AS in_catalog, CASE WHEN p_size % 2 = 0 THEN p_partkey % 4 END AS catalog_version, p_size % 3 <> 0 AS online,
  CAST(p_size % 3 AS VARCHAR(9)) || CASE WHEN p_size % 19 = 0 THEN '' ELSE '.' END || CAST(p_partkey % 5 AS VARCHAR(9)) AS available, CAST(p_partkey % 3 AS VARCHAR(9)) || '.' || CAST(p_size % 4 AS VARCHAR(9)) AS required, p_name AS name FROM part"""
 
-#: Captioned frames of two logical rows, the second of two lines; every fifth is ragged, every third has text behind it.
-FRAMES = f"""SELECT c_custkey AS doc_id, {_s('cap', chr(10), '┌──┬──┐', chr(10), '│ ')} || c_name || ' │ ' || c_mktsegment || {_s(' │', chr(10), '├──┼──┤', chr(10), '│ k')} || CAST(c_nationkey AS VARCHAR(9)) || ' │ x|y │' || CASE WHEN c_custkey % 5 = 0 THEN ' z │' ELSE '' END
- || {_s(chr(10), '│  │ m')} || CAST(c_custkey % 7 AS VARCHAR(9)) || {_s(' │', chr(10), '└──┴──┘')} || CASE WHEN c_custkey % 3 = 0 THEN {_s(chr(10), 'end', chr(10))} ELSE '' END AS text FROM customer"""
+#: Captioned frames of two to four logical rows and two or three columns in four styles, some ragged or indented, with text close behind them or not.
+FRAMES = f"""SELECT c_custkey AS doc_id, translate({_s('cap', chr(10))} || CASE WHEN c_custkey % 7 = 0 THEN chr(10) ELSE '' END || {_s('┌──┬──┐', chr(10), '│ ')} || c_name || ' │ ' || c_mktsegment || CASE WHEN c_custkey % 11 = 0 THEN ' │ third' ELSE '' END || {_s(' │', chr(10), '├──┼──┤', chr(10), '│ k')} || CAST(c_nationkey AS VARCHAR(9)) || ' │ x|y │' || CASE WHEN c_custkey % 5 = 0 THEN ' z │' ELSE '' END || CASE WHEN c_custkey % 11 = 0 THEN ' w │' ELSE '' END
+ || {_s(chr(10), '│  │ m')} || CAST(c_custkey % 7 AS VARCHAR(9)) || CASE WHEN c_custkey % 11 = 0 OR c_custkey % 5 = 0 THEN ' │ ' ELSE '' END || CASE WHEN c_custkey % 55 = 0 THEN ' │ ' ELSE '' END || {_s(' │', chr(10))} || CASE WHEN c_custkey % 2 = 0 THEN {_s('├──┼──┤', chr(10), '│ a │ b ', chr(10), '  free', chr(10))} ELSE '' END || {_s('└──┴──┘')}
+ || CASE WHEN c_custkey % 3 = 0 THEN {_s(chr(10), 'end', chr(10))} ELSE '' END, '┌┬┐├┼┤└┴┘─│', CASE c_custkey % 4 WHEN 0 THEN '┌┬┐├┼┤└┴┘─│' WHEN 1 THEN '╔╦╗╠╬╣╚╩╝═║' WHEN 2 THEN '┏┳┓┣╋┫┗┻┛━┃' ELSE '+++++++++-│' END) AS text FROM customer"""

@@ -39,25 +39,123 @@ def _lines_sql(notes: str) -> str:
  l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::BIGINT AS i, len(ls) AS n FROM p)"""
 
 
-#: Lines read one by one, with the open front matter or fence and the kind of the line before as state.
-_KINDS = f"""WITH RECURSIVE {_lines_sql(_N)},
- c AS (SELECT doc_id, i, line, CASE WHEN i < n - 1 THEN chr(10) ELSE '' END AS sep, regexp_extract(line, '^{_W}{{0,3}}(`{{3,}}|~{{3,}})', 1) AS run, regexp_matches(line, '^(=+|-+){_W}*$') AS u,
+def _kinds_sql(notes: str, x: str = "") -> str:
+    """Lines read one by one, with the open front matter or fence and the kind of the line before as state; names end in ``x``."""
+    return f"""n{x} AS ({notes}),
+ p{x} AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM n{x}),
+ l{x} AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::BIGINT AS i, len(ls) AS n FROM p{x}),
+ c{x} AS (SELECT doc_id, i, line, CASE WHEN i < n - 1 THEN chr(10) ELSE '' END AS sep, regexp_extract(line, '^{_W}{{0,3}}(`{{3,}}|~{{3,}})', 1) AS run, regexp_matches(line, '^(=+|-+){_W}*$') AS u,
   CASE WHEN regexp_matches(line, '^#{{1,6}}({_W}|$)') THEN 'atxHeading' WHEN regexp_matches(line, '^{_W}*$') THEN 'blank' WHEN regexp_matches(line, '^{_W}*>') THEN 'blockquote'
    WHEN regexp_matches(line, '^{_W}*([-*+•–·]|[0-9]+[.)]) ') THEN 'listItem' WHEN regexp_matches(line, '^{_W}*[|]') THEN 'tableRow' WHEN regexp_matches(line, '^{_W}*([-*_]{_W}*){{3,}}$') THEN 'thematicBreak'
-   WHEN line LIKE '    %' THEN 'indentedCode' ELSE 'paragraph' END AS base FROM l),
- r AS (SELECT doc_id, i, line, sep, line = '---' AS fm, CASE WHEN line <> '---' THEN substr(run, 1, 1) ELSE '' END AS ch, CASE WHEN line <> '---' THEN len(run) ELSE 0 END AS fl,
-   CASE WHEN line = '---' THEN 'frontmatter' WHEN run <> '' THEN 'fencedCode' ELSE base END AS kind FROM c WHERE i = 0
+   WHEN line LIKE '    %' THEN 'indentedCode' ELSE 'paragraph' END AS base FROM l{x}),
+ r{x} AS (SELECT doc_id, i, line, sep, line = '---' AS fm, CASE WHEN line <> '---' THEN substr(run, 1, 1) ELSE '' END AS ch, CASE WHEN line <> '---' THEN len(run) ELSE 0 END AS fl,
+   CASE WHEN line = '---' THEN 'frontmatter' WHEN run <> '' THEN 'fencedCode' ELSE base END AS kind FROM c{x} WHERE i = 0
   UNION ALL
-  SELECT c.doc_id, c.i, c.line, c.sep, r.fm AND c.line <> '---', CASE WHEN r.fm THEN '' WHEN r.fl > 0 THEN CASE WHEN substr(c.run, 1, 1) = r.ch AND len(c.run) >= r.fl THEN '' ELSE r.ch END ELSE substr(c.run, 1, 1) END,
-   CASE WHEN r.fm THEN 0 WHEN r.fl > 0 THEN CASE WHEN substr(c.run, 1, 1) = r.ch AND len(c.run) >= r.fl THEN 0 ELSE r.fl END ELSE len(c.run) END,
-   CASE WHEN r.fm THEN 'frontmatter' WHEN r.fl > 0 OR c.run <> '' THEN 'fencedCode' WHEN c.u AND c.base IN ('thematicBreak', 'paragraph') AND r.kind = 'paragraph' THEN 'setextHeading' ELSE c.base END
-  FROM r JOIN c ON c.doc_id = r.doc_id AND c.i = r.i + 1),
- s AS (SELECT doc_id, i, line, sep, CASE WHEN kind = 'paragraph' AND lead(kind) OVER w = 'setextHeading' THEN 'setextHeading' ELSE kind END AS kind FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
- t AS (SELECT *, CASE WHEN kind = 'blank' OR lag(kind) OVER w IS DISTINCT FROM kind THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
- k AS (SELECT * EXCLUDE (new), sum(new) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS b FROM t),
- free AS (SELECT *, kind NOT IN ('fencedCode', 'indentedCode', 'frontmatter') AS free FROM k)"""
+  SELECT c{x}.doc_id, c{x}.i, c{x}.line, c{x}.sep, r{x}.fm AND c{x}.line <> '---', CASE WHEN r{x}.fm THEN '' WHEN r{x}.fl > 0 THEN CASE WHEN substr(c{x}.run, 1, 1) = r{x}.ch AND len(c{x}.run) >= r{x}.fl THEN '' ELSE r{x}.ch END ELSE substr(c{x}.run, 1, 1) END,
+   CASE WHEN r{x}.fm THEN 0 WHEN r{x}.fl > 0 THEN CASE WHEN substr(c{x}.run, 1, 1) = r{x}.ch AND len(c{x}.run) >= r{x}.fl THEN 0 ELSE r{x}.fl END ELSE len(c{x}.run) END,
+   CASE WHEN r{x}.fm THEN 'frontmatter' WHEN r{x}.fl > 0 OR c{x}.run <> '' THEN 'fencedCode' WHEN c{x}.u AND c{x}.base IN ('thematicBreak', 'paragraph') AND r{x}.kind = 'paragraph' THEN 'setextHeading' ELSE c{x}.base END
+  FROM r{x} JOIN c{x} ON c{x}.doc_id = r{x}.doc_id AND c{x}.i = r{x}.i + 1),
+ s{x} AS (SELECT doc_id, i, line, sep, CASE WHEN kind = 'paragraph' AND lead(kind) OVER w = 'setextHeading' THEN 'setextHeading' ELSE kind END AS kind FROM r{x} WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ t{x} AS (SELECT *, CASE WHEN kind = 'blank' OR lag(kind) OVER w IS DISTINCT FROM kind THEN 1 ELSE 0 END AS new FROM s{x} WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ k{x} AS (SELECT * EXCLUDE (new), sum(new) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS b FROM t{x}),
+ free{x} AS (SELECT *, kind NOT IN ('fencedCode', 'indentedCode', 'frontmatter') AS free FROM k{x})"""
+
+
+_KINDS = f"WITH RECURSIVE {_kinds_sql(_N)}"
 _JOINED = "SELECT doc_id, string_agg({0}, '' ORDER BY i) AS text FROM {1} GROUP BY doc_id"
-_BODIES = _KINDS + ", bb AS (SELECT doc_id, b AS i, free, string_agg(line || sep, '' ORDER BY i) AS body FROM free GROUP BY doc_id, b, free)"
+def _bodies(notes: str, x: str) -> str:
+    return _kinds_sql(notes, x) + f", bb{x} AS (SELECT doc_id, b AS i, free, string_agg(line || sep, '' ORDER BY i) AS body FROM free{x} GROUP BY doc_id, b, free)"
+
+
+_PLAIN = "x"
+for _g, _p in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("æ", "ae"), ("œ", "oe"), ("“", '"'), ("”", '"'), ("‘", "''"), ("’", "''"), ("—", "-"), ("–", "-"), ("…", "...")):
+    _PLAIN = f"replace({_PLAIN}, '{_g}', '{_p}')"
+_TRIM = f"regexp_replace(regexp_replace({{0}}, '^{_W}+', ''), '{_W}+$', '')"
+
+# Each step of the clean-up: of a SELECT of notes, and an ending for names, the tables it needs and the SELECT of the notes after it.
+
+
+def _dehyphenate_sql(notes, x=""):
+    return _bodies(notes, x), _JOINED.format("CASE WHEN free THEN regexp_replace(body, '(`[^`]*`)|([a-z])-\n([a-z])', '\\1\\2\\3', 'g') ELSE body END", f"bb{x}")
+
+
+def _dewrap_sql(notes, x=""):
+    return _kinds_sql(notes, x) + f", d{x} AS (SELECT *, CASE WHEN kind = 'paragraph' AND lead(b) OVER (PARTITION BY doc_id ORDER BY i) = b THEN ' ' ELSE sep END AS s2 FROM k{x})", _JOINED.format("line || s2", f"d{x}")
+
+
+def _ligatures_sql(notes, x=""):
+    return _bodies(notes, x), _JOINED.format(f"CASE WHEN free THEN array_to_string(list_transform(regexp_extract_all(body, '`[^`]*`|[^`]+|`'), lambda x: CASE WHEN x LIKE '`%`' AND len(x) > 1 THEN x ELSE {_PLAIN} END), '') ELSE body END", f"bb{x}")
+
+
+def _whitespace_sql(notes, x=""):
+    return _kinds_sql(notes, x) + f""",
+ y{x} AS (SELECT doc_id, i, sep, kind, CASE WHEN free AND kind NOT IN ('blank', 'tableRow') THEN regexp_replace(regexp_extract(line, '^{_W}*') || regexp_replace(regexp_replace(line, '^{_W}*', ''), '  +', ' ', 'g'), '[ \\t]+$', '') ELSE line END AS line,
+  sum(CASE WHEN kind = 'blank' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM free{x}),
+ z{x} AS (SELECT *, count(*) FILTER (kind = 'blank') OVER (PARTITION BY doc_id, g) AS m, row_number() OVER (PARTITION BY doc_id, g, kind = 'blank' ORDER BY i) AS q FROM y{x})""", f"SELECT doc_id, string_agg(line || sep, '' ORDER BY i) AS text FROM z{x} WHERE kind <> 'blank' OR m < 3 OR q = 1 GROUP BY doc_id"
+
+
+def _bullets_sql(notes, x=""):
+    return _kinds_sql(notes, x), _JOINED.format(f"CASE WHEN kind = 'listItem' THEN regexp_replace(line, '^({_W}*)[-*+•–·]([ \\t])', '\\1-\\2') ELSE line END || sep", f"k{x}")
+
+
+def _ordered_sql(notes, x=""):
+    return _kinds_sql(notes, x) + f""",
+ g{x} AS (SELECT *, sum(CASE WHEN kind IN ('blank', 'listItem') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g, len(regexp_extract(line, '^{_W}*')) AS ind, regexp_extract(line, '^{_W}*([0-9]+)[.)]', 1) AS dg FROM k{x}),
+ it{x} AS (SELECT * FROM g{x} WHERE kind = 'listItem' AND dg <> ''),
+ nr{x} AS (SELECT a.doc_id, a.i, count(*) AS nr FROM it{x} a JOIN it{x} x ON x.doc_id = a.doc_id AND x.g = a.g AND x.i <= a.i AND x.ind = a.ind
+  AND NOT EXISTS (SELECT 1 FROM it{x} y WHERE y.doc_id = a.doc_id AND y.g = a.g AND y.i > x.i AND y.i < a.i AND y.ind < a.ind) GROUP BY a.doc_id, a.i)""", f"SELECT g.doc_id, string_agg(CASE WHEN nr IS NOT NULL AND dg::HUGEINT <> nr THEN substr(line, 1, ind) || nr || substr(line, ind + len(dg) + 1) ELSE line END || sep, '' ORDER BY g.i) AS text FROM g{x} g LEFT JOIN nr{x} nr ON nr.doc_id = g.doc_id AND nr.i = g.i GROUP BY g.doc_id"
+
+
+def _heads_sql(x=""):
+    return f"h{x} AS (SELECT doc_id, i, line, len(regexp_extract(line, '^(#{{1,6}}){_W}', 1)) AS level FROM l{x} WHERE regexp_matches(line, '^#{{1,6}}{_W}'))"
+
+
+def _headings_sql(notes, x=""):
+    return f"""n{x} AS ({notes}), p{x} AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM n{x}), l{x} AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::BIGINT AS i FROM p{x}), {_heads_sql(x)},
+ o{x} AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ord FROM h{x}),
+ r{x} AS (SELECT doc_id, i, ord, level, level AS t FROM o{x} WHERE ord = 1 UNION ALL SELECT o.doc_id, o.i, o.ord, o.level, least(o.level, r{x}.t + 1) FROM r{x} JOIN o{x} o ON o.doc_id = r{x}.doc_id AND o.ord = r{x}.ord + 1)""", f"SELECT l.doc_id, string_agg(CASE WHEN t IS NOT NULL THEN repeat('#', t) || substr(line, r.level + 1) ELSE line END, chr(10) ORDER BY l.i) AS text FROM l{x} l LEFT JOIN r{x} r ON r.doc_id = l.doc_id AND r.i = l.i GROUP BY l.doc_id"
+
+
+_FRAME = r"^([ \t\n\f\r\x0b]|[┌┬┐├┼┤└┴┘─┏┳┓┣╋┫┗┻┛━╔╦╗╠╬╣╚╩╝═│┃║|+=-])+$"
+
+
+def _boxes_sql(notes, x=""):
+    mark = lambda s: f"sum(CASE WHEN content THEN len(line) - len(replace(line, '{s}', '')) ELSE 0 END) OVER (PARTITION BY doc_id, isl)"
+    row = lambda v: f"'| ' || array_to_string(list_transform({v}, lambda v: replace(v, '|', '\\|')), ' | ') || ' |'"
+    return _kinds_sql(notes, x) + f""",
+ x1{x} AS (SELECT doc_id, i, line, sep, kind NOT IN ('fencedCode', 'frontmatter') AND NOT regexp_matches(line, '^{_W}*$') AS drawn, coalesce(NOT regexp_matches(lag(line) OVER w, '^{_W}*$'), false) AS above, coalesce(NOT regexp_matches(lead(line) OVER w, '^{_W}*$'), false) AS below FROM k{x} WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ x2{x} AS (SELECT *, drawn AND regexp_matches(line, '{_FRAME}') AS border FROM x1{x}),
+ x3{x} AS (SELECT *, border OR drawn AND regexp_matches(line, '[│┃║|]') AS solid, border AND regexp_matches(line, '[┌┬┐├┼┤└┴┘┏┳┓┣╋┫┗┻┛╔╦╗╠╬╣╚╩╝+]') AND regexp_matches(line, '[─━═=-]') AS top FROM x2{x}),
+ x4{x} AS (SELECT *, sum(CASE WHEN solid THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS isl FROM x3{x}),
+ x5{x} AS (SELECT *, solid AND bool_or(top) OVER (PARTITION BY doc_id, isl ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM x4{x}),
+ x6{x} AS (SELECT *, run AND NOT border AS content FROM x5{x}),
+ x7{x} AS (SELECT *, sum(CASE WHEN content THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, isl ORDER BY i) AS grp, {mark('│')} AS s1, {mark('┃')} AS s2, {mark('║')} AS s3, {mark('|')} AS s4 FROM x6{x}),
+ x8{x} AS (SELECT doc_id, isl, grp, i, list_transform(string_split(line, CASE greatest(s1, s2, s3, s4) WHEN s1 THEN '│' WHEN s2 THEN '┃' WHEN s3 THEN '║' ELSE '|' END), lambda v: {_TRIM.format('v')}) AS ps FROM x7{x} WHERE content),
+ x9{x} AS (SELECT doc_id, isl, grp, i, CASE WHEN len(ps) > 1 AND ps[1] = '' THEN ps[2:] ELSE ps END AS ps FROM x8{x}),
+ xa{x} AS (SELECT doc_id, isl, grp, i, CASE WHEN len(ps) > 1 AND ps[-1] = '' THEN ps[:-2] ELSE ps END AS ps FROM x9{x}),
+ xb{x} AS (SELECT doc_id, isl, grp, list(ps ORDER BY i) AS pieces, min(len(ps)) AS a, max(len(ps)) AS z FROM xa{x} GROUP BY doc_id, isl, grp),
+ xc{x} AS (SELECT doc_id, isl, grp, a, z, list_transform(range(1, z + 1), lambda c: array_to_string(list_filter(list_transform(pieces, lambda p: p[c]), lambda v: v <> ''), ' ')) AS cs FROM xb{x}),
+ xd{x} AS (SELECT doc_id, isl, list({row('cs')} ORDER BY grp) AS rs, max(z) AS z FROM xc{x} GROUP BY doc_id, isl HAVING min(a) = max(z)),
+ xe{x} AS (SELECT doc_id, isl, array_to_string(list_concat(list_concat(rs[1:1], ['| ' || array_to_string(list_transform(range(z), lambda v: '---'), ' | ') || ' |']), rs[2:]), chr(10)) AS tbl FROM xd{x}),
+ xf{x} AS (SELECT x7{x}.*, tbl, tbl IS NOT NULL AND run AS turned FROM x7{x} LEFT JOIN xe{x} USING (doc_id, isl)),
+ xg{x} AS (SELECT *, min(i) OVER w = i AS first, arg_max(sep, i) OVER w AS ls, arg_max(below, i) OVER w AS lb FROM xf{x} WINDOW w AS (PARTITION BY doc_id, isl, turned))""", f"SELECT doc_id, string_agg(CASE WHEN turned THEN CASE WHEN above THEN chr(10) ELSE '' END || tbl || ls || CASE WHEN lb AND ls = chr(10) THEN chr(10) ELSE '' END ELSE line || sep END, '' ORDER BY i) AS text FROM xg{x} WHERE NOT turned OR first GROUP BY doc_id"
+
+
+def _chained(notes: str, *steps, x: str = "_") -> tuple[str, str]:
+    """The tables of several steps one after the other, and the SELECT of the last."""
+    tables = []
+    for i, step in enumerate(steps):
+        more, notes_after = step(notes, f"{x}{i}")
+        tables += [more, f"out{x}{i} AS ({notes_after})"]
+        notes = f"SELECT doc_id, text FROM out{x}{i}"
+    return ",\n".join(tables), notes
+
+
+def _sql(step) -> str:
+    return f"WITH RECURSIVE {step[0]} {step[1]}"
+
+
+_CLEANUP = (_boxes_sql, _dehyphenate_sql, _dewrap_sql, _whitespace_sql, _ligatures_sql, _bullets_sql, _ordered_sql, _headings_sql)
 
 
 @_query("st1_lines", "SELECT doc_id, text FROM documents", f"WITH {_lines_sql('SELECT doc_id, text FROM documents')} SELECT doc_id, i AS line_no, coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, line FROM l")
@@ -70,51 +168,37 @@ def _blocks(notes):
     return lines.blocks(notes)
 
 
-@_query("cl1_dehyphenate", _N, _BODIES + " " + _JOINED.format("CASE WHEN free THEN regexp_replace(body, '(`[^`]*`)|([a-z])-\\n([a-z])', '\\1\\2\\3', 'g') ELSE body END", "bb"))
+@_query("cl1_dehyphenate", _N, _sql(_dehyphenate_sql(_N)))
 def _dehyphenate(notes):
     return cleanup.dehyphenate(notes)
 
 
-@_query("cl2_dewrap", _N, _KINDS + ", d AS (SELECT *, CASE WHEN kind = 'paragraph' AND lead(b) OVER (PARTITION BY doc_id ORDER BY i) = b THEN ' ' ELSE sep END AS s2 FROM k) " + _JOINED.format("line || s2", "d"))
+@_query("cl2_dewrap", _N, _sql(_dewrap_sql(_N)))
 def _dewrap(notes):
     return cleanup.dewrap(notes)
 
 
-_PLAIN = "x"
-for _g, _p in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("æ", "ae"), ("œ", "oe"), ("“", '"'), ("”", '"'), ("‘", "''"), ("’", "''"), ("—", "-"), ("–", "-"), ("…", "...")):
-    _PLAIN = f"replace({_PLAIN}, '{_g}', '{_p}')"
-
-
-@_query("cl3_decompose_ligatures", _N, _BODIES + " " + _JOINED.format(f"CASE WHEN free THEN array_to_string(list_transform(regexp_extract_all(body, '`[^`]*`|[^`]+|`'), lambda x: CASE WHEN x LIKE '`%`' AND len(x) > 1 THEN x ELSE {_PLAIN} END), '') ELSE body END", "bb"))
+@_query("cl3_decompose_ligatures", _N, _sql(_ligatures_sql(_N)))
 def _ligatures(notes):
     return cleanup.decompose_ligatures(notes)
 
 
-@_query("cl4_tidy_whitespace", _N, _KINDS + f""",
- y AS (SELECT doc_id, i, sep, kind, CASE WHEN free AND kind NOT IN ('blank', 'tableRow') THEN regexp_replace(regexp_extract(line, '^{_W}*') || regexp_replace(regexp_replace(line, '^{_W}*', ''), '  +', ' ', 'g'), '[ \\t]+$', '') ELSE line END AS line,
-  sum(CASE WHEN kind = 'blank' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM free),
- z AS (SELECT *, count(*) FILTER (kind = 'blank') OVER (PARTITION BY doc_id, g) AS m, row_number() OVER (PARTITION BY doc_id, g, kind = 'blank' ORDER BY i) AS q FROM y)
- SELECT doc_id, string_agg(line || sep, '' ORDER BY i) AS text FROM z WHERE kind <> 'blank' OR m < 3 OR q = 1 GROUP BY doc_id""")
+@_query("cl4_tidy_whitespace", _N, _sql(_whitespace_sql(_N)))
 def _tidy(notes):
     return cleanup.tidy_whitespace(notes)
 
 
-@_query("li1_normalize_bullets", _N, _KINDS + " " + _JOINED.format(f"CASE WHEN kind = 'listItem' THEN regexp_replace(line, '^({_W}*)[-*+•–·]([ \\t])', '\\1-\\2') ELSE line END || sep", "k"))
+@_query("li1_normalize_bullets", _N, _sql(_bullets_sql(_N)))
 def _bullets(notes):
     return cleanup.normalize_bullets(notes)
 
 
-@_query("li2_normalize_ordered", _N, _KINDS + f""",
- g AS (SELECT *, sum(CASE WHEN kind IN ('blank', 'listItem') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g, len(regexp_extract(line, '^{_W}*')) AS ind, regexp_extract(line, '^{_W}*([0-9]+)[.)]', 1) AS dg FROM k),
- it AS (SELECT * FROM g WHERE kind = 'listItem' AND dg <> ''),
- nr AS (SELECT a.doc_id, a.i, count(*) AS nr FROM it a JOIN it x ON x.doc_id = a.doc_id AND x.g = a.g AND x.i <= a.i AND x.ind = a.ind
-  AND NOT EXISTS (SELECT 1 FROM it y WHERE y.doc_id = a.doc_id AND y.g = a.g AND y.i > x.i AND y.i < a.i AND y.ind < a.ind) GROUP BY a.doc_id, a.i)
- SELECT g.doc_id, string_agg(CASE WHEN nr IS NOT NULL AND dg::HUGEINT <> nr THEN substr(line, 1, ind) || nr || substr(line, ind + len(dg) + 1) ELSE line END || sep, '' ORDER BY g.i) AS text FROM g LEFT JOIN nr ON nr.doc_id = g.doc_id AND nr.i = g.i GROUP BY g.doc_id""")
+@_query("li2_normalize_ordered", _N, _sql(_ordered_sql(_N)))
 def _ordered(notes):
     return cleanup.normalize_ordered(notes)
 
 
-_HEADS = f"h AS (SELECT doc_id, i, line, len(regexp_extract(line, '^(#{{1,6}}){_W}', 1)) AS level FROM l WHERE regexp_matches(line, '^#{{1,6}}{_W}'))"
+_HEADS = _heads_sql()
 
 
 @_query("st4_headings", _N, f"WITH {_lines_sql(_N)}, {_HEADS}, o AS (SELECT doc_id, i, coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM l) SELECT h.doc_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.i) AS ord, h.i AS line_no, off, level::BIGINT AS level, regexp_replace(regexp_replace(substr(line, level + 1), '^{_W}+', ''), '{_W}+$', '') AS title FROM h JOIN o ON h.doc_id = o.doc_id AND h.i = o.i")
@@ -122,10 +206,7 @@ def _headings(notes):
     return cleanup.headings(notes)
 
 
-@_query("he1_normalize_headings", _N, f"""WITH RECURSIVE {_lines_sql(_N)}, {_HEADS},
- o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ord FROM h),
- r AS (SELECT doc_id, i, ord, level, level AS t FROM o WHERE ord = 1 UNION ALL SELECT o.doc_id, o.i, o.ord, o.level, least(o.level, r.t + 1) FROM r JOIN o ON o.doc_id = r.doc_id AND o.ord = r.ord + 1)
- SELECT l.doc_id, string_agg(CASE WHEN t IS NOT NULL THEN repeat('#', t) || substr(line, level + 1) ELSE line END, chr(10) ORDER BY l.i) AS text FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.i = l.i GROUP BY l.doc_id""")
+@_query("he1_normalize_headings", _N, _sql(_headings_sql(_N)))
 def _normalize_headings(notes):
     return cleanup.normalize_headings(notes)
 
@@ -148,7 +229,7 @@ def _cascade(notes):
     return parts.select("doc_id", "context", F.when(F.col("shift").isNotNull(), F.concat("a", cleanup.shift_headings(F.col("b"), F.col("shift")))).alias("text"))
 
 
-@_query("pi1_cleanup_headings_lists", _N)
+@_query("pi1_cleanup_headings_lists", _N, _sql(_chained(_N, *_CLEANUP)))
 def _cleanup(notes):
     return format.apply_cleanup(notes)
 
@@ -259,8 +340,7 @@ def _format_notes(notes):
     return format.format_notes(notes)
 
 
-@_query("cl6_box_table", builders.FRAMES, f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE 'cap' || chr(10) || chr(10) || '| ' || split_part(split_part(text, chr(10), 3), ' ', 2) || ' | ' || split_part(split_part(text, '│', 3), ' ', 2) || ' |' || chr(10) || '| --- | --- |' || chr(10)
- || '| ' || regexp_extract(text, '│ (k[0-9]+) │', 1) || ' | x\\|y ' || regexp_extract(text, '│  │ (m[0-9]) │', 1) || ' |' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'end' || chr(10) ELSE '' END END AS text FROM ({builders.FRAMES})""")
+@_query("cl6_box_table", builders.FRAMES, _sql(_boxes_sql(builders.FRAMES)))
 def _box_table(notes):
     return tables.box_table(notes)
 
@@ -303,9 +383,6 @@ def _web_sources(pastes):
     return surfaces.web_sources(pastes)
 
 
-_TRIM = f"regexp_replace(regexp_replace({{0}}, '^{_W}+', ''), '{_W}+$', '')"
-
-
 @_query("cp2_app_parse", builders.ANSWERS, f"""WITH t AS (SELECT doc_id, text, split_part(text, chr(10) || 'Sources' || chr(10), 1) AS a FROM ({builders.ANSWERS}))
  SELECT doc_id, CASE WHEN text = 'pre' || chr(10) THEN '' ELSE a || chr(10) || chr(10) || '## Answer two' || chr(10) || 'again [3] [5]' || chr(10) || '## Tail' || chr(10) || 'end' END AS body,
   CASE WHEN text = 'pre' || chr(10) THEN '' ELSE array_to_string(list_concat(list_transform(regexp_extract_all(a, '\\[[0-9]+\\]'), lambda x: CASE WHEN x = '[02]' THEN '[2]' ELSE x END), ['[3]', '[5]']), '') END AS marks,
