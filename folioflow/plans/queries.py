@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleanup, edits, footnotes, lines, pastes, reflow, registry, surfaces, tables, urls
+from ..operators import cleanup, edits, footnotes, lines, reflow, registry, surfaces, tables, urls
 from . import builders, format
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _built(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    name = sql.rsplit("FROM ", 1)[1].split()[0]
+    name = re.findall("FROM ([a-z]+)", sql)[-1]
     return spark.sql(sql.replace(f"FROM {name}", "FROM {" + name + "}"), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
 
 
@@ -33,10 +34,10 @@ _W = r"[ \t\n\f\r\x0b]"
 _N, _FN = builders.NOTES, builders.FOOTNOTES
 
 
-def _lines_sql(notes: str) -> str:
-    return f"""n AS ({notes}),
- p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM n),
- l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::BIGINT AS i, len(ls) AS n FROM p)"""
+def _lines_sql(notes: str, x: str = "") -> str:
+    return f"""n{x} AS ({notes}),
+ p{x} AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM n{x}),
+ l{x} AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::BIGINT AS i, len(ls) AS n FROM p{x})"""
 
 
 def _kinds_sql(notes: str, x: str = "") -> str:
@@ -235,11 +236,19 @@ def _cleanup(notes):
 
 
 _NOT_DEF = r"NOT regexp_matches(line, '^\[\^[^\]]+\]:')"
-#: RE2 looks neither back nor ahead: marks are split off by the characters around them.
-_CITES = f"""{_lines_sql(_FN)},
- pc AS (SELECT doc_id, i, line, regexp_extract_all(line, '\\[[0-9]+\\]|\\[[^\\[]*|[^\\[]+') AS ts FROM l WHERE {_NOT_DEF}),
- tk AS (SELECT doc_id, i, unnest(ts) AS t, unnest(range(len(ts))) AS j FROM pc),
- ck AS (SELECT *, regexp_matches(t, '^\\[[0-9]+\\]$') AND coalesce(lead(t) OVER w, '') NOT LIKE '(%' AND coalesce(lag(t) OVER w, '') NOT LIKE '%^' AS cite FROM tk WINDOW w AS (PARTITION BY doc_id, i ORDER BY j))"""
+def _cites_sql(notes: str, x: str = "") -> str:
+    """RE2 looks neither back nor ahead: marks are split off by the characters around them."""
+    return f"""{_lines_sql(notes, x)},
+ pc{x} AS (SELECT doc_id, i, line, regexp_extract_all(line, '\\[[0-9]+\\]|\\[[^\\[]*|[^\\[]+') AS ts FROM l{x} WHERE {_NOT_DEF}),
+ tk{x} AS (SELECT doc_id, i, unnest(ts) AS t, unnest(range(len(ts))) AS j FROM pc{x}),
+ ck{x} AS (SELECT *, regexp_matches(t, '^\\[[0-9]+\\]$') AND coalesce(lead(t) OVER w, '') NOT LIKE '(%' AND coalesce(lag(t) OVER w, '') NOT LIKE '%^' AS cite FROM tk{x} WINDOW w AS (PARTITION BY doc_id, i ORDER BY j))"""
+
+
+_CITES = _cites_sql(_FN)
+
+
+def _citations_sql(notes, x=""):
+    return _cites_sql(notes, x) + f", x{x} AS (SELECT doc_id, i, string_agg(CASE WHEN cite THEN '[^' || t[2:-2]::HUGEINT || ']' ELSE t END, '' ORDER BY j) AS line FROM ck{x} GROUP BY doc_id, i)", f"SELECT l.doc_id, string_agg(coalesce(x.line, l.line), chr(10) ORDER BY l.i) AS text FROM l{x} l LEFT JOIN x{x} x ON x.doc_id = l.doc_id AND x.i = l.i GROUP BY l.doc_id"
 
 
 @_query("st9_citations", _FN, f"WITH {_CITES} SELECT doc_id, i AS line_no, row_number() OVER (PARTITION BY doc_id, i ORDER BY j) AS ord, t[2:-2] AS number FROM ck WHERE cite")
@@ -247,14 +256,17 @@ def _citations(notes):
     return footnotes.citations(notes)
 
 
-@_query("fn1_from_citations", _FN, f"""WITH {_CITES}, x AS (SELECT doc_id, i, string_agg(CASE WHEN cite THEN '[^' || t[2:-2]::HUGEINT || ']' ELSE t END, '' ORDER BY j) AS line FROM ck GROUP BY doc_id, i)
- SELECT l.doc_id, string_agg(coalesce(x.line, l.line), chr(10) ORDER BY l.i) AS text FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i GROUP BY l.doc_id""")
+@_query("fn1_from_citations", _FN, _sql(_citations_sql(_FN)))
 def _from_citations(notes):
     return notes.select("doc_id", footnotes.from_citations(F.col("text")).alias("text"))
 
 
-_DEFS = f"""{_lines_sql(_FN)}, nx AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nl FROM l),
- df AS (SELECT doc_id, i AS line_no, regexp_extract(line, '^\\[\\^([^\\]]+)\\]: (.*)$', 1) AS id, regexp_extract(line, '^\\[\\^([^\\]]+)\\]: (.*)$', 2) AS snippet, coalesce(regexp_matches(nl, '^\\[[^\\]]*\\]\\([^)]+\\)$'), false) AS two, nl FROM nx WHERE regexp_matches(line, '^\\[\\^[^\\]]+\\]: '))"""
+def _defs_sql(notes: str, x: str = "") -> str:
+    return f"""{_lines_sql(notes, x)}, nx{x} AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nl FROM l{x}),
+ df{x} AS (SELECT doc_id, i AS line_no, regexp_extract(line, '^\\[\\^([^\\]]+)\\]: (.*)$', 1) AS id, regexp_extract(line, '^\\[\\^([^\\]]+)\\]: (.*)$', 2) AS snippet, coalesce(regexp_matches(nl, '^\\[[^\\]]*\\]\\([^)]+\\)$'), false) AS two, nl FROM nx{x} WHERE regexp_matches(line, '^\\[\\^[^\\]]+\\]: '))"""
+
+
+_DEFS = _defs_sql(_FN)
 
 
 @_query("st7_definitions", _FN, f"WITH {_DEFS} SELECT doc_id, line_no, id, NOT regexp_matches(id, '^[0-9]+$') AS alpha, snippet, CASE WHEN two THEN regexp_extract(nl, '^\\[([^\\]]*)\\]\\(([^)]+)\\)$', 1) END AS title, CASE WHEN two THEN regexp_extract(nl, '^\\[([^\\]]*)\\]\\(([^)]+)\\)$', 2) END AS url FROM df")
@@ -262,9 +274,13 @@ def _definitions(notes):
     return footnotes.definitions(notes)
 
 
-_REFS = f"""pr AS (SELECT doc_id, i, regexp_extract_all(line, '\\[\\^[^\\]]+\\]|[^\\[]+|\\[') AS ts FROM l WHERE {_NOT_DEF}),
- tr AS (SELECT doc_id, i, unnest(ts) AS t, unnest(range(len(ts))) AS j FROM pr),
- rf AS (SELECT doc_id, i, j, t[3:-2] AS id FROM (SELECT *, lead(t) OVER (PARTITION BY doc_id, i ORDER BY j) AS nt FROM tr) WHERE t LIKE '[^%]' AND coalesce(nt, '') NOT LIKE ':%')"""
+def _refs_sql(x: str = "") -> str:
+    return f"""pr{x} AS (SELECT doc_id, i, regexp_extract_all(line, '\\[\\^[^\\]]+\\]|[^\\[]+|\\[') AS ts FROM l{x} WHERE {_NOT_DEF}),
+ tr{x} AS (SELECT doc_id, i, unnest(ts) AS t, unnest(range(len(ts))) AS j FROM pr{x}),
+ rf{x} AS (SELECT doc_id, i, j, t[3:-2] AS id FROM (SELECT *, lead(t) OVER (PARTITION BY doc_id, i ORDER BY j) AS nt FROM tr{x}) WHERE t LIKE '[^%]' AND coalesce(nt, '') NOT LIKE ':%')"""
+
+
+_REFS = _refs_sql()
 
 
 @_query("st8_references", _FN, f"WITH {_lines_sql(_FN)}, {_REFS} SELECT doc_id, i AS line_no, row_number() OVER (PARTITION BY doc_id, i ORDER BY j) AS ord, id FROM rf")
@@ -290,16 +306,35 @@ def _count(notes):
     return footnotes.existing_refs(notes).groupBy("doc_id").agg(F.count_distinct("id").alias("n_ids"))
 
 
-def _norm_sql(url: str) -> str:
-    return f"CASE {url} WHEN 'https://ex.com/a/?b=1&a=2' THEN 'A' WHEN 'HTTPS://EX.com:443/a?a=2&b=1#f' THEN 'A' ELSE {url} END"
+def _keys_sql(source: str) -> str:
+    """A table uk (url, key) of the URLs of ``source`` (url) and what they are canonically."""
+    form = lambda v: f"replace(replace(replace(url_encode(url_decode(replace({v}, '+', ' '))), '%20', '+'), '~', '%7E'), '%2A', '*')"
+    return f"""ut AS (SELECT DISTINCT url, trim(url) AS x FROM {source} WHERE url IS NOT NULL),
+ uw AS (SELECT *, lower(regexp_extract(x, '^(?i)(https?)://', 1)) AS sc, regexp_replace(regexp_replace(x, '^[A-Za-z]+://', ''), '#.*$', '') AS y FROM ut),
+ uv AS (SELECT *, regexp_extract(y, '^[^/?]*') AS h, regexp_replace(regexp_extract(y, '^[^/?]*([^?]*)', 1), '/$', '') AS p, CASE WHEN contains(y, '?') THEN substr(y, instr(y, '?') + 1) ELSE '' END AS q FROM uw),
+ us AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(q, '&'), lambda e: e <> ''), lambda e, i: {{'n': url_decode(replace(string_split(e, '=')[1], '+', ' ')), 'i': i, 'e': {form("string_split(e, '=')[1]")} || '=' || CASE WHEN contains(e, '=') THEN {form("substr(e, instr(e, '=') + 1)")} ELSE '' END}})), lambda e: e.e), '&') AS qs FROM uv),
+ uk AS (SELECT url, CASE WHEN sc = '' THEN lower(x) ELSE sc || '://' || regexp_replace(regexp_replace(lower(h), '^.*@', ''), CASE WHEN sc = 'http' THEN ':(80)?$' ELSE ':(443)?$' END, '') || p || CASE WHEN qs = '' THEN '' ELSE '?' || qs END END AS key FROM us)"""
+
+
+def _ids_sql(x: str = "") -> str:
+    """A table im (doc_id, id, nid) of the numbers that footnotes get, behind the tables of definitions and references of notes."""
+    return f"""ud{x} AS (SELECT regexp_extract(nl, '^\\[([^\\]]*)\\]\\(([^)]+)\\)$', 2) AS url FROM df{x} WHERE two), {_keys_sql(f'ud{x}')},
+ a{x} AS (SELECT doc_id, id::HUGEINT AS id, 0 AS k, i, j FROM rf{x} WHERE regexp_matches(id, '^[0-9]+$') UNION ALL SELECT doc_id, id::HUGEINT, 1, line_no, 0 FROM df{x} WHERE regexp_matches(id, '^[0-9]+$')),
+ o{x} AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY min((k, i, j))) AS o FROM a{x} GROUP BY doc_id, id),
+ fd{x} AS (SELECT doc_id, id::HUGEINT AS id, CASE WHEN two THEN regexp_extract(nl, '^\\[([^\\]]*)\\]\\(([^)]+)\\)$', 2) END AS url FROM df{x} WHERE regexp_matches(id, '^[0-9]+$') QUALIFY row_number() OVER (PARTITION BY doc_id, id::HUGEINT ORDER BY line_no) = 1),
+ ge{x} AS (SELECT o.*, min(o) OVER (PARTITION BY o.doc_id, CASE WHEN fd.url IS NULL THEN 'i' || o.id ELSE 'u' || key END) AS m FROM o{x} o LEFT JOIN fd{x} fd ON fd.doc_id = o.doc_id AND fd.id = o.id LEFT JOIN uk ON uk.url = fd.url),
+ im{x} AS (SELECT doc_id, id, dense_rank() OVER (PARTITION BY doc_id ORDER BY m) AS nid FROM ge{x})"""
+
+
+_IDS = f"{_DEFS}, {_REFS}, {_ids_sql()}"
 
 
-_IDS = f"""{_DEFS}, {_REFS},
- a AS (SELECT doc_id, id::HUGEINT AS id, 0 AS k, i, j FROM rf WHERE regexp_matches(id, '^[0-9]+$') UNION ALL SELECT doc_id, id::HUGEINT, 1, line_no, 0 FROM df WHERE regexp_matches(id, '^[0-9]+$')),
- o AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY min((k, i, j))) AS o FROM a GROUP BY doc_id, id),
- fd AS (SELECT doc_id, id::HUGEINT AS id, CASE WHEN two THEN regexp_extract(nl, '^\\[([^\\]]*)\\]\\(([^)]+)\\)$', 2) END AS url FROM df WHERE regexp_matches(id, '^[0-9]+$') QUALIFY row_number() OVER (PARTITION BY doc_id, id::HUGEINT ORDER BY line_no) = 1),
- g AS (SELECT o.*, min(o) OVER (PARTITION BY o.doc_id, CASE WHEN url IS NULL THEN 'i' || o.id ELSE 'u' || {_norm_sql('url')} END) AS m FROM o LEFT JOIN fd ON fd.doc_id = o.doc_id AND fd.id = o.id),
- im AS (SELECT doc_id, id, dense_rank() OVER (PARTITION BY doc_id ORDER BY m) AS nid FROM g)"""
+def _identity_sql(notes, x=""):
+    return f"""{_defs_sql(notes, x)}, {_refs_sql(x)}, {_ids_sql(x)},
+ tj{x} AS (SELECT *, lead(t) OVER (PARTITION BY doc_id, i ORDER BY j) AS nt, regexp_matches(t, '^\\[\\^[0-9]+\\]$') AS num FROM tr{x}),
+ rn{x} AS (SELECT tj.doc_id, tj.i, string_agg(CASE WHEN nid IS NOT NULL AND coalesce(nt, '') NOT LIKE ':%' THEN '[^' || nid || ']' ELSE t END, '' ORDER BY j) AS line FROM tj{x} tj LEFT JOIN im{x} im ON im.doc_id = tj.doc_id AND im.id = CASE WHEN num THEN t[3:-2]::HUGEINT END GROUP BY tj.doc_id, tj.i),
+ dn{x} AS (SELECT nd.*, nid, row_number() OVER (PARTITION BY nd.doc_id, nid ORDER BY line_no) AS q FROM (SELECT doc_id, line_no, two, id::HUGEINT AS id FROM df{x} WHERE NOT regexp_matches(id, '[^0-9]')) nd JOIN im{x} im ON im.doc_id = nd.doc_id AND im.id = nd.id)""", f"""SELECT l.doc_id, coalesce(string_agg(CASE WHEN dn.q = 1 THEN '[^' || dn.nid || substr(l.line, instr(l.line, ']:')) ELSE coalesce(rn.line, l.line) END || CASE WHEN l.i < l.n - 1 THEN chr(10) ELSE '' END, '' ORDER BY l.i) FILTER (coalesce(dn.q, 1) = 1 AND NOT (coalesce(pd.q, 1) > 1 AND coalesce(pd.two, false))), '') AS text
+ FROM l{x} l LEFT JOIN dn{x} dn ON dn.doc_id = l.doc_id AND dn.line_no = l.i LEFT JOIN dn{x} pd ON pd.doc_id = l.doc_id AND pd.line_no = l.i - 1 LEFT JOIN rn{x} rn ON rn.doc_id = l.doc_id AND rn.i = l.i GROUP BY l.doc_id"""
 
 
 @_query("fn2_id_map", _FN, f"WITH {_IDS} SELECT doc_id, id::BIGINT AS old_id, nid AS new_id FROM im")
@@ -307,35 +342,43 @@ def _id_map(notes):
     return footnotes.id_map(notes, urls.normalize_url)
 
 
-@_query("fn2_identity", _FN, f"""WITH {_IDS},
- tj AS (SELECT *, lead(t) OVER (PARTITION BY doc_id, i ORDER BY j) AS nt, regexp_matches(t, '^\\[\\^[0-9]+\\]$') AS num FROM tr),
- rn AS (SELECT tj.doc_id, tj.i, string_agg(CASE WHEN nid IS NOT NULL AND coalesce(nt, '') NOT LIKE ':%' THEN '[^' || nid || ']' ELSE t END, '' ORDER BY j) AS line FROM tj LEFT JOIN im ON im.doc_id = tj.doc_id AND im.id = CASE WHEN num THEN t[3:-2]::HUGEINT END GROUP BY tj.doc_id, tj.i),
- dn AS (SELECT nd.*, nid, row_number() OVER (PARTITION BY nd.doc_id, nid ORDER BY line_no) AS q FROM (SELECT doc_id, line_no, two, id::HUGEINT AS id FROM df WHERE NOT regexp_matches(id, '[^0-9]')) nd JOIN im ON im.doc_id = nd.doc_id AND im.id = nd.id)
- SELECT l.doc_id, coalesce(string_agg(CASE WHEN dn.q = 1 THEN '[^' || dn.nid || substr(l.line, instr(l.line, ']:')) ELSE coalesce(rn.line, l.line) END || CASE WHEN l.i < l.n - 1 THEN chr(10) ELSE '' END, '' ORDER BY l.i) FILTER (coalesce(dn.q, 1) = 1 AND NOT (coalesce(pd.q, 1) > 1 AND coalesce(pd.two, false))), '') AS text
- FROM l LEFT JOIN dn ON dn.doc_id = l.doc_id AND dn.line_no = l.i LEFT JOIN dn pd ON pd.doc_id = l.doc_id AND pd.line_no = l.i - 1 LEFT JOIN rn ON rn.doc_id = l.doc_id AND rn.i = l.i GROUP BY l.doc_id""")
+@_query("fn2_identity", _FN, _sql(_identity_sql(_FN)))
 def _identity(notes):
     return footnotes.identity(notes, urls.normalize_url)
 
 
-@_query("fn3_move", _FN, f"""WITH {_DEFS}, o AS (SELECT *, coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM l),
- h AS (SELECT doc_id, i, len(regexp_extract(line, '^#+')) AS level, trim(substr(line, len(regexp_extract(line, '^#+')) + 1)) AS title FROM l WHERE regexp_matches(line, '^#{{1,6}}{_W}')),
- f AS (SELECT * FROM h WHERE title = 'Resources' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1),
- sc AS (SELECT f.doc_id, f.i AS a, (SELECT min(i) FROM h WHERE h.doc_id = f.doc_id AND h.i > f.i AND h.level <= f.level) AS z FROM f),
- mv AS (SELECT df.*, sc.a, sc.z FROM df LEFT JOIN sc ON sc.doc_id = df.doc_id WHERE NOT regexp_matches(id, '[^0-9]') AND (sc.a IS NULL OR line_no < sc.a OR line_no >= sc.z)),
- ct AS (SELECT doc_id, any_value(a) AS a, any_value(z) AS z, CASE WHEN bool_or(two) THEN string_agg('[^' || id || ']: ' || snippet || CASE WHEN two THEN chr(10) || nl ELSE '' END, chr(10) || chr(10) ORDER BY line_no) ELSE string_agg('[^' || id || ']: ' || snippet || CASE WHEN two THEN chr(10) || nl ELSE '' END, chr(10) ORDER BY line_no) END AS body FROM mv GROUP BY doc_id),
- ps AS (SELECT l.doc_id, l.i * 2 + 1 AS k, line || CASE WHEN l.i < l.n - 1 THEN chr(10) ELSE '' END AS piece FROM l LEFT JOIN mv ON mv.doc_id = l.doc_id AND (mv.line_no = l.i OR (mv.line_no = l.i - 1 AND mv.two)) WHERE mv.doc_id IS NULL
-  UNION ALL SELECT doc_id, CASE WHEN a IS NULL OR z IS NULL THEN 1000000000 ELSE z * 2 END, CASE WHEN a IS NULL THEN chr(10) || '## Resources' || chr(10) || chr(10) || body ELSE chr(10) || body || chr(10) END FROM ct)
- SELECT doc_id, string_agg(piece, '' ORDER BY k) AS text FROM ps GROUP BY doc_id""")
+_ATX = r"^(#{1,6})[ \t]+(.+?)[ \t]*$"
+
+
+def _section_sql(x: str = "") -> str:
+    """Tables h (headings) and sc (the lines a at which the first section of definitions begins and z before which it ends, with its level), of lines l."""
+    return f"""h{x} AS (SELECT doc_id, i, len(regexp_extract(line, '{_ATX}', 1)) AS level, regexp_extract(line, '{_ATX}', 2) AS title FROM l{x} WHERE regexp_matches(line, '{_ATX}')),
+ f{x} AS (SELECT * FROM h{x} WHERE title = 'Resources' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1),
+ sc{x} AS (SELECT f.doc_id, f.i AS a, f.level, (SELECT min(i) FROM h{x} h WHERE h.doc_id = f.doc_id AND h.i > f.i AND h.level <= f.level) AS z FROM f{x} f)"""
+
+
+def _move_sql(notes, x=""):
+    return f"""{_defs_sql(notes, x)}, {_section_sql(x)},
+ mv{x} AS (SELECT df.*, sc.a, sc.z FROM df{x} df LEFT JOIN sc{x} sc ON sc.doc_id = df.doc_id WHERE NOT regexp_matches(id, '[^0-9]') AND (sc.a IS NULL OR line_no < sc.a OR line_no >= sc.z)),
+ ct{x} AS (SELECT doc_id, any_value(a) AS a, any_value(z) AS z, CASE WHEN bool_or(two) THEN string_agg('[^' || id || ']: ' || snippet || CASE WHEN two THEN chr(10) || nl ELSE '' END, chr(10) || chr(10) ORDER BY line_no) ELSE string_agg('[^' || id || ']: ' || snippet || CASE WHEN two THEN chr(10) || nl ELSE '' END, chr(10) ORDER BY line_no) END AS body FROM mv{x} GROUP BY doc_id),
+ ps{x} AS (SELECT l.doc_id, l.i * 2 + 1 AS k, line || CASE WHEN l.i < l.n - 1 THEN chr(10) ELSE '' END AS piece FROM l{x} l LEFT JOIN mv{x} mv ON mv.doc_id = l.doc_id AND (mv.line_no = l.i OR (mv.line_no = l.i - 1 AND mv.two)) WHERE mv.doc_id IS NULL
+  UNION ALL SELECT doc_id, CASE WHEN a IS NULL OR z IS NULL THEN 1000000000 ELSE z * 2 END, CASE WHEN a IS NULL THEN chr(10) || '## Resources' || chr(10) || chr(10) || body ELSE chr(10) || body || chr(10) END FROM ct{x})""", f"SELECT doc_id, string_agg(piece, '' ORDER BY k) AS text FROM ps{x} GROUP BY doc_id"
+
+
+_TIDY = (_citations_sql, _identity_sql, _move_sql)
+
+
+@_query("fn3_move", _FN, _sql(_move_sql(_FN)))
 def _move(notes):
     return footnotes.move(notes)
 
 
-@_query("fn4_tidy", _FN)
+@_query("fn4_tidy", _FN, _sql(_chained(_FN, *_TIDY)))
 def _tidy_notes(notes):
     return footnotes.tidy(notes, urls.normalize_url)
 
 
-@_query("pi3_format_notes", _FN)
+@_query("pi3_format_notes", _FN, _sql(_chained(_FN, *_CLEANUP, *_TIDY)))
 def _format_notes(notes):
     return format.format_notes(notes)
 
@@ -356,12 +399,7 @@ def _diff(notes):
     return both.select("doc_id", F.size("plan").cast("long").alias("n_edits"), e["from"].cast("long").alias("edit_from"), e["to"].cast("long").alias("edit_to"), e["insert"].alias("edit_insert"), edits.apply_edits(F.col("a"), F.col("plan")).alias("applied"))
 
 
-@_query("ut1_normalize_url", builders.URLS, f"""WITH u AS ({builders.URLS}), t AS (SELECT doc_id, url, trim(url) AS x FROM u),
- w AS (SELECT *, lower(regexp_extract(x, '^(?i)(https?)://', 1)) AS sc, regexp_replace(regexp_replace(x, '^[A-Za-z]+://', ''), '#.*$', '') AS y FROM t),
- v AS (SELECT *, regexp_extract(y, '^[^/?]*') AS h, regexp_replace(regexp_extract(y, '^[^/?]*([^?]*)', 1), '/$', '') AS p, CASE WHEN contains(y, '?') THEN substr(y, instr(y, '?') + 1) ELSE '' END AS q FROM w),
- z AS (SELECT *, list_filter(string_split(q, '&'), lambda e: e <> '') AS ps FROM v),
- s AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(ps, lambda e, i: {{'n': string_split(e, '=')[1], 'i': i, 'e': CASE WHEN contains(e, '=') THEN e ELSE e || '=' END}})), lambda e: e.e), '&') AS qs FROM z)
- SELECT doc_id, CASE WHEN sc = '' THEN lower(x) ELSE sc || '://' || regexp_replace(regexp_replace(lower(h), '^.*@', ''), CASE WHEN sc = 'http' THEN ':(80)?$' ELSE ':(443)?$' END, '') || p || CASE WHEN qs = '' THEN '' ELSE '?' || qs END END AS url FROM s""")
+@_query("ut1_normalize_url", builders.URLS, f"WITH u AS ({builders.URLS}), {_keys_sql('u')} SELECT doc_id, key AS url FROM u JOIN uk USING (url)")
 def _urls(rows):
     return rows.select("doc_id", urls.normalize_url(F.col("url")).alias("url"))
 
@@ -383,22 +421,6 @@ def _web_sources(pastes):
     return surfaces.web_sources(pastes)
 
 
-@_query("cp2_app_parse", builders.ANSWERS, f"""WITH t AS (SELECT doc_id, text, split_part(text, chr(10) || 'Sources' || chr(10), 1) AS a FROM ({builders.ANSWERS}))
- SELECT doc_id, CASE WHEN text = 'pre' || chr(10) THEN '' ELSE a || chr(10) || chr(10) || '## Answer two' || chr(10) || 'again [3] [5]' || chr(10) || '## Tail' || chr(10) || 'end' END AS body,
-  CASE WHEN text = 'pre' || chr(10) THEN '' ELSE array_to_string(list_concat(list_transform(regexp_extract_all(a, '\\[[0-9]+\\]'), lambda x: CASE WHEN x = '[02]' THEN '[2]' ELSE x END), ['[3]', '[5]']), '') END AS marks,
-  CASE WHEN text = 'pre' || chr(10) THEN '' ELSE '1 A title https://ex.com/;2 B https://b.org;3 C https://c.org/x' END AS sources FROM t""")
-def _app(notes):
-    p = pastes.parse_app(notes)
-    return p.select("doc_id", "body", F.array_join("inline.marker", "").alias("marks"), F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["id"], s["title"], s["url"])), ";").alias("sources"))
-
-
-@_query("cp4_download_parse", builders.DOWNLOADS, f"""WITH t AS (SELECT doc_id, regexp_replace(substr(text, 15), '<span style="a">\\[\\^1_2\\]\\n</span>', '', 'g') AS x FROM ({builders.DOWNLOADS})), u AS (SELECT doc_id, split_part(x, chr(10) || '<div>', 1) AS x FROM t)
- SELECT doc_id, regexp_replace(x, '{_W}+$', '') || chr(10) AS body, len(regexp_extract_all(x, '\\[\\^1_1\\]'))::BIGINT AS n_marks, '1 www.ex.com https://WWW.Ex.com:443/a;2 plain plain' AS sources, regexp_replace(regexp_replace(x, '{_W}+$', ''), '\\[\\^1_1\\]', '[^1]', 'g') || chr(10) AS marked FROM u""")
-def _download(notes):
-    p = pastes.parse_download(notes)
-    return p.select("doc_id", "body", F.size("inline").cast("long").alias("n_marks"), F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["id"], s["title"], s["url"])), ";").alias("sources"), pastes.replace_markers(F.col("body"), F.col("inline")).alias("marked"))
-
-
 @_query("sc4_code_tokens", _N)
 def _code(notes):
     from ..operators.code_tokens import quote_code
@@ -445,3 +467,6 @@ def _order(s):
     from pyspark.sql import Window
 
     return s.select("id", F.row_number().over(Window.partitionBy("catalog_version").orderBy(*registry.paste_order(F.col("provenance"), F.col("local_version"), F.col("id")))).cast("long").alias("place"))
+
+
+from . import paste_queries  # noqa: E402, F401  (adds its queries)

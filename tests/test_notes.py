@@ -82,7 +82,9 @@ def test_footnotes(spark):
     assert footnotes.resources_section(df).first().asDict() == {"doc_id": 1, "level": 2, "start_off": text.index("## R"), "end_off": len(text)}
 
 
-@pytest.mark.parametrize("raw, want", [("HTTPS://User@EX.com:443/a/?b=2&a=1&a=0#f", "https://ex.com/a?a=1&a=0&b=2"), ("http://x.com/", "http://x.com"), (" Mailto:A@B ", "mailto:a@b"), ("http://x.com:8080/P?b&a=", "http://x.com:8080/P?a=&b=")])
+@pytest.mark.parametrize("raw, want", [("HTTPS://User@EX.com:443/a/?b=2&a=1&a=0#f", "https://ex.com/a?a=1&a=0&b=2"), ("http://x.com/", "http://x.com"), (" Mailto:A@B ", "mailto:a@b"), ("http://x.com:8080/P?b&a=", "http://x.com:8080/P?a=&b="),
+    ("https:\\\\a.b\\x/../y/./%2E%2e/z/..", "https://a.b"), ("http://a.b/x y/é\"?q=a b+c%20d/é&p=%zz~*", "http://a.b/x%20y/%C3%A9%22?p=%25zz%7E*&q=a+b+c+d%2F%C3%A9"), ("http://a.b:080/./", "http://a.b"), ("http://a.b:99999/X", "http://a.b:99999/x"),
+    ("http:// A/", "http:// a/"), ("http://[::1]:443/", "http://[::1]:443"), ("ht\ttp://a.b/\n..", "http://a.b"), ("http://", "http://")])
 def test_urls(spark, raw, want):
     assert spark.range(1).select(urls.normalize_url(F.lit(raw))).first()[0] == want
 
@@ -116,7 +118,7 @@ def test_queries_match_sql(spark):
     for t in os.listdir(d):
         db.execute(f"create view {t.split('.')[0]} as from '{d}/{t}'")
     key = lambda x: tuple((v is None, str(v)) for v in x)
-    for name in ("st2_blocks", "cl5_reflow", "cp2_app_parse", "cp4_download_parse", "cl4_tidy_whitespace", "li2_normalize_ordered", "he2_cascade", "fn2_id_map", "di2_dispatch"):
+    for name in ("st2_blocks", "cl5_reflow", "cp2_app_parse", "cp4_download_parse", "cl4_tidy_whitespace", "cl6_box_table", "li2_normalize_ordered", "he2_cascade", "he3_cascade_or_insert", "fn2_id_map", "fn4_tidy", "fn5_resolve", "sc1_app", "sc2_web", "sc3_web_download", "di2_dispatch", "rg2_materialize", "rg4_resolved_states"):
         df = queries.QUERIES[name](spark, d)
         found = db.execute(queries.ORACLES[name])
         at = [[c[0] for c in found.description].index(c) for c in df.columns]
@@ -198,10 +200,102 @@ def test_code_tokens(spark):
     from folioflow.operators.code_tokens import quote_code
 
     cases = {
-        "in render.py:102-110 and up:: [[MOC]], a.b: [] or [[X]] as foo.bar_x too": "in `render.py:102-110` and `up:: [[MOC]]`, `a.b: []` or `[[X]]` as `foo.bar_x` too",
+        "in tides/moon.c:7-12 and near:: [[Harbour]], x.y: [] or [[Dune 3]] as sea.shell_4 too": "in `tides/moon.c:7-12` and `near:: [[Harbour]]`, `x.y: []` or `[[Dune 3]]` as `sea.shell_4` too",
         "`foo.bar` [foo.bar](u.v) ```\nfoo.bar\n``` call.it(x) end.": "`foo.bar` [foo.bar](u.v) ```\nfoo.bar\n``` call.it(x) end.",
         "": "",
         None: None,
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert [r[0] for r in df.orderBy("doc_id").select(quote_code(F.col("text"))).collect()] == list(cases.values())
+
+
+def test_long_notes(spark):
+    import time
+
+    note = "\n".join("  " * (i % 3) + f"{i}. item" if i % 7 else "```" for i in range(10_000))
+    df = spark.createDataFrame([(1, "\n".join(f"{i}. item" for i in range(1, 10_001)).replace("5. item", "5) item")), (2, note)], "doc_id long, text string")
+    run(spark, cleanup.normalize_ordered, "1. warm")
+    began = time.time()
+    rows = {r.doc_id: r.text for r in cleanup.normalize_ordered(df).collect()}
+    assert time.time() - began < 10 and rows[1].split("\n")[-1] == "10000. item" and len(rows[2].split("\n")) == 10_000
+
+
+def test_notes_with_one_id_are_refused(spark):
+    from folioflow.sources import notes
+
+    twice = spark.createDataFrame([(1, "a\nb", "x"), (1, "c\nd", "y"), (None, "e", "z")], "doc_id long, text string, more string")
+    with pytest.raises(Exception, match="several notes with doc_id 1"):
+        cleanup.dewrap(twice).collect()
+    own = notes.numbered(twice)
+    assert sorted(r.text for r in cleanup.dewrap(own.select(F.col("note_id").alias("doc_id"), "text")).collect()) == ["a b", "c d", "e"]
+
+
+def test_marks_become_references(spark):
+    from folioflow.operators import pastes
+
+    inline = lambda *m: [(k, n) for k, n in m]
+    rows = [(1, "![a](u) [a](u) [a](u)[b](v", inline(("[a](u)", 1), ("[a](u)", 2))), (2, "x [a[b](u) [a[b](u)", inline(("[a[b](u)", 5))), (3, "", []), (4, "[2] [2](u) [02] [2][3]", inline(("[2]", 2), ("[2]", 2), ("[9]", 9)))]
+    df = spark.createDataFrame(rows, "doc_id long, body string, inline array<struct<marker:string,n:long>>")
+    got = {r.doc_id: r.text for r in pastes.placed(df.where("doc_id < 4"), pastes.WEB_FORM).collect()}
+    assert got == {1: "![^1] [^2] [a](u)[b](v", 2: "x [^5] [a[b](u)", 3: ""}
+    assert pastes.placed(df.where("doc_id = 4"), pastes.APP_FORM).first().text == "[^2] [2](u) [02] [^2][3]"
+    assert spark.range(1).select(footnotes.renamed(F.lit("a[^1] [^x [^3] [^2]: [^12]"), F.create_map(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"), F.lit(3).cast("bigint"), F.lit(1).cast("bigint")))).first()[0] == "a[^4] [^x [^1] [^2]: [^12]"
+
+
+def test_answers_in_notes(spark):
+    from folioflow.plans import operations
+    from folioflow.sources import notes
+
+    note = "# Trip\nOld [^2].\n[^2]: Ferry\n[ferry](https://sea.example/f?b=1&a=2)\n"
+    answer = "## Answer\n### Boats\nTake it [1][2], or walk [3].\nSources\n[1] Ferry again https://SEA.example/f/?a=2&b=1\n[2] Isles https://isles.example/\n"
+    rows = spark.createDataFrame([(1, note, 17, answer), (2, "", 0, "see [map](http://m.example)"), (3, "ab", 1, "plain"), (4, None, 0, None)], "doc_id long, text string, cursor int, input string")
+    got = {r.doc_id: r for r in operations.paste_and_run(rows).withColumn("at", notes.cursor_after(F.col("plan"))).collect()}
+    assert got[1].handler == "app" and got[1].text == "# Trip\nOld [^2].\n## Answer\n### Boats\nTake it [^2][^3], or walk [3].[^2]: Ferry\n[ferry](https://sea.example/f?b=1&a=2)\n\n## Resources\n\n[^3]: Isles\n[Isles](https://isles.example/)"
+    assert got[2].text == "see [^1]\n## Resources\n\n[^1]: [map](http://m.example)" and (got[3].handler, got[3].text, got[3].at) == ("raw", "aplainb", 6) and got[4].text == ""
+    assert [s.id for s in operations.paste_chain()] == ["app", "web-download", "web"]
+    own = {"z": operations.Script("z", lambda r: r.select("doc_id", F.array().cast("array<struct<from:int,to:int,insert:string>>").alias("plan"), F.upper("input").alias("text")), lambda c: c == "plain", 5)}
+    assert {r.doc_id: r.handler for r in operations.paste_and_run(rows, own).collect()} == {1: "raw", 2: "raw", 3: "z", 4: "raw"}
+    for bad in ({"run": None}, {"run": len, "priority": "1"}, {"run": len, "requires": "2.0"}, {"run": len, "requires": "x"}):
+        with pytest.raises(ValueError):
+            operations.register_script("bad", **bad)
+    assert len(operations.OPERATIONS) == 14
+    df = rows.where("doc_id = 3").select("doc_id", F.lit("# a\nx").alias("text"), F.lit(5).alias("cursor"), F.lit("# b").alias("input"))
+    assert operations.OPERATIONS["headings.cascade"](df).first().text == "# a\nx## b"
+
+
+def test_sections_and_formats(spark):
+    from folioflow.plans import format
+
+    assert [footnotes.section_name(x) for x in ("## Quellen ", "", " # ", "Links")] == ["Quellen", "Resources", "Resources", "Links"]
+    assert [footnotes.section_heading(x) for x in ("###\t Quellen  ", "Links", "##")] == ["### Quellen", "## Links", "## Resources"]
+    paste = lambda df: format.paste_and_format(df)
+    assert run(spark, paste, "---\n* a  b\n---", None) == ["---\n- a b\n---", ""]
+    rows = spark.createDataFrame([(1, "# A\n# B [1]\n[^1]: one", 3, 4, 12, "# B [1]\n"), (2, "x", None, None, None, None)], "doc_id long, text string, cursor int, sel_from int, sel_to int, input string")
+    got = {r.doc_id: r for r in format.format_selection(rows).collect()}
+    assert got[1].text == "# A\n## B [^1]\n\n## Resources\n\n[^1]: one" and len(got[1].plan) == 1 and got[2].plan == []
+    off = format.Recipe(cascade=False, from_citations=False, identity=False, move=False)
+    assert {r.doc_id: r.text for r in format.format_selection(rows, off).collect()}[1] == "# A\n# B [1]\n[^1]: one"
+
+
+def test_catalog_and_records(spark, tmp_path):
+    import hashlib
+
+    from folioflow.sources import catalog
+
+    body = b"// description: Waves\nrun()"
+    mark = "sha256:" + hashlib.sha256(body).hexdigest()
+    (tmp_path / "index.json").write_text('{"schemaVersion": 1, "ref": "theirs", "scripts": {"waves": {"id": "waves", "version": 2, "checksum": "%s", "path": "waves.cjs", "name": "Waves", "description": "d"}, "dunes": {"id": "dunes", "version": 1}}}' % mark)
+    (tmp_path / "waves.cjs").write_bytes(body)
+    (tmp_path / "store.json").write_text('{"scripts": {"waves": {"enabled": true, "okayed": {"version": 1, "checksum": "%s"}}, "half": {"okayed": {"version": 1}, "enabled": true}, "own": {"provenance": "imported"}}}' % mark)
+    (tmp_path / "versions.json").write_text('{"waves": 1, "odd": "x"}')
+    (tmp_path / "broken.json").write_text("[")
+    d = str(tmp_path)
+    entries, files = catalog.index(spark, d, "pinned"), catalog.files(spark, d)
+    assert {(r.id, r.version, r.ref) for r in entries.collect()} == {("waves", 2, "pinned"), ("dunes", 1, "pinned")} and bytes(files.first().content) == body
+    stored = registry.with_defaults(catalog.records(spark, f"{d}/store.json"))
+    assert {(r.id, r.provenance, r.enabled, r.okayed_version, r.source, r.command) for r in stored.collect()} == {("waves", "curated", True, 1, "", False), ("half", "curated", True, None, "", False), ("own", "imported", False, None, "", False)}
+    versions = catalog.versions(spark, f"{d}/versions.json")
+    state = lambda c: {r.id: r.state for r in registry.resolved(stored, c, files.select("id", "content"), versions).collect()}
+    assert state(entries) == {"waves": "UpdateAvailable", "half": "Available", "own": "Disabled", "dunes": "Available"}
+    assert state(None) == {"waves": "Active", "half": "Available", "own": "Disabled"}
+    assert catalog.versions(spark, f"{d}/broken.json").count() == 0
