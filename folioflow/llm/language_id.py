@@ -3,13 +3,14 @@
 Every language has a variable-order tree of byte contexts (up to ``MAX_ORDER`` bytes), learned from a bounded sample of its documents and then
 frozen. In a context with total T and D distinct successors, a byte seen n times costs log2((T + D) / n) bits; any other byte pays the escape,
 log2((T + D) / D) bits, and is coded in the next shorter context; an unseen context passes on for free; below order 0 a byte costs 8 bits. There is
-no exclusion. The code length of a whole text under each language is summed exactly; the shortest wins.
+no exclusion. The code length of a whole text under each language is the sum of its bytes' bits in double precision; the shortest wins.
 
 All paths of the trees that occur are flattened, for every language at once, to one table per order of (last bytes -> bits under each language),
 which numpy looks up with a multiplicative hash; bytes in paths that no language has seen walk down the orders.
 
 Defined results: ``und`` with score 0 where text is null, empty or has no letter, or nothing could be learned; ties go to the first language in
-byte order; repeated and null doc_ids are scored row by row; an empty table gives no rows; other columns are not read.
+byte order; repeated and null doc_ids are scored row by row; rows equal in doc_id, text and language are learned from once; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ class ContextTrees:
 
     def _lengths(self, blobs: list[bytes], heads: list[bytes] | None = None) -> np.ndarray:
         if self._lookups is None:
-            self._lookups = _Lookup(self.keys[-1]), np.vstack([self.bits[-1], np.zeros((1, len(self.langs)))]).astype(np.float32)
+            self._lookups = _Lookup(self.keys[-1]), np.vstack([self.bits[-1], np.zeros((1, len(self.langs)))])
         lookup, bits = self._lookups
         pad = b"\0" * MAX_ORDER
         a = np.frombuffer(b"".join(x for i, b in enumerate(blobs) for x in (heads[i] if heads else pad, b)), np.uint8).astype(np.uint32)
@@ -159,7 +160,7 @@ class ContextTrees:
         # Positions between two texts belong to the padding of the next one and are left out.
         edges = np.stack([starts[full], starts[full] + sizes[full]], 1).reshape(-1)
         if len(full):
-            sums = np.add.reduceat(np.vstack([cost, np.zeros((1, cost.shape[1]), np.float32)]), edges, axis=0, dtype=np.float64)
+            sums = np.add.reduceat(np.vstack([cost, np.zeros((1, cost.shape[1]))]), edges, axis=0)
             total[full] = sums[::2]
         return total
 
@@ -172,12 +173,12 @@ class ContextTrees:
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
-    """Learn from ``labelled`` (doc_id, text, lang): a hash of doc_id picks about ``sample_docs`` whole texts of each language."""
+    """Learn from ``labelled`` (doc_id, text, lang): a hash of doc_id and text picks about ``sample_docs`` whole texts of each language, fewer if rows repeat."""
     scale = 1 << 20
-    usable = labelled.where("text is not null and lang is not null").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(scale)).alias("u"))
+    usable = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).withColumn("u", F.pmod("h", F.lit(scale)))
     counts = {r.lang: r.n for r in labelled.where("text is not null and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample_docs / n) * scale))]) if counts else F.lit(None)
-    sample = usable.where(F.col("u") < share[F.col("lang")]) if counts else usable.limit(0)
+    sample = (usable.where(F.col("u") < share[F.col("lang")]) if counts else usable.limit(0)).dropDuplicates(["lang", "h"])
 
     def grams(batches):
         for b in batches:
