@@ -5,7 +5,7 @@ depends on: by turn, and a call that depends on a later one right after it. The
 latest call it waits for (its own turn, if it waits for none), and ``wait``, the length of the longest chain of calls that it follows there. Only calls that
 wait are looked at in rounds: first the places that they wait for spread along dependencies, from those calls only that moved in the round before; then
 calls without an open dependency are peeled off until none is left, or only cycles and what hangs on them. There are as many rounds as the longest
-waiting chain or cycle has calls, and no conversation is gathered in a task. Arguments are validated against the JSON schema of their tool and serialised as
+chain that waits, or hangs on a cycle, has calls, and no conversation is gathered in a task. Arguments are validated against the JSON schema of their tool and serialised as
 canonical JSON: sorted keys, no blanks, lone surrogates as escapes.
 
 Defined results: a call without a result has status ``pending``, a result without a call ``orphan``; of several results the first by turn counts (those
@@ -252,9 +252,9 @@ SCHEMAS = {
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results in place of the plain turns of ``conversations``: an assistant's turn is a call with the whole text as its argument, a turn of any
-    other role (or none) is the result of the call before it, but for the first turn. Calls depend on the call two turns before; two of five depend on the call
-    two turns after instead, which then does not depend on them, but in every fiftieth conversation, where they make cycles. Rows without a conversation or a
-    turn have null identifiers."""
+    other role (or none) is the result of the call before it, but for the first turn. Four of five calls depend on the call two turns before; two of five depend on
+    the call two turns after, which then does not depend on them, but in every fiftieth conversation, where they make cycles. Rows without a conversation or
+    a turn have null identifiers."""
     turn = F.col("turn")
     ident = lambda k: F.concat(F.lit("call-"), k.cast("string"))
     odd = turn % 4 == 1
@@ -262,7 +262,8 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     value = F.expr("substring(to_json(named_struct('t', coalesce(text, ''))), 6, length(to_json(named_struct('t', coalesce(text, '')))) - 6)")
     arguments = F.when(odd, F.concat(F.lit('{"query": '), value, F.lit(', "limit": '), limit, F.lit("}"))).otherwise(F.concat(F.lit('{"text": '), value, F.lit(', "tags": []}')))
     waits = lambda k: F.pmod(F.col("conv_id") + k, F.lit(5)).isin(0, 2)
-    depends = F.array(F.when(~waits(turn - 2) | (F.col("conv_id") % 50 == 0), ident(turn - 2)), F.when(waits(turn), ident(turn + 2)))
+    anew = F.pmod(F.col("conv_id") + turn, F.lit(5)) == 1
+    depends = F.array(F.when(~anew & (~waits(turn - 2) | (F.col("conv_id") % 50 == 0)), ident(turn - 2)), F.when(waits(turn), ident(turn + 2)))
     calls = turns.where("role = 'assistant'").select("conv_id", ident(turn).alias("call_id"), "turn", F.when(odd, "search").otherwise("note").alias("name"), arguments.alias("arguments"), F.array_compact(depends).alias("depends"))
     results = turns.where("not coalesce(role = 'assistant', false) and coalesce(turn > 0, true)").select("conv_id", ident(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
