@@ -1,7 +1,7 @@
 """Local image descriptors that find cropped or edited copies.
 
-Corners are taken at several scales (structure-tensor response, largest in their neighbourhood); each has the direction of its patch's centre of
-brightness, and a string of comparisons between pairs of points, turned by that direction. Strings are entered in tables under several fixed choices of
+Corners are taken at several scales (structure-tensor response, largest in their neighbourhood), the best few of each cell of a grid, so that their number grows
+with the picture; each has the direction of its patch's centre of brightness, and a string of comparisons between pairs of points, turned by that direction. Strings are entered in tables under several fixed choices of
 their bits, and images meet where such a choice is equal or differs in one bit. Matches within a Hamming distance vote for a turn, a scale and a shift; an image is a copy when
 enough different corners agree. Only keys that some query has are entered, by a field of bits of fixed size. Equal pictures are one class: a task
 describes a class once, and results name classes by their least ids, with each row's class beside them.
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SCALES, CORNERS, RADIUS, BITS = (1.0, 0.75, 0.55), 32, 7, 128
+SCALES, RADIUS, BITS = (1.0, 0.75, 0.55), 7, 128
+#: Sides of the cells of a grid in pixels of the scale, and the corners that each may have.
+CELL, CORNERS = 16, 4
 #: Tables and the bits that each takes; the largest Hamming distance of a match; corners that must agree. A query is entered under the keys that differ in
 #: one bit, too: with equal keys only, or within 12, few copies that are turned or resized are found; within 24, pictures match by chance (README).
 TABLES, TABLE_BITS, NEAR, AGREE = 6, 20, 20, 5
@@ -71,9 +73,14 @@ def _corners(image: np.ndarray):
         inner = r[m:-m, m:-m]
         top = np.maximum.reduce([r[m + dy : h - m + dy, m + dx : w - m + dx] for dy in (-2, -1, 0, 1, 2) for dx in (-2, -1, 0, 1, 2)])
         y, x = np.nonzero((inner == top) & (inner > 1.0))
-        best = np.argsort(-inner[y, x], kind="stable")[: int(CORNERS * scale)]
-        if not len(best):
+        if not len(y):
             continue
+        # The best corners of each cell.
+        cell = y // CELL * (w // CELL + 1) + x // CELL
+        order = np.lexsort((-inner[y, x], cell))
+        starts = np.flatnonzero(np.append(True, np.diff(cell[order]) > 0))
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        best = np.sort(order[place < CORNERS])
         y, x = y[best] + m, x[best] + m
         patch = a[y[:, None, None] + _Y, x[:, None, None] + _X] * _DISC
         yield scale, a, x, y, np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2)))
@@ -257,7 +264,7 @@ def copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     image_id, votes, of the least ids of two classes of equal pictures; ``query`` and ``image``: each row's id and the least id of its class (class_id)."""
     spark = images.sparkSession
     left = common.written(described(queries), "queries")
-    wanted = spark.sparkContext.broadcast(key_field(near_keys(left.where("key is not null"))))
+    wanted = spark.sparkContext.broadcast(key_field(near_keys(left.where("key is not null"))))  # KEYS / 8 bytes
     right = common.written(described(images, wanted), "images")
     member = lambda d: d.where("key is null").select("image_id", "class")
     least = lambda d: member(d).groupBy("class").agg(F.min("image_id").alias("least"))
@@ -284,20 +291,30 @@ def rendered(vector, side: int = SIDE) -> np.ndarray:
     return np.clip(a, 0, 255).astype(np.uint8)
 
 
-def edited(a: np.ndarray) -> np.ndarray:
-    """A crop of three quarters of each side, brighter, with noise."""
-    n = a.shape[0]
-    b = a[n // 8 : n // 8 + 3 * n // 4, n // 5 : n // 5 + 3 * n // 4].astype(np.float32)
+def edited(a: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Brighter, with noise; of kind 0 a part of three quarters of each side, of kind 1 such a part turned by 20 degrees, of kind 2 the whole at four fifths of its size."""
+    n, degrees, part, scale, middle = a.shape[0], (0, 20, 0)[kind], (0.75, 0.75, 1.0)[kind], (1.0, 1.0, 0.8)[kind], (0.55, 0.55, 0.5)[kind]
+    side, t = int(part * n * scale), np.deg2rad(degrees)
+    y, x = (np.mgrid[:side, :side] - (side - 1) / 2) / scale
+    u, v = np.cos(t) * x - np.sin(t) * y + n * middle, np.sin(t) * x + np.cos(t) * y + n * 0.5
+    u, v = np.clip(u, 0, n - 1.001), np.clip(v, 0, n - 1.001)
+    i, j = v.astype(int), u.astype(int)
+    p, q, f = v - i, u - j, a.astype(float)
+    b = f[i, j] * (1 - p) * (1 - q) + f[i + 1, j] * p * (1 - q) + f[i, j + 1] * (1 - p) * q + f[i + 1, j + 1] * p * q
     return np.clip(b * 0.9 + 20 + np.random.default_rng(int(a.sum())).normal(0, 2, b.shape), 0, 255).astype(np.uint8)
 
 
 def pictures(vectors: DataFrame, change: bool) -> DataFrame:
-    """Pictures (image_id, width, pixels) of ``vectors`` (vec_id, embedding); edited copies if ``change``."""
+    """Pictures (image_id, width, pixels) of ``vectors`` (vec_id, embedding), null ones of null vectors; edited copies if ``change``, of three kinds by the hundreds
+    of their ids."""
 
     def run(batches):
         for b in batches:
-            out = [(i, edited(p) if change else p) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None for p in [rendered([x or 0.0 for x in v])]]
-            yield pa.record_batch([pa.array([i for i, _ in out], pa.int64()), pa.array([p.shape[1] for _, p in out], pa.int32()), pa.array([p.tobytes() for _, p in out], pa.binary())], names=["image_id", "width", "pixels"])
+            out = []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                p = None if v is None else rendered([x or 0.0 for x in v])
+                out.append((i, p if p is None or not change else edited(p, (i or 0) // 100 % 3)))
+            yield pa.record_batch([pa.array([i for i, _ in out], pa.int64()), pa.array([None if p is None else p.shape[1] for _, p in out], pa.int32()), pa.array([None if p is None else p.tobytes() for _, p in out], pa.binary())], names=["image_id", "width", "pixels"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "image_id long, width int, pixels binary")
 
