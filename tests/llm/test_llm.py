@@ -657,6 +657,50 @@ def test_votes_by_definition():
         assert got[p] == (most if most >= images.AGREE else 0)
 
 
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(n))
+    clean = [words(rng.randint(60, 120)) for _ in range(90)]
+    near = [t.replace(t.split()[30], "edited", 1) for t in clean[:12]]
+    toxic = [words(40) + " you vile rotten thing " + words(40) for _ in range(30)]
+    junk = [" ".join("abcde%%%" for _ in range(3)) + " " + " ".join(w + "##" for w in words(70).split()) for _ in range(4)]
+    texts = [*clean, *near, *clean[:5], *toxic, *junk, *ODD]
+    rows = [(None if i == 3 else i, t, [None, "en", "de"][i % 3], f"s{i % 4}", len(t or ""), i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra int").write.parquet(f"{tmp_path}/documents.parquet")
+    first = len(clean) + len(near) + 5
+    labels = [(i, 1, int(first <= i < first + len(toxic))) for i in range(0, len(texts), 1) if i % 4]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = str(tmp_path)
+    docs_ = common.table(spark, d, "documents")
+    tables = [docs_]
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, tables[-1], d), "stage")
+        assert out.columns == docs_.columns or name == "packing"
+        tables.append(out)
+    key = lambda r: tuple(map(str, r))
+    given = [sorted(map(tuple, t.collect()), key=key) for t in tables]
+    model = toxicity.train(docs_, toxicity.learnable(common.table(spark, d, "labels")))
+    assert given[1] == [r for r in given[0] if model.score(r[1]) < 0.5] and not {r[5] for r in given[1]} & set(range(first, first + len(toxic)))
+    verdict = {r.doc_id: r.kept for r in quality.judge(tables[1].withColumn("doc_id", F.col("extra").cast("long"))).collect()}
+    assert given[2] == [r for r in given[1] if verdict[r[5]]] and all(verdict[i] for i in range(len(clean))) and not any(verdict[i] for i in range(first + len(toxic), len(texts)))
+    _, group = brute_components([r[1] for r in given[2]])
+    least = {}
+    for r, g in zip(given[2], group):
+        least[g] = min(least.get(g, r), r, key=lambda r: (r[0] is None, r[0] or 0))
+    assert given[3] == sorted(least.values(), key=key)
+    domain = lambda r: {1: "books", 2: "code"}.get(int(r[3][-1]) % 3, "web")
+    want = brute_mix([r[:4] for r in given[3]], lambda r: (domain(r), r[2], r[3]))
+    taken = sorted((str(r[0]), r[1]) for r in given[4])
+    assert taken == sorted((str(i), t) for i, t, c in want for _ in range(c))
+    e = tokens.Encoder(tokens.public_path("word_bpe_49k.json"))
+    pieces = tables[5].collect()
+    assert sum(r.length for r in pieces) == sum(len(e.encode(r[1])) // e.width + 1 for r in given[4])
+    whole = lambda rs: sorted(map(key, rs))
+    assert whole(tuple(r)[:5] for r in corpus_pipeline.run(spark, d).collect() if r.start == 0 and r.length == r.doc_tokens) == whole(tuple(r)[:5] for r in pieces if r.start == 0 and r.length == r.doc_tokens)
+
+
 def test_oracles_are_sql():
     from folioflow.llm import queries
 
