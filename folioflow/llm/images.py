@@ -2,8 +2,8 @@
 
 Corners are taken at several scales (structure-tensor response, largest in their neighbourhood), the best few of each cell of a grid, so that their number grows
 with the picture; each has the direction of its patch's centre of brightness, and a string of comparisons between pairs of points, turned by that direction. Strings are entered in tables under several fixed choices of
-their bits, and images meet where such a choice is equal or differs in one bit. Matches within a Hamming distance vote for a turn, a scale and a shift; an image is a copy when
-enough different corners agree. Only keys that some query has are entered, by a field of bits of fixed size. Equal pictures are one class: a task
+their bits, and images meet where such a choice is equal or differs in one bit. Pairs with two close matches are compared corner by corner: matches within a wider Hamming
+distance vote for a turn, a scale and a shift; an image is a copy when enough different corners agree. Only keys that some query has are entered, by a field of bits of fixed size. Equal pictures are one class: a task
 describes a class once, and results name classes by their least ids, with each row's class beside them.
 
 Defined results: a null, undecodable or flat image has no corners and matches nothing; null pictures of one width are one class; repeated rows are members
@@ -28,6 +28,8 @@ CELL, CORNERS = 16, 4
 #: Tables and the bits that each takes; the largest Hamming distance of a match; corners that must agree. A query is entered under the keys that differ in
 #: one bit, too: with equal keys only, or within 12, few copies that are turned or resized are found; within 24, pictures match by chance (README).
 TABLES, TABLE_BITS, NEAR, AGREE = 6, 20, 20, 5
+#: Matches within SEED_NEAR that pairs need to be compared corner by corner: far fewer matches by chance are made rows than within NEAR.
+SEED_NEAR, SEEDS = 16, 2
 _rng = np.random.default_rng(7)
 #: Pairs of points of which the tests are chosen, and the tables' bits (no bit in two tables).
 _CANDIDATES = np.clip(_rng.normal(0, RADIUS / 2.2, (1000, 4)), -RADIUS, RADIUS)
@@ -199,14 +201,15 @@ def near_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flip", flips).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
 
 
-def poll(pair: np.ndarray, match: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` pairs the most corners that agree on a turn, scale and shift, 0 if under ``AGREE``. Bins overlap by half, so that agreeing
+def poll(pair: np.ndarray, match: np.ndarray, n: int, corner: np.ndarray | None = None) -> np.ndarray:
+    """For each of ``n`` pairs the most corners (``corner``; the lowest 8 bits of a match if None) that agree on a turn, scale and shift, 0 if under ``AGREE``. Bins overlap by half, so that agreeing
     matches share one. What finds too few others for its turn and scale, or for its shift along one side, goes before the next is looked at."""
     best = np.zeros(n, np.int64)
+    corner = match & 255 if corner is None else corner
 
     def agreed(of):
         kinds, of = np.unique(of, return_inverse=True)
-        count = np.bincount(np.unique(of.astype(np.int64) << 8 | match[at] & 255) >> 8, minlength=len(kinds))
+        count = np.bincount(np.unique(of.astype(np.int64) << 32 | corner[at]) >> 32, minlength=len(kinds))
         return count[of]
 
     for i in (0, 1):
@@ -224,39 +227,75 @@ def poll(pair: np.ndarray, match: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
+def _matches(query: tuple, image: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of the query of all matches with corners of the image (both: words of strings, corners and frames), and how the query then lies in the image: turn,
+    scale and shift in half steps of the bins, in one number. Corners match within ``NEAR`` if some table's bits are equal or differ in one."""
+    (qw, qc, qf), (iw, _, f) = query, image
+    q, i = np.nonzero(np.bitwise_count(qw[:, None] ^ iw[None]).sum(2) <= NEAR)
+    x = qw[q] ^ iw[i]
+    meets = np.zeros(len(q), bool)
+    for m in _MASKS:
+        meets |= np.bitwise_count(x & np.array(m, np.int64).view(np.uint64)).sum(1) <= 1
+    q, f = q[meets], f[i[meets]]
+    qf = qf[q]
+    turn, scale = np.mod(f[:, 3] - qf[:, 3], 2 * np.pi), qf[:, 2] / f[:, 2]
+    dx = f[:, 0] - scale * (np.cos(turn) * qf[:, 0] - np.sin(turn) * qf[:, 1])
+    dy = f[:, 1] - scale * (np.sin(turn) * qf[:, 0] + np.cos(turn) * qf[:, 1])
+    part = lambda v, low, n, at: np.clip(np.floor(v).astype(np.int64) + low, 0, n - 1) << at
+    return qc[q], part(turn / (np.pi / 12), 0, 24, 8) + part(np.log2(scale) / 0.6 + 0.5, 8, 16, 13) + part(dx / 8, 32767, 65535, 17) + part(dy / 8, 32767, 65535, 33)
+
+
+def _described_lists(column) -> list[tuple]:
+    """Of a column of lists of corners a tuple (words of strings, corners, frames) for each row."""
+    ends, parts = column.offsets.to_numpy(), column.values
+    take = lambda n: parts.field(n).to_numpy(zero_copy_only=False)
+    words, frames, corner = np.stack([take("b0"), take("b1")], 1).view(np.uint64), np.stack([take(n) for n in ("x", "y", "scale", "turn")], 1), take("corner").astype(np.int64)
+    return [(words[a:z], corner[a:z], frames[a:z]) for a, z in zip(ends[:-1], ends[1:])]
+
+
 def _votes(batches):
+    """Rows (query_class, image_class, query's corners, image's corners) as (query_class, image_class, votes) of the pairs that agree."""
     for b in batches:
-        ends = b.column(2).offsets.to_numpy()
-        match = b.column(2).values.to_numpy()
-        votes, at = [], 0
-        while at < b.num_rows:  # as many pairs at once as have some 200,000 matches
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + 200_000)) - 1)
-            to = min(to, b.num_rows)
-            votes.append(poll(np.repeat(np.arange(to - at), np.diff(ends[at : to + 1])), match[ends[at] : ends[to]], to - at))
-            at = to
+        votes, of, corners, ways, held = [], [], [], [], 0
+
+        def flush():
+            votes.append(poll(np.repeat(np.arange(len(of)), of), np.concatenate(ways), len(of), np.concatenate(corners)))
+
+        for query, image in zip(_described_lists(b.column(2)), _described_lists(b.column(3))):
+            corner, way = _matches(query, image)
+            of.append(len(corner))
+            corners.append(corner)
+            ways.append(way)
+            held += len(corner)
+            if held > 200_000:
+                flush()
+                of, corners, ways, held = [], [], [], 0
+        if of:
+            flush()
         votes = np.concatenate(votes) if votes else np.zeros(0, np.int64)
         yield pa.record_batch([b.column(0), b.column(1), pa.array(votes)], names=["query_class", "image_class", "votes"]).filter(pa.array(votes >= AGREE))
 
 
-def matched(left: DataFrame, right: DataFrame) -> DataFrame:
-    """query_class, image_class, votes of the pairs of described pictures that agree."""
-    left = near_keys(left.where("key is not null")).select(F.col("class").alias("query_class"), "key", F.col("corner").alias("qc"), *[F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "turn", "b0", "b1")])
-    right = right.where("key is not null").withColumnRenamed("class", "image_class")
+def seeded(left: DataFrame, right: DataFrame) -> DataFrame:
+    """query_class, image_class of the pairs in which at least ``SEEDS`` corners of the query have a match within ``SEED_NEAR``."""
+    some = lambda d, *names: d.where("key is not null").select("key", *[F.col(c).alias(n) for c, n in zip(("class", "corner", "b0", "b1"), names)])
+    left, right = near_keys(some(left, "query_class", "qc", "q_b0", "q_b1")), some(right, "image_class", "corner", "b0", "b1").drop("corner")
     x0, x1 = F.col("b0").bitwiseXOR(F.col("q_b0")), F.col("b1").bitwiseXOR(F.col("q_b1"))
     # Two corners that meet in several tables match in the first of them.
     first = F
     for t, (m0, m1) in enumerate(_MASKS):
         first = first.when(F.bit_count(x0.bitwiseAND(F.lit(m0))) + F.bit_count(x1.bitwiseAND(F.lit(m1))) <= 1, F.lit(t))
-    both = left.join(right, "key").where((F.bit_count(x0) + F.bit_count(x1) <= NEAR) & (first == F.shiftright("key", TABLE_BITS)))
-    # Each match says how the query lies in the image: turn, scale and shift in half steps of the bins, and the query's corner, in one number.
-    turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(2 * np.pi))
-    scale = F.col("q_scale") / F.col("scale")
-    dx = F.col("x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
-    dy = F.col("y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    part = lambda v, low, n, at: F.shiftleft(F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v).cast("int") + low)).cast("long"), at)
-    match = F.col("qc").cast("long") + part(turn / (np.pi / 12), 0, 24, 8) + part(F.log2(scale) / 0.6 + 0.5, 8, 16, 13) + part(dx / 8, 32767, 65535, 17) + part(dy / 8, 32767, 65535, 33)
-    pairs = both.select("query_class", "image_class", match.alias("m")).groupBy("query_class", "image_class").agg(F.collect_set("m").alias("ms"))
-    return pairs.where(F.size("ms") >= AGREE).mapInArrow(_votes, "query_class long, image_class long, votes long")
+    both = left.join(right, "key").where((F.bit_count(x0) + F.bit_count(x1) <= SEED_NEAR) & (first == F.shiftright("key", TABLE_BITS)))
+    return both.groupBy("query_class", "image_class").agg(F.size(F.collect_set("qc")).alias("n")).where(F.col("n") >= SEEDS).drop("n")
+
+
+def matched(left: DataFrame, right: DataFrame) -> DataFrame:
+    """query_class, image_class, votes of the pairs of described pictures that agree. Only pairs with seeds are compared corner by corner."""
+    pairs = common.written(seeded(left, right), "seeds")
+    corner = F.collect_set(F.struct("corner", "x", "y", "scale", "turn", "b0", "b1"))
+    listed = lambda d, of, name: d.where("key is not null").join(pairs.select(F.col(of).alias("class")).distinct(), "class", "left_semi").groupBy(F.col("class").alias(of)).agg(corner.alias(name))
+    both = pairs.join(listed(left, "query_class", "qs"), "query_class").join(listed(right, "image_class", "cs"), "image_class")
+    return both.select("query_class", "image_class", "qs", "cs").mapInArrow(_votes, "query_class long, image_class long, votes long")
 
 
 def copies(queries: DataFrame, images: DataFrame) -> DataFrame:
