@@ -137,11 +137,11 @@ def table_keys(strings: np.ndarray) -> np.ndarray:
 
 
 def described(images: DataFrame, wanted=None) -> DataFrame:
-    """Of ``images`` (image_id, width, pixels) a row (image_id, class) for each, and a row (class, key, corner, x, y, scale, turn, b0, b1) for each corner
-    and table of a picture, once a task for equal pictures. The class is a hash of width and pixels. ``wanted`` is a broadcast field of bits, one for each
+    """Of ``images`` (image_id, width, pixels) a row (image_id, class) for each, and a row (class, key, corner, x, y, scale, turn, b0, b1, lead) for each corner
+    and table of a picture, once a task for equal pictures; ``lead`` marks the first of a corner's rows. The class is a hash of width and pixels. ``wanted`` is a broadcast field of bits, one for each
     possible key (a fixed size); keys that it lacks are left out."""
-    names = ["image_id", "class", "key", "corner", "x", "y", "scale", "turn", "b0", "b1"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 4, pa.int64(), pa.int64()]
+    names = ["image_id", "class", "key", "corner", "x", "y", "scale", "turn", "b0", "b1", "lead"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 4, pa.int64(), pa.int64(), pa.bool_()]
 
     def corners(out):
         columns = [np.concatenate(c) for c in zip(*out)]
@@ -166,7 +166,7 @@ def described(images: DataFrame, wanted=None) -> DataFrame:
                 at = np.arange(len(keys)) if wanted is None else np.flatnonzero(wanted.value[keys >> 3] >> (keys & 7).astype(np.uint8) & 1)
                 corner = at // TABLES
                 words = strings.view(">i8")[corner]
-                out.append((np.full(len(at), c), keys[at], corner, *frames[corner].T, words[:, 0], words[:, 1]))
+                out.append((np.full(len(at), c), keys[at], corner, *frames[corner].T, words[:, 0], words[:, 1], np.diff(corner, prepend=-1) > 0))
                 held += len(at)
                 if held > 50_000:
                     yield corners(out)
@@ -175,7 +175,7 @@ def described(images: DataFrame, wanted=None) -> DataFrame:
             if out:
                 yield corners(out)
 
-    return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), "pixels").mapInArrow(run, "image_id long, class long, key long, corner int, x double, y double, scale double, turn double, b0 long, b1 long")
+    return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), "pixels").mapInArrow(run, "image_id long, class long, key long, corner int, x double, y double, scale double, turn double, b0 long, b1 long, lead boolean")
 
 
 def key_field(rows: DataFrame) -> np.ndarray:
@@ -293,7 +293,7 @@ def matched(left: DataFrame, right: DataFrame) -> DataFrame:
     """query_class, image_class, votes of the pairs of described pictures that agree. Only pairs with seeds are compared corner by corner."""
     pairs = common.written(seeded(left, right), "seeds")
     corner = F.collect_set(F.struct("corner", "x", "y", "scale", "turn", "b0", "b1"))
-    listed = lambda d, of, name: d.where("key is not null").join(pairs.select(F.col(of).alias("class")).distinct(), "class", "left_semi").groupBy(F.col("class").alias(of)).agg(corner.alias(name))
+    listed = lambda d, of, name: d.where("lead").join(pairs.select(F.col(of).alias("class")).distinct(), "class", "left_semi").groupBy(F.col("class").alias(of)).agg(corner.alias(name))
     both = pairs.join(listed(left, "query_class", "qs"), "query_class").join(listed(right, "image_class", "cs"), "image_class")
     return both.select("query_class", "image_class", "qs", "cs").mapInArrow(_votes, "query_class long, image_class long, votes long")
 

@@ -655,6 +655,10 @@ def test_votes_by_definition():
                         groups.setdefault((a, (t[i] + a) // 2 % 12, s[i], b, (x[i] + b) // 2, c, (y[i] + c) // 2), set()).add(corner[i])
         most = max(map(len, groups.values()))
         assert got[p] == (most if most >= images.AGREE else 0)
+    # Corners whose numbers differ by 256 are different corners.
+    same = np.full(images.AGREE, 3 << 8 | 8 << 13 | 32767 << 17 | 32767 << 33)
+    assert images.poll(np.zeros(images.AGREE, np.int64), same, 1, np.arange(images.AGREE) * 256)[0] == images.AGREE
+    assert images.poll(np.zeros(images.AGREE, np.int64), same, 1, np.full(images.AGREE, 256))[0] == 0
 
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
