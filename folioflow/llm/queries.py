@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, images, jaccard, language_id, mixing, packing, quality, toolcalls, toxicity, wordpiece
+from . import alignment, binary_ids, images, jaccard, language_id, merkle, mixing, packing, quality, toolcalls, toxicity, wordpiece
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,8 @@ QUERIES = {
     "op7_token_files": binary_ids.op7_token_files,
     "op8_language_id": language_id.op8_language_id,
     "op9_packing": packing.op9_packing,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op4_hierarchical_mix": mixing.OP4_SQL}
+ORACLES: dict[str, str] = {"op4_hierarchical_mix": mixing.OP4_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
