@@ -19,8 +19,9 @@ input are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,43 +32,58 @@ from . import common, tokens
 
 #: Signs of text of a chunk, one document at least.
 CHUNK_SIGNS = 8 << 20
-#: Pieces that a worker remembers before it starts anew, and the longest piece it remembers.
-MEMO_PIECES, MEMO_LENGTH = 250_000, 48
-#: Signs of a byte: no end, an end of A, of B, of both.
-SIGNS = b".abx"
-_GROUP = re.compile(rb"[.ab]*x")
+#: Pieces that a worker remembers, in two halves of which it forgets the older one, and the longest piece it remembers.
+MEMO_PIECES, MEMO_LENGTH = 600_000, 48
+#: Signs of text that are cut before their unknown pieces are encoded.
+SLICE_SIGNS = 1 << 20
+#: Signs of a byte: no end, an end of A, of B, of both, whose code is the two ends' codes put together by "or".
+NONE, A_END, B_END, BOTH = b"`abc"
+_GROUP = re.compile(rb"[`ab]*c")
+#: A space in byte-level vocabularies.
+_SPACE = tokens._BYTE_SIGNS[32]
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
-def label_string(a_sizes: list[int], b_sizes: list[int]) -> bytes:
-    """A sign for each byte, from the byte lengths of the tokens of A and of B, which have the same sum."""
-    ends_a, ends_b = np.cumsum(a_sizes, dtype=np.int64), np.cumsum(b_sizes, dtype=np.int64)
-    marks = np.zeros(int(ends_a[-1]) if len(ends_a) else 0, np.uint8)
-    marks[ends_a - 1] |= 1
-    marks[ends_b - 1] |= 2
-    return np.frombuffer(SIGNS, np.uint8)[marks].tobytes()
+def token_signs(size: int, end: int) -> bytes:
+    """The signs of the bytes of a token."""
+    return bytes([NONE]) * (size - 1) + bytes([end])
+
+
+def label_string(of_a: list[bytes], of_b: list[bytes]) -> bytes:
+    """A sign for each byte of a text, from the signs of its tokens of A and of B."""
+    a, b = b"".join(of_a), b"".join(of_b)
+    return (int.from_bytes(a) | int.from_bytes(b)).to_bytes(len(a))
+
+
+class _Sizes(dict):
+    """The numbers of tokens of A and of B in a group, by its signs."""
+
+    def __missing__(self, signs: bytes) -> tuple[int, int]:
+        found = signs.count(b"a") + 1, signs.count(b"b") + 1
+        if len(signs) <= 16:
+            self[signs] = found
+        return found
+
+
+_SIZES = _Sizes()
 
 
 def group_sizes(signs: bytes) -> list[tuple[int, int]]:
     """The numbers of tokens of A and of B in each group."""
-    return [((s := m[0]).count(b"a") + 1, s.count(b"b") + 1) for m in _GROUP.finditer(signs)]
+    return [_SIZES[s] for s in _GROUP.findall(signs)]
 
 
-def group_links(signs: bytes, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """The pairs of ids whose byte ranges overlap, in order: a pair for each end, and both go on where both end."""
-    i = j = 0
-    out = []
-    for s in signs.replace(b".", b""):
-        out.append((a[i], b[j]))
-        i += s != SIGNS[2]
-        j += s != SIGNS[1]
-    return out
+def group_links(signs: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pairs of ids whose byte ranges overlap, in order, as unsigned 32-bit numbers: one for each end, which is a pair of the tokens that are open there."""
+    ends = np.frombuffer(signs.replace(b"`", b""), np.uint8)
+    of_a, of_b = ends & 1, ends >> 1 & 1
+    open_a, open_b = np.cumsum(of_a, dtype=np.int64) - of_a, np.cumsum(of_b, dtype=np.int64) - of_b
+    return a.astype("<u4")[open_a] << 16 | b.astype("<u4")[open_b]
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """A text's tokens of both kinds, its groups as text, and its links as unsigned 32-bit numbers (A's id in the upper half)."""
+class Aligned(NamedTuple):
+    """A text's tokens of both kinds, its groups, its links as unsigned 32-bit numbers (A's id in the upper half) and its groups as text."""
 
     n_a: int
     n_b: int
@@ -84,6 +100,8 @@ class Aligner:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        # A task has one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
@@ -93,53 +111,95 @@ class Aligner:
         byte_of = {sign: bytes([i]) for i, sign in enumerate(tokens._BYTE_SIGNS)}
         self.bytes_a = [b"".join([byte_of.get(c, c.encode()) for c in self.a.id_to_token(i) or ""]) for i in range(sizes[0])]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.match(p := self.b.id_to_piece(i))) else p.replace("\u2581", " ").encode() for i in range(sizes[1])]
+        self.signs_a, self.signs_b = ([token_signs(len(x), end) for x in known] for known, end in ((self.bytes_a, A_END), (self.bytes_b, B_END)))
+        self.names = [str(i) for i in range(max(sizes))]
         self.space = self.b.piece_to_id("\u2581")
         self.memo: dict[str, Aligned | None] = {}
-
-    def whole(self, text: str, led: bool = True) -> Aligned | None:
-        """``text`` without cutting it, with a space before it or (a piece that begins with a line feed) none; None if its bytes are not reproduced."""
-        a = self.a.encode(" " + text if led else text, add_special_tokens=False).ids
-        b = self.b.encode(text)
-        if not led:
-            if b[:1] != [self.space]:
-                return None
-            b = b[1:]
-        of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if not b"".join(of_a) == b"".join(of_b) == (" " + text if led else text).encode():
-            return None
-        signs = label_string([len(x) for x in of_a], [len(x) for x in of_b])
-        found, at_a, at_b = [], 0, 0
+        self.older: dict[str, Aligned | None] = {}
+
+    def _ids(self, spaced: list[str], texts: list[str], led: bool) -> tuple[list[list[int]], list[list[int]]]:
+        of_a: list = [None] * len(spaced)
+        apart = []
+        for i, text in enumerate(texts):
+            # A word of Latin letters is left whole by the splitter, so the merging model takes it at once.
+            if led and text.isascii() and text.isalpha():
+                of_a[i] = [t.id for t in self.a.model.tokenize(_SPACE + text)]
+            else:
+                apart.append(i)
+        for i, e in zip(apart, self.a.encode_batch_fast([spaced[i] for i in apart], add_special_tokens=False), strict=True):
+            of_a[i] = e.ids
+        of_b = self.b.encode(texts, num_threads=1)
+        # No piece of B holds a line feed, so nothing joins it; the space that B adds before it is a token of its own.
+        return of_a, of_b if led else [b[1:] if b[:1] == [self.space] else [] for b in of_b]
+
+    def _same(self, a: list[int], b: list[int], text: str) -> bool:
+        return b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == text.encode()
+
+    def whole(self, texts: list[str], led: bool = True) -> list[Aligned | None]:
+        """``texts`` without cutting them, with a space before each or (pieces that begin with a line feed) none; None where bytes are not reproduced. All
+        texts are scanned as one, as both end where a text ends."""
+        if not texts:
+            return []
+        spaced = [" " + t for t in texts] if led else texts
+        of_a, of_b = self._ids(spaced, texts, led)
+        good = list(map(self._same, of_a, of_b, spaced))
+        of_a, of_b = [x for x, ok in zip(of_a, good) if ok], [x for x, ok in zip(of_b, good) if ok]
+        a, b = [i for x in of_a for i in x], [i for x in of_b for i in x]
+        signs = label_string([self.signs_a[i] for i in a], [self.signs_b[i] for i in b])
+        names_a, names_b = [self.names[i] for i in a], [self.names[i] for i in b]
+        groups, ends, at_a, at_b = [], {}, 0, 0
         for n, m in group_sizes(signs):
-            found.append(f"{','.join(map(str, a[at_a : at_a + n]))}|{','.join(map(str, b[at_b : at_b + m]))}")
+            groups.append(f"{names_a[at_a] if n == 1 else ','.join(names_a[at_a : at_a + n])}|{names_b[at_b] if m == 1 else ','.join(names_b[at_b : at_b + m])}")
             at_a, at_b = at_a + n, at_b + m
-        links = np.array([i << 16 | j for i, j in group_links(signs, a, b)], "<u4")
-        return Aligned(len(a), len(b), len(found), links.tobytes(), ";".join(found))
-
-    def piece(self, piece: str) -> Aligned | None:
-        """A piece behind a space that was cut off, or from its line feed on."""
-        try:
-            return self.memo[piece]
-        except KeyError:
-            # No piece of B holds a line feed, so nothing joins it; what B adds before it is a token of its own.
-            done = self.whole(piece, led=not piece.startswith("\n"))
-            if len(piece) <= MEMO_LENGTH:
-                if len(self.memo) >= MEMO_PIECES:
-                    self.memo.clear()
-                self.memo[piece] = done
-            return done
-
-    def align(self, text: str | None) -> Aligned | None:
-        if not text:
-            return None
+            ends[at_a] = len(groups)
+        links = group_links(signs, np.array(a, np.int64), np.array(b, np.int64)).tobytes()
+        done, at_a, at_g, at_l = [], 0, 0, 0
+        for x, y in zip(of_a, of_b):
+            at_a += len(x)
+            g = ends[at_a]
+            to = at_l + 4 * (len(x) + len(y) - g + at_g)
+            done.append(Aligned(len(x), len(y), g - at_g, links[at_l:to], ";".join(groups[at_g:g])))
+            at_g, at_l = g, to
+        left = iter(done)
+        return [next(left) if ok else None for ok in good]
+
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        """The pieces of a text, and whether the first one must be taken by itself."""
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or tokens._RARE.search(text):
-            first, *rest = _LONE.split(text)
             # A first piece that begins with a line feed still has the space of the text before it.
-            got = [self.whole(first), *map(self.piece, rest)]
-        else:
-            got = list(map(self.piece, text.replace("\n", " \n").split(" ")))
-        if None in got:
-            return self.whole(text)
-        return Aligned(sum([g.n_a for g in got]), sum([g.n_b for g in got]), sum([g.n_groups for g in got]), b"".join([g.links for g in got]), ";".join([g.groups for g in got]))
+            return _LONE.split(text), True
+        return text.replace("\n", " \n").split(" "), False
+
+    def align(self, texts: list[str | None]) -> list[Aligned | None]:
+        """The texts aligned; unknown pieces of all of them are encoded at once."""
+        cut = [self._cut(t) if t else ([], False) for t in texts]
+        if len(self.memo) > MEMO_PIECES // 2:
+            self.older, self.memo = self.memo, {}
+        memo, older, new = self.memo, self.older, []
+        for p in {p for pieces, apart in cut for p in (pieces[1:] if apart else pieces)}:
+            if p not in memo:
+                if p in older:
+                    memo[p] = older[p]
+                else:
+                    new.append(p)
+        for led in (True, False):
+            own = [p for p in new if p.startswith("\n") != led]
+            memo.update(zip(own, self.whole(own, led), strict=True))
+        firsts = iter(self.whole([pieces[0] for pieces, apart in cut if apart]))
+        out = []
+        for text, (pieces, apart) in zip(texts, cut, strict=True):
+            got = [next(firsts), *map(memo.__getitem__, pieces[1:])] if apart else list(map(memo.__getitem__, pieces))
+            if not got:
+                out.append(None)
+            elif None in got:
+                out += self.whole([text])
+            else:
+                n_a, n_b, n, links, groups = zip(*got)
+                out.append(Aligned(sum(n_a), sum(n_b), sum(n), b"".join(links), ";".join(groups)))
+        for p in new:
+            if len(p) > MEMO_LENGTH:
+                del memo[p]
+        return out
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -167,6 +227,17 @@ def _chunks(batches, most: int):
         yield rows
 
 
+def _slices(texts: list[str | None]):
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= SLICE_SIGNS:
+            yield texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield texts[first:]
+
+
 _DOCS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
 _FIRST = f"chunk long, {_DOCS}, pair array<long>, docs array<long>"
 
@@ -180,7 +251,7 @@ def _align_chunks(path_a: str, path_b: str, most: int):
 
         tool, first = aligner(path_a, path_b), TaskContext.get().partitionId() << 32
         for no, rows in enumerate(_chunks(batches, most)):
-            done = [tool.align(text) for _, text in rows]
+            done = [d for texts in _slices([text for _, text in rows]) for d in tool.align(texts)]
             sizes = [len(d.links) // 4 if d else 0 for d in done]
             links = np.frombuffer(b"".join([d.links for d in done if d]), "<u4")
             pairs, at = np.unique(links, return_inverse=True)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -62,8 +63,9 @@ def random_texts(n, longest, seed):
 
 def test_pieces_equal_whole_texts(plain):
     tool = alignment.Aligner(A, B)
-    for text in [*ODD, *random_texts(1500, 12, 3)]:
-        want, got = plain(text), tool.align(text)
+    texts = [*ODD, *random_texts(1500, 12, 3)]
+    for text, got in zip(texts, tool.align(texts), strict=True):
+        want = plain(text)
         assert (want is None) == (got is None), text
         if want:
             groups, links = aligned(want)
@@ -72,9 +74,10 @@ def test_pieces_equal_whole_texts(plain):
 
 
 def test_signs_and_groups():
-    signs = alignment.label_string([2, 3, 1], [1, 4, 1])
-    assert signs == b"ba..xx" and alignment.group_sizes(signs) == [(2, 2), (1, 1)]
-    assert alignment.group_links(signs, [7, 8, 9], [1, 2, 3]) == [(7, 1), (7, 2), (8, 2), (9, 3)]
+    spell = lambda sizes, end: [alignment.token_signs(n, end) for n in sizes]
+    signs = alignment.label_string(spell([2, 3, 1], alignment.A_END), spell([1, 4, 1], alignment.B_END))
+    assert signs == b"ba``cc" and alignment.group_sizes(signs) == [(2, 2), (1, 1)]
+    assert [divmod(int(x), 1 << 16) for x in alignment.group_links(signs, np.array([7, 8, 9]), np.array([1, 2, 3]))] == [(7, 1), (7, 2), (8, 2), (9, 3)]
     assert alignment.label_string([], []) == b"" and alignment.group_sizes(b"") == []
 
 
