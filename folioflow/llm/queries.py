@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, binary_ids, images, jaccard, language_id, merkle, mixing, packing, quality, toolcalls, toxicity, wordpiece
+from . import alignment, binary_ids, images, jaccard, language_id, merkle, mixing, packing, quality, toolcalls, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op11_alignment": alignment.op11_alignment,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_warc": warc.op13_warc,
 }
 
-ORACLES: dict[str, str] = {"op4_hierarchical_mix": mixing.OP4_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
+ORACLES: dict[str, str] = {"op4_hierarchical_mix": mixing.OP4_SQL, "op12_merkle_manifest": merkle.OP12_SQL, "op13_warc": warc.OP13_SQL}
