@@ -33,7 +33,7 @@ from . import common, tokens
 #: Signs of text of a chunk, one document at least.
 CHUNK_SIGNS = 8 << 20
 #: Pieces that a worker remembers, in two halves of which it forgets the older one, and the longest piece it remembers.
-MEMO_PIECES, MEMO_LENGTH = 600_000, 48
+MEMO_PIECES, MEMO_LENGTH = 400_000, 48
 #: Signs of text that are cut before their unknown pieces are encoded.
 SLICE_SIGNS = 1 << 20
 #: Signs of a byte: no end, an end of A, of B, of both, whose code is the two ends' codes put together by "or".
