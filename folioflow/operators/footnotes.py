@@ -20,11 +20,9 @@ CITATION = r"(?<!\^)\[0*([0-9]+)\](?!\()"
 
 def definitions(notes: DataFrame) -> DataFrame:
     """doc_id, line_no, id, alpha, snippet, title, url of every definition; a link alone on the next line belongs to it."""
-    rows = L.lines(notes)
-    link = F.lead("line").over(L.by_doc())
-    two = F.coalesce(link.rlike(LINK_LINE), F.lit(False))
+    two = F.coalesce(F.col("next").rlike(LINK_LINE), F.lit(False))
     part = lambda i: F.when(F.col("two"), F.regexp_extract("next", LINK_LINE, i))
-    rows = rows.withColumn("next", link).withColumn("two", two).where(F.col("line").rlike(DEF))
+    rows = L.in_order(notes).withColumn("two", two).where(F.col("line").rlike(DEF))
     name = F.regexp_extract("line", DEF, 1)
     return rows.select("doc_id", "line_no", name.alias("id"), (~name.rlike(r"^[0-9]+\z")).alias("alpha"), F.regexp_extract("line", DEF, 2).alias("snippet"), part(1).alias("title"), part(2).alias("url"))
 
@@ -47,10 +45,10 @@ def from_citations(text: Column) -> Column:
 
 
 def existing_refs(notes: DataFrame) -> DataFrame:
-    """doc_id, line_no, id, url of numeric definitions; the url of a link that opens the next line, else empty."""
-    rows = L.lines(notes).withColumn("next", F.coalesce(F.lead("line").over(L.by_doc()), F.lit("")))
+    """doc_id, line_no, id, url of numeric definitions; the url of a link that opens the next line, else empty. The id is null where it has over 64 bits."""
+    rows = L.in_order(notes).withColumn("next", F.coalesce("next", F.lit("")))
     rows = rows.where(F.col("line").rlike(r"^\[\^[0-9]+\]:"))
-    return rows.select("doc_id", "line_no", F.regexp_extract("line", r"^\[\^([0-9]+)\]:", 1).cast("long").alias("id"), F.regexp_extract("next", r"^\[[^\]]*\]\(([^)]+)\)", 1).alias("url"))
+    return rows.select("doc_id", "line_no", F.regexp_extract("line", r"^\[\^([0-9]+)\]:", 1).try_cast("long").alias("id"), F.regexp_extract("next", r"^\[[^\]]*\]\(([^)]+)\)", 1).alias("url"))
 
 
 def atx(line: Column) -> Column:
@@ -134,23 +132,23 @@ def move_to_resources(rows: DataFrame, name: str = "Resources", heading: str | N
 
 def id_map(notes: DataFrame, norm) -> DataFrame:
     """doc_id, old_id, new_id of numeric footnotes: in the order of their first references, then of definitions without one; ids whose first
-    definitions have equal urls (by ``norm``) share a number."""
+    definitions have equal urls (by ``norm``) share a number. ``old`` has the digits of the old id, which is null where it has over 64 bits."""
     numeric = lambda c: F.col(c).rlike(r"^[0-9]+\z")
-    big = lambda c: F.col(c).cast("decimal(38,0)")
+    big = lambda c: L.digits(F.col(c))
     refs = references(notes).where(numeric("id")).select("doc_id", big("id").alias("old_id"), F.struct(F.lit(0).alias("k"), "line_no", "ord").alias("at"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("long").alias("d"))
     defs = definitions(notes).where(~F.col("alpha")).select("doc_id", big("id").alias("old_id"), F.struct(F.lit(1).alias("k"), "line_no", F.lit(0).cast("long").alias("ord")).alias("at"), norm(F.col("url")).alias("url"), F.col("line_no").alias("d"))
     ids = refs.unionByName(defs).groupBy("doc_id", "old_id").agg(F.min("at").alias("at"), F.min_by(F.struct("url"), "d").alias("u"))
-    key = F.coalesce(F.concat(F.lit("u:"), F.col("u.url")), F.concat(F.lit("i:"), F.col("old_id").cast("string")))
+    key = F.coalesce(F.concat(F.lit("u:"), F.col("u.url")), F.concat(F.lit("i:"), F.col("old_id")))
     ids = ids.withColumn("first", F.min("at").over(Window.partitionBy("doc_id", key)))
-    return ids.select("doc_id", F.col("old_id").cast("long").alias("old_id"), F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")).cast("long").alias("new_id"))
+    return ids.select("doc_id", F.col("old_id").alias("old"), F.col("old_id").try_cast("long").alias("old_id"), F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")).cast("long").alias("new_id"))
 
 
 def _parts(notes: DataFrame) -> DataFrame:
     """Lines (doc_id, line_no, off, line, sep) with what they are to numeric definitions: ``def`` (the number), ``title`` and ``url`` of the link line that
     belongs to it, and ``owner``, the line_no of the definition that a line is of."""
-    rows = L.lines(notes).withColumn("next", F.lead("line").over(L.by_doc()))
+    rows = L.in_order(notes)
     name = F.regexp_extract("line", DEF, 1)
-    number = F.when(F.col("line").rlike(DEF) & name.rlike(r"^[0-9]+\z"), name.cast("decimal(38,0)"))
+    number = F.when(F.col("line").rlike(DEF) & name.rlike(r"^[0-9]+\z"), L.digits(name))
     two = F.col("line").rlike(DEF) & F.coalesce(F.col("next").rlike(LINK_LINE), F.lit(False))
     part = lambda i: F.when(F.col("two"), F.regexp_extract("next", LINK_LINE, i))
     rows = rows.withColumn("sep", F.when(F.col("next").isNull(), "").otherwise("\n")).withColumn("def", number).withColumn("two", two).withColumn("title", part(1)).withColumn("url", part(2))
@@ -166,7 +164,7 @@ def _renamed(line: Column, ids: Column) -> Column:
         at = F.locate("[^", p)
         name = F.substr(p, at + 2, F.length(p) - at - 2)
         is_ref = (at > 0) & p.endswith("]") & name.rlike(r"^[0-9]+\z") & ~F.coalesce(F.get(pieces, i + 1), F.lit("")).startswith(":")
-        to = F.try_element_at(ids, name.try_cast("decimal(38,0)"))
+        to = F.try_element_at(ids, L.digits(name))
         return F.when(is_ref & to.isNotNull(), F.concat(F.substr(p, F.lit(1), at + 1), to.cast("string"), F.lit("]"))).otherwise(p)
 
     return F.array_join(F.transform(pieces, rename), "")
@@ -174,7 +172,7 @@ def _renamed(line: Column, ids: Column) -> Column:
 
 def identity(notes: DataFrame, norm) -> DataFrame:
     """Numeric footnotes of notes get the numbers of ``id_map``; of the definitions that share one the first stays."""
-    ids = id_map(notes, norm).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("old_id").cast("decimal(38,0)"), "new_id"))).alias("ids"))
+    ids = id_map(notes, norm).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("old", "new_id"))).alias("ids"))
     rows = _parts(notes).join(ids, "doc_id", "left").withColumn("new", F.try_element_at("ids", "def"))
     first = F.min(F.when(F.col("new").isNotNull(), F.col("line_no"))).over(Window.partitionBy("doc_id", "new"))
     rows = rows.withColumn("dropped", F.col("new").isNotNull() & (first != F.col("line_no")))

@@ -21,8 +21,8 @@ def so_far() -> WindowSpec:
     return by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _texts(notes: DataFrame) -> DataFrame:
-    return notes.select("doc_id", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("ls"))
+def _texts(notes: DataFrame, *more: str) -> DataFrame:
+    return notes.select("doc_id", *more, F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("ls"))
 
 
 def lines(notes: DataFrame) -> DataFrame:
@@ -32,10 +32,26 @@ def lines(notes: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), before.cast("long").alias("off"), "line")
 
 
+def in_order(notes: DataFrame) -> DataFrame:
+    """``lines`` for operators that look at neighbouring lines: with ``next``, the line behind, null behind the last. Notes that share a doc_id are an error."""
+    rows = lines(notes).withColumn("next", F.lead("line").over(by_doc()))
+    same = F.coalesce(F.lag("line_no").over(by_doc()) == F.col("line_no"), F.lit(False))
+    return rows.withColumn("line", F.when(same, _shared_id().cast("string")).otherwise(F.col("line")))
+
+
+def digits(number: Column) -> Column:
+    """The digits of a number without zeros before them: equal numbers have equal digits, however long they are."""
+    return F.regexp_replace(number, "^0+(?=[0-9])", "")
+
+
 def _fences(ls: Column, after: Column) -> Column:
-    """Spans (a, b) of fenced code behind line ``after``: a fence closes at the next one of its character that is at least as long."""
+    """Spans (a, b) of fenced code behind line ``after``."""
     marks = F.transform(ls, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, js.FENCE, 1).alias("run")))
-    marks = F.filter(marks, lambda m: (m["run"] != "") & (m["i"] > after))
+    return _fence_spans(F.filter(marks, lambda m: (m["run"] != "") & (m["i"] > after)))
+
+
+def _fence_spans(marks: Column) -> Column:
+    """Spans (a, b) of fenced code by its candidate lines (i, run): a fence closes at the next one of its character that is at least as long."""
     spans = F.array().cast("array<struct<a:int,b:int>>")
     start = F.struct(F.lit(-1).alias("at"), F.lit("").alias("run"), spans.alias("spans"))
 
@@ -56,40 +72,75 @@ def _inside(spans: Column, n: Column) -> Column:
     return F.concat(F.flatten(F.transform(spans, run)), F.array_repeat(F.lit(False), rest))
 
 
-def kinds(notes: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, sep (what follows the line in the text), kind, block_no.
+def raw_kind(line: Column) -> Column:
+    """What a line is by itself: the first rule that fits, where underlines are ``toggle`` or (also a break) ``rule``."""
+    fits = lambda pattern: line.rlike(pattern)
+    return (
+        F.when(fits(js.ATX), "atxHeading").when(fits(js.BLANK), "blank").when(fits(js.QUOTE), "blockquote").when(fits(js.LIST_ITEM), "listItem").when(fits(js.TABLE_ROW), "tableRow")
+        .when(fits(js.UNDERLINE), F.when(fits(js.THEMATIC), "rule").otherwise("toggle")).when(fits(js.THEMATIC), "thematicBreak").when(fits(js.INDENTED), "indentedCode").otherwise("paragraph")
+    )
 
-    The first rule that fits a line gives its kind. Whether an underline makes a heading depends on the line before being a paragraph, which underlines
-    change in turn: that state is the last value set by another line, flipped once for every underline since.
-    """
+
+def raw_lines(notes: DataFrame, *more: str) -> DataFrame:
+    """doc_id, line_no, line, sep (what follows the line in the text) and raw: front matter, fenced code, or what the line is by itself. The first line of a note
+    brings its columns ``more`` along."""
     ls = F.col("ls")
     closing = F.array_position(F.slice(ls, 2, F.size(ls)), F.lit("---")).cast("int")
     front = F.when(F.get(ls, F.lit(0)) == "---", F.when(closing > 0, closing).otherwise(F.size(ls) - 1)).otherwise(-1)
-    rows = _texts(notes).withColumn("front", front)
+    rows = _texts(notes, *more).withColumn("front", front)
     rows = rows.withColumn("fences", _fences(ls, F.col("front"))).withColumn("n", F.size(ls)).withColumn("fenced", _inside(F.col("fences"), F.col("n")))
-    rows = rows.select("doc_id", "front", "n", F.posexplode(F.arrays_zip(ls.alias("line"), F.col("fenced").alias("fenced"))).alias("line_no", "x")).select("doc_id", "front", "n", "line_no", "x.line", "x.fenced")
-    line, no = F.col("line"), F.col("line_no")
-    fits = lambda pattern: line.rlike(pattern)
-    raw = (
-        F.when(no <= F.col("front"), "frontmatter").when(F.col("fenced"), "fencedCode")
-        .when(fits(js.ATX), "atxHeading").when(fits(js.BLANK), "blank").when(fits(js.QUOTE), "blockquote").when(fits(js.LIST_ITEM), "listItem").when(fits(js.TABLE_ROW), "tableRow")
-        .when(fits(js.UNDERLINE), F.when(fits(js.THEMATIC), "rule").otherwise("toggle")).when(fits(js.THEMATIC), "thematicBreak").when(fits(js.INDENTED), "indentedCode").otherwise("paragraph")
-    )
-    rows = rows.select("doc_id", "line_no", "line", F.when(no < F.col("n") - 1, "\n").otherwise("").alias("sep"), raw.alias("raw"))
-    toggle = F.col("raw") == "toggle"
-    value = F.when(toggle, None).when(F.col("raw") == "paragraph", 1).otherwise(0)
-    flips = F.sum(toggle.cast("int")).over(so_far())
-    rows = rows.withColumn("value", value).withColumn("flips", flips)
-    at = F.coalesce(F.last(F.when(F.col("value").isNotNull(), F.col("flips")), ignorenulls=True).over(so_far()), F.lit(0))
-    state = F.pmod(F.coalesce(F.last("value", ignorenulls=True).over(so_far()), F.lit(0)) + F.col("flips") - at, F.lit(2))
-    rows = rows.withColumn("state", state)
-    before = F.coalesce(F.lag("state").over(by_doc()), F.lit(0))
-    under = F.col("raw").isin("toggle", "rule")
-    rows = rows.withColumn("under", under & (before == 1))
-    kind = F.when(F.col("under"), "setextHeading").when((F.col("state") == 1) & F.coalesce(F.lead("under").over(by_doc()), F.lit(False)), "setextHeading").when(toggle, "paragraph").when(F.col("raw") == "rule", "thematicBreak").otherwise(F.col("raw"))
-    rows = rows.withColumn("kind", kind)
+    rows = rows.select("doc_id", *more, "front", "n", F.posexplode(F.arrays_zip(ls.alias("line"), F.col("fenced").alias("fenced"))).alias("line_no", "x")).select("doc_id", *more, "front", "n", "line_no", "x.line", "x.fenced")
+    no = F.col("line_no")
+    rows = rows.withColumns({c: F.when(no == 0, F.col(c)) for c in more})
+    raw = F.when(no <= F.col("front"), "frontmatter").when(F.col("fenced"), "fencedCode").otherwise(raw_kind(F.col("line")))
+    return rows.select("doc_id", *more, no.cast("long").alias("line_no"), "line", F.when(no < F.col("n") - 1, "\n").otherwise("").alias("sep"), raw.alias("raw"))
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, line_no, raw, ...) with kind and block_no; line numbers have no gaps. Notes that share a doc_id are an error.
+
+    Whether an underline makes a heading depends on the line before being a paragraph, which underlines change in turn: that state is the last value set by
+    another line, flipped once for every line since, as these are all underlines.
+    """
+    columns = [c for c in rows.columns if c not in ("kind", "block_no")]
+    set_by = F.when(F.col("raw") != "toggle", F.struct((F.col("raw") == "paragraph").cast("int").alias("value"), "line_no"))
+    none = F.struct(F.lit(0).alias("value"), F.lit(-1).cast("long").alias("line_no"))
+    now, past = (F.coalesce(F.last(set_by, ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, end)), none) for end in (Window.currentRow, -1))
+    same = F.coalesce(F.lag("line_no").over(by_doc()) == F.col("line_no"), F.lit(False))
+    out = rows.select(*columns, now.alias("_now"), past.alias("_past"), same.alias("_same"), F.lead("raw").over(by_doc()).alias("_lead"))
+    state = F.pmod(F.col("_now.value") + F.col("line_no") - F.col("_now.line_no"), F.lit(2)) == 1
+    before = F.pmod(F.col("_past.value") + F.col("line_no") - 1 - F.col("_past.line_no"), F.lit(2)) == 1
+    underlines = lambda c: F.col(c).isin("toggle", "rule")
+    kind = F.when(underlines("raw") & before, "setextHeading").when(state & F.coalesce(underlines("_lead"), F.lit(False)), "setextHeading").when(F.col("raw") == "toggle", "paragraph").when(F.col("raw") == "rule", "thematicBreak").otherwise(F.col("raw"))
+    out = out.select(*columns, F.when(F.col("_same"), _shared_id().cast("string")).otherwise(kind).alias("kind"))
     new = (F.lag("kind").over(by_doc()).isNull() | (F.col("kind") == "blank") | (F.lag("kind").over(by_doc()) != F.col("kind"))).cast("int")
-    return rows.withColumn("new", new).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", "sep", "kind", F.sum("new").over(so_far()).alias("block_no"))
+    return out.withColumn("_new", new).select(*columns, "kind", F.sum("_new").over(so_far()).alias("block_no"))
+
+
+def reopened(rows: DataFrame) -> DataFrame:
+    """``rows`` of notes whose lines a step has changed: where a first line has become the opening of front matter, the lines up to its closing one, or all, are
+    front matter now, and the fences behind it are found anew."""
+    opens = (F.col("line_no") == 0) & (F.col("line") == "---") & (F.col("raw") != "frontmatter")
+    closes = (F.col("line_no") > 0) & (F.col("line") == "---")
+    out = rows.withColumns({"_opened": F.max(opens).over(so_far()), "_closed": F.coalesce(F.max(closes).over(by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))})
+    run = F.regexp_extract("line", js.FENCE, 1)
+    mark = F.when(F.col("_opened") & F.col("_closed") & (run != ""), F.struct(F.col("line_no").cast("int").alias("i"), run.alias("run")))
+    out = out.withColumn("_marks", F.collect_list(mark).over(by_doc().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # What was code below no longer is unless a fence is found again.
+    fenced = F.exists(_fence_spans(F.col("_marks")), lambda s: (F.col("line_no") >= s["a"]) & (F.col("line_no") <= s["b"]))
+    raw = F.when(~F.col("_opened"), F.col("raw")).when(~F.col("_closed"), "frontmatter").when(fenced, "fencedCode").when(F.col("raw") == "fencedCode", raw_kind(F.col("line"))).otherwise(F.col("raw"))
+    return out.withColumn("raw", raw).select(*rows.columns)
+
+
+def kinds(notes: DataFrame) -> DataFrame:
+    """doc_id, line_no, line, sep (what follows the line in the text), kind, block_no."""
+    return classified(raw_lines(notes)).select("doc_id", "line_no", "line", "sep", "kind", "block_no")
+
+
+def with_off(rows: DataFrame) -> DataFrame:
+    """``rows`` with off, the place of each line's first character in the text of ``line`` and ``sep``."""
+    before = F.sum(F.length("line") + F.length("sep")).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("off", F.coalesce(before, F.lit(0)).cast("int"))
 
 
 def blocks(notes: DataFrame) -> DataFrame:
@@ -99,16 +150,15 @@ def blocks(notes: DataFrame) -> DataFrame:
     return out.select("doc_id", "block_no", "kind", "start_line", "end_line", "start_off", "end_off")
 
 
-def rebuilt(rows: DataFrame, *pieces: str, key: str = "line_no") -> DataFrame:
-    """Notes again from rows of (doc_id, ``key``) and the string columns ``pieces``, joined in order. Notes whose doc_id another note has, too (null ids as well),
-    would come out mixed: that is an error; ``sources.notes.numbered`` gives every note an id of its own."""
+def rebuilt(rows: DataFrame, *pieces: str, key: str = "line_no", **more: Column) -> DataFrame:
+    """Notes again from rows of (doc_id, ``key``) and the string columns ``pieces``, joined in order, with the aggregates ``more``. Notes whose doc_id another note
+    has, too (null ids as well), would come out mixed: that is an error; ``sources.notes.numbered`` gives every note an id of its own."""
     each = F.array_sort(F.collect_list(F.struct(key, F.concat(*pieces).alias("piece"))))
-    out = rows.groupBy("doc_id").agg(each.alias("each"))
+    out = rows.groupBy("doc_id").agg(each.alias("each"), *[v.alias(n) for n, v in more.items()])
     twice = F.size(F.array_distinct(F.transform("each", lambda x: x[key]))) < F.size("each")
     text = F.array_join(F.transform("each", lambda x: x["piece"]), "")
-    return out.select("doc_id", F.when(twice, F.raise_error(F.concat(F.lit("several notes with doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("string")).otherwise(text).alias("text"))
+    return out.select("doc_id", F.when(twice, _shared_id().cast("string")).otherwise(text).alias("text"), *more)
 
 
-def block_texts(notes: DataFrame) -> DataFrame:
-    """doc_id, block_no, kind, body: the text of every block."""
-    return kinds(notes).groupBy("doc_id", "block_no", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat("line", "sep").alias("p")))), lambda x: x["p"]), "").alias("body"))
+def _shared_id() -> Column:
+    return F.raise_error(F.concat(F.lit("several notes with doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))

@@ -35,8 +35,8 @@ def parse_app(pastes: DataFrame) -> DataFrame:
     """Answers under headings, each with its own list of sources behind a line that opens it. Sources are counted through all answers by their place, marks
     move by the number of sources of earlier answers, and the lists leave the body. Text without an answer gives an empty body.
 
-    Which answer a line is in and whether it is in a list are running values over one window by note."""
-    rows = L.lines(pastes).select("doc_id", "line_no", "line")
+    Which answer a line is in and whether it is in a list are running values over one window by note. Numbers of over 18 digits are no marks."""
+    rows = L.in_order(pastes).select("doc_id", "line_no", "line")
     answer, opens = F.col("line").startswith(ANSWER), F.col("line").rlike(SOURCES_LINE)
     rows = rows.withColumn("block", F.sum(answer.cast("int")).over(L.so_far()))
     event = F.when(answer, 0).when(opens, 1).when(F.col("line").startswith(HEAD), 0)
@@ -45,8 +45,8 @@ def parse_app(pastes: DataFrame) -> DataFrame:
     rows = rows.withColumn("count", F.sum(F.col("is_source").cast("int")).over(L.so_far()))
     rows = rows.withColumn("offset", F.coalesce(F.last(F.when(answer, F.col("count")), ignorenulls=True).over(L.so_far()), F.lit(0)))
     pieces = F.when((F.col("block") > 0) & ~F.col("listed"), F.regexp_extract_all("line", F.lit(PIECES), F.lit(0)))
-    is_mark = lambda p: p.rlike(r"^\[[0-9]+\]\z")
-    number = lambda p: F.substr(p, F.lit(2), F.length(p) - 2).try_cast("decimal(38,0)") + F.col("offset")
+    is_mark = lambda p: p.rlike(r"^\[0*[0-9]{1,18}\]\z")
+    number = lambda p: F.when(is_mark(p), F.substr(p, F.lit(2), F.length(p) - 2).try_cast("decimal(38,0)").cast("long")) + F.col("offset")
     moved = lambda p: F.when(is_mark(p) & (F.col("offset") > 0), F.concat(F.lit("["), number(p).cast("string"), F.lit("]"))).otherwise(p)
     marks = F.transform(F.filter("pieces", is_mark), lambda p: F.struct(F.concat(F.lit("["), number(p).cast("string"), F.lit("]")).alias("marker"), number(p).cast("long").alias("n")))
     line = F.concat(F.when(answer & (F.col("block") > 1), "\n").otherwise(""), F.when(F.col("pieces").isNull(), F.col("line")).otherwise(F.array_join(F.transform("pieces", moved), "")))

@@ -24,11 +24,9 @@ def _stripped(x: Column | str) -> Column:
     return F.regexp_replace(x, f"^{js.WS}+|{js.WS}+\\z", "")
 
 
-def reflow(notes: DataFrame) -> DataFrame:
-    """Runs of several lines become pieces. With a marker in the run, each marker begins an item and other lines continue it; else a new paragraph begins
-    behind the end of a sentence or a line so short that the next word had fitted. Items follow each other directly, other pieces behind a blank line. A
-    line that ends in a hyphen behind a letter is continued without a space. Null text is empty."""
-    k = L.kinds(notes).withColumn("flows", F.col("kind").isin("paragraph", "listItem"))
+def reflow_rows(notes: DataFrame) -> DataFrame:
+    """doc_id, line_no, flowed (what a line with what follows it becomes), run (the number of its run, null outside of runs that change), off and end."""
+    k = L.with_off(L.kinds(notes)).withColumn("flows", F.col("kind").isin("paragraph", "listItem"))
     k = k.withColumn("run", F.sum((~F.col("flows")).cast("int")).over(L.so_far()))
     run = Window.partitionBy("doc_id", "run", "flows")
     ordered = run.orderBy("line_no")
@@ -49,4 +47,22 @@ def reflow(notes: DataFrame) -> DataFrame:
     gap = F.when(F.col("prev").isNull(), "").when(~F.col("begins"), F.when((above == "") | above.rlike(HYPHEN), "").otherwise(" ")).when(tight, "\n").otherwise("\n\n")
     flowed = F.concat(gap, F.when(F.col("begins"), F.coalesce("mark", F.lit(""))).otherwise(""), "piece", F.when(F.col("last"), F.col("sep")).otherwise(""))
     k = k.withColumn("flowed", F.when(F.col("flows") & (F.col("size") > 1), flowed).otherwise(F.concat("line", "sep")))
-    return L.rebuilt(k, "flowed")
+    # The run as it was, with line feeds before lines instead of behind them: it stays the same where every line does.
+    was = F.concat(F.when(F.col("prev").isNull(), "").otherwise("\n"), "line", F.when(F.col("last"), F.col("sep")).otherwise(""))
+    k = k.withColumn("differs", F.max(F.col("flowed") != was).over(run) & F.col("flows") & (F.col("size") > 1))
+    end = (F.col("off") + F.length("line") + F.length("sep")).cast("int")
+    return k.select("doc_id", "line_no", "flowed", F.when(F.col("differs"), F.col("run")).alias("run"), "off", end.alias("end"))
+
+
+def run_edits(rows: DataFrame) -> DataFrame:
+    """doc_id, line_no (of its first line) and edit of every run of ``reflow_rows`` that changes."""
+    each = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "flowed"))), lambda x: x["flowed"])
+    runs = rows.where("run is not null").groupBy("doc_id", "run").agg(F.min("line_no").alias("line_no"), F.min("off").alias("from"), F.max("end").alias("to"), F.array_join(each, "").alias("insert"))
+    return runs.select("doc_id", "line_no", F.struct("from", "to", "insert").alias("edit"))
+
+
+def reflow(notes: DataFrame) -> DataFrame:
+    """Runs of several lines become pieces. With a marker in the run, each marker begins an item and other lines continue it; else a new paragraph begins
+    behind the end of a sentence or a line so short that the next word had fitted. Items follow each other directly, other pieces behind a blank line. A
+    line that ends in a hyphen behind a letter is continued without a space. Null text is empty."""
+    return L.rebuilt(reflow_rows(notes), "flowed")

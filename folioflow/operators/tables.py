@@ -16,7 +16,10 @@ from . import lines as L
 SEPARATORS = ("│", "┃", "║", "|")
 CORNER = "[┌┬┐├┼┤└┴┘┏┳┓┣╋┫┗┻┛╔╦╗╠╬╣╚╩╝+]"
 RULE = "[─━═\\-=]"
-FRAME = f"^(?:{js.WS}|[┌┬┐├┼┤└┴┘─┏┳┓┣╋┫┗┻┛━╔╦╗╠╬╣╚╩╝═│┃║|+=-])+\\z"
+_GLYPHS = "┌┬┐├┼┤└┴┘─┏┳┓┣╋┫┗┻┛━╔╦╗╠╬╣╚╩╝═│┃║|+=-"
+FRAME = f"^(?:{js.WS}|[{_GLYPHS}])+\\z"
+#: A line of a text that is a frame with a corner and a rule.
+_TOP = f"(?<![^\\n])(?=(?:{js.WS.replace(chr(92) + 'n', '')}|[{_GLYPHS}])++(?![^\\n]))(?=[^\\n]*{CORNER})[^\\n]*{RULE}"
 
 
 def _trimmed(x: Column) -> Column:
@@ -34,9 +37,14 @@ def _row(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda v: F.replace(v, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
 
 
-def box_table(notes: DataFrame) -> DataFrame:
-    """Drawn tables of notes become Markdown tables, with a blank line to neighbouring text; fenced code and front matter are left alone."""
-    k = L.kinds(notes).select("doc_id", "line_no", "line", "sep", "kind")
+def framed(text: Column) -> Column:
+    """Whether a text has a rule with a corner, without which it has no drawn table."""
+    return F.when(text.rlike(CORNER), text.rlike(_TOP)).otherwise(F.lit(False))
+
+
+def box_rows(notes: DataFrame) -> DataFrame:
+    """doc_id, line_no, piece (a line with what follows it, or a whole table in the place of its first line), did and edit: the runs of lines that become tables."""
+    k = L.with_off(L.kinds(notes)).select("doc_id", "line_no", "line", "sep", "kind", "off")
     line = F.col("line")
     drawn = ~F.col("kind").isin("fencedCode", "frontmatter") & ~line.rlike(js.BLANK)
     border = drawn & line.rlike(FRAME)
@@ -65,5 +73,11 @@ def box_table(notes: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("sep", "behind"), "line_no").over(turned)
     k = k.withColumn("first", F.min("line_no").over(turned) == F.col("line_no")).withColumn("last", last)
     table = F.concat(F.when(F.col("before"), "\n").otherwise(""), "table", "last.sep", F.when(F.col("last.behind") & (F.col("last.sep") == "\n"), "\n").otherwise(""))
-    k = k.where(~F.col("turned") | F.col("first")).withColumn("piece", F.when(F.col("turned"), table).otherwise(F.concat("line", "sep")))
-    return L.rebuilt(k, "piece")
+    k = k.withColumn("end", F.max(F.col("off") + F.length("line") + F.length("sep")).over(turned)).where(~F.col("turned") | F.col("first"))
+    k = k.withColumn("did", F.col("turned")).withColumn("edit", F.when(F.col("turned"), F.struct(F.col("off").alias("from"), F.col("end").cast("int").alias("to"), table.alias("insert"))))
+    return k.select("doc_id", "line_no", F.when(F.col("turned"), table).otherwise(F.concat("line", "sep")).alias("piece"), "did", "edit")
+
+
+def box_table(notes: DataFrame) -> DataFrame:
+    """Drawn tables of notes become Markdown tables, with a blank line to neighbouring text; fenced code and front matter are left alone."""
+    return L.rebuilt(box_rows(notes), "piece")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cleanup, convert, edits, footnotes, pastes, registry, urls
+from ..operators import cleanup, convert, edits, footnotes, pastes, registry, runner, urls
 from ..sources import notes as sources
 from . import builders, format, operations
 from .queries import _ATX, _CLEANUP, _DEFS, _FN, _LINKS, _N, _REFS, _TIDY, _TRIM, _W, _chained, _cites_sql, _keys_sql, _lines_sql, _query, _section_sql, _sql
@@ -274,3 +274,24 @@ def _resolved(rows):
 def _imports(pages):
     path = F.when(F.col("page_id") % 4 == 0, F.lit("a/..b/x.CJS")).when(F.col("page_id") % 4 == 1, F.lit("/a/x.cjs")).when(F.col("page_id") % 4 == 2, F.lit("a\\..\\x")).otherwise(F.lit("x..cjs"))
     return pages.select("page_id", registry.is_inside(path).alias("allowed"), registry.script_id(F.col("url")).alias("id"))
+
+
+#: Texts cut in two: the second half is put in behind the first by a script that fails on some, has nothing to do for others, and may not run on others.
+_RUNS = """SELECT doc_id, substr(text, 1, CAST(floor(length(text) / 2) AS INT)) AS text, CAST(floor(length(text) / 2) AS INT) - 1 AS cursor, substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS input,
+ CASE doc_id % 6 WHEN 0 THEN 'disabled' WHEN 1 THEN 'ask' WHEN 2 THEN 'ask' ELSE 'enabled' END AS policy, CASE doc_id % 18 WHEN 1 THEN 'enable-once' WHEN 2 THEN 'disable' WHEN 7 THEN 'enable-session' END AS decision FROM documents"""
+
+
+def _quoting(text: str, cursor: int, given: str):
+    if len(given) % 5 == 0:
+        raise ValueError(f"no rule for {len(given)}")
+    if len(given) % 5 < 3:
+        return None if len(given) % 5 == 1 else []
+    return [(cursor, cursor, f"«{given}»"), (0, 0, "> ")]
+
+
+@_query("rg6_runner", _RUNS, rf"""WITH c AS (SELECT *, len(input) % 5 AS m, greatest(0, least(cursor, len(text))) AS at, policy = 'enabled' OR policy = 'ask' AND coalesce(decision <> 'disable', false) AS goes FROM ({_RUNS}))
+ SELECT doc_id, CASE WHEN NOT goes THEN 'blocked' WHEN m = 0 THEN 'failed' WHEN m < 3 THEN 'noop' ELSE 'applied' END AS kind, CASE WHEN goes AND m = 0 THEN 'script failed: no rule for ' || len(input) END AS said, CASE WHEN goes AND m > 2 THEN 2 ELSE 0 END::BIGINT AS n,
+ CASE WHEN NOT goes OR m IN (1, 2) THEN text WHEN m = 0 THEN substr(text, 1, at) || input || substr(text, at + 1) WHEN at = 0 THEN '«' || input || '»> ' || text ELSE '> ' || substr(text, 1, at) || '«' || input || '»' || substr(text, at + 1) END AS text FROM c""")
+def _runner(rows):
+    done = runner.run(rows, _quoting, F.col("policy"), F.col("decision"))
+    return done.select("doc_id", "kind", runner.notice(F.col("kind"), F.col("reason")).alias("said"), F.size("plan").cast("long").alias("n"), "text")

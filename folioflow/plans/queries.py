@@ -230,6 +230,42 @@ def _cascade(notes):
     return parts.select("doc_id", "context", F.when(F.col("shift").isNotNull(), F.concat("a", cleanup.shift_headings(F.col("b"), F.col("shift")))).alias("text"))
 
 
+#: How many edits a step makes in a note: of the names' ending, a SELECT of doc_id and n (not for notes without any).
+_COUNTS = {
+    "box_table": lambda x: f"SELECT doc_id, count(*) AS n FROM xg{x} WHERE turned AND first GROUP BY doc_id",
+    "dehyphenate": lambda x: f"SELECT doc_id, sum(CASE WHEN free THEN len(body) - len(regexp_replace(body, '(`[^`]*`)|([a-z])-\n([a-z])', '\\1\\2\\3', 'g')) ELSE 0 END)::BIGINT // 2 AS n FROM bb{x} GROUP BY doc_id",
+    "dewrap": lambda x: f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM k{x} WHERE kind = 'paragraph' GROUP BY doc_id, b HAVING count(*) > 1) GROUP BY doc_id",
+    "tidy_whitespace": lambda x: f"SELECT z.doc_id, count(*) AS n FROM z{x} z JOIN k{x} k ON k.doc_id = z.doc_id AND k.i = z.i WHERE k.line <> z.line OR z.kind = 'blank' AND m >= 3 AND q = 1 GROUP BY z.doc_id",
+    "decompose_ligatures": lambda x: f"SELECT doc_id, sum(len(list_filter(list_zip(string_split(body, chr(10)), string_split(fixed, chr(10))), lambda p: p[1] <> p[2])))::BIGINT AS n FROM (SELECT doc_id, body, CASE WHEN free THEN array_to_string(list_transform(regexp_extract_all(body, '`[^`]*`|[^`]+|`'), lambda x: CASE WHEN x LIKE '`%`' AND len(x) > 1 THEN x ELSE {_PLAIN} END), '') ELSE body END AS fixed FROM bb{x}) GROUP BY doc_id",
+    "normalize_bullets": lambda x: f"SELECT doc_id, count(*) AS n FROM k{x} WHERE kind = 'listItem' AND regexp_matches(line, '^{_W}*[*+•–·][ \t]') GROUP BY doc_id",
+    "normalize_ordered": lambda x: f"SELECT g.doc_id, count(*) AS n FROM g{x} g JOIN nr{x} nr ON nr.doc_id = g.doc_id AND nr.i = g.i WHERE TRY_CAST(dg AS HUGEINT) <> nr GROUP BY g.doc_id",
+    "normalize_headings": lambda x: f"SELECT doc_id, count(*) AS n FROM r{x} WHERE t <> level GROUP BY doc_id",
+}
+
+
+def _counted_sql(notes: str) -> str:
+    tables, last = _chained(notes, *_CLEANUP)
+    each = ", ".join(f"c_{name} AS ({sql(f'_{i}')})" for i, (name, sql) in enumerate(_COUNTS.items()))
+    joins = " ".join(f"LEFT JOIN c_{name} USING (doc_id)" for name in _COUNTS)
+    return f"WITH RECURSIVE {tables}, done AS ({last}), {each} SELECT doc_id, text, {', '.join(f'coalesce(c_{n}.n, 0)::BIGINT AS n_{n}' for n in _COUNTS)} FROM done {joins}"
+
+
+@_query("pi1_step_counts_of_frames", builders.FRAMES, _counted_sql(builders.FRAMES))
+@_query("pi1_step_counts", _N, _counted_sql(_N))
+def _step_counts(notes):
+    done = format.clean_steps(notes)
+    return done.select("doc_id", "text", *[f"n_{s}" for s in _COUNTS])
+
+
+@_query("pi1_step_plans", _N, _counted_sql(_N))
+def _step_plans(notes):
+    """The same by way of the plans: each is applied to the text that the one before it left."""
+    done = notes.select("doc_id", F.coalesce("text", F.lit("")).alias("was")).join(format.clean_steps(notes), "doc_id")
+    for s in _COUNTS:
+        done = done.withColumn("was", edits.apply_edits(F.col("was"), F.col(f"plan_{s}")))
+    return done.select("doc_id", F.col("was").alias("text"), *[F.size(f"plan_{s}").cast("long").alias(f"n_{s}") for s in _COUNTS])
+
+
 @_query("pi1_cleanup_headings_lists", _N, _sql(_chained(_N, *_CLEANUP)))
 def _cleanup(notes):
     return format.apply_cleanup(notes)
@@ -339,7 +375,7 @@ def _identity_sql(notes, x=""):
 
 @_query("fn2_id_map", _FN, f"WITH {_IDS} SELECT doc_id, id::BIGINT AS old_id, nid AS new_id FROM im")
 def _id_map(notes):
-    return footnotes.id_map(notes, urls.normalize_url)
+    return footnotes.id_map(notes, urls.normalize_url).drop("old")
 
 
 @_query("fn2_identity", _FN, _sql(_identity_sql(_FN)))

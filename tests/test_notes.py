@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import cleanup, edits, footnotes, lines, registry, tables, urls
+from folioflow.operators import cleanup, edits, footnotes, lines, pastes, registry, tables, urls
 
 
 def run(spark, op, *texts):
@@ -299,3 +299,19 @@ def test_catalog_and_records(spark, tmp_path):
     assert state(entries) == {"waves": "UpdateAvailable", "half": "Available", "own": "Disabled", "dunes": "Available"}
     assert state(None) == {"waves": "Active", "half": "Available", "own": "Disabled"}
     assert catalog.versions(spark, f"{d}/broken.json").count() == 0
+
+
+def test_long_numbers_end_no_job(spark):
+    """Numbers beyond 64 bits and beyond 38 digits are numbers like others."""
+    for n in (20, 45):
+        big = "9" * n
+        note = spark.createDataFrame([(1, f"see [^{big}] and [^7]\n[^7]: a\n[^0{big}]: z\n[t](https://e.x/)")], "doc_id long, text string")
+        assert [(r.id, r.url) for r in footnotes.existing_refs(note).orderBy("line_no").collect()] == [(7, ""), (None, "https://e.x/")]
+        assert footnotes.identity(note, urls.normalize_url).first().text == "see [^1] and [^2]\n[^2]: a\n[^1]: z\n[t](https://e.x/)"
+        assert {(r.old, r.old_id, r.new_id) for r in footnotes.id_map(note, urls.normalize_url).collect()} == {(big, None, 1), ("7", 7, 2)}
+        assert footnotes.move(note).count() == 1
+        paste = spark.createDataFrame([(1, f"## Answer\nfirst\nSources\n[1] a http://x.y\n## Answer\nx [{big}] y [1]")], "doc_id long, text string")
+        row = pastes.parse_app(paste).first()
+        assert row.body == f"## Answer\nfirst\n\n## Answer\nx [{big}] y [2]" and [tuple(m) for m in row.inline] == [("[2]", 2)]
+        pairs = spark.createDataFrame([("1.0", f"1.{big}"), (f"1.{big}", "1.5"), (f"0{big}.2", f"{big}.01"), ("1.10", "1.9"), ("1.9", "1.10")], "a string, r string")
+        assert [r[0] for r in pairs.select(registry.version_allows(F.col("a"), F.col("r"))).collect()] == [False, True, True, True, False]
