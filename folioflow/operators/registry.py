@@ -25,7 +25,7 @@ def lifecycle_state(provenance: Column, enabled: Column, okayed_version: Column,
 
 def version_allows(available: Column, required: Column) -> Column:
     """Whether an API version offers what a script requires: both ``major.minor``, one major, a minor not above."""
-    part = lambda c, i: F.regexp_replace(F.split(c, r"\.")[i], "^0+(?=[0-9])", "")
+    part = lambda c, i: F.regexp_replace(F.get(F.split(c, r"\."), F.lit(i)), "^0+(?=[0-9])", "")
     # Digits without zeros before them compare as numbers do, first by how many they are.
     key = lambda c, i: F.struct(F.length(part(c, i)).alias("n"), part(c, i).alias("digits"))
     well = available.rlike(r"^[0-9]+\.[0-9]+\z") & required.rlike(r"^[0-9]+\.[0-9]+\z")

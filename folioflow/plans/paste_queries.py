@@ -289,9 +289,9 @@ def _quoting(text: str, cursor: int, given: str):
     return [(cursor, cursor, f"«{given}»"), (0, 0, "> ")]
 
 
-@_query("rg6_runner", _RUNS, rf"""WITH c AS (SELECT *, len(input) % 5 AS m, greatest(0, least(cursor, len(text))) AS at, policy = 'enabled' OR policy = 'ask' AND coalesce(decision <> 'disable', false) AS goes FROM ({_RUNS}))
+@_query("rg6_runner", _RUNS, rf"""WITH c AS (SELECT *, len(input) % 5 AS m, greatest(0, least(cursor, len(text))) AS pos, policy = 'enabled' OR policy = 'ask' AND coalesce(decision <> 'disable', false) AS goes FROM ({_RUNS}))
  SELECT doc_id, CASE WHEN NOT goes THEN 'blocked' WHEN m = 0 THEN 'failed' WHEN m < 3 THEN 'noop' ELSE 'applied' END AS kind, CASE WHEN goes AND m = 0 THEN 'script failed: no rule for ' || len(input) END AS said, CASE WHEN goes AND m > 2 THEN 2 ELSE 0 END::BIGINT AS n,
- CASE WHEN NOT goes OR m IN (1, 2) THEN text WHEN m = 0 THEN substr(text, 1, at) || input || substr(text, at + 1) WHEN at = 0 THEN '«' || input || '»> ' || text ELSE '> ' || substr(text, 1, at) || '«' || input || '»' || substr(text, at + 1) END AS text FROM c""")
+ CASE WHEN NOT goes OR m IN (1, 2) THEN text WHEN m = 0 THEN substr(text, 1, pos) || input || substr(text, pos + 1) WHEN pos = 0 THEN '«' || input || '»> ' || text ELSE '> ' || substr(text, 1, pos) || '«' || input || '»' || substr(text, pos + 1) END AS text FROM c""")
 def _runner(rows):
     done = runner.run(rows, _quoting, F.col("policy"), F.col("decision"))
     return done.select("doc_id", "kind", runner.notice(F.col("kind"), F.col("reason")).alias("said"), F.size("plan").cast("long").alias("n"), "text")
