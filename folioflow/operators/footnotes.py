@@ -33,6 +33,22 @@ def references(notes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(r"\[\^([^\]]+)\](?!:)"), F.lit(1))).alias("p", "id")).select("doc_id", "line_no", (F.col("p") + 1).cast("long").alias("ord"), "id")
 
 
+def reference_spans(notes: DataFrame) -> DataFrame:
+    """doc_id, line_no, off, end, id, alpha of inline references anywhere in the text, whose names may span lines; those that begin in a definition line don't count.
+
+    The text is cut into references and what is between them; their places and those of the lines are swept in one order, in which the last line before a
+    reference is the one that it begins in. Null text has none."""
+    tokens = notes.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\[\^[^\]]+\](?!:)|[^\[]+|\["), F.lit(0))).alias("p", "t"))
+    before = F.sum(F.length("t")).over(Window.partitionBy("doc_id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    refs = tokens.withColumn("off", F.coalesce(before, F.lit(0)).cast("long")).where((F.length("t") > 1) & F.col("t").startswith("[^"))
+    name = F.substr("t", F.lit(3), F.length("t") - 3)
+    refs = refs.select("doc_id", "off", (F.col("off") + F.length("t")).alias("end"), name.alias("id"), F.lit(None).cast("struct<line_no:bigint,def:boolean>").alias("line"))
+    at = L.lines(notes).select("doc_id", "off", F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("id"), F.struct("line_no", F.col("line").rlike(DEF_LINE).alias("def")).alias("line"))
+    sweep = Window.partitionBy("doc_id").orderBy("off", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = refs.unionByName(at).withColumn("line", F.last("line", ignorenulls=True).over(sweep)).where("id is not null and not line.def")
+    return both.select("doc_id", "line.line_no", "off", "end", "id", (~F.col("id").rlike(r"^[0-9]+\z")).alias("alpha"))
+
+
 def citations(notes: DataFrame) -> DataFrame:
     """doc_id, line_no, ord, number (as printed) of bare citations outside definition lines."""
     rows = L.lines(notes).where(~F.col("line").rlike(DEF_LINE))

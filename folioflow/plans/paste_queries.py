@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleanup, convert, edits, footnotes, pastes, registry, runner, urls
 from ..sources import notes as sources
+from ..sources import scratch
 from . import builders, format, operations
 from .queries import _ATX, _CLEANUP, _DEFS, _FN, _LINKS, _N, _REFS, _TIDY, _TRIM, _W, _chained, _cites_sql, _keys_sql, _lines_sql, _query, _section_sql, _sql
 
@@ -195,16 +196,17 @@ def _everything(notes):
 _HALF = "length(text) // 2"
 
 
-@_query("he3_cascade_or_insert", _N, rf"""WITH m AS (SELECT doc_id, text, substr(text, 1, {_HALF}) AS a, substr(text, {_HALF} + 1, 200) AS b FROM ({_N})),
+@_query("he3_cascade_or_insert", _N, rf"""WITH m AS (SELECT doc_id, text, substr(text, 1, {_HALF}) AS a, substr(text, {_HALF} + 1) AS b FROM ({_N})),
  x AS (SELECT *, list_transform(list_filter(string_split(a, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}}{_W}')), lambda x: len(regexp_extract(x, '^#+')))[-1] + 1 - list_min(list_transform(list_filter(string_split(b, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}}{_W}')), lambda x: len(regexp_extract(x, '^#+')))) AS shift, string_split(b, chr(10)) AS ls FROM m),
  y AS (SELECT *, CASE WHEN shift IS NULL THEN b ELSE array_to_string(list_transform(ls, lambda x, i: CASE WHEN regexp_matches(x, '^#{{1,6}}({_W}|$)') AND (i < len(ls) OR regexp_matches(x, '^#{{1,6}}{_W}')) THEN repeat('#', least(6, greatest(1, len(regexp_extract(x, '^#+')) + shift))::INT) || substr(x, len(regexp_extract(x, '^#+')) + 1) ELSE x END), chr(10)) END AS put FROM x)
  SELECT doc_id, len(a)::BIGINT AS edit_from, CASE WHEN doc_id % 2 = 0 THEN len(text) ELSE len(a) END::BIGINT AS edit_to, put AS insert, len(a) + len(put) AS cursor FROM y WHERE b <> ''""")
 def _cascade_or_insert(notes):
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = notes.select("doc_id", "text", half.alias("cursor"), F.substr(F.col("text"), half + 1, F.lit(200)).alias("input"), F.when(F.col("doc_id") % 2 == 0, F.length("text")).alias("end"))
+    # The plan names its columns many times; as a table they are computed once.
+    rows = scratch.written(notes).select("doc_id", "text", half.alias("cursor"), F.substr(F.col("text"), half + 1, F.length("text")).alias("input"), F.when(F.col("doc_id") % 2 == 0, F.length("text")).alias("end"))
     plan = cleanup.cascade_or_insert(F.col("text"), F.col("cursor"), F.col("input"), F.col("cursor"), F.col("end"))
     e = F.get("plan", F.lit(0))
-    rows = rows.withColumn("plan", plan).where(F.size("plan") > 0)
+    rows = scratch.written(rows.withColumn("plan", plan)).where(F.size("plan") > 0)
     return rows.select("doc_id", e["from"].cast("long").alias("edit_from"), e["to"].cast("long").alias("edit_to"), e["insert"].alias("insert"), sources.cursor_after(F.col("plan")).cast("long").alias("cursor"))
 
 

@@ -324,6 +324,19 @@ def _references(notes):
     return footnotes.references(notes)
 
 
+#: Notes with footnotes some of whose names span lines or hold an opening bracket.
+_WIDE = f"SELECT doc_id, replace(replace(text, '[^x]', '[^x' || chr(10) || 'y]'), ' [2] ', ' [^p' || chr(10) || '[^4] ') AS text FROM ({_FN})"
+
+
+@_query("st8_reference_spans", _WIDE, f"""WITH {_lines_sql(_WIDE)}, o AS (SELECT *, coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM l),
+ tk AS (SELECT doc_id, unnest(ts) AS t, unnest(range(len(ts))) AS j FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\[\\^[^\\]]+\\]|[^\\[]+|\\[') AS ts FROM n)),
+ sp AS (SELECT *, coalesce(sum(len(t)) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, lead(t) OVER (PARTITION BY doc_id ORDER BY j) AS nt FROM tk)
+ SELECT sp.doc_id, o.i AS line_no, sp.off, sp.off + len(t) AS "end", t[3:-2] AS id, NOT regexp_full_match(t[3:-2], '[0-9]+') AS alpha FROM sp JOIN o ON o.doc_id = sp.doc_id AND sp.off BETWEEN o.off AND o.off + len(o.line)
+ WHERE t LIKE '[^%' AND coalesce(nt, '') NOT LIKE ':%' AND {_NOT_DEF}""")
+def _reference_spans(notes):
+    return footnotes.reference_spans(notes)
+
+
 @_query("st10_resources_section", _FN, f"""WITH {_lines_sql(_FN)}, o AS (SELECT *, coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM l),
  h AS (SELECT doc_id, i, off, len(regexp_extract(line, '^#+')) AS level, trim(substr(line, len(regexp_extract(line, '^#+')) + 1)) AS title FROM o WHERE regexp_matches(line, '^#{{1,6}}{_W}')),
  f AS (SELECT * FROM h WHERE title = 'Resources' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1)

@@ -315,3 +315,18 @@ def test_long_numbers_end_no_job(spark):
         assert row.body == f"## Answer\nfirst\n\n## Answer\nx [{big}] y [2]" and [tuple(m) for m in row.inline] == [("[2]", 2)]
         pairs = spark.createDataFrame([("1.0", f"1.{big}"), (f"1.{big}", "1.5"), (f"0{big}.2", f"{big}.01"), ("1.10", "1.9"), ("1.9", "1.10")], "a string, r string")
         assert [r[0] for r in pairs.select(registry.version_allows(F.col("a"), F.col("r"))).collect()] == [False, True, True, True, False]
+
+
+def test_references_over_lines(spark):
+    texts = [None, "a [^1] b [^x\ny] [^2]:\n[^3]: d [^4]\n[^p\n[^5] q", "[^a\n[^b]: x [^6", "[^] [^\n] [[^7]]"]
+    rng = random.Random(4)
+    texts += ["".join(rng.choices(["[^", "]", ":", "\n", "1", "a", "[", " "], k=rng.randint(1, 25))) for _ in range(300)]
+    want = set()
+    for i, t in enumerate(texts):
+        t = t or ""
+        for m in re.finditer(r"\[\^([^\]]+)\](?!:)", t):
+            line_no = t.count("\n", 0, m.start())
+            if not re.match(r"\[\^[^\]]+\]:", t.split("\n")[line_no]):
+                want.add((i, line_no, m.start(), m.end(), m[1], re.fullmatch("[0-9]+", m[1]) is None))
+    got = footnotes.reference_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
