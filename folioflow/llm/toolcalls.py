@@ -2,10 +2,12 @@
 
 Calls and results are joined by conversation and identifier, whatever their turns. Calls are put in an order in which each comes after the calls it
 depends on: by turn, and a call that depends on a later one right after it. The order is a pair of numbers for each call: ``after``, the place of the
-latest call it waits for (its own turn, if it waits for none), and ``wait``, the length of the longest chain of calls that it follows there. Only calls that
-wait are looked at in rounds: first the places that they wait for spread along dependencies, from those calls only that moved in the round before; then
-calls without an open dependency are peeled off until none is left, or only cycles and what hangs on them. There are as many rounds as the longest
-chain that waits, or hangs on a cycle, has calls, and no conversation is gathered in a task. Arguments are validated against the JSON schema of their tool and serialised as
+latest call it waits for (its own turn, if it waits for none), and ``wait``, the length of the longest chain of calls that it follows there. Calls that depend on
+others are cut into blocks of about ``BLOCK`` dependencies by ranges of conversation and turn, so that a long conversation is in many blocks and a block holds
+many short ones. A block is settled in one task, whatever the length of its chains: places spread from the latest on, then calls without an open dependency
+are peeled off; only cycles and what hangs on them are left. What blocks then know of calls of other blocks is passed on in rounds, in which only blocks that
+learn something are settled again: as many rounds as the longest chain has crossings between blocks, none for conversations within a block.
+Arguments are validated against the JSON schema of their tool and serialised as
 canonical JSON: sorted keys, no blanks, lone surrogates as escapes.
 
 Defined results: a call without a result has status ``pending``, a result without a call ``orphan``; of several results the first by turn counts (those
@@ -23,6 +25,7 @@ import json
 import math
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,8 @@ _CHECKED = {"type", "enum", "const", "required", "properties", "additionalProper
 _NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "deprecated", "readOnly", "writeOnly"}
 _LONE = re.compile("[\ud800-\udfff]")
 _KEYS = ["conv_id", "call_id"]
+#: Dependencies of a block, at about this number of which blocks are cut.
+BLOCK = 100_000
 #: The place of calls without a turn.
 _FIRST = -(1 << 63)
 
@@ -150,44 +155,72 @@ def checked(arguments: str | None, schema: dict | None) -> tuple[str | None, str
         return None, "$: no JSON"
 
 
-def _empty(df: DataFrame) -> bool:
-    return not df.limit(1).count()
-
-
 def _as_on(df: DataFrame, *columns: Column) -> DataFrame:
     """``df`` by the identifier that others depend on."""
     return df.select("conv_id", F.col("call_id").alias("on"), *columns)
 
 
-def _waiting(edges: DataFrame) -> DataFrame:
-    """conv_id, call_id, after of the calls that wait for a call at their own place or later, directly or through calls that wait."""
-    waiting = common.written(edges.where("on_turn >= t").groupBy(_KEYS).agg(F.max("on_turn").alias("after")), "waiting")
-    moved = waiting
-    while not _empty(moved):
-        reached = edges.join(_as_on(moved, F.col("after").alias("a")), ["conv_id", "on"]).where("a >= t").groupBy(_KEYS).agg(F.max("a").alias("after"))
-        new = reached.join(waiting.withColumnRenamed("after", "had"), _KEYS, "left").where("had is null or after > had").select(*_KEYS, "after")
-        moved = common.written(new, "moved")
-        waiting = common.written(waiting.unionByName(moved).groupBy(_KEYS).agg(F.max("after").alias("after")), "waiting")
-    return waiting
-
-
-def _peeled(edges: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, call_id, after, wait) of waiting calls that can be ordered, and (conv_id, call_id) of those that can't."""
-    own = edges.join(waiting, _KEYS).join(_as_on(waiting, F.col("after").alias("on_after")), ["conv_id", "on"], "left")
-    own = common.written(own.select(*_KEYS, "on", "after", "on_turn", "on_after"), "links")
-    base = own.where("on_after is null").groupBy(_KEYS).agg(F.max((F.col("on_turn") == F.col("after")).cast("long")).alias("base"))
-    left = common.written(waiting.join(base, _KEYS, "left").select(*_KEYS, "after", F.coalesce("base", F.lit(0)).cast("long").alias("wait")), "open")
-    links = common.written(own.where("on_after is not null").select(*_KEYS, "on", (F.col("after") == F.col("on_after")).alias("here")), "links")
-    done = None
-    while True:
-        ready = common.written(left.join(links.select(_KEYS).distinct(), _KEYS, "left_anti"), "ready")
-        if _empty(ready):
-            return (left.limit(0) if done is None else done), left.select(_KEYS)
-        done = ready if done is None else done.unionByName(ready)
-        behind = links.join(_as_on(ready, F.col("wait").alias("w")), ["conv_id", "on"]).groupBy(_KEYS).agg(F.max(F.when(F.col("here"), F.col("w") + 1).otherwise(0)).alias("w"))
-        left = left.join(ready.select(_KEYS), _KEYS, "left_anti").join(behind, _KEYS, "left")
-        left = common.written(left.select(*_KEYS, "after", F.greatest("wait", F.coalesce("w", F.lit(0))).alias("wait")), "open")
-        links = common.written(links.join(_as_on(ready), ["conv_id", "on"], "left_anti").select(*_KEYS, "on", "here"), "links")
+def _solved(edges: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    """after and wait (-1: not known) of the calls of a block, by what is ``given`` of calls of other blocks (calls of other blocks without a place yet wait for their own turn)."""
+    own = list(zip(edges["conv_id"], edges["call_id"]))
+    on = list(zip(edges["conv_id"], edges["on"]))
+    after = dict(zip(own, edges["t"].tolist()))
+    known = {(c, o): (a, w) for c, o, a, w in zip(given["conv_id"], given["on"], given["after"].tolist(), given["wait"].tolist())}
+    followers, open_, ready = {}, dict.fromkeys(after, 0), []
+    for x, y, t, is_leaf in zip(own, on, edges["on_turn"].tolist(), edges["on_block"].isna().tolist()):
+        followers.setdefault(y, []).append(x)
+        open_[x] += 1
+        if is_leaf:
+            known[y] = (t, 0)
+        elif y not in after:
+            known.setdefault(y, (t, -1))
+    # The latest places first: each call gets its place from the first that reaches it.
+    final = set()
+    for place, y in sorted([*((a, y) for y, a in after.items()), *((a, y) for y, (a, _) in known.items())], key=lambda p: p[0], reverse=True):
+        reached = [y]
+        while reached:
+            for x in followers.get(reached.pop(), ()):
+                if x not in final:
+                    final.add(x)
+                    after[x] = max(after[x], place)
+                    reached.append(x)
+    wait = dict.fromkeys(after, 0)
+    ready = [(y, a, w) for y, (a, w) in known.items() if w >= 0] + [(x, after[x], 0) for x, n in open_.items() if not n]
+    while ready:
+        y, a, w = ready.pop()
+        for x in followers.get(y, ()):
+            open_[x] -= 1
+            if a == after[x]:
+                wait[x] = max(wait[x], w + 1)
+            if not open_[x]:
+                ready.append((x, after[x], wait[x]))
+    out = pd.DataFrame({"conv_id": [c for c, _ in after], "call_id": [i for _, i in after], "after": list(after.values()), "wait": [-1 if open_[x] else wait[x] for x in after]})
+    return out.assign(block=edges["block"].iloc[0] if len(edges) else 0)
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """conv_id, call_id, after, wait (-1 in cycles and behind them) of the calls of ``edges``, which depend on some call."""
+    n = -(-edges.count() // BLOCK) or 1
+    block = edges.repartitionByRange(n, "conv_id", "t", "call_id") if n > 1 else edges.coalesce(1)
+    block = common.written(block.withColumn("block", F.spark_partition_id()), "blocks")
+    places = block.groupBy(*_KEYS).agg(F.min("block").alias("on_block"))
+    edges = common.written(block.join(_as_on(places, F.col("on_block")), ["conv_id", "on"], "left"), "edges")
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    result = f"conv_id {kinds['conv_id']}, call_id {kinds['call_id']}, after long, wait long, block int"
+    border = edges.where("on_block <> block").select("block", "conv_id", "on").distinct()
+    border = common.written(border, "border") if n > 1 else border.limit(0)
+    given = border.select("*", F.lit(0).cast("long").alias("after"), F.lit(-1).cast("long").alias("wait")).limit(0)
+    solve = lambda e, g: e.groupBy("block").cogroup(g.groupBy("block")).applyInPandas(_solved, result)
+    found = common.written(solve(edges, given), "order")
+    while n > 1:
+        now = common.written(border.join(_as_on(found, F.col("after"), F.col("wait")), ["conv_id", "on"]).select(given.columns), "border")
+        again = common.written(now.join(given, given.columns, "left_anti").select("block").distinct(), "again")
+        if not again.limit(1).count():
+            break
+        given = now
+        new = solve(edges.join(again, "block", "left_semi"), given.join(again, "block", "left_semi"))
+        found = common.written(found.join(again, "block", "left_anti").unionByName(new), "order")
+    return found.drop("block")
 
 
 def ordered(calls: DataFrame) -> DataFrame:
@@ -195,17 +228,10 @@ def ordered(calls: DataFrame) -> DataFrame:
     place = F.coalesce(F.min(F.col("turn").cast("long")), F.lit(_FIRST))
     nodes = common.written(calls.groupBy(_KEYS).agg(place.alias("t")), "calls")
     edges = calls.select(*_KEYS, F.explode("depends").alias("on")).distinct().join(nodes, _KEYS).join(_as_on(nodes, F.col("t").alias("on_turn")), ["conv_id", "on"])
-    edges = common.written(edges.select(*_KEYS, "on", "t", "on_turn"), "edges")
-    waiting = _waiting(edges)
-    done, cyclic = _peeled(edges, waiting)
-    cyclic = near = common.written(cyclic, "cyclic")
-    while not _empty(near):
-        near = common.written(edges.join(_as_on(near), ["conv_id", "on"]).select(_KEYS).distinct().join(cyclic, _KEYS, "left_anti"), "cyclic")
-        cyclic = cyclic.unionByName(near)
-    state = nodes.join(done, _KEYS, "left").join(cyclic.withColumn("cyclic", F.lit(True)), _KEYS, "left")
+    state = nodes.join(_settled(common.written(edges.select(*_KEYS, "on", "t", "on_turn"), "edges")), _KEYS, "left")
     after = F.nullif(F.coalesce("after", "t"), F.lit(_FIRST))
-    state = common.written(state.select(*_KEYS, after.alias("after"), F.coalesce("wait", F.lit(0)).cast("long").alias("wait"), F.coalesce("cyclic", F.lit(False)).alias("cyclic")), "order")
-    return calls.join(state, _KEYS, "left")
+    state = state.select(*_KEYS, after.alias("after"), F.greatest("wait", F.lit(0)).cast("long").alias("wait"), F.coalesce(F.col("wait") < 0, F.lit(False)).alias("cyclic"))
+    return calls.join(common.written(state, "order"), _KEYS, "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -252,8 +278,8 @@ SCHEMAS = {
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results in place of the plain turns of ``conversations``: an assistant's turn is a call with the whole text as its argument, a turn of any
-    other role (or none) is the result of the call before it, but for the first turn. Four of five calls depend on the call two turns before; two of five depend on
-    the call two turns after, which then does not depend on them, but in every fiftieth conversation, where they make cycles. Rows without a conversation or
+    other role (or none) is the result of the call before it, but for the first turn. Calls depend on the call two turns
+    before; two of five depend on the call two turns after instead, which then does not depend on them, but in every fiftieth conversation, where they make cycles. Rows without a conversation or
     a turn have null identifiers."""
     turn = F.col("turn")
     ident = lambda k: F.concat(F.lit("call-"), k.cast("string"))
@@ -262,8 +288,7 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     value = F.expr("substring(to_json(named_struct('t', coalesce(text, ''))), 6, length(to_json(named_struct('t', coalesce(text, '')))) - 6)")
     arguments = F.when(odd, F.concat(F.lit('{"query": '), value, F.lit(', "limit": '), limit, F.lit("}"))).otherwise(F.concat(F.lit('{"text": '), value, F.lit(', "tags": []}')))
     waits = lambda k: F.pmod(F.col("conv_id") + k, F.lit(5)).isin(0, 2)
-    anew = F.pmod(F.col("conv_id") + turn, F.lit(5)) == 1
-    depends = F.array(F.when(~anew & (~waits(turn - 2) | (F.col("conv_id") % 50 == 0)), ident(turn - 2)), F.when(waits(turn), ident(turn + 2)))
+    depends = F.array(F.when(~waits(turn - 2) | (F.col("conv_id") % 50 == 0), ident(turn - 2)), F.when(waits(turn), ident(turn + 2)))
     calls = turns.where("role = 'assistant'").select("conv_id", ident(turn).alias("call_id"), "turn", F.when(odd, "search").otherwise("note").alias("name"), arguments.alias("arguments"), F.array_compact(depends).alias("depends"))
     results = turns.where("not coalesce(role = 'assistant', false) and coalesce(turn > 0, true)").select("conv_id", ident(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

@@ -580,15 +580,33 @@ def test_order_by_brute_force(spark, monkeypatch):
         depends = {c: rng.choices([*turns, "gone"], k=rng.choice([0, 0, 1, 1, 2])) for c in turns}
         rows += [(conv, c, t, depends[c]) for c, t in turns.items()]
         want |= {(conv, c): k for c, k in brute_order(turns, depends).items()}
-    got = toolcalls.ordered(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, depends array<string>")).collect()
-    assert {(r.conv_id, r.call_id): None if r.cyclic else (r.after, r.wait) for r in got} == want
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, depends array<string>")
+    for block in (100_000, 40):
+        monkeypatch.setattr(toolcalls, "BLOCK", block)
+        got = toolcalls.ordered(calls).collect()
+        assert {(r.conv_id, r.call_id): None if r.cyclic else (r.after, r.wait) for r in got} == want
     assert None in want.values() and max(k[1] for k in want.values() if k) > 1
-    # Rounds go with the longest chain that waits, not with the size of a conversation.
-    written = []
-    monkeypatch.setattr(common, "written", lambda df, kind="table", f=common.written: written.append(kind) or f(df, kind))
-    long = [(1, f"c{i}", i, [f"c{i - 1}"]) for i in range(300)] + [(1, "x", 5, ["y"]), (1, "y", 400, [])]
-    toolcalls.ordered(spark.createDataFrame(long, "conv_id long, call_id string, turn long, depends array<string>"))
-    assert len(written) < 20
+
+
+def test_order_of_long_chains(spark, monkeypatch):
+    """A chain of 1,000 calls that each wait for the next one, one of 1,000 that hang on a cycle, one that doesn't wait: no table more than for 8."""
+    tables = []
+    monkeypatch.setattr(common, "written", lambda df, kind="table", f=common.written: tables.append(kind) or f(df, kind))
+
+    def made(n):
+        rows = [(1, f"c{i}", i, [f"c{i + 1}"]) for i in range(n)] + [(1, f"c{n}", n, [])]
+        rows += [(2, f"c{i}", i, [f"c{i - 1}" if i else "c1"]) for i in range(n)] + [(3, f"c{i}", i, [f"c{i - 1}"]) for i in range(n)]
+        return spark.createDataFrame(rows, "conv_id long, call_id string, turn long, depends array<string>")
+
+    def check(n):
+        tables.clear()
+        got = {(r.conv_id, r.turn): None if r.cyclic else (r.after, r.wait) for r in toolcalls.ordered(made(n)).collect()}
+        assert got == {(1, i): (n, n - i) for i in range(n + 1)} | {(2, i): None for i in range(n)} | {(3, i): (i, 0) for i in range(n)}
+        return len(tables)
+
+    assert check(8) == check(1000)
+    monkeypatch.setattr(toolcalls, "BLOCK", 400)
+    check(1000)
 
 
 def test_conversations_as_calls(spark):
