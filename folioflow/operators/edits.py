@@ -1,10 +1,13 @@
-"""Edit plans: arrays of (from, to, insert) against the original text."""
+"""Edit plans: arrays of (from, to, insert) against the original text, in code points; and places counted in UTF-16 units, as editors count them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters that are two UTF-16 units.
+_WIDE = r"[\x{10000}-\x{10FFFF}]"
+
 
 def apply_edits(text: Column, plan: Column) -> Column:
     """The text after a plan of disjoint edits: gaps and inserts from left to right; of edits at one place the first in the plan comes first."""
@@ -37,3 +40,38 @@ def diff_plan(rows: DataFrame, old: str, new: str, into: str = "plan") -> DataFr
     edit = F.struct(F.col(p).alias("from"), (F.length(old) - F.col(s)).alias("to"), F.substr(F.col(new), F.col(p) + 1, F.length(new) - F.col(s) - F.col(p)).alias("insert"))
     none = F.array().cast("array<struct<from:int,to:int,insert:string>>")
     return out.withColumn(into, F.when(F.col(old) == F.col(new), none).otherwise(F.array(edit))).drop(p, a, b, s)
+
+
+def n_units(text: Column) -> Column:
+    """The length of a text in UTF-16 units: a character beyond the basic plane is two."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def in_units(text: Column, at: Column) -> Column:
+    """The place ``at`` of a text, in code points, counted in units."""
+    return F.when(text.rlike(_WIDE), n_units(F.substr(text, F.lit(1), at.cast("int")))).otherwise(at.cast("int"))
+
+
+def in_points(text: Column, at: Column) -> Column:
+    """The place ``at`` of a text, in units, counted in code points; a place within a pair of units counts as the one before it."""
+    units = F.encode(text, "UTF-16BE")
+    # The units up to the place, without a first half of a pair at their end.
+    half = F.hex(F.substr(units, (2 * at - 1).cast("int"), F.lit(1))).rlike("^D[89AB]") & (at > 0)
+    front = F.substr(units, F.lit(1), (2 * (at - half.cast("int"))).cast("int"))
+    return F.when(text.rlike(_WIDE), F.length(F.decode(front, "UTF-16BE"))).otherwise(at.cast("int"))
+
+
+def plan_in_units(text: Column, plan: Column) -> Column:
+    """A plan with its places in units. Notes without a character beyond the basic plane keep their plan as it is; each place of others costs a pass over the text before it."""
+    return _moved(text, plan, in_units)
+
+
+def plan_in_points(text: Column, plan: Column) -> Column:
+    """A plan whose places are in units, for ``apply_edits``."""
+    return _moved(text, plan, in_points)
+
+
+def _moved(text: Column, plan: Column, place) -> Column:
+    moved = F.transform(plan, lambda e: F.struct(place(text, e["from"]).alias("from"), place(text, e["to"]).alias("to"), e["insert"].alias("insert")))
+    same = F.transform(plan, lambda e: F.struct(e["from"].cast("int").alias("from"), e["to"].cast("int").alias("to"), e["insert"].alias("insert")))
+    return F.when(text.rlike(_WIDE), moved).otherwise(same)

@@ -71,6 +71,15 @@ INTO_NOTES = {"app": _into_notes(_ANSWER), "web": _into_notes(_PASTE), "web-down
 URLS = """SELECT page_id AS doc_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN upper(substr(url, 1, 12)) || substr(url, 13) WHEN 2 THEN ' ' || url || '?z=1&b=2&a&b=1'
  WHEN 3 THEN replace(url, 'example', 'me:pw@example') || '/#top' WHEN 4 THEN 'mailto:' || upper(url) ELSE url || ':80/' END AS url FROM pages"""
 
+#: Hosts that are 32-bit numbers (v) in six spellings, and names.
+HOSTS = """SELECT page_id AS doc_id, v, CASE page_id % 8 WHEN 0 THEN CAST(v AS VARCHAR(20)) WHEN 1 THEN '0X' || hex(v) WHEN 2 THEN '0x' || hex(CAST(floor(v / 16777216) AS BIGINT)) || '.' || CAST(v % 16777216 AS VARCHAR(20))
+ WHEN 3 THEN '000' || CAST(CAST(floor(v / 16777216) AS BIGINT) % 8 AS VARCHAR(20)) || '.' || CAST(CAST(floor(v / 65536) AS BIGINT) % 256 AS VARCHAR(20)) || '.0x' || hex(v % 65536) WHEN 4 THEN CAST(v + 4294967296 AS VARCHAR(20)) WHEN 5 THEN 'a%2d' || CAST(v AS VARCHAR(20)) || '.Ex'
+ WHEN 6 THEN '[0:' || lower(hex(v % 65535 + 1)) || ':0:0:00' || '1:0:0:0]' ELSE '1.2.3.' || CAST(v % 512 AS VARCHAR(20)) END AS host FROM (SELECT page_id, (page_id * 2654435761) % 4294967296 AS v FROM pages)"""
+
+#: Texts with characters of two units, and two places in them that are counted in units.
+WIDE = """SELECT doc_id, t AS text, CASE WHEN doc_id % 9 <> 0 THEN CAST(floor(length(t) / 3) AS BIGINT) END AS anchor, CAST(floor(length(t) / (1 + doc_id % 3)) AS BIGINT) AS head
+ FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text ELSE replace(replace(text, 'e', '😀'), 'o', 'é') END AS t FROM documents) AS w"""
+
 #: Scripts in all combinations of what decides on their state.
 SCRIPTS = """SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'imported' ELSE 'curated' END AS provenance, p_size % 5 <> 0 AS enabled,
  CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 3 END AS okayed_version, CASE WHEN p_partkey % 11 <> 0 THEN 'c' || CAST(p_size % 4 AS VARCHAR(9)) END AS okayed_checksum,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleanup, edits, footnotes, lines, reflow, registry, surfaces, tables, urls
+from ..sources import notes as notes_source
 from . import builders, format
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,6 +454,28 @@ def _urls(rows):
     return rows.select("doc_id", urls.normalize_url(F.col("url")).alias("url"))
 
 
+_DOTTED = "(b >> 24) || '.' || ((b >> 16) & 255) || '.' || ((b >> 8) & 255) || '.' || (b & 255)"
+
+
+@_query("ut1_url_hosts", builders.HOSTS, f"""WITH h AS (SELECT *, CASE WHEN doc_id % 8 = 3 THEN ((v >> 24) % 8) * 16777216 + v % 16777216 ELSE v END AS b FROM ({builders.HOSTS}))
+ SELECT doc_id, 'http://' || CASE doc_id % 8 WHEN 4 THEN (v + 4294967296) || '/' WHEN 5 THEN 'a-' || v || '.ex' WHEN 6 THEN '[0:' || printf('%x', v % 65535 + 1) || ':0:0:1::]' WHEN 7 THEN '1.2.3.' || (v % 512) || CASE WHEN v % 512 > 255 THEN '/' ELSE '' END ELSE {_DOTTED} END AS url FROM h""")
+def _hosts(rows):
+    return rows.select("doc_id", urls.normalize_url(F.concat(F.lit("HTTP://"), F.col("host"), F.lit("/"))).alias("url"))
+
+
+@_query("io2_selection_units", builders.WIDE, f"""WITH w AS ({builders.WIDE}), s AS (SELECT *, regexp_replace(text, '([\\x{{10000}}-\\x{{10FFFF}}])', '\\1' || chr(1), 'g') AS s, anchor IS NOT NULL AND head IS NOT NULL AS whole, least(anchor, head) AS a, greatest(anchor, head) AS z FROM w),
+ p AS (SELECT *, CASE WHEN substr(s, a + 1, 1) = chr(1) THEN a - 1 ELSE a END AS f, CASE WHEN substr(s, z + 1, 1) = chr(1) THEN z - 1 ELSE z END AS t FROM s)
+ SELECT doc_id, a AS sel_from, z AS sel_to, CASE WHEN whole THEN replace(substr(s, f + 1, t - f), chr(1), '') END AS input, CASE WHEN whole THEN replace(substr(s, 1, f) || '[😀]' || substr(s, t + 1), chr(1), '') END AS applied,
+ CASE WHEN whole THEN f END AS edit_from, CASE WHEN whole THEN t END AS edit_to, CASE WHEN whole THEN f + 4 END AS cursor FROM p""")
+def _selection_units(rows):
+    text = F.col("text")
+    edit = F.struct(F.col("sel_from").alias("from"), F.col("sel_to").alias("to"), F.lit("[😀]").alias("insert"))
+    chosen = notes_source.selection(rows, units=True).withColumn("plan", F.when(F.col("input").isNotNull(), edits.plan_in_points(text, F.array(edit))))
+    out = chosen.withColumn("back", edits.plan_in_units(text, F.col("plan")))
+    of = lambda k: F.get("back", F.lit(0))[k].cast("long").alias(f"edit_{k}")
+    return out.select("doc_id", "sel_from", "sel_to", "input", edits.apply_edits(text, F.col("plan")).alias("applied"), of("from"), of("to"), notes_source.cursor_after(F.col("back"), True).cast("long").alias("cursor"))
+
+
 _LINKS = r"\!?\[[^\]]+\]\([^)]+\)"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import edits
 from . import scratch
 
 
@@ -24,11 +25,13 @@ def whole(notes: DataFrame) -> DataFrame:
     return notes.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("cursor"), F.coalesce("text", F.lit("")).alias("input"))
 
 
-def selection(notes: DataFrame, anchor: str = "anchor", head: str = "head", strict: bool = False) -> DataFrame:
-    """``notes`` with sel_from, sel_to, cursor and input, the selected text; rows without both ends have a null input, or are an error if ``strict``."""
+def selection(notes: DataFrame, anchor: str = "anchor", head: str = "head", strict: bool = False, units: bool = False) -> DataFrame:
+    """``notes`` with sel_from, sel_to, cursor and input, the selected text; rows without both ends have a null input, or are an error if ``strict``. Places are code
+    points, or UTF-16 units with ``units``, where one within a pair of units selects as the one before it does."""
     start, end = F.least(anchor, head), F.greatest(anchor, head)
     both = F.col(anchor).isNotNull() & F.col(head).isNotNull()
-    text = F.substr(F.col("text"), (start + 1).cast("int"), (end - start).cast("int"))
+    place = (lambda c: edits.in_points(F.col("text"), c)) if units else (lambda c: c)
+    text = F.substr(F.col("text"), (place(start) + 1).cast("int"), (place(end) - place(start)).cast("int"))
     none = F.raise_error(F.lit("no selection")).cast("string") if strict else F.lit(None).cast("string")
     return notes.select("doc_id", "text", start.alias("sel_from"), end.alias("sel_to"), F.col(head).alias("cursor"), F.when(both, text).otherwise(none).alias("input"))
 
@@ -38,7 +41,8 @@ def pasted(notes: DataFrame, clips: DataFrame) -> DataFrame:
     return notes.select("doc_id", "text", "cursor").join(clips.select("doc_id", F.col("text").alias("input")), "doc_id")
 
 
-def cursor_after(plan: Column) -> Column:
-    """Where the cursor stands after a plan: behind the insert of its first edit by place; null for an empty plan."""
-    first = F.get(F.array_sort(F.transform(plan, lambda e, i: F.struct(e["from"].alias("from"), i.alias("i"), F.length(e["insert"]).alias("n")))), F.lit(0))
+def cursor_after(plan: Column, units: bool = False) -> Column:
+    """Where the cursor stands after a plan: behind the insert of its first edit by place; null for an empty plan. In UTF-16 units if the plan is (``units``)."""
+    size = edits.n_units if units else F.length
+    first = F.get(F.array_sort(F.transform(plan, lambda e, i: F.struct(e["from"].alias("from"), i.alias("i"), size(e["insert"]).alias("n")))), F.lit(0))
     return first["from"] + first["n"]
