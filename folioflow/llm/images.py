@@ -331,8 +331,9 @@ def rendered(vector, side: int = SIDE) -> np.ndarray:
 
 
 def edited(a: np.ndarray, kind: int = 0) -> np.ndarray:
-    """Brighter, with noise; of kind 0 a part of three quarters of each side, of kind 1 such a part turned by 20 degrees, of kind 2 the whole at four fifths of its size."""
-    n, degrees, part, scale, middle = a.shape[0], (0, 20, 0)[kind], (0.75, 0.75, 1.0)[kind], (1.0, 1.0, 0.8)[kind], (0.55, 0.55, 0.5)[kind]
+    """Brighter, with noise; of kind 0 a part of three quarters of each side, of kind 1 such a part turned by 20 degrees, of kind 2 the whole at four fifths of its size, of kind
+    3 the part at four fifths."""
+    n, degrees, part, scale, middle = a.shape[0], (0, 20, 0, 0)[kind], (0.75, 0.75, 1.0, 0.75)[kind], (1.0, 1.0, 0.8, 0.8)[kind], (0.55, 0.55, 0.5, 0.55)[kind]
     side, t = int(part * n * scale), np.deg2rad(degrees)
     y, x = (np.mgrid[:side, :side] - (side - 1) / 2) / scale
     u, v = np.cos(t) * x - np.sin(t) * y + n * middle, np.sin(t) * x + np.cos(t) * y + n * 0.5
@@ -344,7 +345,7 @@ def edited(a: np.ndarray, kind: int = 0) -> np.ndarray:
 
 
 def pictures(vectors: DataFrame, change: bool) -> DataFrame:
-    """Pictures (image_id, width, pixels) of ``vectors`` (vec_id, embedding), null ones of null vectors; edited copies if ``change``, of three kinds by the hundreds
+    """Pictures (image_id, width, pixels) of ``vectors`` (vec_id, embedding), null ones of null vectors; edited copies if ``change``, of four kinds by the hundreds
     of their ids."""
 
     def run(batches):
@@ -352,7 +353,7 @@ def pictures(vectors: DataFrame, change: bool) -> DataFrame:
             out = []
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p = None if v is None else rendered([x or 0.0 for x in v])
-                out.append((i, p if p is None or not change else edited(p, (i or 0) // 100 % 3)))
+                out.append((i, p if p is None or not change else edited(p, (i or 0) // 100 % 4)))
             yield pa.record_batch([pa.array([i for i, _ in out], pa.int64()), pa.array([None if p is None else p.shape[1] for _, p in out], pa.int32()), pa.array([None if p is None else p.tobytes() for _, p in out], pa.binary())], names=["image_id", "width", "pixels"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "image_id long, width int, pixels binary")

@@ -619,7 +619,7 @@ def test_conversations_as_calls(spark):
 
 
 def found_class(i):
-    """200 and 205 are edited copies of one picture, of different kinds (205 // 100 % 3 is that of 200); 5 is of another kind."""
+    """200 and 205 are edited copies of one picture, of different kinds (205 // 100 % 4 is that of 200); 5 is of another kind."""
     return 200
 
 
