@@ -65,14 +65,18 @@ def dehyphenate_rows(k: DataFrame) -> DataFrame:
 
 def dewrap_rows(k: DataFrame) -> DataFrame:
     """Line feeds inside paragraphs become spaces. A paragraph's edit is the whole block, which is known when its lines are put together (``merged``)."""
-    inner = (F.col("kind") == "paragraph") & (F.lead("kind").over(L.by_doc()) == "paragraph") & (F.col("sep") == "\n")
+    # Paragraph lines in a row are of one block.
+    after = F.lead("kind").over(Window.partitionBy("doc_id", "block_no").orderBy("line_no"))
+    inner = (F.col("kind") == "paragraph") & (after == "paragraph") & (F.col("sep") == "\n")
     return k.withColumn("sep", F.when(inner, " ").otherwise(F.col("sep")))
 
 
 def merged(k: DataFrame, **sums: Column) -> DataFrame:
     """Rows whose sep isn't a line feed put together with the next one, within the notes' partitions: doc_id, line_no, line, sep, raw and the columns ``sums`` of
     their rows; ``did`` and ``edit`` are those of paragraphs that became one line."""
-    above = F.sum((F.col("sep") == "\n").cast("long")).over(L.by_doc().rowsBetween(Window.unboundedPreceding, -1))
+    # By block and line, the order that the steps before need for their blocks.
+    ordered = Window.partitionBy("doc_id").orderBy("block_no", "line_no")
+    above = F.sum((F.col("sep") == "\n").cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     k = k.withColumn("_at", F.coalesce(above, F.lit(0)))
     each = F.array_sort(F.collect_list(F.struct("line_no", "line", "sep")))
     out = k.groupBy("doc_id", "_at").agg(each.alias("_each"), F.min_by("raw", "line_no").alias("raw"), *[v.alias(n) for n, v in sums.items()])
@@ -113,7 +117,7 @@ def whitespace_rows(k: DataFrame) -> DataFrame:
     k = _changed(k, F.when(loose, tidy).otherwise(F.col("line")))
     squeezed = _edit(F.col("off") + F.col("_size") + F.length("sep"), F.col("_end"), F.lit(""))
     left = F.sum((~F.col("_goes")).cast("long")).over(L.so_far()) - 1
-    return k.withColumns({"did": F.col("did") | F.col("_opens"), "edit": F.when(F.col("_opens"), squeezed).otherwise(F.col("edit")), "line_no": left}).where("not _goes")
+    return k.withColumns({"did": F.col("did") | F.col("_opens"), "edit": F.when(F.col("_opens"), squeezed).otherwise(F.col("edit")), "line_no": left, "_order": F.col("line_no")}).where("not _goes")
 
 
 def bullet_rows(k: DataFrame) -> DataFrame:
@@ -126,29 +130,40 @@ def ordered_rows(k: DataFrame) -> DataFrame:
     """Ordered items are counted from 1 at each indentation; anything but list items and blank lines starts anew.
 
     The number of an item is how many items of its indentation lie behind the last one with a smaller indentation, within its segment. Each indentation of
-    a segment is a window of its own, in which items of smaller ones cut it into runs; an item is repeated for its own and the larger indentations, of
-    which a note has few (a new one takes as many characters)."""
+    a segment is a window of its own, in which the count at the last item with a smaller one is taken off; an item is repeated for its own and the larger
+    indentations of its note, which are few (a new one takes as many characters)."""
     part = lambda i: F.regexp_extract("line", js.ORDERED, i)
     item = (F.col("kind") == "listItem") & F.col("line").rlike(js.ORDERED)
-    k = k.withColumns({"_segment": F.sum((~F.col("kind").isin("blank", "listItem")).cast("int")).over(L.so_far()), "_indent": F.when(item, F.length(part(1)))})
-    levels = F.collect_set("_indent").over(Window.partitionBy("doc_id", "_segment"))
+    so_far = L.in_place(k).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    k = k.withColumns({"_segment": F.sum((~F.col("kind").isin("blank", "listItem")).cast("int")).over(so_far), "_indent": F.when(item, F.length(part(1)))})
+    # Those of the note, not of the segment: these need no other order of the lines.
+    levels = F.collect_set("_indent").over(Window.partitionBy("doc_id"))
     k = k.withColumn("_levels", F.when(F.col("_indent").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.filter(levels, lambda v: v >= F.col("_indent"))))
     k = k.withColumn("_level", F.explode("_levels"))
-    upto = lambda *more: Window.partitionBy("doc_id", "_segment", "_level", *more).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    k = k.withColumn("_run", F.sum((F.col("_indent") < F.col("_level")).cast("int")).over(upto()))
-    k = k.withColumn("_number", F.sum((F.col("_indent") == F.col("_level")).cast("int")).over(upto("_run")).cast("string")).where("_indent is null or _indent = _level")
+    upto = Window.partitionBy("doc_id", "_segment", "_level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    k = k.withColumn("_count", F.sum((F.col("_indent") == F.col("_level")).cast("int")).over(upto))
+    before = F.coalesce(F.max(F.when(F.col("_indent") < F.col("_level"), F.col("_count"))).over(upto), F.lit(0))
+    k = k.withColumn("_number", (F.col("_count") - before).cast("string")).where("_indent is null or _indent = _level")
     plain = F.regexp_replace(part(2), "^0+(?=[0-9])", "")
     renumbered = F.concat(part(1), F.col("_number"), F.substring("line", F.length(part(1)) + F.length(part(2)) + 1, F.length("line")))
     line = F.when(F.col("_indent").isNotNull() & (plain != F.col("_number")), renumbered).otherwise(F.col("line"))
     return _changed(k, line, F.col("_indent"), F.col("_indent") + F.length(part(2)), F.col("_number"))
 
 
-def heading_rows(k: DataFrame) -> DataFrame:
-    """No heading is more than one level below the heading before it: its level is its place plus the least (level - place) so far. Code is not excepted."""
+def heading_levels(k: DataFrame) -> DataFrame:
+    """``k`` with _mark, the level of a heading line, and _to, the level it gets: its place plus the least (level - place) so far."""
     is_heading = F.col("line").rlike(js.HEADING)
-    k = k.withColumns({"_level": F.when(is_heading, F.length(F.regexp_extract("line", js.HEADING, 1))), "_ord": F.sum(is_heading.cast("int")).over(L.so_far())})
-    k = k.withColumn("_to", (F.col("_ord") + F.min(F.col("_level") - F.col("_ord")).over(L.so_far())).cast("int"))
-    line = F.when(F.col("_level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("_to")), F.substring("line", F.col("_level") + 1, F.length("line")))).otherwise(F.col("line"))
+    so_far = L.in_place(k).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    k = k.withColumns({"_mark": F.when(is_heading, F.length(F.regexp_extract("line", js.HEADING, 1))), "_ord": F.sum(is_heading.cast("int")).over(so_far)})
+    return k.withColumn("_to", (F.col("_ord") + F.min(F.col("_mark") - F.col("_ord")).over(so_far)).cast("int"))
+
+
+def heading_rows(k: DataFrame) -> DataFrame:
+    """No heading is more than one level below the heading before it (``heading_levels``, which a step that leaves headings alone may have come behind). Code is not
+    excepted."""
+    if "_to" not in k.columns:
+        k = heading_levels(k)
+    line = F.when(F.col("_mark").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("_to")), F.substring("line", F.col("_mark") + 1, F.length("line")))).otherwise(F.col("line"))
     return _changed(k, line)
 
 

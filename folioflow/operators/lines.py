@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from .. import functions as js
 
 
-
 def by_doc() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("line_no")
 
 
+def in_place(rows: DataFrame) -> WindowSpec:
+    """The lines of a note in their order. Rows that are sorted already by the lines they were (``_order``) or the blocks they were in (``_block``), which ascend with
+    line_no, needn't be sorted again."""
+    keys = ["_order"] if "_order" in rows.columns else ["_block", "line_no"] if "_block" in rows.columns else ["line_no"]
+    return Window.partitionBy("doc_id").orderBy(*keys)
+
+
 def so_far() -> WindowSpec:
     return by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -28,15 +34,17 @@ def _texts(notes: DataFrame, *more: str) -> DataFrame:
 def lines(notes: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), off (of its first character, code points), line; null text is one empty line."""
     rows = _texts(notes).select("doc_id", F.posexplode("ls").alias("line_no", "line"))
+    # Numbered as they stay before they are sorted, so that what follows needn't sort them again.
+    rows = rows.withColumn("line_no", F.col("line_no").cast("long"))
     before = F.coalesce(F.sum(F.length("line") + 1).over(by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), before.cast("long").alias("off"), "line")
+    return rows.select("doc_id", "line_no", before.cast("long").alias("off"), "line")
 
 
 def in_order(notes: DataFrame) -> DataFrame:
     """``lines`` for operators that look at neighbouring lines: with ``next``, the line behind, null behind the last. Notes that share a doc_id are an error."""
     rows = lines(notes).withColumn("next", F.lead("line").over(by_doc()))
     same = F.coalesce(F.lag("line_no").over(by_doc()) == F.col("line_no"), F.lit(False))
-    return rows.withColumn("line", F.when(same, _shared_id().cast("string")).otherwise(F.col("line")))
+    return rows.withColumn("line", F.when(same, shared_id().cast("string")).otherwise(F.col("line")))
 
 
 def digits(number: Column) -> Column:
@@ -102,19 +110,20 @@ def classified(rows: DataFrame) -> DataFrame:
     Whether an underline makes a heading depends on the line before being a paragraph, which underlines change in turn: that state is the last value set by
     another line, flipped once for every line since, as these are all underlines.
     """
+    by = in_place(rows)
     columns = [c for c in rows.columns if c not in ("kind", "block_no")]
     set_by = F.when(F.col("raw") != "toggle", F.struct((F.col("raw") == "paragraph").cast("int").alias("value"), "line_no"))
     none = F.struct(F.lit(0).alias("value"), F.lit(-1).cast("long").alias("line_no"))
-    now, past = (F.coalesce(F.last(set_by, ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, end)), none) for end in (Window.currentRow, -1))
-    same = F.coalesce(F.lag("line_no").over(by_doc()) == F.col("line_no"), F.lit(False))
-    out = rows.select(*columns, now.alias("_now"), past.alias("_past"), same.alias("_same"), F.lead("raw").over(by_doc()).alias("_lead"))
+    now, past = (F.coalesce(F.last(set_by, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, end)), none) for end in (Window.currentRow, -1))
+    same = F.coalesce(F.lag("line_no").over(by) == F.col("line_no"), F.lit(False))
+    out = rows.select(*columns, now.alias("_now"), past.alias("_past"), same.alias("_same"), F.lead("raw").over(by).alias("_lead"))
     state = F.pmod(F.col("_now.value") + F.col("line_no") - F.col("_now.line_no"), F.lit(2)) == 1
     before = F.pmod(F.col("_past.value") + F.col("line_no") - 1 - F.col("_past.line_no"), F.lit(2)) == 1
     underlines = lambda c: F.col(c).isin("toggle", "rule")
     kind = F.when(underlines("raw") & before, "setextHeading").when(state & F.coalesce(underlines("_lead"), F.lit(False)), "setextHeading").when(F.col("raw") == "toggle", "paragraph").when(F.col("raw") == "rule", "thematicBreak").otherwise(F.col("raw"))
-    out = out.select(*columns, F.when(F.col("_same"), _shared_id().cast("string")).otherwise(kind).alias("kind"))
-    new = (F.lag("kind").over(by_doc()).isNull() | (F.col("kind") == "blank") | (F.lag("kind").over(by_doc()) != F.col("kind"))).cast("int")
-    return out.withColumn("_new", new).select(*columns, "kind", F.sum("_new").over(so_far()).alias("block_no"))
+    out = out.select(*columns, F.when(F.col("_same"), shared_id().cast("string")).otherwise(kind).alias("kind"))
+    new = (F.lag("kind").over(by).isNull() | (F.col("kind") == "blank") | (F.lag("kind").over(by) != F.col("kind"))).cast("int")
+    return out.withColumn("_new", new).select(*columns, "kind", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("block_no"))
 
 
 def reopened(rows: DataFrame) -> DataFrame:
@@ -157,8 +166,8 @@ def rebuilt(rows: DataFrame, *pieces: str, key: str = "line_no", **more: Column)
     out = rows.groupBy("doc_id").agg(each.alias("each"), *[v.alias(n) for n, v in more.items()])
     twice = F.size(F.array_distinct(F.transform("each", lambda x: x[key]))) < F.size("each")
     text = F.array_join(F.transform("each", lambda x: x["piece"]), "")
-    return out.select("doc_id", F.when(twice, _shared_id().cast("string")).otherwise(text).alias("text"), *more)
+    return out.select("doc_id", F.when(twice, shared_id().cast("string")).otherwise(text).alias("text"), *more)
 
 
-def _shared_id() -> Column:
+def shared_id() -> Column:
     return F.raise_error(F.concat(F.lit("several notes with doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))

@@ -39,7 +39,8 @@ def _row(cells: Column) -> Column:
 
 def framed(text: Column) -> Column:
     """Whether a text has a rule with a corner, without which it has no drawn table."""
-    return F.when(text.rlike(CORNER), text.rlike(_TOP)).otherwise(F.lit(False))
+    # A range that has all corners: one comparison a character of texts without any.
+    return F.when(text.rlike("[+\u250C-\u256C]"), text.rlike(_TOP)).otherwise(F.lit(False))
 
 
 def box_rows(notes: DataFrame) -> DataFrame:

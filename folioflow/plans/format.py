@@ -48,12 +48,16 @@ def _joined(plan: str) -> Column:
     return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.col(plan).alias("p")))), lambda x: x["p"])).cast(_PLAN)
 
 
+def _opens(text: Column) -> Column:
+    """Whether front matter may come about: only a first line of three hyphens or dashes with blanks behind them can become its opening."""
+    return text.rlike(r"^(?!---(\n|\z))[-–—]{3}[ \t]*(\n|\z)")
+
+
 def _boxed(notes: DataFrame) -> DataFrame:
-    """Notes after their drawn tables, with n_box_table and plan_box_table; only notes with a frame are cut into lines for it."""
-    has = tables.framed(F.col("text"))
-    done = L.rebuilt(tables.box_rows(notes.where(has)), "piece", n_box_table=F.count_if("did"), plan_box_table=_each("edit"))
-    rest = notes.where(~has).select("doc_id", "text", F.lit(0).cast("long").alias("n_box_table"), F.array().cast(_PLAN).alias("plan_box_table"))
-    return done.unionByName(rest)
+    """Notes (doc_id, text, framed, opens) after their drawn tables, with opens, n_box_table and plan_box_table; only notes with a frame are cut into lines for it."""
+    done = L.rebuilt(tables.box_rows(notes.where("framed").select("doc_id", "text")), "piece", n_box_table=F.count_if("did"), plan_box_table=_each("edit"))
+    rest = notes.where("not framed").select("doc_id", "text", "opens", F.lit(0).cast("long").alias("n_box_table"), F.array().cast(_PLAN).alias("plan_box_table"))
+    return done.withColumn("opens", _opens(F.col("text"))).unionByName(rest)
 
 
 def _reflowed(notes: DataFrame, carried: list[str]) -> DataFrame:
@@ -72,20 +76,20 @@ def clean_steps(notes: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     One table of lines goes through all steps from ``dehyphenate`` on: it is exchanged once by doc_id, each step changes its rows in place, only lines that a step
     has changed are classified again, and the lines are put together once."""
     on = [s for s in STEPS if getattr(recipe, s)]
-    # Read four times (with frames or not, a first line that may open front matter or not), so that texts that are computed are computed once.
-    notes = scratch.written(notes.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    if "box_table" in on:
-        notes = _boxed(notes)
+    # Read four times (with frames or not, a first line that may open front matter or not), so that texts that are computed are computed and looked through once.
+    notes = notes.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    framed = tables.framed(F.col("text")) if "box_table" in on else F.lit(False)
+    notes = scratch.written(notes.withColumns({"framed": framed, "opens": _opens(F.col("text"))}))
+    notes = _boxed(notes) if "box_table" in on else notes.drop("framed")
     if "reflow" in on:
-        notes = _reflowed(scratch.written(notes), [c for c in notes.columns if c.endswith("_box_table")])
+        notes = _reflowed(scratch.written(notes.drop("opens")), [c for c in notes.columns if c.endswith("_box_table")])
+        notes = notes.withColumn("opens", _opens(F.col("text")))
     steps = [s for s in on if s in ROW_STEPS]
     if not steps:
-        return notes
+        return notes.drop("opens")
     if not {"tidy_whitespace", "decompose_ligatures"} & set(steps):
-        return _row_steps(notes, steps, False).select("doc_id", "text", *[c for s in on for c in (f"n_{s}", f"plan_{s}")])
-    # Only a first line of three hyphens or dashes with blanks behind them can become the opening of front matter.
-    opening = F.col("text").rlike(r"^(?!---(\n|\z))[-–—]{3}[ \t]*(\n|\z)")
-    done = _row_steps(notes.where(~opening), steps, False).unionByName(_row_steps(notes.where(opening), steps, True))
+        return _row_steps(notes.drop("opens"), steps, False).select("doc_id", "text", *[c for s in on for c in (f"n_{s}", f"plan_{s}")])
+    done = _row_steps(notes.where("not opens").drop("opens"), steps, False).unionByName(_row_steps(notes.where("opens").drop("opens"), steps, True))
     return done.select("doc_id", "text", *[c for s in on for c in (f"n_{s}", f"plan_{s}")])
 
 
@@ -95,6 +99,9 @@ def _row_steps(notes: DataFrame, steps: list[str], opening: bool) -> DataFrame:
     rows = L.classified(L.raw_lines(notes, *carried))
     sums: dict[str, Column] = {}
     for name in steps:
+        if name == "normalize_ordered" and "normalize_headings" in steps:
+            # Numbers leave headings alone, whose levels are found before items are sorted by their indentations.
+            rows = cleanup.heading_levels(rows)
         rows = ROW_STEPS[name](L.with_off(rows))
         if name == "dehyphenate":
             rows = rows.withColumnsRenamed({"did": "n_dehyphenate", "edit": "plan_dehyphenate"})
@@ -114,6 +121,9 @@ def _row_steps(notes: DataFrame, steps: list[str], opening: bool) -> DataFrame:
             sums |= {f"n_{name}": F.count_if(f"did_{name}"), f"plan_{name}": _each(f"edit_{name}")}
         if opening and name in ("tidy_whitespace", "decompose_ligatures"):
             rows = L.reopened(rows)
+        if name == "decompose_ligatures":
+            # Its rows are sorted by block, which what follows needs not change.
+            rows = rows.drop("_block", "_order").withColumnRenamed("block_no", "_block")
         if name in ("dehyphenate", "dewrap", "tidy_whitespace", "decompose_ligatures"):
             rows = L.classified(rows)
     return L.rebuilt(rows, "line", "sep", **sums, **{c: F.min_by(c, "line_no") for c in carried})

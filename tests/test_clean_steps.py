@@ -71,3 +71,15 @@ def test_notes_of_one_id_are_an_error(spark):
             with pytest.raises(Exception, match="several notes with doc_id"):
                 run(n).collect()
     assert format.clean_steps(same.limit(0)).count() == 0
+
+
+def test_five_sorts_of_the_lines(notes):
+    """The steps that look at blocks, merge lines, look at lines, at blocks again and at items by indentation; nothing else sorts lines."""
+    text = format._row_steps(notes, list(format.ROW_STEPS), False).select("doc_id", "text")
+    assert text._jdf.queryExecution().executedPlan().toString().count("Sort [") == 5
+
+
+def test_texts_are_looked_through_once(notes):
+    """Whether a note has a frame or may open front matter is a column of the written table, not a pattern that each of its four readers matches again."""
+    plan = format.apply_cleanup(notes)._jdf.queryExecution().optimizedPlan().toString()
+    assert tables._TOP not in plan
