@@ -19,10 +19,16 @@ CITATION = r"(?<!\^)\[0*([0-9]+)\](?!\()"
 
 
 def definitions(notes: DataFrame) -> DataFrame:
-    """doc_id, line_no, id, alpha, snippet, title, url of every definition; a link alone on the next line belongs to it."""
-    two = F.coalesce(F.col("next").rlike(LINK_LINE), F.lit(False))
+    """doc_id, line_no, id, alpha, snippet, title, url of every definition; a link alone on the next line belongs to it. Notes that share a doc_id are an error.
+
+    Definitions are found in the notes' rows, so that of their lines only these are exchanged and made rows."""
+    ls = F.col("ls")
+    found = F.filter(F.transform(ls, lambda x, i: F.struct(i.cast("long").alias("line_no"), x.alias("line"), F.get(ls, i + 1).alias("next"))), lambda d: d["line"].rlike(DEF))
+    rows = notes.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("ls")).select("doc_id", found.alias("found"))
+    shared = F.count("*").over(Window.partitionBy("doc_id")) > 1
+    rows = rows.withColumn("shared", shared).select("doc_id", F.inline(F.when(F.col("shared"), L.shared_id().cast("array<struct<line_no:bigint,line:string,next:string>>")).otherwise(F.col("found"))))
+    rows = rows.withColumn("two", F.coalesce(F.col("next").rlike(LINK_LINE), F.lit(False)))
     part = lambda i: F.when(F.col("two"), F.regexp_extract("next", LINK_LINE, i))
-    rows = L.in_order(notes).withColumn("two", two).where(F.col("line").rlike(DEF))
     name = F.regexp_extract("line", DEF, 1)
     return rows.select("doc_id", "line_no", name.alias("id"), (~name.rlike(r"^[0-9]+\z")).alias("alpha"), F.regexp_extract("line", DEF, 2).alias("snippet"), part(1).alias("title"), part(2).alias("url"))
 
@@ -103,11 +109,14 @@ def resources_section(notes: DataFrame, name: str = "Resources") -> DataFrame:
 
 def note_footnotes(notes: DataFrame) -> DataFrame:
     """Everything about footnotes in notes, as rows (doc_id, what, line_no, ord, id, title, url): definitions, references, citations and the section."""
+    # Read once for each of the four.
+    notes = scratch.written(notes.select("doc_id", "text"))
     none, at = F.lit(None).cast("string"), F.lit(1).cast("long")
     out = definitions(notes).select("doc_id", F.lit("definition").alias("what"), "line_no", at.alias("ord"), "id", "title", "url")
     out = out.unionByName(references(notes).select("doc_id", F.lit("reference").alias("what"), "line_no", "ord", "id", none.alias("title"), none.alias("url")))
     out = out.unionByName(citations(notes).select("doc_id", F.lit("citation").alias("what"), "line_no", "ord", F.col("number").alias("id"), none.alias("title"), none.alias("url")))
-    section = with_section(L.lines(notes)).where(F.col("line_no") == F.col("start_line"))
+    # Where the first section begins takes no other line of its note.
+    section = L.lines(notes).where(atx(F.col("line"))["text"] == "Resources").groupBy("doc_id").agg(F.min("line_no").alias("line_no"))
     return out.unionByName(section.select("doc_id", F.lit("section").alias("what"), "line_no", at.alias("ord"), none.alias("id"), F.lit("Resources").alias("title"), none.alias("url")))
 
 
