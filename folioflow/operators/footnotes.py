@@ -158,27 +158,34 @@ def move_to_resources(rows: DataFrame, name: str = "Resources", heading: str | N
 def id_map(notes: DataFrame, norm) -> DataFrame:
     """doc_id, old_id, new_id of numeric footnotes: in the order of their first references, then of definitions without one; ids whose first
     definitions have equal urls (by ``norm``) share a number. ``old`` has the digits of the old id, which is null where it has over 64 bits."""
+    return _ids(notes, norm).drop("kept")
+
+
+def _ids(notes: DataFrame, norm) -> DataFrame:
+    """``id_map`` with kept, the line_no of the first definition of a new number."""
     numeric = lambda c: F.col(c).rlike(r"^[0-9]+\z")
     big = lambda c: L.digits(F.col(c))
     refs = references(notes).where(numeric("id")).select("doc_id", big("id").alias("old_id"), F.struct(F.lit(0).alias("k"), "line_no", "ord").alias("at"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("long").alias("d"))
     defs = definitions(notes).where(~F.col("alpha")).select("doc_id", big("id").alias("old_id"), F.struct(F.lit(1).alias("k"), "line_no", F.lit(0).cast("long").alias("ord")).alias("at"), norm(F.col("url")).alias("url"), F.col("line_no").alias("d"))
-    ids = refs.unionByName(defs).groupBy("doc_id", "old_id").agg(F.min("at").alias("at"), F.min_by(F.struct("url"), "d").alias("u"))
+    ids = refs.unionByName(defs).groupBy("doc_id", "old_id").agg(F.min("at").alias("at"), F.min_by(F.struct("url"), "d").alias("u"), F.min("d").alias("d"))
     key = F.coalesce(F.concat(F.lit("u:"), F.col("u.url")), F.concat(F.lit("i:"), F.col("old_id")))
-    ids = ids.withColumn("first", F.min("at").over(Window.partitionBy("doc_id", key)))
-    return ids.select("doc_id", F.col("old_id").alias("old"), F.col("old_id").try_cast("long").alias("old_id"), F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")).cast("long").alias("new_id"))
+    same = Window.partitionBy("doc_id", key)
+    ids = ids.withColumns({"first": F.min("at").over(same), "kept": F.min("d").over(same)})
+    return ids.select("doc_id", F.col("old_id").alias("old"), F.col("old_id").try_cast("long").alias("old_id"), F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")).cast("long").alias("new_id"), "kept")
 
 
 def _parts(notes: DataFrame) -> DataFrame:
     """Lines (doc_id, line_no, off, line, sep) with what they are to numeric definitions: ``def`` (the number), ``title`` and ``url`` of the link line that
-    belongs to it, and ``owner``, the line_no of the definition that a line is of."""
+    belongs to it, and ``owner`` and ``owner_off``, the line_no and the off of the definition that a line is of, and ``owner_def``, its number."""
     rows = L.in_order(notes)
     name = F.regexp_extract("line", DEF, 1)
     number = F.when(F.col("line").rlike(DEF) & name.rlike(r"^[0-9]+\z"), L.digits(name))
     two = F.col("line").rlike(DEF) & F.coalesce(F.col("next").rlike(LINK_LINE), F.lit(False))
     part = lambda i: F.when(F.col("two"), F.regexp_extract("next", LINK_LINE, i))
     rows = rows.withColumn("sep", F.when(F.col("next").isNull(), "").otherwise("\n")).withColumn("def", number).withColumn("two", two).withColumn("title", part(1)).withColumn("url", part(2))
-    own = F.when(F.col("def").isNotNull(), F.col("line_no")).when(F.lag(F.col("two") & F.col("def").isNotNull()).over(L.by_doc()), F.col("line_no") - 1)
-    return rows.withColumn("owner", own).drop("next")
+    own = F.struct(F.col("line_no").alias("owner"), F.col("off").alias("owner_off"), F.col("def").alias("owner_def"))
+    before = F.lag(F.when(F.col("two") & F.col("def").isNotNull(), own)).over(L.by_doc())
+    return rows.withColumn("_own", F.when(F.col("def").isNotNull(), own).otherwise(before)).select("*", "_own.*").drop("next", "_own")
 
 
 def _renamed(line: Column, ids: Column) -> Column:
@@ -197,12 +204,12 @@ def _renamed(line: Column, ids: Column) -> Column:
 
 def identity(notes: DataFrame, norm) -> DataFrame:
     """Numeric footnotes of notes get the numbers of ``id_map``; of the definitions that share one the first stays."""
-    ids = id_map(notes, norm).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("old", "new_id"))).alias("ids"))
+    ids = _ids(notes, norm).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("old", F.struct("new_id", "kept").alias("to")))).alias("to"))
+    ids = ids.select("doc_id", F.transform_values("to", lambda k, v: v["new_id"]).alias("ids"), F.transform_values("to", lambda k, v: v["kept"]).alias("kept"))
     rows = _parts(notes).join(ids, "doc_id", "left").withColumn("new", F.try_element_at("ids", "def"))
-    first = F.min(F.when(F.col("new").isNotNull(), F.col("line_no"))).over(Window.partitionBy("doc_id", "new"))
-    rows = rows.withColumn("dropped", F.col("new").isNotNull() & (first != F.col("line_no")))
-    gone = F.col("dropped") | ((F.col("owner") < F.col("line_no")) & F.lag("dropped").over(L.by_doc()))
-    rows = rows.withColumn("gone", F.coalesce(gone, F.lit(False))).where("not gone")
+    # A definition that isn't the first of its number goes with its link line.
+    gone = F.try_element_at("kept", "owner_def") != F.col("owner")
+    rows = rows.where(~F.coalesce(gone, F.lit(False)))
     line = F.when(F.col("new").isNotNull(), F.concat(F.lit("[^"), F.col("new").cast("string"), F.substr(F.col("line"), F.locate("]:", F.col("line")), F.length("line"))))
     line = line.when(F.col("line").rlike(DEF_LINE) | F.col("ids").isNull(), F.col("line")).otherwise(_renamed(F.col("line"), F.col("ids")))
     left = L.rebuilt(rows.withColumn("line", line), "line", "sep")
@@ -213,22 +220,23 @@ def identity(notes: DataFrame, norm) -> DataFrame:
 def move(notes: DataFrame, name: str = "Resources", heading: str | None = None) -> DataFrame:
     """Numeric definitions outside the section ``name`` go to its end, or into a new one at the note's end; others stay."""
     rows = with_section(_parts(notes), name)
-    starts = F.max(F.when(F.col("owner") == F.col("line_no"), F.col("off"))).over(Window.partitionBy("doc_id", "owner"))
-    outside = F.col("owner").isNotNull() & (F.col("start_off").isNull() | (starts < F.col("start_off")) | (starts >= F.col("end_off")))
+    outside = F.col("owner").isNotNull() & (F.col("start_off").isNull() | (F.col("owner_off") < F.col("start_off")) | (F.col("owner_off") >= F.col("end_off")))
     rows = rows.withColumn("moves", outside)
     text = F.concat(F.lit("[^"), F.regexp_extract("line", DEF, 1), F.lit("]: "), F.regexp_extract("line", DEF, 2), F.when(F.col("two"), F.concat(F.lit("\n["), "title", F.lit("]("), "url", F.lit(")"))).otherwise(""))
     size = F.max(F.col("line_no")) + 1
     each = F.transform(F.array_sort(F.collect_list(F.when(F.col("moves") & F.col("def").isNotNull(), F.struct("line_no", text.alias("t"))))), lambda x: x["t"])
     # Where the section ends: before the line at its end, or behind the last.
     at = F.coalesce(F.min(F.when((F.col("off") == F.col("end_off")) & F.col("line").rlike(ATX), F.col("line_no"))), size)
-    moved = rows.groupBy("doc_id").agg(each.alias("defs"), at.alias("at"), F.max("start_off").alias("start")).where(F.size("defs") > 0)
+    kept = F.array_sort(F.collect_list(F.when(~F.col("moves"), F.struct("line_no", F.concat("line", "sep").alias("piece")))))
+    notes = rows.groupBy("doc_id").agg(each.alias("defs"), at.alias("at"), F.max("start_off").alias("start"), kept.alias("kept"))
     apart = F.when(F.exists("defs", lambda d: d.contains("\n")), "\n\n").otherwise("\n")
     body = F.array_join(F.transform(F.slice("defs", F.lit(2), F.size("defs")), lambda d: F.concat(apart, d)), "")
     body = F.concat(F.get("defs", F.lit(0)), body)
     new = F.concat(F.lit(f"\n{heading or '## ' + name}\n\n"), body)
-    put = moved.select("doc_id", (F.col("at") * 2).alias("key"), F.when(F.col("start").isNull(), new).otherwise(F.concat(F.lit("\n"), body, F.lit("\n"))).alias("piece"))
-    kept = rows.where("not moves").select("doc_id", (F.col("line_no") * 2 + 1).alias("key"), F.concat("line", "sep").alias("piece"))
-    return L.rebuilt(kept.unionByName(put), "piece", key="key")
+    put = F.when(F.size("defs") == 0, "").when(F.col("start").isNull(), new).otherwise(F.concat(F.lit("\n"), body, F.lit("\n")))
+    above = F.array_join(F.transform(F.filter("kept", lambda x: x["line_no"] < F.col("at")), lambda x: x["piece"]), "")
+    below = F.array_join(F.transform(F.filter("kept", lambda x: x["line_no"] >= F.col("at")), lambda x: x["piece"]), "")
+    return notes.select("doc_id", F.concat(above, put, below).alias("text"))
 
 
 def tidy(notes: DataFrame, norm, name: str = "Resources", citations_first: bool = True, number: bool = True, to_section: bool = True) -> DataFrame:
