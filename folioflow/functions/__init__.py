@@ -2,6 +2,8 @@
 
 #: White space: fixed values of the ECMAScript class, which Java's \\s is not.
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The characters of that class.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Any character but line ends of ECMAScript.
 DOT = r"[^\n\r\u2028\u2029]"
 

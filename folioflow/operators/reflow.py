@@ -21,7 +21,8 @@ SHORT = 0.66
 
 
 def _stripped(x: Column | str) -> Column:
-    return F.regexp_replace(x, f"^{js.WS}+|{js.WS}+\\z", "")
+    # Native, and looks at no character but those at the ends.
+    return F.btrim(x, F.lit(js.BLANKS))
 
 
 def reflow_rows(notes: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def reflow_rows(notes: DataFrame) -> DataFrame:
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("line").rlike(UNORDERED), "- ").when(F.col("line").rlike(ORDERED), F.concat(F.regexp_extract("line", ORDERED, 1), F.lit(" ")))
     item = F.when(F.col("line").rlike(UNORDERED), F.regexp_extract("line", UNORDERED, 2)).when(F.col("line").rlike(ORDERED), F.regexp_extract("line", ORDERED, 2))
-    k = k.withColumn("mark", mark).withColumn("item", _stripped(item)).withColumn("bare", _stripped("line")).withColumn("solid", F.regexp_replace("line", f"{js.WS}+\\z", ""))
+    k = k.withColumn("mark", mark).withColumn("item", _stripped(item)).withColumn("bare", _stripped("line")).withColumn("solid", F.rtrim("line", F.lit(js.BLANKS)))
     k = k.withColumn("listed", F.max(F.col("mark").isNotNull()).over(run)).withColumn("width", F.max(F.length("solid")).over(run)).withColumn("size", F.count("*").over(run))
     k = k.withColumn("prev", F.lag("solid").over(ordered)).withColumn("last", F.lead("line_no").over(ordered).isNull())
     word = F.length(F.regexp_extract("bare", "^[^" + js.WS[1:] + "*", 0))

@@ -1,10 +1,11 @@
-"""Work that must not grow with the square of a note."""
+"""Work that must not grow with the square of a note, and patterns that aren't tried at every character."""
 
 import time
 
 from pyspark.sql import functions as F
 
-from folioflow.operators import cleanup
+from folioflow import functions as js
+from folioflow.operators import cleanup, reflow
 
 
 def test_cascade_of_a_note_with_many_headings(spark):
@@ -14,3 +15,10 @@ def test_cascade_of_a_note_with_many_headings(spark):
     got = df.select(cleanup.cascaded(F.col("text"), F.col("cursor"), F.col("input")).alias("x"), cleanup.cascade(F.col("text"), F.col("cursor"), F.col("input")).alias("p")).first()
     assert got.x == "## b\n" * n and got.p[0].insert == got.x
     assert time.time() - began < 10
+
+
+def test_ends_of_lines_without_patterns(spark):
+    df = spark.createDataFrame([(i, c + "a" + c + "b" + c) for i, c in enumerate(js.BLANKS)], "doc_id long, text string")
+    assert all(r.one == r.two for r in df.select(reflow._stripped("text").alias("one"), F.regexp_replace("text", f"^{js.WS}+|{js.WS}+\\z", "").alias("two")).collect())
+    plan = reflow.reflow(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
