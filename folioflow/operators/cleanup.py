@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as js
 from . import lines as L
+from .edits import bound
 
 
 def _free() -> Column:
@@ -218,11 +218,6 @@ def normalize_headings(notes: DataFrame) -> DataFrame:
     return L.rebuilt(heading_rows(rows), "line", "sep")
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``value``, which is evaluated once however often, or in whatever loops, it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def shift_headings(text: Column, by: Column) -> Column:
     """Every heading mark of ``text`` moved by ``by`` levels, within 1 and 6."""
     mark = lambda x: F.regexp_extract(x, r"^(#{1,6})(?=" + js.WS + r"|\z)", 1)
@@ -230,7 +225,7 @@ def shift_headings(text: Column, by: Column) -> Column:
     # The mark of the last line must have white space behind it, which for the others may be their line feed.
     marked = lambda x, i, parts: x.startswith("#") & (mark(x) != "") & ((i < F.size(parts) - 1) | x.rlike(js.HEADING))
     each = lambda parts, by: F.array_join(F.transform(parts, lambda x, i: F.when(marked(x, i, parts), moved(x, by)).otherwise(x)), "\n")
-    return _bound(by, lambda by: _bound(F.split(text, "\n", -1), lambda parts: each(parts, by)))
+    return bound(by, lambda by: bound(F.split(text, "\n", -1), lambda parts: each(parts, by)))
 
 
 def _levels(text: Column) -> Column:
@@ -245,7 +240,7 @@ def context_level(text: Column, cursor: Column) -> Column:
 def cascaded(text: Column, cursor: Column, fragment: Column) -> Column:
     """``fragment`` with its headings moved, so that the highest is one below the last heading before ``cursor``; null if either has no heading."""
     shift = context_level(text, cursor) + 1 - F.array_min(_levels(fragment))
-    return _bound(shift, lambda s: F.when(s.isNotNull(), shift_headings(fragment, s)))
+    return bound(shift, lambda s: F.when(s.isNotNull(), shift_headings(fragment, s)))
 
 
 def _edit(start: Column, end: Column, insert: Column) -> Column:
@@ -259,7 +254,7 @@ def cascade(text: Column, cursor: Column, fragment: Column, start: Column | None
     """The plan that puts the cascaded fragment at ``cursor``, or in the place of ``start`` to ``end`` where these are given; empty if nothing cascades."""
     moved = cascaded(text, cursor, fragment)
     at, to = (cursor, cursor) if start is None else (F.coalesce(start, cursor), F.coalesce(end, cursor))
-    return _bound(moved, lambda m: F.when(m.isNull(), F.array().cast(_PLAN)).otherwise(F.array(_edit(at, to, m))))
+    return bound(moved, lambda m: F.when(m.isNull(), F.array().cast(_PLAN)).otherwise(F.array(_edit(at, to, m))))
 
 
 def cascade_or_insert(text: Column, cursor: Column, fragment: Column, start: Column | None = None, end: Column | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as js
 from ..sources import scratch
 from . import lines as L
+from .edits import bound
 
 ATX = rf"^(#{{1,6}})[ \t]+({js.DOT}+?)[ \t]*\z"
 DEF = rf"^\[\^([^\]]+)\]: ({js.DOT}*)\z"
@@ -190,16 +191,17 @@ def _parts(notes: DataFrame) -> DataFrame:
 
 def _renamed(line: Column, ids: Column) -> Column:
     """Numeric references of ``line`` named by the map ``ids``. A reference ends a piece that a closing bracket ends and begins at the piece's first mark."""
-    pieces = F.split(line, r"(?<=\])", -1)
 
-    def rename(p: Column, i: Column) -> Column:
+    def rename(p: Column, i: Column, pieces: Column) -> Column:
         at = F.locate("[^", p)
         name = F.substr(p, at + 2, F.length(p) - at - 2)
         is_ref = (at > 0) & p.endswith("]") & name.rlike(r"^[0-9]+\z") & ~F.coalesce(F.get(pieces, i + 1), F.lit("")).startswith(":")
         to = F.try_element_at(ids, L.digits(name))
         return F.when(is_ref & to.isNotNull(), F.concat(F.substr(p, F.lit(1), at + 1), to.cast("string"), F.lit("]"))).otherwise(p)
 
-    return F.array_join(F.transform(pieces, rename), "")
+    # The line is cut up once, not again for what follows each of its pieces.
+    each = lambda pieces: F.array_join(F.transform(pieces, lambda p, i: rename(p, i, pieces)), "")
+    return F.when(line.contains("[^"), bound(F.split(line, r"(?<=\])", -1), each)).otherwise(line)
 
 
 def identity(notes: DataFrame, norm) -> DataFrame:
