@@ -105,20 +105,24 @@ def whitespace_rows(k: DataFrame) -> DataFrame:
     """Lines with single spaces inside and no blanks at their ends; of three or more blank lines in a row only the first is still there, with their edit."""
     blank = F.col("kind") == "blank"
     near = {"_one": F.lag("kind", 1), "_two": F.lag("kind", 2), "_after": F.lead("kind", 1), "_third": F.lead("kind", 2)}
-    k = k.withColumns({"_solid": F.sum((~blank).cast("int")).over(L.so_far()), **{n: F.coalesce(c.over(L.by_doc()) == "blank", F.lit(False)) for n, c in near.items()}})
-    run = Window.partitionBy("doc_id", "_solid", blank)
+    whole = L.by_doc().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.length("line") + F.length("sep")
+    k = k.withColumns({"_total": F.sum(size).over(whole), **{n: F.coalesce(c.over(L.by_doc()) == "blank", F.lit(False)) for n, c in near.items()}})
     # A blank line behind another one goes if a third one is before or behind it.
     goes = blank & F.col("_one") & (F.col("_two") | F.col("_after"))
     opens = blank & ~F.col("_one") & F.col("_after") & F.col("_third")
-    k = k.withColumns({"_goes": goes, "_opens": opens, "_size": F.length("line"), "_end": F.max(F.col("off") + F.length("line") + F.length("sep")).over(run)})
+    k = k.withColumns({"_goes": goes, "_opens": opens, "_behind": F.col("off") + size})
     lead = F.regexp_extract("line", f"^{js.WS}*", 0)
     tidy = F.concat(lead, F.regexp_replace(F.regexp_replace(F.substring("line", F.length(lead) + 1, F.length("line")), "  +", " "), r"[ \t]+\z", ""))
     # A line that is white space only is blank, so its lead never reaches the end.
     loose = F.col("line").rlike(r"  |[ \t]\z") & _free() & ~blank & (F.col("kind") != "tableRow")
     k = _changed(k, F.when(loose, tidy).otherwise(F.col("line")))
-    squeezed = _edit(F.col("off") + F.col("_size") + F.length("sep"), F.col("_end"), F.lit(""))
-    left = F.sum((~F.col("_goes")).cast("long")).over(L.so_far()) - 1
-    return k.withColumns({"did": F.col("did") | F.col("_opens"), "edit": F.when(F.col("_opens"), squeezed).otherwise(F.col("edit")), "line_no": left, "_order": F.col("line_no")}).where("not _goes")
+    k = k.withColumn("_order", F.col("line_no")).where("not _goes")
+    # A run ends where the next line that stays begins, or with the note.
+    left = L.in_place(k)
+    k = k.withColumns({"line_no": F.row_number().over(left).cast("long") - 1, "_end": F.coalesce(F.lead("off").over(left), F.col("_total"))})
+    squeezed = _edit(F.col("_behind"), F.col("_end"), F.lit(""))
+    return k.withColumns({"did": F.col("did") | F.col("_opens"), "edit": F.when(F.col("_opens"), squeezed).otherwise(F.col("edit"))})
 
 
 def bullet_rows(k: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def kinds(notes: DataFrame) -> DataFrame:
 
 def with_off(rows: DataFrame) -> DataFrame:
     """``rows`` with off, the place of each line's first character in the text of ``line`` and ``sep``."""
-    before = F.sum(F.length("line") + F.length("sep")).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.length("line") + F.length("sep")).over(in_place(rows).rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("off", F.coalesce(before, F.lit(0)).cast("int"))
 
 

@@ -98,11 +98,16 @@ def _row_steps(notes: DataFrame, steps: list[str], opening: bool) -> DataFrame:
     carried = [c for c in notes.columns if c not in ("doc_id", "text")]
     rows = L.classified(L.raw_lines(notes, *carried))
     sums: dict[str, Column] = {}
+    placed = False
     for name in steps:
         if name == "normalize_ordered" and "normalize_headings" in steps:
             # Numbers leave headings alone, whose levels are found before items are sorted by their indentations.
             rows = cleanup.heading_levels(rows)
-        rows = ROW_STEPS[name](L.with_off(rows))
+        # Lines that were just put together have their places, and bullets are as long as the hyphens that they become.
+        if not placed:
+            rows = L.with_off(rows)
+        rows = ROW_STEPS[name](rows)
+        placed = name in ("dehyphenate", "dewrap", "normalize_bullets")
         if name == "dehyphenate":
             rows = rows.withColumnsRenamed({"did": "n_dehyphenate", "edit": "plan_dehyphenate"})
             if "dewrap" in steps:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleanup, edits, footnotes, lines, reflow, registry, surfaces, tables, urls
 from ..sources import notes as notes_source
+from ..sources import scratch
 from . import builders, format
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,6 +262,8 @@ def _step_counts(notes):
 @_query("pi1_step_plans", _N, _counted_sql(_N))
 def _step_plans(notes):
     """The same by way of the plans: each is applied to the text that the one before it left."""
+    # Read twice, so that texts that are computed are computed once.
+    notes = scratch.written(notes)
     done = notes.select("doc_id", F.coalesce("text", F.lit("")).alias("was")).join(format.clean_steps(notes), "doc_id")
     for s in _COUNTS:
         done = done.withColumn("was", edits.apply_edits(F.col("was"), F.col(f"plan_{s}")))

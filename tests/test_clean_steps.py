@@ -83,3 +83,17 @@ def test_texts_are_looked_through_once(notes):
     """Whether a note has a frame or may open front matter is a column of the written table, not a pattern that each of its four readers matches again."""
     plan = format.apply_cleanup(notes)._jdf.queryExecution().optimizedPlan().toString()
     assert tables._TOP not in plan
+
+
+def test_six_sorts_with_plans(notes):
+    """Places of edits are found in the order that the lines have: only those behind the numbered items sort them once more."""
+    done = format._row_steps(notes, list(format.ROW_STEPS), False).select("doc_id", "text", *[f"plan_{s}" for s in format.ROW_STEPS])
+    assert done._jdf.queryExecution().executedPlan().toString().count("Sort [") == 6
+
+
+def test_squeezed_lines_to_the_end(spark):
+    texts = ["a\n\n\n\n", "\n\n\n\n\nb\n \n\t\n\nc", "\n\n\n", "x\n\n\ny", "", "*  a\n+ b  c\n\n\n\n 7. é\n"]
+    done = format.clean_steps(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    plans = [[tuple(e) for e in r.plan_tidy_whitespace] for r in done]
+    assert plans == [[(3, 5, "")], [(1, 5, ""), (9, 12, "")], [(1, 3, "")], [], [], [(0, 4, "* a"), (5, 11, "+ b c"), (13, 15, "")]], plans
+    assert [tuple(e) for e in done[5].plan_normalize_bullets] == [(0, 1, "-"), (4, 5, "-")] and [tuple(e) for e in done[5].plan_normalize_ordered] == [(12, 13, "1")]
